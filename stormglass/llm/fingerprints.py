@@ -8,10 +8,11 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormglass.llm.bpe import restore_id, select_text
+from stormglass.llm.bpe import TOGETHER, restore_id, select_text
 from stormglass.llm.common import cut
 
 #: Code points of a k-gram and k-grams of a window: a shared run of GRAM + WINDOW - 1 code
@@ -132,33 +133,35 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the order is the id's own, not that of its string
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    result = pa.schema([("id", pa.string()), ("part", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("n_chars", pa.int64()), *((c, pa.string()) for c in names[1:4]), *((c, pa.float64()) for c in names[4:])])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            out = []
-            for key, text, part in batch[["id", "text", "part"]].itertuples(index=False, name=None):
-                if held is None:
-                    out.append({"id": key, "part": part, "head": text})
-                else:
-                    out.append({"id": held[0], **_compared(held[1], text, gram, window)})
-                held = key, text, part
-            if out:
-                yield pd.DataFrame(out, columns=["id", "part", "head", "tail", *names])
+            for k in range(0, batch.num_rows, TOGETHER):
+                out = []
+                for row in batch.slice(k, TOGETHER).to_pylist():
+                    if held is None:
+                        out.append({"id": row["id"], "part": row["part"], "head": row["text"]})
+                    else:
+                        out.append({"id": held["id"], **_compared(held["text"], row["text"], gram, window)})
+                    held = row
+                yield pa.RecordBatch.from_pylist(out, schema=result)
         if held is not None:
-            yield pd.DataFrame([{"id": held[0], "part": held[2], "tail": held[1]}], columns=["id", "part", "head", "tail", *names])
+            yield pa.RecordBatch.from_pylist([{"id": held["id"], "part": held["part"], "tail": held["text"]}], schema=result)
 
-    walked = cut(dealt.mapInPandas(walk, f"id string, part int, head string, tail string, {columns}"))
+    walked = cut(dealt.mapInArrow(walk, f"id string, part int, head string, tail string, {columns}"))
     parts = walked.where("head is not null").select("part").withColumn("first", F.min("part").over(Window.partitionBy(F.lit(1))))
     after = parts.select("part", F.coalesce(F.lead("part").over(Window.partitionBy(F.lit(1)).orderBy("part")), F.col("first")).alias("next_part"))
     heads = walked.where("head is not null").select(F.col("part").alias("next_part"), F.col("head").alias("following"))
     ends = walked.where("tail is not null").select("id", "part", F.col("tail").alias("text"))
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.schema([f for f in result if f.name not in ("part", "head", "tail")])
         for batch in batches:
-            out = [{"id": k, **_compared(t, f, gram, window)} for k, t, f in batch[["id", "text", "following"]].itertuples(index=False, name=None)]
-            yield pd.DataFrame(out, columns=["id", *names])
+            yield pa.RecordBatch.from_pylist([{"id": r["id"], **_compared(r["text"], r["following"], gram, window)} for r in batch.to_pylist()], schema=whole)
 
     pairs = ends.join(after, "part").join(heads, "next_part").select("id", "text", "following")
-    closed = pairs.mapInPandas(close, f"id string, {columns}")
+    closed = pairs.mapInArrow(close, f"id string, {columns}")
     inner = walked.where("head is null and tail is null").select("id", *names)
     return restore_id(inner.unionByName(closed), id_col, kind)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import bpe, exact_dedup, fingerprints, mixing, sharding, token_counts
+from stormglass.llm import bpe, exact_dedup, fingerprints, mixing, sharding, substring_dedup, token_counts
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
@@ -34,6 +34,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), length=35)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_copies(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select(
@@ -57,6 +61,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
