@@ -1,2 +1,56 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: quality, exact copies, near copies, source mix, token ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stormglass.llm import bpe, classifier, common, exact_dedup, mixing, near_dedup
+from stormglass.llm.queries import vocabulary
+
+#: Near copies: Jaccard similarity of five-word shingles, in percent.
+NEAR_PERCENT = 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is at least 0.3; the classifier learns from labels outside its held-out fold."""
+    return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each distinct text, the one with the smallest id."""
+    return exact_dedup.drop_exact(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    return near_dedup.keep_one(docs, NEAR_PERCENT)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their targets."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, with their digests."""
+    return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), ids=True).drop("decoded")
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("bpe", encode)]
+
+#: No SQL: the classifier, the similarity join, the solver and the encoder are not expressible; tests use brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run(), with the ids as one string a row so that results compare as text."""
+    return run(spark, sf_dir).withColumn("token_ids", F.concat_ws(" ", F.col("token_ids").cast("array<string>")))

@@ -41,3 +41,33 @@ def text_or_empty(text: str = "text") -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results have been cut and that nothing refers to.
+
+    Spark's cleaner acts when the driver's JVM collects its garbage, which small drivers seldom do.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
+
+    Each round a node takes the smallest label among its neighbours and then its label's own
+    label, so paths halve; rounds end when no label changes. Labels are cut every round.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        of = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+        after = cut(lower.join(of, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label")))
+        changed = not after.where("label <> old").isEmpty()
+        labels = after.select("node", "label")
+        if not changed:
+            return labels.select("node", F.col("label").alias("component"))

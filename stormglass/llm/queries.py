@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import bpe, exact_dedup, fingerprints, lm, mixing, sharding, substring_dedup, token_counts
+from stormglass.llm import bpe, classifier, exact_dedup, fingerprints, lm, mixing, near_dedup, sharding, substring_dedup, token_counts
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
@@ -26,6 +26,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classifier.score_quality(documents(spark, sf_dir), labels)
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_components(documents(spark, sf_dir), percent=85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), ids=False)
 
@@ -63,6 +73,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_near_dedup": op2_near_dedup,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
