@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormglass.functions import columns as col_fns
@@ -17,7 +17,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 K, T = ["entity"], "date"
-P = F.col("price")
+
+
+def P() -> Column:
+    return F.col("price")
+
+
+def RET() -> Column:
+    return F.col("ret")
+
+
+def VIX() -> Column:
+    return F.col("vix")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -98,7 +109,7 @@ def canonical_ticker(spark, sf_dir):
 @query(f"WITH {frames.DAILY} SELECT entity, date, {R('vix3m - vix')} AS term_spread, {R('vix3m / nullif(vix, 0) - 1')} AS term_ratio, {R('price / 100 - 1')} AS basis, {R('credit - 0.04')} AS surprise FROM daily")
 def pair_features(spark, sf_dir):
     d = frames.daily(spark, sf_dir)
-    return rounded(d.select("entity", "date", (F.col("vix3m") - F.col("vix")).alias("term_spread"), col_fns.ratio_change(F.col("vix3m"), F.col("vix")).alias("term_ratio"), col_fns.ratio_change(P, F.lit(100.0)).alias("basis"), (F.col("credit") - 0.04).alias("surprise")))
+    return rounded(d.select("entity", "date", (F.col("vix3m") - F.col("vix")).alias("term_spread"), col_fns.ratio_change(F.col("vix3m"), F.col("vix")).alias("term_ratio"), col_fns.ratio_change(P(), F.lit(100.0)).alias("basis"), (F.col("credit") - 0.04).alias("surprise")))
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate::DATE + CASE isodow(o_orderdate) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE) AS next_day FROM orders")
@@ -189,7 +200,7 @@ _LABELLED = f"WITH {frames.DAILY}, labelled AS (SELECT *, {_LABEL_5_20} AS label
 
 
 def _labelled(spark, sf_dir, horizon=20, threshold=0.05):
-    return frames.daily(spark, sf_dir).withColumn("label", labels.drawdown_label(P, K, T, horizon, threshold))
+    return frames.daily(spark, sf_dir).withColumn("label", labels.drawdown_label(P(), K, T, horizon, threshold))
 
 
 @query(f"{_LABELLED} SELECT entity, date, price, label FROM daily JOIN (SELECT entity, date, label FROM labelled) USING (entity, date)")
@@ -430,7 +441,7 @@ _RET = f"WITH {frames.DAILY}, r AS (SELECT *, CASE WHEN price > 0 AND lag(price)
 
 
 def _ret(spark, sf_dir):
-    return frames.daily(spark, sf_dir).withColumn("ret", win.log_return(P, K, T))
+    return frames.daily(spark, sf_dir).withColumn("ret", win.log_return(P(), K, T))
 
 
 def _daily_query(name: str, value: Callable, sql: str, base: Callable = _ret) -> None:
@@ -446,30 +457,29 @@ def _frame(width: int) -> str:
     return f"({_W} ROWS BETWEEN {width - 1} PRECEDING AND CURRENT ROW)"
 
 
-RET, VIX = F.col("ret"), F.col("vix")
-_daily_query("log_return", lambda: win.log_return(P, K, T, 5), f"ln(price) - ln(lag(price, 5) OVER ({_W}))")
-_daily_query("series_change", lambda: win.series_change(VIX, K, T, 5), f"vix - lag(vix, 5) OVER ({_W})")
-_daily_query("rolling_momentum", lambda: win.rolling_momentum(RET, K, T, 20), f"CASE WHEN count(ret) OVER {_frame(20)} >= 5 THEN sum(ret) OVER {_frame(20)} END")
-_daily_query("realized_volatility", lambda: win.realized_volatility(RET, K, T, 20), f"CASE WHEN count(ret) OVER {_frame(20)} >= 5 THEN stddev_samp(ret) OVER {_frame(20)} * sqrt(252) END")
-_daily_query("downside_semivariance", lambda: win.downside_semivariance(RET, K, T, 20), f"CASE WHEN count(ret) OVER {_frame(20)} >= 5 THEN avg(CASE WHEN ret < 0 THEN ret * ret WHEN ret >= 0 THEN 0 END) OVER {_frame(20)} END")
-_daily_query("rolling_mean_abs", lambda: win.rolling_mean_abs(RET, K, T), f"CASE WHEN count(ret) OVER {_frame(20)} >= 10 THEN avg(abs(ret)) OVER {_frame(20)} END")
-_daily_query("rolling_zscore", lambda: win.rolling_zscore(VIX, K, T, 60), f"CASE WHEN count(vix) OVER {_frame(60)} >= 15 THEN (vix - avg(vix) OVER {_frame(60)}) / nullif(stddev_samp(vix) OVER {_frame(60)}, 0) END")
+_daily_query("log_return", lambda: win.log_return(P(), K, T, 5), f"ln(price) - ln(lag(price, 5) OVER ({_W}))")
+_daily_query("series_change", lambda: win.series_change(VIX(), K, T, 5), f"vix - lag(vix, 5) OVER ({_W})")
+_daily_query("rolling_momentum", lambda: win.rolling_momentum(RET(), K, T, 20), f"CASE WHEN count(ret) OVER {_frame(20)} >= 5 THEN sum(ret) OVER {_frame(20)} END")
+_daily_query("realized_volatility", lambda: win.realized_volatility(RET(), K, T, 20), f"CASE WHEN count(ret) OVER {_frame(20)} >= 5 THEN stddev_samp(ret) OVER {_frame(20)} * sqrt(252) END")
+_daily_query("downside_semivariance", lambda: win.downside_semivariance(RET(), K, T, 20), f"CASE WHEN count(ret) OVER {_frame(20)} >= 5 THEN avg(CASE WHEN ret < 0 THEN ret * ret WHEN ret >= 0 THEN 0 END) OVER {_frame(20)} END")
+_daily_query("rolling_mean_abs", lambda: win.rolling_mean_abs(RET(), K, T), f"CASE WHEN count(ret) OVER {_frame(20)} >= 10 THEN avg(abs(ret)) OVER {_frame(20)} END")
+_daily_query("rolling_zscore", lambda: win.rolling_zscore(VIX(), K, T, 60), f"CASE WHEN count(vix) OVER {_frame(60)} >= 15 THEN (vix - avg(vix) OVER {_frame(60)}) / nullif(stddev_samp(vix) OVER {_frame(60)}, 0) END")
 _PRIOR = f"({_W} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)"
 _Z = f"CASE WHEN count(vix) OVER {_PRIOR} >= 126 THEN (vix - avg(vix) OVER {_PRIOR}) / nullif(stddev_samp(vix) OVER {_PRIOR}, 0) END"
-_daily_query("shifted_zscore", lambda: win.shifted_zscore(VIX, K, T), _Z)
-_daily_query("trailing_drawdown", lambda: win.trailing_drawdown(P, K, T, 60, 20), f"CASE WHEN count(price) OVER {_frame(60)} >= 20 THEN price / max(price) OVER {_frame(60)} - 1 END")
+_daily_query("shifted_zscore", lambda: win.shifted_zscore(VIX(), K, T), _Z)
+_daily_query("trailing_drawdown", lambda: win.trailing_drawdown(P(), K, T, 60, 20), f"CASE WHEN count(price) OVER {_frame(60)} >= 20 THEN price / max(price) OVER {_frame(60)} - 1 END")
 _NEXT20 = f"({_W} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)"
-_daily_query("forward_drawdown", lambda: win.forward_drawdown(P, K, T, 20), f"min(price) OVER {_NEXT20} / price - 1")
-_daily_query("forward_window_max", lambda: win.forward_max(VIX, K, T, 20), f"max(vix) OVER {_NEXT20}")
-_daily_query("forward_drawdown_label", lambda: labels.drawdown_label(P, K, T, 20, 0.05), f"CASE WHEN lead(price, 20) OVER ({_W}) IS NOT NULL THEN coalesce(min(price) OVER {_NEXT20} / price - 1 <= -0.05, false)::INT::DOUBLE END")
+_daily_query("forward_drawdown", lambda: win.forward_drawdown(P(), K, T, 20), f"min(price) OVER {_NEXT20} / price - 1")
+_daily_query("forward_window_max", lambda: win.forward_max(VIX(), K, T, 20), f"max(vix) OVER {_NEXT20}")
+_daily_query("forward_drawdown_label", lambda: labels.drawdown_label(P(), K, T, 20, 0.05), f"CASE WHEN lead(price, 20) OVER ({_W}) IS NOT NULL THEN coalesce(min(price) OVER {_NEXT20} / price - 1 <= -0.05, false)::INT::DOUBLE END")
 _daily_query("bounded_ffill", lambda: win.bounded_ffill(F.col("vix3m"), K, T), f"last_value(vix3m IGNORE NULLS) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
-_daily_query("expanding_quantile_threshold", lambda: win.expanding_quantile(VIX, K, T, 0.85, 756), f"CASE WHEN count(vix) OVER x >= 756 THEN quantile_cont(vix, 0.85) OVER x END")
+_daily_query("expanding_quantile_threshold", lambda: win.expanding_quantile(VIX(), K, T, 0.85, 756), f"CASE WHEN count(vix) OVER x >= 756 THEN quantile_cont(vix, 0.85) OVER x END")
 ORACLES["expanding_quantile_threshold"] += f" WINDOW x AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
 @query(f"WITH {frames.DAILY}, r AS (SELECT *, coalesce(price / lag(price) OVER ({_W}) - 1, 0) AS ret FROM daily), g AS (SELECT *, product(1 + ret) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS growth FROM r) SELECT entity, date, {R('ret')} AS ret, {R('growth')} AS growth, {R(f'growth / max(growth) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1')} AS drawdown FROM g")
 def pct_change_growth(spark, sf_dir):
-    rows = frames.daily(spark, sf_dir).withColumn("ret", win.simple_return(P, K, T))
+    rows = frames.daily(spark, sf_dir).withColumn("ret", win.simple_return(P(), K, T))
     rows = rows.withColumn("growth", win.growth(F.col("ret"), K, T))
     return rounded(rows.withColumn("drawdown", win.running_drawdown(F.col("growth"), K, T)).select("entity", "date", "ret", "growth", "drawdown"))
 
@@ -500,7 +510,7 @@ FROM c"""
 
 @query(_BUILD)
 def build_event_labels(spark, sf_dir):
-    rows = _ret(spark, sf_dir).withColumn("vol", win.realized_volatility(RET, K, T, 20))
+    rows = _ret(spark, sf_dir).withColumn("vol", win.realized_volatility(RET(), K, T, 20))
     out = labels.build_event_labels(rows, K, T, "price", "vol", "vix", credit="credit")
     return rounded(out.drop("price", "ret", "ret_micro", "vix", "vix3m", "credit", "vol"))
 
@@ -526,10 +536,10 @@ def _panel_frame(spark, sf_dir):
     """Every trailing feature and the twelve labels over one window specification an entity."""
     rows = _ret(spark, sf_dir).where("price is not null and vix is not null")
     rows = rows.withColumns({
-        "forecast_day": col_fns.next_business_day(F.col("date")), "ret_5": win.log_return(P, K, T, 5), "ret_20": win.log_return(P, K, T, 20), "vol_20": win.realized_volatility(RET, K, T, 20, 10, 100 * 252**0.5), "vol_60": win.realized_volatility(RET, K, T, 60, 20, 100 * 252**0.5),
-        "dd_60": win.trailing_drawdown(P, K, T, 60, 20), "dd_252": win.trailing_drawdown(P, K, T, 252, 60), "vix_change_5": win.series_change(VIX, K, T, 5), "term": F.col("vix3m") - VIX, **{f"forward_dd_{h}": win.forward_drawdown(P, K, T, h) for h in (5, 20, 60)},
+        "forecast_day": col_fns.next_business_day(F.col("date")), "ret_5": win.log_return(P(), K, T, 5), "ret_20": win.log_return(P(), K, T, 20), "vol_20": win.realized_volatility(RET(), K, T, 20, 10, 100 * 252**0.5), "vol_60": win.realized_volatility(RET(), K, T, 60, 20, 100 * 252**0.5),
+        "dd_60": win.trailing_drawdown(P(), K, T, 60, 20), "dd_252": win.trailing_drawdown(P(), K, T, 252, 60), "vix_change_5": win.series_change(VIX(), K, T, 5), "term": F.col("vix3m") - VIX(), **{f"forward_dd_{h}": win.forward_drawdown(P(), K, T, h) for h in (5, 20, 60)},
     })
-    return rows.withColumns({f"event_dd{round(100 * t)}_h{h}": labels.drawdown_label(P, K, T, h, t) for h in (5, 20, 60) for t in (0.05, 0.1, 0.15, 0.2)})
+    return rows.withColumns({f"event_dd{round(100 * t)}_h{h}": labels.drawdown_label(P(), K, T, h, t) for h in (5, 20, 60) for t in (0.05, 0.1, 0.15, 0.2)})
 
 
 def _next(h: int) -> str:
@@ -576,7 +586,7 @@ def top_risk_dates(spark, sf_dir):
 
 @query(f"{_RET}, d AS (SELECT entity, date, price, vix, {R('price / max(price) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 8)} AS drawdown FROM r) SELECT entity, date, {R('drawdown')} AS drawdown, {R('vix')} AS vix FROM d ORDER BY d.drawdown, entity, date LIMIT 10")
 def largest_drawdowns(spark, sf_dir):
-    rows = frames.daily(spark, sf_dir).withColumn("drawdown", F.round(win.running_drawdown(P, K, T), 8))
+    rows = frames.daily(spark, sf_dir).withColumn("drawdown", F.round(win.running_drawdown(P(), K, T), 8))
     return rounded(rows.select("entity", "date", "drawdown", "vix").orderBy("drawdown", "entity", "date").limit(10))
 
 
@@ -640,7 +650,7 @@ def halo_rolling_mean(spark, sf_dir):
     rows = splits.indexed(frames.daily(spark, sf_dir), K, T).drop("n_rows")
     spread = win.with_halo(rows, "row_idx", 500, 59, K)
     w = win.trailing([*K, "chunk"], T, 60)
-    value = win.enough(VIX, w, 20, F.avg("vix").over(w))
+    value = win.enough(VIX(), w, 20, F.avg("vix").over(w))
     return rounded(spread.withColumn("value", value).where("not is_halo").select("entity", "date", "value"))
 
 
@@ -739,7 +749,7 @@ _OVER = f"{_STRESS}, base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.
 
 
 def _overlay(spark, sf_dir):
-    rows = frames.daily(spark, sf_dir).withColumns({"base": win.simple_return(P, K, T), "score": win.shifted_zscore(VIX, K, T)})
+    rows = frames.daily(spark, sf_dir).withColumns({"base": win.simple_return(P(), K, T), "score": win.shifted_zscore(VIX(), K, T)})
     return rows.withColumn("high_risk", F.col("score") >= 1)
 
 
@@ -771,9 +781,10 @@ def overlay_sensitivity_grid(spark, sf_dir):
     return rounded(_grid(spark, sf_dir))
 
 
-@query(f"{_GRID} SELECT entity, quantile::DOUBLE AS quantile, " + ", ".join(f"{R(f'max(annual_return / nullif(annual_vol, 0)) FILTER (low_exposure = {e})')} AS \"{e}\"" for e in (0.0, 0.25, 0.5, 0.75)) + " FROM final GROUP BY ALL")
+@query(f"{_GRID} SELECT entity, quantile::DOUBLE AS quantile, " + ", ".join(f"{R(f'max(annual_return / nullif(annual_vol, 0)) FILTER (low_exposure = {e})')} AS exposure_{round(100 * e)}" for e in (0.0, 0.25, 0.5, 0.75)) + " FROM final GROUP BY ALL")
 def sensitivity_pivot(spark, sf_dir):
-    return rounded(_grid(spark, sf_dir).groupBy("entity", "quantile").pivot("low_exposure", [0.0, 0.25, 0.5, 0.75]).agg(F.max("sharpe")))
+    named = _grid(spark, sf_dir).withColumn("column", F.concat(F.lit("exposure_"), F.round(100 * F.col("low_exposure")).cast("int").cast("string")))
+    return rounded(named.groupBy("entity", "quantile").pivot("column", [f"exposure_{e}" for e in (0, 25, 50, 75)]).agg(F.max("sharpe")))
 
 
 @query(f"{_GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(annual_return / nullif(annual_vol, 0), 9) DESC NULLS LAST, round(max_drawdown, 9) DESC, quantile, low_exposure)::INT AS rank FROM final) SELECT entity, quantile::DOUBLE AS quantile, low_exposure, rank, {R('annual_return / nullif(annual_vol, 0)')} AS sharpe FROM k WHERE rank <= 8")
@@ -817,6 +828,6 @@ def stress_monitor(spark, sf_dir):
     chain = panel.root_panel(panel.constant_tenor(frames.chain(spark, sf_dir), frames.TIE, target_days=(30,), fields=["atm"]), "atm", 30)
     market = chain.groupBy("date").agg(F.avg("value").alias("atm"), F.stddev_samp("value").alias("dispersion"))
     rows = _labelled(spark, sf_dir).withColumn("week", F.to_date(F.date_trunc("week", "date")))
-    rows = rows.join(market.withColumnRenamed("date", "week"), "week", "left").withColumns({"atm_z": win.shifted_zscore(F.col("atm"), K, T), "dispersion_z": win.shifted_zscore(F.col("dispersion"), K, T), "vix_z": win.shifted_zscore(VIX, K, T)})
+    rows = rows.join(market.withColumnRenamed("date", "week"), "week", "left").withColumns({"atm_z": win.shifted_zscore(F.col("atm"), K, T), "dispersion_z": win.shifted_zscore(F.col("dispersion"), K, T), "vix_z": win.shifted_zscore(VIX(), K, T)})
     rows = rows.withColumn("stress", col_fns.skip_null_mean(F.col("atm_z"), F.col("dispersion_z"), F.col("vix_z")))
     return rounded(lift.conditional_lift(rows, {"stress_high": ("stress", "high"), "atm_high": ("atm_z", "high")}, ["label"]))
