@@ -86,9 +86,10 @@ def conditional_pca(aligned: DataFrame, time: str = "ts", key: str = "ticker", r
         order = np.argsort(values)[::-1][:components]
         total = 0.0
         for k, i in enumerate(order, 1):
-            v, share = vectors[:, i], float(values[i] / len(use))
+            v, share = vectors[:, i], float(max(values[i], 0.0) / len(use))
             total += share
-            with_ref = float(v @ corr[:-1, -1] / np.sqrt(max(values[i], 1e-300)))
+            # a component without variance has no scores to correlate
+            with_ref = float(v @ corr[:-1, -1] / np.sqrt(values[i])) if values[i] > 1e-9 else float("nan")
             sign = np.sign(with_ref) if np.isfinite(with_ref) and with_ref else np.sign(v[np.argmax(np.abs(v))])
             top = sorted(zip(use, v * sign, strict=True), key=lambda t: -abs(t[1]))[:3]
             out.append((sample, k, int(n), share, total, abs(with_ref) if np.isfinite(with_ref) else None, ", ".join(f"{a}:{b:.4f}" for a, b in top)))
