@@ -177,7 +177,7 @@ def test_quantile_bins_close_on_the_right(spark):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "ES1%20Index.csv").write_text("timestamp,open,high,low,close,volume\n2024-01-01 10:00:00,1,2,0.5,1.5,x\nbad,1,1,1,1,1\n2024-01-01 10:00:00,1,2,0.5,,3\n")
+    (tmp_path / "ES1 Index.csv").write_text("timestamp,open,high,low,close,volume\n2024-01-01 10:00:00,1,2,0.5,1.5,x\nbad,1,1,1,1,1\n2024-01-01 10:00:00,1,2,0.5,,3\n")
     rows = io.read_bars(spark, str(tmp_path)).collect()
     assert [(r["ticker"], r["close"], r["volume"]) for r in rows] == [("ES1", 1.5, None)]
     (tmp_path / "panel").mkdir()
