@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.functions.columns import guarded_corr
 from stormglass.operators.impulse import SAMPLES, sample_flags
+from stormglass.operators.windows import row_index
 
 
 def corr_matrix(long: DataFrame, date: str, name: str, value: str) -> DataFrame:
@@ -104,9 +105,8 @@ def rolling_absorption(wide: DataFrame, columns: list[str], time: str, width: in
     computes its windows alone and a row is copied about width / (step x chunk_ends) times.
     """
     span = step * chunk_ends
-    rows = wide.select(time, *columns).withColumn("i", F.row_number().over(Window.orderBy(time)) - 1)
-    n = F.max("i").over(Window.partitionBy(F.lit(1)))
-    rows = rows.withColumn("last", n).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("i") / span), F.floor((F.col("i") + width - 1) / span))))
+    rows = row_index(wide.select(time, *columns), [time], "i")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("i").alias("last")))).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("i") / span), F.floor((F.col("i") + width - 1) / span))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
