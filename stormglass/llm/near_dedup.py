@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormglass.llm.common import components, cut, release
+from stormglass.llm.common import components, counted, cut, release
 from stormglass.llm.words import HASHES, gathered, mixed, window_hashes
 
 #: Words of a shingle.
@@ -22,8 +22,9 @@ TREES, CHOSEN, FIRST_LEVELS = 4, 2, 2
 SMALL = 24
 #: A large node with up to this many documents outside its main component compares these with all.
 FEW = 64
-#: Levels after which a node that is still open is compared exhaustively, block by block.
-LEVELS = 8
+#: Levels that an open node descends before it is looked at again, and such rounds at most;
+#: a node that is open after the last is compared exhaustively.
+DESCENT, ROUNDS = 2, 4
 #: Standard deviations below the expected agreement of a sketch at which a pair is not verified.
 SLACK = 5.0
 
@@ -80,6 +81,12 @@ def _agree(a: str, b: str) -> Column:
     return F.expr(f"{SKETCH} - ({' + '.join(differ)})")
 
 
+def _agree_with(p: str) -> Column:
+    """Tokens on which a row's sketch agrees with the struct p."""
+    differ = [f"bit_count(((s{k} ^ {p}.s{k}) | shiftrightunsigned(s{k} ^ {p}.s{k}, 1)) & 6148914691236517205L)" for k in range(SKETCH // 32)]
+    return F.expr(f"{SKETCH} - ({' + '.join(differ)})")
+
+
 def least_agreement(similarity: float) -> int:
     p = similarity + (1 - similarity) / 4
     return int(SKETCH * p - SLACK * np.sqrt(SKETCH * p * (1 - p)))
@@ -126,7 +133,7 @@ def _packed_sets(docs: DataFrame, needed: DataFrame, kind: str, id_col: str, tex
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 512], pa.string()), flat], schema=schema)
 
-    rows = docs.select(F.col(id_col).alias("rid"), text.alias("text")).join(needed, "rid", "left_semi")
+    rows = docs.select(F.col(id_col).alias("rid"), text.alias("text")).join(needed.hint("shuffle_merge"), "rid", "left_semi")
     sets = rows.select(F.col("rid").cast("string").alias("id"), "text").mapInArrow(run, "rid string, shingles array<long>")
     # an id that repeats has one class; the text with the most shingles stands for it
     return sets.select(F.col("rid").cast(kind).alias("rid"), "shingles")
@@ -164,21 +171,24 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     document; null ids have a null component. An empty table gives no rows.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    near = least_agreement(percent / 100)
+    share = percent / 100
+    near = least_agreement(share)
+    # at `high` agreement a class is surely within `reach` of the pivot; under `low` it is surely beyond what that can link to
+    high = int(SKETCH * (share + (1 - share) / 4))
+    low = least_agreement(max(0.0, 4 / 3 * (near / SKETCH - 0.25) - (1 - share)))
     rows = cut(sketches(docs, id_col, text_col).withColumn("id", F.col("id").cast(kind)))
     full = rows.where("n_shingles > 0 and id is not null")
     classes = cut(full.groupBy("a", "b", "n_shingles").agg(F.min("id").alias("rid"), *[F.first(c).alias(c) for c in [*_S, "tokens", "nodes"]]))
-    level = classes.select(F.explode("nodes").alias("node"), "rid", *_S)
-    sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    level = cut(level.join(sizes, "node").distinct())
+    level, left = counted(_sized(classes.select(F.explode("nodes").alias("node"), "rid", *_S)).distinct())
     release(spark)
 
-    known = classes.select(F.col("rid").alias("node"), F.col("rid").alias("component")).limit(0)
-    edges: DataFrame | None = None
+    known: DataFrame | None = None
     sets: DataFrame | None = None
     tried: DataFrame | None = None
 
     def labelled(rows_: DataFrame, column: str, to: str) -> DataFrame:
+        if known is None:
+            return rows_.withColumn(to, F.col(column))
         of = known.select(F.col("node").alias("k_"), F.col("component").alias("c_"))
         return rows_.join(of, F.col(column) == F.col("k_"), "left").withColumn(to, F.coalesce("c_", column)).drop("k_", "c_")
 
@@ -187,36 +197,40 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         return out if tried is None else out.join(tried, ["a", "b"], "left_anti")
 
     def take(pairs: DataFrame) -> None:
-        nonlocal known, edges, tried, sets
-        pairs = cut(pairs.select("a", "b").distinct())
-        if pairs.isEmpty():
+        """Verify pairs; merge the components of those that hold."""
+        nonlocal known, tried, sets
+        pairs, n = counted(pairs.select("a", "b").distinct())
+        if not n:
             return
         if sets is None:
             sets = cut(_packed_sets(docs, wanted, kind, id_col, text_col))
             release(spark)
-        new = cut(_verified(pairs, sets, percent))
+        new, n = counted(_verified(pairs, sets, percent))
         tried = pairs if tried is None else tried.unionByName(pairs)
         release(spark)
-        if new.isEmpty():
+        if not n:
             return
-        edges = new if edges is None else edges.unionByName(new)
-        known = components(edges)
+        if known is None:
+            known = components(new)
+        else:  # only components that meet change, so the graph of components is what is solved
+            joint = components(labelled(labelled(new, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnsRenamed({"node": "n_", "component": "m_"})
+            everyone = known.unionByName(joint.select(F.col("n_").alias("node"), F.col("n_").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+            known = cut(everyone.join(joint, F.col("component") == F.col("n_"), "left").select("node", F.coalesce("m_", "component").alias("component")))
         release(spark)
 
-    for depth in range(LEVELS):
-        if level.isEmpty():
+    for round_ in range(ROUNDS):
+        if not left:
             break
         small, large = level.where(f"n <= {SMALL}").drop("n"), level.where(f"n > {SMALL}").drop("n")
         x, y = small.alias("x"), small.alias("y")
         within = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.rid") < F.col("y.rid")) & (_agree("x", "y") >= near))
-        pairs = within.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), _agree("x", "y").alias("agree"))
-        pairs = cut(pairs.distinct())
+        pairs = cut(within.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), _agree("x", "y").alias("agree")).distinct())
         pivots = cut(_pivots(large))
         m, p = large.alias("m"), pivots.alias("p")
         to_pivot = m.join(p, (F.col("m.node") == F.col("p.node")) & (F.col("m.rid") != F.col("p.rid")) & (_agree("m", "p") >= near))
-        central = cut(to_pivot.select(*_ordered(F.col("m.rid"), F.col("p.rid")), F.col("m.rid").alias("rid"), _agree("m", "p").alias("agree")))
+        central = to_pivot.select(*_ordered(F.col("m.rid"), F.col("p.rid")), F.col("m.rid").alias("rid"), _agree("m", "p").alias("agree"))
         if sets is None:
-            wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(large.select("rid")).distinct())
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(large.select("rid")).distinct()
         best = (
             pairs.select("a", "b", F.col("b").alias("rid"), "agree")
             .unionByName(central.select("a", "b", "rid", "agree"))
@@ -225,22 +239,23 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             .select("p.*")
         )
         take(crossing(best))
-        inside = cut(labelled(large, "rid", "component"))
-        main = inside.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-        main = labelled(main.join(pivots.select("node", F.col("rid").alias("pivot")), "node"), "pivot", "main").where("low <> high").select("node", "main")
-        open_ = cut(inside.join(main, "node").withColumn("out", F.col("component") != F.col("main")))
-        outs = cut(open_.groupBy("node").agg(F.count_if("out").alias("outs")))
-        last = depth == LEVELS - 1
-        settle = outs if last else outs.where(f"outs <= {FEW}")
-        few = open_.where("out").join(settle, "node", "left_semi").alias("f")
-        every = open_.join(settle, "node", "left_semi").alias("e")
-        crossed = few.join(every, (F.col("f.node") == F.col("e.node")) & (F.col("f.component") != F.col("e.component")) & (_agree("f", "e") >= near))
-        rest = pairs.select("a", "b").unionByName(crossed.select(*_ordered(F.col("f.rid"), F.col("e.rid"))))
-        take(crossing(rest.distinct()))
+        inside = labelled(large, "rid", "component")
+        main = labelled(pivots.select("node", F.struct(*_S).alias("p"), F.col("rid").alias("pivot")), "pivot", "main").select("node", "p", "main")
+        placed = inside.join(main, "node").withColumn("to_pivot", _agree_with("p")).withColumn("out", F.col("component") != F.col("main"))
+        held = ~F.col("out") & (F.col("to_pivot") >= high)
+        seen = cut(placed.withColumns({"held": held, "border": F.col("out") & (F.col("to_pivot") >= low)}).drop("p", "to_pivot", "main"))
+        outs = cut(seen.groupBy("node").agg(F.count_if("out").alias("outs"), F.count_if("border").alias("borders")).where("outs > 0"))
+        last = round_ == ROUNDS - 1
+        settle = outs if last else outs.where(f"outs <= {FEW} or borders <= {FEW}")
+        # outsiders far from the pivot can't reach what is held close to it (Jaccard distance is a metric)
+        flagged = seen.join(settle.withColumn("all", F.lit(True) if last else F.col("outs") <= FEW).select("node", "all"), "node")
+        few, every = flagged.where("out and (all or border)").alias("f"), flagged.where("all or held").alias("e")
+        crossed = few.join(every, (F.col("f.node") == F.col("e.node")) & (F.col("f.component") != F.col("e.component")) & (F.col("f.border") | ~F.col("e.held")) & (_agree("f", "e") >= near))
+        take(crossing(pairs.select("a", "b").unionByName(crossed.select(*_ordered(F.col("f.rid"), F.col("e.rid")))).distinct()))
         if last:
             break
-        going = open_.join(outs.where(f"outs > {FEW}"), "node", "left_semi")
-        level = cut(_branched(going.select("node", "rid", *_S), classes))
+        going = seen.join(outs.where(f"outs > {FEW}"), "node").where(f"not held or borders > {FEW}").select("node", "rid", *_S)
+        level, left = counted(_descended(going, classes))
         release(spark)
     member = classes.select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.col("n_shingles").alias("n_"), "rid")
     joined = rows.select("id", "n_shingles", "a", "b").join(member, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")) & (F.col("n_shingles") == F.col("n_")), "left")
@@ -261,15 +276,27 @@ def _pivots(large: DataFrame) -> DataFrame:
     return scored.groupBy("node").agg(F.min_by(F.struct("rid", *_S), F.struct("away", "rid")).alias("p")).select("node", "p.*")
 
 
-def _branched(going: DataFrame, classes: DataFrame) -> DataFrame:
-    """The children of open nodes that hold more than one class, with their sizes."""
-    one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
-    two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
-    tokens = going.join(classes.select("rid", "tokens"), "rid").withColumn("at", F.explode(F.array(one, two)))
-    token = F.expr("substring(tokens, cast(at * 4 + 1 as int), 4)")
-    children = tokens.select(F.xxhash64("node", "at", token).alias("node"), "rid", *_S)
-    sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return children.join(sizes, "node")
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold more than one class, with n, the node's classes."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(sizes, "node")
+
+
+def _descended(going: DataFrame, classes: DataFrame) -> DataFrame:
+    """The nodes that open nodes lead to, DESCENT levels down; a node that turns small on the way stops there."""
+    rows, stopped = going.join(classes.select("rid", "tokens"), "rid"), None
+    for k in range(DESCENT):
+        one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
+        two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
+        token = F.expr("substring(tokens, cast(at * 4 + 1 as int), 4)")
+        children = cut(_sized(rows.withColumn("at", F.explode(F.array(one, two))).select(F.xxhash64("node", "at", token).alias("node"), "rid", *_S, "tokens")))
+        if k == DESCENT - 1:
+            done = children.drop("tokens")
+            return done if stopped is None else done.unionByName(stopped)
+        small = children.where(f"n <= {SMALL}").drop("tokens")
+        stopped = small if stopped is None else stopped.unionByName(small)
+        rows = children.where(f"n > {SMALL}").drop("n")
+    raise AssertionError
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
