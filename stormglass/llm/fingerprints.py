@@ -106,8 +106,8 @@ def _compared(text: str, following: str, gram: int, window: int) -> dict:
     return {
         "n_chars": n,
         "edited_sha256": sha256(edited.encode()).hexdigest(),
-        "fingerprint": as_text(own),
-        "edited_fingerprint": as_text(changed),
+        # side by side: they share most hashes, and compress as one string
+        "prints": f"{as_text(own)},{as_text(changed)}",
         "near_edited": likeness(sets[0], sets[1]),
         "near_next": likeness(sets[0], sets[2]),
     }
@@ -126,14 +126,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     as texts; the few range ends are then joined with the heads that follow them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    columns = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    columns = "n_chars long, edited_sha256 string, prints string, near_edited double, near_next double"
+    names = ["n_chars", "edited_sha256", "prints", "near_edited", "near_next"]
     order = [F.col("id").cast(kind).desc_nulls_last(), F.col("text").asc()]
     rows = select_text(docs, id_col, text_col)
     # the order is the id's own, not that of its string
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
-    result = pa.schema([("id", pa.string()), ("part", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("n_chars", pa.int64()), *((c, pa.string()) for c in names[1:4]), *((c, pa.float64()) for c in names[4:])])
+    result = pa.schema([("id", pa.string()), ("part", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("n_chars", pa.int64()), *((c, pa.string()) for c in names[1:3]), *((c, pa.float64()) for c in names[3:])])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -164,4 +164,6 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = ends.join(after, "part").join(heads, "next_part").select("id", "text", "following")
     closed = pairs.mapInArrow(close, f"id string, {columns}")
     inner = walked.where("head is null and tail is null").select("id", *names)
-    return restore_id(inner.unionByName(closed), id_col, kind)
+    both = F.split("prints", ",")
+    out = inner.unionByName(closed).select("id", "n_chars", "edited_sha256", both[0].alias("fingerprint"), both[1].alias("edited_fingerprint"), "near_edited", "near_next")
+    return restore_id(out, id_col, kind)
