@@ -18,6 +18,8 @@ from stormglass.llm.common import cut
 #: Code points of a k-gram and k-grams of a window: a shared run of GRAM + WINDOW - 1 code
 #: points always shares a selected hash, and no run under GRAM code points is seen.
 GRAM, WINDOW = 16, 32
+#: Code points of a text that help to cut ranges where an id repeats.
+RANGE_HEAD = 64
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -128,10 +130,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     columns = "n_chars long, edited_sha256 string, prints string, near_edited double, near_next double"
     names = ["n_chars", "edited_sha256", "prints", "near_edited", "near_next"]
-    order = [F.col("id").cast(kind).desc_nulls_last(), F.col("text").asc()]
+    by_id = F.col("id").cast(kind).desc_nulls_last()
+    order = [by_id, F.col("text").asc()]
     rows = select_text(docs, id_col, text_col)
-    # the order is the id's own, not that of its string
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # the order is the id's own, not that of its string; the driver samples the keys of ranges, so no whole texts
+    dealt = rows.repartitionByRange(by_id, F.substring("text", 1, RANGE_HEAD).asc()).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     result = pa.schema([("id", pa.string()), ("part", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("n_chars", pa.int64()), *((c, pa.string()) for c in names[1:3]), *((c, pa.float64()) for c in names[3:])])
 

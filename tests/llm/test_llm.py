@@ -287,6 +287,7 @@ def test_winnowing(spark, docs, texts):
         edited = t[: n - n // 3] + after[: n // 3]
         r = got[d]
         assert r["n_chars"] == n and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{h:08x}" for h in brute_winnow(x, 16, 32)[0]) if len(x) <= 3000 else fingerprints.as_text(fingerprints.winnow(x)[0]) for x in (t, edited))
         a, b, c = (set(fingerprints.winnow(x)[0].tolist()) for x in (t, edited, after))
         like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
         assert r["near_edited"] == pytest.approx(like(a, b)) and r["near_next"] == pytest.approx(like(a, c))
