@@ -1,4 +1,4 @@
-"""Language-model scores from a log-frequency Bloom filter of n-gram counts."""
+"""Language-model scores from exact counts of words and a log-frequency Bloom filter of bigram counts."""
 
 from __future__ import annotations
 
@@ -8,138 +8,87 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormglass.llm.common import cut
-from stormglass.llm.words import HASHES, gathered, mixed
+from stormglass.llm.common import counted, release
+from stormglass.llm.words import gathered, mixed
 
-#: The filter takes at most this many bits (32 MB), whatever the corpus; see choose_floor().
-FILTER_BITS = 1 << 28
-#: Bits a stored item gets where the bound allows it, and bits that each item sets.
+#: Bits a stored item gets, and bits that each item sets.
 BITS_PER_ITEM, PROBES = 12, 4
 #: Counts are stored by their level: level j stands for counts from FLOOR x 2^((j-1)/2).
 STEPS_PER_DOUBLING = 2
-#: Lowest count that is ever stored.
-FLOOR = 2
+#: Lowest count that is stored: bigrams that occur once are stored as well.
+FLOOR = 1
 #: Weight of the bigram estimate for contexts that are common, and the count at which it is half of that.
 BIGRAM_WEIGHT, HALF_COUNT = 0.2, 50.0
-#: Hash bits that tell n-grams of one bucket apart.
+#: Hash bits that tell bigrams of one bucket apart.
 KEY_BITS = 40
 #: Documents that share one number space in a task.
 DOCS_TOGETHER = 1 << 15
+#: Tokens of the corpus for each bucket of n-grams.
+BUCKET_TOKENS = 1 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tokens(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of all tokens with an end after each document, its document, tokens of each document)."""
+    """(distinct token hashes in order, place in them of every token with an end after each document, tokens of each document)."""
     n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    out = np.full(int(n.sum()), _END, np.uint64)
-    ends = np.cumsum(n) - 1
-    inner = np.ones(len(out), bool)
-    inner[ends] = False
-    out[inner] = HASHES.of([w for ws in words for w in ws])
-    return out, np.repeat(np.arange(len(words)), n), n
-
-
-def _bigrams(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Hash of (token before, token) for every token; the first of a document follows an end."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[:1] = _END
-    return mixed(before * _ODD + tokens), before
+    inner = np.ones(int(n.sum()), bool)
+    inner[np.cumsum(n) - 1] = False
+    flat = np.empty(int(inner.sum()), object)
+    flat[:] = [w for ws in words for w in ws]
+    codes, distinct = pd.factorize(flat)
+    hashes = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), _END)
+    names, place = np.unique(hashes, return_inverse=True)
+    out = np.full(len(inner), place[-1], np.uint32)
+    out[inner] = place[codes]
+    return names, out, n
+
+
+def _bigrams(names: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct bigram hashes in order, place in them of every token, code of the token before); the first of a document follows an end."""
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[:1] = np.searchsorted(names, _END)
+    keys, place = np.unique(mixed(names[before] * _ODD + names[codes]), return_inverse=True)
+    return keys, place, before
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, held_mod: tuple[int, int]) -> DataFrame:
     key: Column = F.col(id_col).cast("string")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     held = F.coalesce(F.crc32(key.cast("binary")) % held_mod[0] == held_mod[1], F.lit(False))
-    return docs.select(key.alias("id"), held.alias("held_out"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return docs.select(key.alias("id"), held.alias("held_out"), text.alias("text"))
+
+
+_DOCS = pa.list_(pa.struct([("id", pa.string()), ("held_out", pa.bool_()), ("n", pa.int64())]))
 
 
-def base_sums(rows: DataFrame) -> DataFrame:
-    """Per document: id, th, held_out, n_tokens, n_known, log_sum; and parts of the corpus totals.
+def token_blocks(rows: DataFrame) -> DataFrame:
+    """Documents as numbers: block, n (its tokens), trained (of them in training texts), docs, names, codes.
 
-    A task sends, for every distinct token of some million words, its count in training texts
-    and the places where it occurs; the counts of a token meet by its hash, and the totals go
-    back to the group of documents they came from, which adds up its own logarithms. Texts do
-    not travel, no token sends more than one row a group, and no group outgrows a task.
+    One row for some million words: the hashes of its distinct tokens in order, and the place
+    in them of each token. Texts are split once and do not travel; no block outgrows a task.
     """
-    schema = pa.schema([("token", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("docs", pa.list_(pa.struct([("id", pa.string()), ("th", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64())])))])
+    schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("trained", pa.int64()), ("docs", _DOCS), ("names", pa.binary()), ("codes", pa.binary())])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
         for table, words in gathered(batches, lower=True):
             for k in range(0, len(words), DOCS_TOGETHER):
-                part, some = table.slice(k, DOCS_TOGETHER), words[k : k + DOCS_TOGETHER]
-                tokens, doc, n = _tokens(some)
+                part = table.slice(k, DOCS_TOGETHER)
+                names, codes, n = _tokens(words[k : k + DOCS_TOGETHER])
                 held = np.array(part.column("held_out").to_pylist(), bool)
-                codes, names = pd.factorize(tokens)
-                pairs = np.sort(codes.astype(np.int64) << 20 | doc)  # DOCS_TOGETHER is below 2^20
-                tokens, doc = names[pairs >> 20], pairs & ((1 << 20) - 1)
-                first = np.flatnonzero(np.diff(pairs, prepend=-1))
-                times = np.diff(first, append=len(tokens))
-                token, where = tokens[first], doc[first]
-                # 16 bits a count: larger counts take several places
-                extra = np.repeat(np.arange(len(first)), (times + 0xFFFE) // 0xFFFF)
-                step = np.arange(len(extra)) - np.searchsorted(extra, extra)
-                places = np.empty((len(extra), 2), "<u2")
-                places[:, 0], places[:, 1] = where[extra], np.minimum(times[extra] - step * 0xFFFF, 0xFFFF)
-                starts = np.flatnonzero(np.diff(token[extra], prepend=~token[extra][:1]))
-                trained = np.add.reduceat(places[:, 1].astype(np.int64) * ~held[places[:, 0]], starts) if len(starts) else np.zeros(0, np.int64)
-                offsets = np.append(starts, len(extra)).astype(np.int32) * 4
-                keys = token[extra][starts].view(np.int64)
-                for a in range(0, len(keys), 1 << 16):
-                    b = min(a + (1 << 16), len(keys))
-                    data = places[offsets[a] // 4 : offsets[b] // 4].tobytes()
-                    packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((offsets[a : b + 1] - offsets[a]).tobytes()), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.full(b - a, number)), pa.array(trained[a:b]), packed, pa.nulls(b - a, schema.field("docs").type)], schema=schema)
-                listed = [{"id": i, "th": t, "held_out": h, "n": m} for i, t, h, m in zip(part.column("id").to_pylist(), part.column("th").to_pylist(), held.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pylist([{"token": listed[0]["th"] ^ number, "block": number, "n": 0, "places": None, "docs": listed}], schema=schema)
+                listed = [{"id": i, "held_out": h, "n": m} for i, h, m in zip(part.column("id").to_pylist(), held.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pylist([{"block": number, "n": len(codes), "trained": int(n[~held].sum()), "docs": listed, "names": names.tobytes(), "codes": codes.astype("<u4").tobytes()}], schema=schema)
                 number += 1
 
-    by_token = Window.partitionBy("token")
-    counted = (
-        rows.mapInArrow(send, "token long, block long, n long, places binary, docs array<struct<id:string,th:long,held_out:boolean,n:long>>")
-        .withColumn("c", F.sum("n").over(by_token))
-        .withColumn("first", F.col("block") == F.min("block").over(by_token))
-    )
-    # what a group of documents needs is packed into one row a task before it travels
-    answer = F.when(F.col("places").isNotNull(), F.struct("c", "places"))
-    packed_back = counted.groupBy("block").agg(
-        F.collect_list(answer).alias("answers"), F.max_by("docs", F.col("docs").isNotNull()).alias("docs"),
-        F.count_if(F.col("first") & (F.col("c") > 0) & F.col("places").isNotNull()).alias("types"), F.sum("n").alias("trained"),
-    )
-    result = pa.schema([("id", pa.string()), ("th", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()), ("types", pa.int64()), ("trained", pa.int64())])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                listed = row.column("docs")[0].as_py()
-                answers = row.column("answers")[0].values
-                c = answers.field("c").to_numpy()
-                binary = answers.field("places")
-                offsets = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1]
-                places = np.frombuffer(binary.buffers()[2], "<u2")[offsets[0] // 2 : offsets[-1] // 2].reshape(-1, 2).astype(np.int64)
-                counts = np.repeat(c, np.diff(offsets) // 4)
-                known = np.bincount(places[:, 0], places[:, 1] * (counts > 0), len(listed)).astype(np.int64)
-                # rows arrive in any order: terms are added as integers, so that reruns agree to the last bit
-                terms = np.rint(np.log10(counts + 1.0) * (1 << 34)).astype(np.int64) * places[:, 1]
-                sums = np.zeros(len(listed), np.int64)
-                np.add.at(sums, places[:, 0], terms)
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {"id": d["id"], "th": d["th"], "held_out": d["held_out"], "n_tokens": d["n"], "n_known": int(known[j]), "log_sum": float(sums[j]) / (1 << 34), "types": row.column("types")[0].as_py() if j == 0 else 0, "trained": row.column("trained")[0].as_py() if j == 0 else 0}
-                        for j, d in enumerate(listed)
-                    ],
-                    schema=result,
-                )
-
-    return packed_back.mapInArrow(add, "id string, th long, held_out boolean, n_tokens long, n_known long, log_sum double, types long, trained long")
+    return rows.mapInArrow(read, "block long, n long, trained long, docs array<struct<id:string,held_out:boolean,n:long>>, names binary, codes binary")
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -153,38 +102,70 @@ def value_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.ceil(FLOOR * 2.0 ** ((level - 1) / STEPS_PER_DOUBLING) - 1e-9), 0)
 
 
-def ngram_counts(rows: DataFrame, buckets: int) -> DataFrame:
-    """Packed counts of unigrams and bigrams of the training texts, by bucket of their hash: bucket, keys, counts.
+def _ends(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets of ordered hashes, which are cut by their top bits, end."""
+    limits = np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - int(math.log2(buckets)))
+    return np.append(np.searchsorted(keys, limits), len(keys))
+
 
-    A task sends 40 bits and a count for each distinct n-gram of some million words, many in
-    one row; a bucket's rows are merged by one task. Counts under FLOOR are not kept: they
-    never reach the filter.
+def ngram_counts(blocks: DataFrame, buckets: int) -> DataFrame:
+    """What each block asked of each bucket: block, bucket, words (exact counts), levels (of bigrams), types (once a bucket).
+
+    A block sends its distinct n-grams with their counts in training texts, many in one row.
+    The task of a bucket adds them up, fills the bucket's segment of the filter, whose size
+    follows its own number of items, and answers the bucket's n-grams block by block, in the
+    order they came in. Nothing is broadcast and no count is too low to be kept.
     """
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("words_n", pa.binary()), ("pairs", pa.binary()), ("pairs_n", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in gathered(batches, lower=True):
-            tokens, doc, _n = _tokens(words)
-            keys, n = np.unique(np.concatenate([mixed(tokens), _bigrams(tokens, doc)[0]]), return_counts=True)
-            bucket = (keys >> np.uint64(64 - int(math.log2(buckets)))).astype(np.int64) if buckets > 1 else np.zeros(len(keys), np.int64)
-            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out = []
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-                out.append({"bucket": int(bucket[a]), "keys": _pack(keys[a:b]), "counts": np.minimum(n[a:b], 0xFFFFFFFF).astype("<u4").tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    sent = rows.where(~F.col("held_out")).mapInArrow(send, "bucket long, keys binary, counts binary")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, docs, names, codes = _block(batch.slice(k, 1))
+                training = np.repeat(~docs[1], docs[2])
+                keys, place, _ = _bigrams(names, codes)
+                words_n = np.bincount(codes, training, len(names)).astype("<u4")
+                pairs_n = np.bincount(place, training, len(keys)).astype("<u4")
+                out, a, c = [], 0, 0
+                for bucket, (b, d) in enumerate(zip(_ends(names, buckets).tolist(), _ends(keys, buckets).tolist(), strict=True)):
+                    if b > a or d > c:
+                        out.append({"bucket": bucket, "block": block, "words": names[a:b].tobytes(), "words_n": words_n[a:b].tobytes(), "pairs": _pack(keys[c:d]), "pairs_n": pairs_n[c:d].tobytes()})
+                    a, c = b, d
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    sent = blocks.select("block", "docs", "names", "codes").mapInArrow(send, "bucket long, block long, words binary, words_n binary, pairs binary, pairs_n binary")
 
     def merge(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpack(k) for k in group.column("keys").to_pylist()])
-        n = np.concatenate([np.frombuffer(c, "<u4") for c in group.column("counts").to_pylist()]).astype(np.int64)
-        keys, back = np.unique(keys, return_inverse=True)
-        total = np.bincount(back, n, len(keys)).astype(np.int64)
-        kept = total >= FLOOR
-        levels = level_of(total[kept])
-        tally = np.bincount(levels, minlength=128)
-        return pa.table({"bucket": group.column("bucket").slice(0, 1), "keys": pa.array([_pack(keys[kept])], pa.binary()), "levels": pa.array([levels.astype(np.uint8).tobytes()], pa.binary()), "tally": pa.array([tally[:128].tolist()], pa.list_(pa.int64()))})
+        words, words_n = _joined(group.column("words"), "<u8"), _joined(group.column("words_n"), "<u4")
+        distinct, back = np.unique(words, return_inverse=True)
+        exact = np.bincount(back, words_n, len(distinct)).astype("<u8")
+        pairs, pairs_n = _unpack(b"".join(group.column("pairs").to_pylist())), _joined(group.column("pairs_n"), "<u4")
+        keys, place = np.unique(pairs, return_inverse=True)
+        found = fill(keys, level_of(np.bincount(place, pairs_n, len(keys)))).levels(keys).astype(np.uint8)
+        return pa.table({
+            "block": group.column("block"), "bucket": group.column("bucket"),
+            "words": _parted(exact[back], group.column("words"), 8), "levels": _parted(found[place], group.column("pairs"), KEY_BITS // 8),
+            "types": pa.array([int((exact > 0).sum())] + [0] * (group.num_rows - 1), pa.int64()),
+        })
+
+    return sent.groupBy("bucket").applyInArrow(merge, "block long, bucket long, words binary, levels binary, types long")
+
+
+def _block(row: pa.RecordBatch | pa.Table) -> tuple[int, tuple[pa.Array, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """(block, (ids, held out, tokens) of its documents, names, codes) of one row."""
+    docs = row.column("docs")[0].values
+    names, codes = (np.frombuffer(row.column(c)[0].as_py(), kind) for c, kind in (("names", "<u8"), ("codes", "<u4")))
+    return row.column("block")[0].as_py(), (docs.field("id"), np.array(docs.field("held_out").to_pylist(), bool), docs.field("n").to_numpy()), names, codes
+
 
-    return sent.groupBy("bucket").applyInArrow(merge, "bucket long, keys binary, levels binary, tally array<long>")
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _parted(values: np.ndarray, asked: pa.ChunkedArray, width: int) -> pa.Array:
+    """values as bytes, one entry for each row of asked, which holds `width` bytes for each value."""
+    ends = np.cumsum([len(x.as_buffer()) // width for x in asked])
+    return pa.array([values[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -200,7 +181,10 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def choose_floor(tally: list[int], bits: int) -> tuple[int, int]:
-    """(lowest level stored, items stored): all n-grams if bits suffice, else the most frequent that fit."""
+    """(lowest level stored, items stored) of a filter with a bound: all n-grams if bits suffice, else the most frequent that fit.
+
+    Scoring has no bound and does not use it.
+    """
     for low in range(1, len(tally)):
         items = sum(n * (level - low + 1) for level, n in enumerate(tally) if level >= low)
         if items * BITS_PER_ITEM <= bits:
@@ -220,8 +204,8 @@ class LogFrequencyFilter:
         h = mixed((keys & np.uint64((1 << KEY_BITS) - 1)) * _ODD + np.uint64(level * PROBES + probe))
         return h & np.uint64(segment_bits - 1)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Stored counts, by probing level after level until one is missing."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Stored levels, by probing level after level until one is missing."""
         segment = len(self.bits) * 8 // self.buckets
         begin = (keys >> np.uint64(64 - int(math.log2(self.buckets)))) * np.uint64(segment) if self.buckets > 1 else np.zeros(len(keys), np.uint64)
         level = np.zeros(len(keys), np.int64)
@@ -232,90 +216,60 @@ class LogFrequencyFilter:
                 left = left[(self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             level[left] = j
             j += 1
-        return value_of(level)
-
-    def scores(self, words: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of every text.
-
-        Interpolated: w x c(v, t) / c(v) + (1 - w) x (c(t) + 1) / (N + V + 1), with a weight w
-        that falls for rare contexts. Stored counts are never above the true ones but for false
-        positives, and a context's count is taken from the top of its level, so the
-        probabilities of all tokens after a context add up to at most 1.
-        """
-        tokens, doc, n = _tokens(words)
-        pairs, _ = _bigrams(tokens, doc)
-        codes, one = pd.factorize(np.append(tokens, _END))
-        c = self.counts(mixed(one))[codes]
-        own, before = c[:-1], np.empty(len(tokens))
-        before[1:] = own[:-1]
-        before[:1] = c[-1]
-        joint = np.minimum(self.counts(pairs), before)
-        top = np.maximum(before * 2.0 ** (1 / STEPS_PER_DOUBLING), 1.0)
-        weight = np.where(before > 0, BIGRAM_WEIGHT * before / (before + HALF_COUNT), 0.0)
-        p = weight * joint / top + (1 - weight) * (own + 1.0) / (self.tokens + self.types + 1.0)
-        return np.bincount(doc, np.log10(p), len(words))
-
-
-def build_filter(counts: DataFrame, buckets: int, tokens: int, types: int, bits: int = FILTER_BITS) -> LogFrequencyFilter:
-    """The filter, of at most `bits` bits: each bucket's task fills its own segment, the driver joins the segments."""
-    tally = counts.select(F.posexplode("tally").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
-    by_level = [0] * 129
-    for row in tally:
-        by_level[row["level"]] = row["n"]
-    low, items = choose_floor(by_level, bits)
-    segment = max(64, 1 << max(0, math.ceil(math.log2(max(1, items * BITS_PER_ITEM / buckets)))))
-    while segment * buckets > bits and segment > 64:
-        segment //= 2
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                keys, levels = _unpack(row["keys"]), np.frombuffer(row["levels"], np.uint8)
-                flags = np.zeros(segment, bool)
-                for level in range(low, int(levels.max(initial=0)) + 1):
-                    keys, levels = keys[levels >= level], levels[levels >= level]
-                    for probe in range(PROBES):
-                        flags[LogFrequencyFilter.place(keys, level, probe, segment)] = True
-                out.append({"bucket": row["bucket"], "segment": np.packbits(flags, bitorder="little").tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("segment", pa.binary())]))
-
-    whole = np.zeros(segment * buckets // 8, np.uint8)
-    for row in counts.select("bucket", "keys", "levels").mapInArrow(fill, "bucket long, segment binary").toLocalIterator():
-        begin = row["bucket"] * segment // 8
-        whole[begin : begin + segment // 8] = np.frombuffer(row["segment"], np.uint8)
-    return LogFrequencyFilter(whole, buckets, low, tokens, types)
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_mod: tuple[int, int] = (7, 2), filter_bits: int = FILTER_BITS) -> DataFrame:
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return value_of(self.levels(keys))
+
+
+def fill(keys: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
+    """The segment of one bucket, with BITS_PER_ITEM bits or more for each of its items."""
+    segment = 1 << max(6, math.ceil(math.log2(max(1, int(levels.sum()) * BITS_PER_ITEM))))
+    flags = np.zeros(segment, bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        keys, levels = keys[levels >= level], levels[levels >= level]
+        for probe in range(PROBES):
+            flags[LogFrequencyFilter.place(keys, level, probe, segment)] = True
+    return LogFrequencyFilter(np.packbits(flags, bitorder="little"), 1, 1, 0, 0)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_mod: tuple[int, int] = (7, 2)) -> DataFrame:
     """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words, A-Z in lower case, and an end. Learned from the rows whose crc32 of the
-    id, modulo held_mod[0], is not held_mod[1]. base_score uses exact counts; score comes from
-    the filter alone, which is broadcast and has a fixed bound: when all n-grams that occur
-    twice do not fit, those with the highest counts stay and the others fall back to single
-    words. Null texts are empty and have one token; null ids are trained on. Rows that repeat
-    id and text get equal results. An empty table gives no rows.
+    id, modulo held_mod[0], is not held_mod[1]. base_score uses exact counts of words.
+
+    score interpolates: w x c(v, t) / c(v) + (1 - w) x (c(t) + 1) / (N + V + 1), with a weight w
+    that falls for rare contexts. Counts of words are exact; those of bigrams come from a filter
+    that grows with their number and holds all of them. They are never above the true ones but
+    for false positives, so the probabilities of all tokens after a context add up to at most 1.
+
+    Null texts are empty and have one token; null ids are trained on. Rows that repeat id and
+    text get equal results. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _documents(docs, id_col, text_col, held_mod)
-    sums = cut(base_sums(rows))
-    totals = sums.agg(F.sum("trained"), F.sum("types"), F.sum("n_tokens")).first()
-    trained, types, everything = (int(x or 0) for x in totals)
-    buckets = 1 << min(14, max(4, math.ceil(math.log2(max(1, everything / (1 << 19))))))
-    counts = cut(ngram_counts(rows, buckets))
-    model = build_filter(counts, buckets, trained, types, filter_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("id", pa.string()), ("th", pa.int64()), ("score", pa.float64())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, words in gathered(batches, lower=True):
-            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("id", "th")), pa.array(shared.value.scores(words))], schema=schema)
-
-    scored = rows.select("id", "th", "text").mapInArrow(score, "id string, th long, score double").withColumnsRenamed({"id": "i", "th": "t"})
-    each = sums.drop("types", "trained").dropDuplicates(["id", "th"])
-    spread = float(np.log10(trained + types + 1.0))
-    return scored.join(each, F.col("i").eqNullSafe(F.col("id")) & (F.col("t") == F.col("th"))).select(
-        F.col("id").cast(kind).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"),
-        (F.col("log_sum") - F.col("n_tokens") * F.lit(spread)).alias("base_score"), "score",
-    )
+    blocks, everything = counted(token_blocks(_documents(docs, id_col, text_col, held_mod)), F.col("n"))
+    trained = int(blocks.agg(F.sum("trained")).first()[0] or 0)
+    buckets = 1 << min(64 - KEY_BITS, max(4, math.ceil(math.log2(max(1, everything / BUCKET_TOKENS)))))
+    answers, types = counted(ngram_counts(blocks, buckets), F.col("types"))
+    release(docs.sparkSession)  # the questions' shuffle files, before the blocks travel
+    spread = trained + types + 1.0
+    result = pa.schema([("id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def score(block: pa.Table, answered: pa.Table) -> pa.Table:
+        _, (ids, held, n), names, codes = _block(block)
+        answered = answered.sort_by("bucket")
+        own = _joined(answered.column("words"), "<u8").astype(float)
+        _, place, before = _bigrams(names, codes)
+        joint = value_of(_joined(answered.column("levels"), np.uint8).astype(np.int64))[place]
+        c, own = own[before], own[codes]
+        weight = BIGRAM_WEIGHT * c / (c + HALF_COUNT)
+        alone = (own + 1.0) / spread
+        p = weight * np.minimum(joint, c) / np.maximum(c, 1.0) + (1 - weight) * alone
+        doc = np.repeat(np.arange(len(n)), n)
+        add = lambda x: np.bincount(doc, x, len(n))
+        return pa.table([ids, pa.array(held), pa.array(n), pa.array(add(own > 0).astype(np.int64)), pa.array(np.full(len(n), trained)), pa.array(add(np.log10(alone))), pa.array(add(np.log10(p)))], schema=result)
+
+    parts = blocks.select("block", "docs", "names", "codes").groupBy("block").cogroup(answers.drop("types").groupBy("block"))
+    scored = parts.applyInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select(F.col("id").cast(kind).alias(id_col), *scored.columns[1:])

@@ -311,6 +311,36 @@ def test_lm_base_and_model(docs, texts):
     assert sum(rows[d]["score"] for d in trained) > sum(rows[d]["base_score"] for d in trained)
 
 
+def test_lm_scores_follow_all_counts(spark, docs, texts):
+    tokens = {d: [*split(t), None] for d, t, _ in texts}
+    training = [ws for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    c = Counter(w for ws in training for w in ws)
+    pairs = Counter(p for ws in training for p in zip([None, *ws], ws))
+    n, v, near = sum(c.values()), len(c), 0
+    for r in lm.score_documents(docs).collect():
+        want = 0.0
+        for a, b in zip([None, *tokens[r["doc_id"]]], tokens[r["doc_id"]]):
+            weight = lm.BIGRAM_WEIGHT * c[a] / (c[a] + lm.HALF_COUNT)
+            joint = lm.value_of(lm.level_of(np.array([pairs[a, b]])))[0]
+            want += math.log10(weight * joint / max(c[a], 1) + (1 - weight) * (c[b] + 1) / (n + v + 1))
+        # false positives of the filter can only raise a score
+        assert r["score"] > want - 1e-9
+        near += r["score"] < want + 0.01 * len(tokens[r["doc_id"]])
+    assert near > 0.95 * len(tokens)
+    # words that occur once differ from words that never occur
+    few = table(spark, [(0, "a b b", "a"), (1, "a once", "a"), (4, "once", "a"), (5, "never", "a")])
+    rows = {r["doc_id"]: r for r in lm.score_documents(few, held_mod=(2, 0)).collect()}
+    assert [rows[d]["held_out"] for d in (0, 1, 4, 5)] == [False, False, True, True] and rows[4]["score"] > rows[5]["score"]
+    assert lm.score_documents(few.limit(0)).count() == 0
+
+
+def test_filter_grows_with_its_items():
+    for size in (10, 1000, 100_000):
+        keys, levels = np.arange(size, dtype=np.uint64) * np.uint64(977), np.ones(size, np.int64)
+        segment = lm.fill(keys, levels)
+        assert len(segment.bits) * 8 >= size * lm.BITS_PER_ITEM and (segment.levels(keys) >= 1).all()
+
+
 def test_filter_counts_are_floors():
     keys = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
     true = np.random.default_rng(2).integers(2, 5000, 3000)
