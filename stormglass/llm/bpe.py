@@ -249,13 +249,15 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, as little-endian unsigned 32-bit integers.
 
-        Where white space stands alone, a text falls apart before each space, and its words
-        are looked up with that space; other texts are cut by the pattern as a whole.
+        Where white space is single spaces and newlines inside the text, it falls apart before
+        each space, and its words are looked up with that space; other texts are cut by the
+        pattern as a whole.
         """
         plan, words, rest = [], set(), set()
         for text in texts:
             parts = text.split(" ")
-            if len(text.split()) == len(parts) + text.count("\n") and not any(s in text for s in self.special):
+            # equal lists, not equal counts: other white space and empty parts can cancel out
+            if text.split() == (text.replace("\n", " ").split(" ") if "\n" in text else parts) and not any(s in text for s in self.special):
                 head = self.split(parts[0])
                 del parts[0]
                 words.update(parts)

@@ -156,6 +156,16 @@ def test_bpe_on_random_characters():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_on_glued_and_doubled_white_space():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(BYTES), random.Random(2)
+    some = ["x\u00a0y\u00a0z \u00a0 \u00a0 b", "a\tb  c", "a\x1cb  c", "a\n b\tc", " a\u00a0b", "a b\nc d", "a ", ""]
+    some += ["".join(rng.choices("ab1.' \n\t\u00a0\u3000", k=rng.randrange(30))) for _ in range(2000)]
+    for text, ids in zip(some, bpe.byte_bpe(BYTES).encode(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_counts_equal_the_library(docs, texts):
     import sentencepiece
 
