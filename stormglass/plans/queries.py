@@ -568,12 +568,12 @@ def predictive_frame(spark, sf_dir):
     return rounded(_predictive(spark, sf_dir))
 
 
-def _predictive(spark, sf_dir):
+def _predictive(spark, sf_dir, names=tuple(_TICKERS)):
     ev = _events(spark, sf_dir)
     w = Window.partitionBy("ticker").orderBy("ts")
     target = ev.select("ts", F.lead(F.col("large_abs").cast("int")).over(w).alias("next_abs"), F.lead(F.col("large_down").cast("int")).over(w).alias("next_down"), "threshold_ready")
-    wide = frames.returns(spark, sf_dir).groupBy("ts").pivot("ticker", _TICKERS).agg(F.max("ret"))
-    return wide.join(target, "ts").where("threshold_ready").select("ts", *_TICKERS, (F.col("view") - F.col("click")).alias("view_spread"), "next_abs", "next_down")
+    wide = frames.returns(spark, sf_dir).groupBy("ts").pivot("ticker", list(names)).agg(F.max("ret"))
+    return wide.join(target, "ts").where("threshold_ready").select("ts", *names, (F.col("view") - F.col("click")).alias("view_spread"), "next_abs", "next_down")
 
 
 # -- top k -------------------------------------------------------------------------------
@@ -705,8 +705,9 @@ def feature_group_holdout(spark, sf_dir):
 
 @query()
 def predictive_screen(spark, sf_dir):
-    rows = splits.indexed(_predictive(spark, sf_dir).withColumn("k", F.lit(1)), ["k"], "ts")
-    scored = models.predictive_screen(splits.chronological(rows, 0.7), [*_TICKERS, "view_spread"], ["next_abs", "next_down"])
+    names = sorted(r[0] for r in frames.table(spark, sf_dir, "events").where("event_type is not null").select("event_type").distinct().collect())
+    rows = splits.indexed(_predictive(spark, sf_dir, names).withColumn("k", F.lit(1)), ["k"], "ts")
+    scored = models.predictive_screen(splits.chronological(rows, 0.7), [*names, "view_spread"], ["next_abs", "next_down"])
     return rounded(metrics.probability_metrics(scored), 4)
 
 

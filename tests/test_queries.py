@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from compare_sql import canonical
+from stormglass.plans import queries
 from stormglass.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -31,5 +32,23 @@ def test_query_equals_sql(spark, db, name):
     assert rows == canonical(want, [d[0] for d in db.description])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_screen_takes_every_ticker(spark, monkeypatch):
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def screen(panel, features, targets):
+        seen.update(features=features, columns=panel.columns)
+        raise Stop
+
+    monkeypatch.setattr(queries.models, "predictive_screen", screen)
+    with pytest.raises(Stop):
+        QUERIES["predictive_screen"](spark, SF)
+    tickers = {r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_type").distinct().collect()}
+    assert set(seen["features"]) == tickers | {"view_spread"} and tickers <= set(seen["columns"])
+
+
 def test_names_are_registered():
     assert len(QUERIES) > 80 and set(ORACLES) <= set(QUERIES)
