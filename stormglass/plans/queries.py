@@ -728,7 +728,7 @@ def baseline_suite(spark, sf_dir):
 
 @query()
 def conditional_pca(spark, sf_dir):
-    return rounded(pca.conditional_pca(_aligned(spark, sf_dir), reference="click", least=20))
+    return rounded(pca.conditional_pca(_aligned(spark, sf_dir), reference="click", least=25))
 
 
 @query(f"WITH {frames.RETURNS}, w AS (SELECT ts, max(ret) FILTER (ticker = 'click') AS a, max(ret) FILTER (ticker = 'view') AS b FROM returns GROUP BY ts), i AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM w), e AS (SELECT ts, i FROM i WHERE i >= 120 AND (i - 120) % 12 = 0 AND i < n - 1) SELECT e.ts, count(*) AS n_rows, 2 AS n_columns, {R('(1 + abs(' + _CORR.format(a='x.a', b='x.b') + ')) / 2')} AS absorption FROM e JOIN i x ON x.i >= e.i - 120 AND x.i < e.i WHERE x.a IS NOT NULL AND x.b IS NOT NULL GROUP BY e.ts")
@@ -743,7 +743,7 @@ def panel_pca_absorption(spark, sf_dir):
     long = panel.root_panel(panel.constant_tenor(frames.chain(spark, sf_dir), frames.TIE, target_days=(30,), fields=["atm"]), "atm", 30)
     names = sorted(r[0] for r in frames.table(spark, sf_dir, "nation").select("n_name").collect())
     wide = long.groupBy("date").pivot("ticker", names).agg(F.max("value"))
-    return rounded(pca.rolling_absorption(wide, names, "date", 252, 5, 40, 6))
+    return rounded(pca.rolling_absorption(wide, names, "date", 252, 5, 160, 6))
 
 
 _OVER = f"{_STRESS}, base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.price) OVER (PARTITION BY r.entity ORDER BY r.date) - 1, 0) AS base, z1 FROM r JOIN z USING (entity, date)), x AS (SELECT *, CASE WHEN coalesce(z1 >= 1, false) THEN 0.5 ELSE 1.0 END AS exposure FROM base), p AS (SELECT *, coalesce(lag(exposure) OVER ({_W}), 1.0) AS position FROM x), o AS (SELECT *, abs(position - coalesce(lag(position) OVER ({_W}), position)) AS turn FROM p), run AS (SELECT entity, date, position::DOUBLE AS position, turn::DOUBLE AS turn, position * base - turn * 0.0001 AS overlay_return FROM o)"

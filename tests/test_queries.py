@@ -50,5 +50,18 @@ def test_screen_takes_every_ticker(spark, monkeypatch):
     assert set(seen["features"]) == tickers | {"view_spread"} and tickers <= set(seen["columns"])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_too_few_complete_rows_give_null(spark, monkeypatch):
+    names = sorted(r[0] for r in spark.read.parquet(f"{SF}/nation.parquet").select("n_name").collect())[:7]
+    # 254 dates, of which about 100 in the window are complete, while each column is 90 % present
+    rows = [(i, n, float((i * (k + 3)) % 11 + i % 5)) for i in range(254) for k, n in enumerate(names) if i >= 150 or i % 7 != k]
+    monkeypatch.setattr(queries.panel, "root_panel", lambda *_: spark.createDataFrame(rows, "date int, ticker string, value double"))
+    got = QUERIES["panel_pca_absorption"](spark, SF).collect()
+    assert [(r["n_rows"], r["n_columns"], r["absorption"]) for r in got] == [(102, 7, None)]
+    few = [(n, i, float((i * f) % 7), float(i % 5), True, False, False, False) for i in range(22) for n, f in (("view", 3), ("error", 5))]
+    monkeypatch.setattr(queries, "_aligned", lambda *_: spark.createDataFrame(few, "ticker string, ts int, ret double, ref_ret double, threshold_ready boolean, large_abs boolean, large_down boolean, large_up boolean"))
+    assert {r["loadings"] for r in QUERIES["conditional_pca"](spark, SF).collect()} == {"insufficient_complete_rows"}
+
+
 def test_names_are_registered():
     assert len(QUERIES) > 80 and set(ORACLES) <= set(QUERIES)
