@@ -28,11 +28,14 @@ def as_of_join(forecasts: DataFrame, records: DataFrame, by: list[str], forecast
     return seen.select("row_.*", *[F.col(f"last_.{c}").alias(n) for c, n in names.items()])
 
 
-def pit_feature_matrix(forecasts: DataFrame, store: DataFrame, features: list[str], by: list[str], forecast_time: str = "forecast_timestamp", available: str = "earliest_valid_prediction_timestamp") -> DataFrame:
+def pit_feature_matrix(forecasts: DataFrame, store: DataFrame, features: list[str] | None, by: list[str], forecast_time: str = "forecast_timestamp", available: str = "earliest_valid_prediction_timestamp") -> DataFrame:
     """Distinct forecasts with, for every feature, its latest value and `<feature>__available_at`.
 
     One sweep serves all features: a conditional last() for each, instead of a join for each.
+    Without a list, all non-null names of the store are features.
     """
+    if features is None:
+        features = sorted(r[0] for r in store.where("feature_name is not null").select("feature_name").distinct().collect())
     left = forecasts.select(*by, F.col(forecast_time).alias("at_"), F.lit(1).alias("side_"), F.lit(None).cast("string").alias("feature_name"), F.lit(None).cast("double").alias("value")).distinct()
     right = store.where(F.col("feature_name").isin(features) & F.col(available).isNotNull()).select(*by, F.col(available).alias("at_"), F.lit(0).alias("side_"), "feature_name", F.col("value").cast("double").alias("value"))
     sweep = Window.partitionBy(*by).orderBy("at_", "side_", "value").rowsBetween(Window.unboundedPreceding, 0)

@@ -157,6 +157,13 @@ def test_bootstrap_of_single_rows_has_the_mean(spark):
     assert got["mean_excess"] == pytest.approx(2.0 * 252) and abs(got["p50"] - 504) < 25
 
 
+def test_matrix_without_a_list_takes_every_name(spark):
+    store = spark.createDataFrame([("a", "vix", 1.0, D(2024, 1, 1)), ("a", "move", 2.0, D(2024, 1, 2)), ("b", None, 3.0, D(2024, 1, 1))], "k string, feature_name string, value double, earliest_valid_prediction_timestamp timestamp")
+    forecasts = spark.createDataFrame([("a", D(2024, 1, 3))], "k string, forecast_timestamp timestamp")
+    row = pit.pit_feature_matrix(forecasts, store, None, ["k"]).first()
+    assert row.asDict() == {"k": "a", "forecast_timestamp": D(2024, 1, 3), "move": 2.0, "move__available_at": D(2024, 1, 2), "vix": 1.0, "vix__available_at": D(2024, 1, 1)}
+
+
 def test_impulses_and_pca(spark):
     base = [0.001] * 120 + [-0.02 + 0.01 * k / 9 for k in range(10)] + [0.001] * 50
     rows = [(t, k, r * f + (k % 7) * 1e-5) for t, f in (("ES1", 1.0), ("NQ1", 1.2), ("TY1", -0.7)) for k, r in enumerate(base)]
