@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormglass.llm.common import counted, release
+from stormglass.llm.common import counted
 from stormglass.llm.words import gathered, mixed
 
 #: Bits a stored item gets, and bits that each item sets.
@@ -252,7 +252,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trained = int(blocks.agg(F.sum("trained")).first()[0] or 0)
     buckets = 1 << min(64 - KEY_BITS, max(4, math.ceil(math.log2(max(1, everything / BUCKET_TOKENS)))))
     answers, types = counted(ngram_counts(blocks, buckets), F.col("types"))
-    release(docs.sparkSession)  # the questions' shuffle files, before the blocks travel
     spread = trained + types + 1.0
     result = pa.schema([("id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
