@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.llm.bpe import restore_id, select_text
-from stormglass.llm.words import WordHashes, mixed
+from stormglass.llm.common import cut, drop
+from stormglass.llm.words import Words, gathered, mixed
 
 #: Labelled documents that the classifier is fitted on at most; those with the smallest hashes.
 FIT_ROWS = 6000
@@ -20,94 +21,87 @@ FIT_ROWS = 6000
 ROWS, WIDTH, NONZERO = 1 << 14, 48, 6
 #: Neighbours on each side that make a word's context.
 REACH = 2
+#: Tasks that read the sample.
+FIT_TASKS = 8
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 48, 60, 128, 3e-3, 1e-4
 
 
-class _Shapes(WordHashes):
-    """word -> hash of its shape: letters by case, digits, other characters as they are; runs count once."""
+#: Bytes by kind: lower-case letters (and all of UTF-8's longer characters), upper-case letters, digits; others stand for themselves.
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[ord("a") : ord("z") + 1] = _KIND[0x80:] = ord("a")
+_KIND[ord("A") : ord("Z") + 1] = ord("A")
+_KIND[ord("0") : ord("9") + 1] = ord("9")
 
-    def __missing__(self, word: bytes) -> int:
-        shape, last = [], ""
-        for c in word.decode("utf-8", "replace"):
-            kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-            if kind != last:
-                shape.append(kind)
-                last = kind
-        return super().__missing__(b"\x00" + "".join(shape).encode())
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self._look, words), np.uint64, len(words))
-
-    def _look(self, word: bytes) -> int:
-        return self.seen.get(word) or self._remember(word)
-
-    def _remember(self, word: bytes) -> int:
-        if len(self.seen) > 500_000:
-            self.seen.clear()
-        h = self.seen[word] = self.__missing__(word)
-        return h
-
-    seen: dict[bytes, int] = {}
-
-
-WORDS, SHAPES = WordHashes(), _Shapes()
+def shapes(words: Words) -> Words:
+    """The shapes of words: each run of bytes of one kind counts once."""
+    kind = _KIND[words.data[:-8]]
+    keep = np.diff(kind, prepend=kind[:1] ^ 1) != 0
+    place = np.cumsum(keep) - 1
+    return Words(np.append(kind[keep], np.full(8, 0x20, np.uint8)), place[words.starts], place[words.ends - 1] + 1, words.n)
 
 
 def index_vectors() -> np.ndarray:
-    """A sparse ternary vector for each table row, from a fixed seed."""
+    """A sparse vector of small whole numbers for each table row, from a fixed seed."""
     rng = np.random.default_rng(20)
-    out = np.zeros((ROWS, WIDTH), np.float32)
+    out = np.zeros((ROWS, WIDTH), np.int32)
     for k in range(NONZERO):
-        out[np.arange(ROWS), rng.integers(0, WIDTH, ROWS)] += rng.choice(np.array([-1, 1], np.float32), ROWS)
+        out[np.arange(ROWS), rng.integers(0, WIDTH, ROWS)] += rng.choice(np.array([-1, 1], np.int32), ROWS)
     return out
 
 
-def _rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _rows(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of the words and of their shapes."""
     half = np.uint64(ROWS // 2)
-    return (mixed(WORDS.of(words)) % half).astype(np.int64), (mixed(SHAPES.of(words)) % half + half).astype(np.int64)
-
-
-def context_vectors(texts: list[bytes]) -> np.ndarray:
-    """Unit vectors by random indexing: each word and shape sums the index vectors of what stands around it."""
-    index = index_vectors()
-    out = np.zeros_like(index)
-    for text in texts:
-        words = text.split()
-        if not words:
-            continue
-        w, s = _rows(words)
-        own = index[w] + index[s]
-        padded = np.zeros((len(w) + 2 * REACH + 1, WIDTH), np.float32)
-        np.cumsum(own, axis=0, out=padded[REACH + 1 : REACH + 1 + len(w)])
-        padded[REACH + 1 + len(w) :] = padded[REACH + len(w)]
-        around = padded[2 * REACH + 1 :] - padded[: len(w)] - own
-        np.add.at(out, w, around)
-        np.add.at(out, s, around)
-    out += index  # a word that the sample lacks keeps its index vector
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return (mixed(words.hashes) % half).astype(np.int64), (mixed(shapes(words).hashes) % half + half).astype(np.int64)
 
 
-def pool(text: bytes, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector, mean shape vector, spread of both, their lengths and the share of distinct words."""
-    words = text.split()
-    out = np.zeros(4 * WIDTH + 6, np.float32)
-    if not words:
-        out[-1] = 1.0
-        return out
+def context_sums(words: Words, index: np.ndarray) -> np.ndarray:
+    """For each table row the sum of the index vectors (whole numbers) that stand around its words."""
+    out = np.zeros(index.shape, np.int32)
     w, s = _rows(words)
-    at = 0
+    own = index[w] + index[s]
+    doc = np.repeat(np.arange(len(words.n)), words.n)
+    around = np.zeros_like(own)
+    for reach in range(1, REACH + 1):
+        same = (doc[reach:] == doc[:-reach])[:, None]
+        around[reach:] += own[:-reach] * same
+        around[:-reach] += own[reach:] * same
     for rows in (w, s):
-        ids, n = np.unique(rows, return_counts=True)
-        share = (n / len(rows)).astype(np.float32)
-        v = vectors[ids]
-        mean = share @ v
-        out[at : at + WIDTH] = mean
-        out[at + WIDTH : at + 2 * WIDTH] = np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0))
-        out[2 * 2 * WIDTH + at // (2 * WIDTH)] = np.linalg.norm(mean)
-        out[2 * 2 * WIDTH + 2 + at // (2 * WIDTH)] = np.sqrt(share @ share)
-        at += 2 * WIDTH
-    out[-2] = len(np.unique(w)) / len(w)
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        if len(first):
+            out[rows[order][first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
+    return out
+
+
+def unit_vectors(sums: np.ndarray) -> np.ndarray:
+    """Word vectors of length one; a word that the sample lacks keeps its index vector."""
+    out = (sums + index_vectors()).astype(np.float32)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def pool(words: Words, vectors: np.ndarray) -> np.ndarray:
+    """Per document: mean word vector, spread, the same for shapes, their lengths, and the share of distinct words."""
+    out = np.zeros((len(words.n), 4 * WIDTH + 6), np.float32)
+    full = np.flatnonzero(words.n)
+    out[words.n == 0, -1] = 1.0
+    if not len(full):
+        return out
+    doc, n = np.repeat(np.arange(len(words.n)), words.n), words.n[full].astype(np.float32)[:, None]
+    for k, rows in enumerate(_rows(words)):
+        key, count = np.unique(doc * ROWS + rows, return_counts=True)
+        of, first = key // ROWS, np.searchsorted(key, full * ROWS)
+        v, times = vectors[key % ROWS], count.astype(np.float32)[:, None]
+        mean = np.add.reduceat(v * times, first, axis=0) / n
+        square = np.add.reduceat(v * v * times, first, axis=0) / n
+        at = 2 * WIDTH * k
+        out[full, at : at + WIDTH] = mean
+        out[full, at + WIDTH : at + 2 * WIDTH] = np.sqrt(np.maximum(square - mean * mean, 0))
+        out[full, 4 * WIDTH + k] = np.linalg.norm(mean, axis=1)
+        out[full, 4 * WIDTH + 2 + k] = np.sqrt(np.add.reduceat(times * times, first, axis=0) / (n * n))[:, 0]
+        if not k:
+            out[full, -2] = np.bincount(of, minlength=len(words.n))[full] / n[:, 0]
     return out
 
 
@@ -131,10 +125,11 @@ class Network:
         return 1 / (1 + np.exp(-self.logits(x) / self.temperature))
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> Network:
-    """Fit on four fifths of the sample, find the temperature on the rest; fixed seeds, so reruns agree."""
-    vectors = context_vectors(texts)
-    x = np.stack([pool(t, vectors) for t in texts]) if texts else np.zeros((0, 4 * WIDTH + 6), np.float32)
+def fit(vectors: np.ndarray, x: np.ndarray, labels: np.ndarray) -> Network:
+    """Fit on four fifths of the sample, find the temperature on the rest; fixed seeds, so reruns agree.
+
+    x: pooled documents, one a row.
+    """
     y = labels.astype(np.float32)
     rng = np.random.default_rng(7)
     w1 = rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], HIDDEN)).astype(np.float32)
@@ -171,8 +166,8 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, label: str, id_col: str, text_col: str, mod: int) -> list[tuple[bytes, int]]:
-    """At most fit_rows labelled documents outside the held-out fold, those with the smallest hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, label: str, id_col: str, text_col: str, mod: int) -> DataFrame:
+    """(key, text, y) of at most fit_rows labelled documents outside the held-out fold, those with the smallest hash of the id."""
     key = F.col(id_col).cast("string")
     chosen = (
         labels.where(F.col(label).isNotNull() & (F.crc32(key.cast("binary")) % mod != 0))
@@ -182,25 +177,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, label: st
         .limit(fit_rows)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("key")).groupBy("key").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    return [(bytes(r["text"]), r["y"]) for r in sorted(rows.collect(), key=lambda r: str(r["key"]))]
+    joined = texts.join(F.broadcast(chosen), F.col("id") == F.col("key"))
+    return joined.groupBy("key").agg(F.min("text").alias("text"), F.max("y").alias("y")).select(F.col("key").cast("string"), "text", "y")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, label: str, id_col: str, text_col: str, mod: int) -> Broadcast:
-    """The network fitted on the sample, broadcast (3 MB whatever the corpus)."""
-    sample = labelled_sample(docs, labels, fit_rows, label, id_col, text_col, mod)
-    net = fit([t for t, _ in sample], np.array([y for _, y in sample], np.int64))
-    return docs.sparkSession.sparkContext.broadcast(net)
+    """The network fitted on the sample, broadcast (3 MB whatever the corpus).
+
+    Texts stay on the workers: their context sums come to the driver as FIT_TASKS tables of
+    3 MB, then their pooled vectors, 0.8 kB a document. Sums are of whole numbers and vectors
+    are sorted by id, so reruns agree.
+    """
+    spark, old = docs.sparkSession, []
+    sample = cut(labelled_sample(docs, labels, fit_rows, label, id_col, text_col, mod), old)
+    dealt = sample.repartition(FIT_TASKS, "key")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_vectors()
+        total = np.zeros_like(index)
+        for _, words in gathered(batches):
+            total += context_sums(words, index)
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]}, pa.schema([("sums", pa.binary())]))
+
+    total = np.zeros((ROWS, WIDTH), np.int64)
+    for row in dealt.mapInArrow(sums, "sums binary").collect():
+        total += np.frombuffer(row["sums"], np.int32).reshape(ROWS, WIDTH)
+    known = spark.sparkContext.broadcast(unit_vectors(total))
+    schema = pa.schema([("key", pa.string()), ("y", pa.int32()), ("x", pa.binary())])
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, words in gathered(batches):
+            x = [row.tobytes() for row in pool(words, known.value)]
+            yield pa.RecordBatch.from_arrays([table.column("key").combine_chunks(), table.column("y").combine_chunks(), pa.array(x, pa.binary())], schema=schema)
+
+    rows = sorted(dealt.mapInArrow(pooled, "key string, y int, x binary").collect(), key=lambda r: r["key"])
+    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), 4 * WIDTH + 6)
+    net = fit(known.value, x, np.array([r["y"] for r in rows], np.int64))
+    known.unpersist()
+    drop(spark, old)
+    return spark.sparkContext.broadcast(net)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> DataFrame:
     """Per row of docs: id, held_out, score, predicted.
 
-    The vectors and the network are fitted on the driver on at most fit_rows labelled rows
-    (the documented bound), none with crc32(id) mod 5 = 0, and broadcast (3 MB). Every whole
-    text is then scored in one pass without a shuffle, from its words alone. Empty and null
-    texts get a score too; null ids are not held out. Without labels of both kinds the score
-    is constant. An empty table gives no rows.
+    The vectors and the network are fitted on at most fit_rows labelled rows (the documented
+    bound), none with crc32(id) mod 5 = 0; the network is broadcast (3 MB). Every whole text is
+    then scored in one pass without a shuffle, from its words alone. Empty and null texts get a
+    score too; null ids are not held out; rows that repeat id and text get equal results.
+    Without labels of both kinds the score is constant. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     net = fitted(docs, labels, fit_rows, label, id_col, text_col, mod)
@@ -208,11 +233,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = net.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                x = np.stack([pool(t.as_py(), model.vectors) for t in part.column("text")])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.scores(x).astype(np.float64))], schema=schema)
+        for table, words in gathered(batches):
+            scores = model.scores(pool(words, model.vectors)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), pa.array(scores)], schema=schema)
 
     texts = select_text(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
     scored = texts.mapInArrow(run, "id string, score double")
@@ -221,14 +244,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> DataFrame:
-    """The rows of docs that the classifier does not reject; columns as they were, texts never shuffled."""
-    net = fitted(docs, labels, fit_rows, label, id_col, text_col, mod)
+    """The rows of docs that the classifier does not reject; columns as they were, texts never shuffled.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                x = np.stack([pool((t.as_py() or "").encode(), net.value.vectors) for t in part.column(text_col)])
-                yield part.filter(pa.array(net.value.scores(x) >= threshold))
+    Null and empty texts are judged like any other, repeated rows alike; an empty table gives
+    no rows.
+    """
+    net, names = fitted(docs, labels, fit_rows, label, id_col, text_col, mod), docs.columns
 
-    return docs.mapInArrow(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, words in gathered(batches):
+            good = table.filter(pa.array(net.value.scores(pool(words, net.value.vectors)) >= threshold))
+            yield from good.drop_columns("text").combine_chunks().to_batches()
+
+    # the whole row travels as a struct, so its names can't clash with the text that is read
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    kept = packed.mapInArrow(run, packed.select("row").schema)
+    return kept.select(*[F.col(f"row.`{c}`") for c in names])

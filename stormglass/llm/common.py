@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,27 +14,45 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors share.
+def scratch_database(spark: SparkSession) -> tuple[str, str]:
+    """(name, folder) of the database of scratch tables; it lies under spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a local folder is set once.
+    That folder is shared by the driver and all executors. Where the setting is missing, a
+    session on one machine (tests) gets a folder of its own; a cluster raises, as a local folder
+    would scatter its tables over the executors.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    name = f"scratch_{md5(root.encode()).hexdigest()[:12]}"
+    folder = f"{root.rstrip('/')}/{name}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{folder}'")
+    return name, folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there.
+def cut(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
 
-    Unlike a cache, the copy survives lost executors, and both readers of it see the
-    same rows even where a plan samples (range partitioning).
+    Unlike a cache, the copy survives lost executors, and both readers of it see the same rows
+    even where a plan samples (range partitioning). The table's name is added to keep, with
+    which drop() deletes it after its last reader.
     """
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    database, folder = scratch_database(spark)
+    table = f"t{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").saveAsTable(f"{database}.{table}")
+    if keep is not None:
+        keep.append(f"{database}.{table}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{table}")
+
+
+def drop(spark: SparkSession, tables: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    while tables:
+        spark.sql(f"DROP TABLE IF EXISTS {tables.pop()}")
 
 
 def text_or_empty(text: str = "text") -> Column:
@@ -43,40 +63,36 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results have been cut and that nothing refers to.
-
-    Spark's cleaner acts when the driver's JVM collects its garbage, which small drivers seldom do.
-    """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+def counted(df: DataFrame, what: Column | None = None, keep: list[str] | None = None) -> tuple[DataFrame, int]:
     """cut(), and how many rows it wrote (or the sum of what), observed by the same job."""
     seen = Observation()
-    out = cut(df.observe(seen, F.coalesce(F.sum(F.lit(1) if what is None else what.cast("long")), F.lit(0)).alias("n")))
+    out = cut(df.observe(seen, F.coalesce(F.sum(F.lit(1) if what is None else what.cast("long")), F.lit(0)).alias("n")), keep)
     return out, seen.get["n"]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
     Each round a node takes the smallest label among its neighbours and then, twice, its
     label's own label, so paths shrink fourfold; rounds end when no label changes. Labels are
-    cut every round, and the same job tells whether any changed.
+    cut every round, and the same job tells whether any changed; older labels are deleted.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    spark, old = edges.sparkSession, []
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), old)
+    last: list[str] = []
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), last)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         after = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         for k in (1, 2):
             of = labels.select(F.col("node").alias("via"), F.col("label").alias(f"jump{k}"))
             after = after.join(of, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce(f"jump{k}", "label")).alias("label"))
-        after, changed = counted(after, F.col("label") != F.col("old"))
-        labels = after.select("node", "label")
+        fresh: list[str] = []
+        after, changed = counted(after, F.col("label") != F.col("old"), fresh)
+        drop(spark, last)
+        labels, last = after.select("node", "label"), fresh
         if not changed:
+            drop(spark, old)
+            if keep is not None:
+                keep += last
             return labels.select("node", F.col("label").alias("component"))

@@ -6,14 +6,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.llm.common import counted
-from stormglass.llm.words import gathered, mixed
+from stormglass.llm.packing import from_low_bytes, from_planes, low_bytes, planes
+from stormglass.llm.words import Words, gathered, mixed
 
 #: Bits a stored item gets, and bits that each item sets.
 BITS_PER_ITEM, PROBES = 12, 4
@@ -25,27 +24,22 @@ FLOOR = 1
 BIGRAM_WEIGHT, HALF_COUNT = 0.2, 50.0
 #: Hash bits that tell bigrams of one bucket apart.
 KEY_BITS = 40
-#: Documents that share one number space in a task.
-DOCS_TOGETHER = 1 << 15
+#: Tokens after which a task closes a block, and documents.
+BLOCK_TOKENS, BLOCK_DOCS = 1 << 20, 1 << 15
 #: Tokens of the corpus for each bucket of n-grams.
 BUCKET_TOKENS = 1 << 20
 _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tokens(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct token hashes in order, place in them of every token with an end after each document, tokens of each document)."""
-    n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    inner = np.ones(int(n.sum()), bool)
+def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every token with an end after each document, tokens of each document)."""
+    n = words.n + 1
+    out = np.full(int(n.sum()), _END, np.uint64)
+    inner = np.ones(len(out), bool)
     inner[np.cumsum(n) - 1] = False
-    flat = np.empty(int(inner.sum()), object)
-    flat[:] = [w for ws in words for w in ws]
-    codes, distinct = pd.factorize(flat)
-    hashes = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), _END)
-    names, place = np.unique(hashes, return_inverse=True)
-    out = np.full(len(inner), place[-1], np.uint32)
-    out[inner] = place[codes]
-    return names, out, n
+    out[inner] = words.hashes
+    return out, n
 
 
 def _bigrams(names: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,18 +69,25 @@ def token_blocks(rows: DataFrame) -> DataFrame:
     """
     schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("trained", pa.int64()), ("docs", _DOCS), ("names", pa.binary()), ("codes", pa.binary())])
 
+    def close(number: int, tokens: list[np.ndarray], ns: list[np.ndarray], tables: list[pa.Table]) -> pa.RecordBatch:
+        names, codes = np.unique(np.concatenate(tokens), return_inverse=True)
+        n, table = np.concatenate(ns), pa.concat_tables(tables)
+        held = np.array(table.column("held_out").to_pylist(), bool)
+        listed = [{"id": i, "held_out": h, "n": m} for i, h, m in zip(table.column("id").to_pylist(), held.tolist(), n.tolist(), strict=True)]
+        return pa.RecordBatch.from_pylist([{"block": number, "n": len(codes), "trained": int(n[~held].sum()), "docs": listed, "names": names.tobytes(), "codes": planes(codes)}], schema=schema)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number, open_ = TaskContext.get().partitionId() << 32, ([], [], [])
         for table, words in gathered(batches, lower=True):
-            for k in range(0, len(words), DOCS_TOGETHER):
-                part = table.slice(k, DOCS_TOGETHER)
-                names, codes, n = _tokens(words[k : k + DOCS_TOGETHER])
-                held = np.array(part.column("held_out").to_pylist(), bool)
-                listed = [{"id": i, "held_out": h, "n": m} for i, h, m in zip(part.column("id").to_pylist(), held.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pylist([{"block": number, "n": len(codes), "trained": int(n[~held].sum()), "docs": listed, "names": names.tobytes(), "codes": codes.astype("<u4").tobytes()}], schema=schema)
-                number += 1
+            for some, x in zip(open_, (*_tokens(words), table.select(["id", "held_out"])), strict=True):
+                some.append(x)
+            if sum(map(len, open_[0])) >= BLOCK_TOKENS or sum(map(len, open_[1])) >= BLOCK_DOCS:
+                yield close(number, *open_)
+                number, open_ = number + 1, ([], [], [])
+        if open_[0]:
+            yield close(number, *open_)
 
     return rows.mapInArrow(read, "block long, n long, trained long, docs array<struct<id:string,held_out:boolean,n:long>>, names binary, codes binary")
 
@@ -129,17 +130,17 @@ def ngram_counts(blocks: DataFrame, buckets: int) -> DataFrame:
                 out, a, c = [], 0, 0
                 for bucket, (b, d) in enumerate(zip(_ends(names, buckets).tolist(), _ends(keys, buckets).tolist(), strict=True)):
                     if b > a or d > c:
-                        out.append({"bucket": bucket, "block": block, "words": names[a:b].tobytes(), "words_n": words_n[a:b].tobytes(), "pairs": _pack(keys[c:d]), "pairs_n": pairs_n[c:d].tobytes()})
+                        out.append({"bucket": bucket, "block": block, "words": names[a:b].tobytes(), "words_n": planes(words_n[a:b]), "pairs": low_bytes(keys[c:d], KEY_BITS // 8), "pairs_n": planes(pairs_n[c:d])})
                     a, c = b, d
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     sent = blocks.select("block", "docs", "names", "codes").mapInArrow(send, "bucket long, block long, words binary, words_n binary, pairs binary, pairs_n binary")
 
     def merge(group: pa.Table) -> pa.Table:
-        words, words_n = _joined(group.column("words"), "<u8"), _joined(group.column("words_n"), "<u4")
+        words, words_n = _joined(group.column("words"), "<u8"), _counts(group.column("words_n"))
         distinct, back = np.unique(words, return_inverse=True)
         exact = np.bincount(back, words_n, len(distinct)).astype("<u8")
-        pairs, pairs_n = _unpack(b"".join(group.column("pairs").to_pylist())), _joined(group.column("pairs_n"), "<u4")
+        pairs, pairs_n = from_low_bytes(b"".join(group.column("pairs").to_pylist()), KEY_BITS // 8), _counts(group.column("pairs_n"))
         keys, place = np.unique(pairs, return_inverse=True)
         found = fill(keys, level_of(np.bincount(place, pairs_n, len(keys)))).levels(keys).astype(np.uint8)
         return pa.table({
@@ -154,7 +155,8 @@ def ngram_counts(blocks: DataFrame, buckets: int) -> DataFrame:
 def _block(row: pa.RecordBatch | pa.Table) -> tuple[int, tuple[pa.Array, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
     """(block, (ids, held out, tokens) of its documents, names, codes) of one row."""
     docs = row.column("docs")[0].values
-    names, codes = (np.frombuffer(row.column(c)[0].as_py(), kind) for c, kind in (("names", "<u8"), ("codes", "<u4")))
+    names = np.frombuffer(row.column("names")[0].as_py(), "<u8")
+    codes = from_planes(row.column("codes")[0].as_py())
     return row.column("block")[0].as_py(), (docs.field("id"), np.array(docs.field("held_out").to_pylist(), bool), docs.field("n").to_numpy()), names, codes
 
 
@@ -162,24 +164,16 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _counts(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([from_planes(x) for x in column.to_pylist()])
+
+
 def _parted(values: np.ndarray, asked: pa.ChunkedArray, width: int) -> pa.Array:
     """values as bytes, one entry for each row of asked, which holds `width` bytes for each value."""
     ends = np.cumsum([len(x.as_buffer()) // width for x in asked])
     return pa.array([values[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """The low 40 bits of each key, five bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    five = np.frombuffer(packed, np.uint8).reshape(-1, KEY_BITS // 8)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, : KEY_BITS // 8] = five
-    return out.view("<u8").reshape(-1)
-
-
 def choose_floor(tally: list[int], bits: int) -> tuple[int, int]:
     """(lowest level stored, items stored) of a filter with a bound: all n-grams if bits suffice, else the most frequent that fit.
 

@@ -3,143 +3,257 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormglass.llm.common import components, counted, cut, release
-from stormglass.llm.words import HASHES, gathered, mixed, window_hashes
+from stormglass.llm.common import components, counted, cut, drop
+from stormglass.llm.words import Words, gathered, mixed, window_hashes
 
 #: Words of a shingle.
 SHINGLE = 5
-#: Minwise tokens of a document that paths choose from, and those of the sketch (two bits each).
-TOKENS, SKETCH = 64, 128
-#: Independent trees, tokens chosen at each node, and levels that are chosen before nodes are sized.
-TREES, CHOSEN, FIRST_LEVELS = 4, 2, 2
-#: A node of up to this many documents is compared exhaustively.
-SMALL = 24
-#: A large node with up to this many documents outside its main component compares these with all.
-FEW = 64
-#: Levels that an open node descends before it is looked at again, and such rounds at most;
-#: a node that is open after the last is compared exhaustively.
-DESCENT, ROUNDS = 2, 4
-#: Standard deviations below the expected agreement of a sketch at which a pair is not verified.
+#: Minwise tokens of a document that paths choose from.
+TOKENS = 32
+#: Independent trees. The root of tree t chooses token t.
+TREES = 10
+#: A node below the root always chooses one token, and in so many of 16 cases a second one, down
+#: to this depth: 1.375 children on average, of which a pair at 0.85 follows 1.17. Deeper nodes
+#: choose one, so rows grow sevenfold at most and then shrink.
+SECOND_OF_16, SECOND_DEPTH = 6, 6
+#: A node of up to this many documents is compared exhaustively; a larger one branches.
+SMALL = 2048
+#: The sketch: shingles fall into BINS by their hash, the least of each bin sets a bit to its parity.
+BINS, BITS = 1 << 12, 1 << 11
+#: Standard deviations below the threshold at which the sketches of a pair rule it out.
 SLACK = 5.0
 
-_MULTIPLY = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_ADD = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_MULTIPLY = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_ADD = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_ROW = [("node", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("bins", pa.int32()), ("sketch", pa.binary())]
 
 
-def shingle_sets(words: list[list[bytes]]) -> list[np.ndarray]:
+def shingle_sets(words: Words) -> list[np.ndarray]:
     """The sorted distinct hashes of each document's shingles; a shorter text is one shingle, no words none."""
-    n = [len(w) for w in words]
-    hashes = HASHES.of([w for ws in words for w in ws])
-    h = window_hashes(hashes, SHINGLE)
-    out, begin = [], 0
-    for size in n:
-        if size >= SHINGLE:
-            out.append(np.unique(h[begin : begin + size - SHINGLE + 1]))
-        elif size:
-            out.append(mixed(window_hashes(hashes[begin : begin + size], size) + np.uint64(size)))
+    h, out = window_hashes(words.hashes, SHINGLE), []
+    for begin, end in words.ranges():
+        if end - begin >= SHINGLE:
+            out.append(np.unique(h[begin : end - SHINGLE + 1]))
+        elif end > begin:
+            out.append(mixed(window_hashes(words.hashes[begin:end], end - begin) + np.uint64(end - begin)))
         else:
             out.append(np.zeros(0, np.uint64))
-        begin += size
     return out
 
 
+def set_hash(shingles: np.ndarray, salt: int = 0) -> int:
+    return int(mixed(shingles ^ np.uint64(salt)).sum().view(np.int64))
+
+
 def minwise(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH minima of the set, each under a hash of its own; 32 bits."""
-    out = np.full(SKETCH, 0xFFFFFFFF, np.uint64)
+    """TOKENS minima of the set, each under a hash of its own; 32 bits."""
+    out = np.full(TOKENS, 0xFFFFFFFF, np.uint64)
     for k in range(0, len(shingles), 2048):
         part = (np.multiply.outer(shingles[k : k + 2048], _MULTIPLY) + _ADD) >> np.uint64(32)
         np.minimum(out, part.min(axis=0), out=out)
-    return out.astype(np.uint32)
+    return out.astype("<u4")
+
+
+def parity_sketch(shingles: np.ndarray) -> tuple[int, bytes]:
+    """(bins that hold a shingle, BITS parities over the least shingle of each bin) of a sorted set."""
+    least = shingles[np.flatnonzero(np.diff(shingles >> np.uint64(64 - BINS.bit_length() + 1), prepend=np.uint64(1 << 63)))]
+    at = mixed(least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS.bit_length() + 1)
+    return len(least), np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def confidence(n: np.ndarray, bins: np.ndarray, sketch: np.ndarray, k: int, to: slice, percent: int) -> np.ndarray:
+    """For row k and each row of `to`: by how many standard deviations their similarity seems above the threshold.
+
+    At the threshold the sizes give the union, so the bins that it fills, those that agree
+    and the bits that differ; the noise is that of sampling by bins and of parities that
+    collide. Pairs whose sizes alone rule them out have minus infinity.
+    """
+    share = percent / 100
+    n1, n2 = float(n[k]), n[to].astype(float)
+    union = (n1 + n2) / (1 + share)
+    have = float(bins[k]) + bins[to]
+    # the union fills more or less than expected as its parts do
+    filled = np.expm1(-union / BINS) * have / (np.expm1(-n1 / BINS) + np.expm1(-n2 / BINS))
+    apart = np.maximum(have - 2 * share * filled, 0.0)
+    fade = np.exp(-2 * apart / BITS)
+    sampled = 4 * filled * share * (1 - share) * (1 - np.minimum(filled / union, 1.0)) + 1
+    noise = np.sqrt(fade * fade * sampled + BITS / 4 * (1 - fade * fade) - apart * fade * fade + 1)
+    differ = np.bitwise_count(sketch[k] ^ sketch[to]).sum(axis=1, dtype=np.int64)
+    out = (BITS / 2 * (1 - fade) - differ) / noise
+    out[100 * np.minimum(n1, n2) < percent * np.maximum(n1, n2)] = -np.inf
+    return out
+
+
+@dataclass
+class _Nodes:
+    """Rows of whole nodes, in the order of nodes."""
 
+    node: np.ndarray
+    rid: np.ndarray
+    n: np.ndarray
+    bins: np.ndarray
+    sketch: np.ndarray
+    label: np.ndarray | None = None
 
-def first_nodes(tokens: np.ndarray) -> np.ndarray:
-    """The nodes that a document reaches in all trees after FIRST_LEVELS choices."""
-    nodes = np.arange(1, TREES + 1, dtype=np.uint64)
-    for level in range(FIRST_LEVELS):
-        seed = mixed(nodes * np.uint64(0xA24BAED4963EE407) + np.uint64(level))
-        one = seed % np.uint64(TOKENS)
-        two = (one + np.uint64(1) + (seed >> np.uint64(32)) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)
-        nodes = np.concatenate([mixed(mixed(nodes + at * np.uint64(0x9E3779B97F4A7C15)) + tokens[at.astype(np.int64)]) for at in (one, two)])
-    return nodes.view(np.int64)
+    def ranges(self) -> Iterator[tuple[int, int]]:
+        starts = np.flatnonzero(np.diff(self.node, prepend=~self.node[:1]))
+        yield from zip(starts.tolist(), [*starts[1:].tolist(), len(self.node)], strict=True)
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """The two low bits of each token, packed into four 64-bit integers."""
-    bits = np.stack([tokens & 1, (tokens >> 1) & 1], axis=1).astype(np.uint8).reshape(-1)
-    return np.packbits(bits, bitorder="little").view("<i8")
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[_Nodes]:
+    """The rows of a task, which come sorted by node, in portions that hold whole nodes of at most 2 x SMALL rows."""
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if left is None else [left, batch]).combine_chunks()
+        node = table.column("node").to_numpy()
+        end = int(np.searchsorted(node, node[-1]))
+        if end:
+            yield _nodes(table.slice(0, end))
+        left = table.slice(end).combine_chunks().to_batches()[0]
+    if left is not None and left.num_rows:
+        yield _nodes(pa.Table.from_batches([left]))
 
 
-def _agree(a: str, b: str) -> Column:
-    """Tokens on which two sketches agree."""
-    differ = [f"bit_count((({a}.s{k} ^ {b}.s{k}) | shiftrightunsigned({a}.s{k} ^ {b}.s{k}, 1)) & 6148914691236517205L)" for k in range(SKETCH // 32)]
-    return F.expr(f"{SKETCH} - ({' + '.join(differ)})")
+def _nodes(table: pa.Table) -> _Nodes:
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    label = table.column("label").to_numpy() if "label" in table.column_names else None
+    return _Nodes(*(table.column(c).to_numpy() for c in ("node", "rid", "n", "bins")), sketch, label)
 
 
-def _agree_with(p: str) -> Column:
-    """Tokens on which a row's sketch agrees with the struct p."""
-    differ = [f"bit_count(((s{k} ^ {p}.s{k}) | shiftrightunsigned(s{k} ^ {p}.s{k}, 1)) & 6148914691236517205L)" for k in range(SKETCH // 32)]
-    return F.expr(f"{SKETCH} - ({' + '.join(differ)})")
+def _forest(x: _Nodes, a: int, b: int, percent: int) -> tuple[list[tuple[int, int]], bool]:
+    """(the likeliest links that join all candidates of a node, whether pairs near the threshold are left out).
 
+    Every pair of the node is compared: each row that joins the tree meets all that are not in it.
+    """
+    size = b - a
+    best, parent, out = np.full(size, -np.inf), np.zeros(size, np.int64), np.ones(size, bool)
+    links, doubtful, k = [], 0, 0
+    for _ in range(size - 1):
+        out[k] = False
+        c = confidence(x.n, x.bins, x.sketch, a + k, slice(a, b), percent)
+        c[~out] = -np.inf
+        doubtful += int(np.count_nonzero((c >= -SLACK) & (c < SLACK)))
+        better = c > best
+        best[better], parent[better] = c[better], k
+        k = int(np.argmax(np.where(out, best, -np.inf)))
+        if not out[k]:  # nothing left is like the tree: start another
+            k = int(np.argmax(out))
+        elif best[k] >= -SLACK:
+            links.append((a + int(parent[k]), a + k))
+            doubtful -= bool(best[k] < SLACK)
+    return links, doubtful > 0
+
+
+def node_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, node): links that span the candidates of each node; a row with null a and b marks a node
+    that has doubtful pairs besides. rows: (node, rid, n, bins, sketch), whole nodes, sorted."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_nodes(batches):
+            links, marked = [], []
+            for a, b in x.ranges():
+                if b - a > 1:
+                    found, more = _forest(x, a, b, percent)
+                    links += found
+                    if more:
+                        marked.append(int(x.node[a]))
+            one, two = (x.rid[np.array([p[k] for p in links], np.int64)] for k in (0, 1))
+            n = len(links)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.nulls(n, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(marked), pa.int64())] * 2 + [pa.array(marked, pa.int64())], schema=schema)
+
+    return rows.mapInArrow(run, "a long, b long, node long")
+
+
+def node_crossings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all candidates of each node whose labels differ. rows: as for node_links, with label."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def least_agreement(similarity: float) -> int:
-    p = similarity + (1 - similarity) / 4
-    return int(SKETCH * p - SLACK * np.sqrt(SKETCH * p * (1 - p)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _whole_nodes(batches):
+            for a, b in x.ranges():
+                for k in range(a, b - 1):
+                    c = confidence(x.n, x.bins, x.sketch, k, slice(k + 1, b), percent)
+                    at = k + 1 + np.flatnonzero((c >= -SLACK) & (x.label[k + 1 : b] != x.label[k]))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x.rid[at], x.rid[k])), pa.array(np.maximum(x.rid[at], x.rid[k]))], schema=schema)
 
+    return rows.mapInArrow(run, "a long, b long")
 
-_S = [f"s{k}" for k in range(SKETCH // 32)]
+
+def to_pivots(rows: DataFrame, percent: int) -> DataFrame:
+    """rows with their confidence to be as similar to the node's pivot (p_n, p_bins, p_sketch) as the
+    threshold says (above), and within 4/3 (near), 2 (beyond) and 1/3 (close) of its distance."""
+    names = [*(c for c, _ in _ROW), "pivot"]
+    schema = pa.schema([*_ROW, ("pivot", pa.int64()), ("above", pa.float64()), ("near", pa.float64()), ("beyond", pa.float64()), ("close", pa.float64())])
+    away = 100 - percent
+    limits = [percent, int(100 - 4 * away / 3), max(1, 100 - 2 * away), 100 - away // 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bins = batch.column("n").to_numpy(), batch.column("bins").to_numpy()
+            own, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("sketch", "p_sketch"))
+            p_n, p_bins = batch.column("p_n").to_numpy(), batch.column("p_bins").to_numpy()
+            out = np.zeros((4, len(n)))
+            starts = np.flatnonzero((np.diff(p_n, prepend=-1) != 0) | (np.diff(batch.column("pivot").to_numpy(), prepend=-1) != 0))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(n)], strict=True):
+                x = [np.concatenate([a[s : s + 1], b[s:e]]) for a, b in ((p_n, n), (p_bins, bins), (other, own))]
+                for k, limit in enumerate(limits):
+                    out[k, s:e] = confidence(*x, 0, slice(1, None), limit)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(o) for o in out)], schema=schema)
+
+    return rows.mapInArrow(run, "node long, rid long, n long, bins int, sketch binary, pivot long, above double, near double, beyond double, close double")
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row of docs: id, n_shingles, a and b (128-bit hash of the set), sketch, tokens, first nodes."""
-    schema = pa.schema([("id", pa.string()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *((s, pa.int64()) for s in _S), ("tokens", pa.binary()), ("nodes", pa.list_(pa.int64()))])
+    """Per row of docs: id, n_shingles, a and b (128-bit hash of the set), bins, sketch, tokens."""
+    schema = pa.schema([("id", pa.string()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bins", pa.int32()), ("sketch", pa.binary()), ("tokens", pa.binary())])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, words in gathered(batches, lower=True):
-            sets = shingle_sets(words)
-            ids = table.column("id").to_pylist()
-            for k in range(0, len(sets), 2048):
-                out = []
-                for key, s in zip(ids[k : k + 2048], sets[k : k + 2048], strict=True):
-                    row = {"id": key, "n_shingles": len(s)}
-                    if len(s):
-                        low = minwise(s)
-                        row |= {"a": int(mixed(s).sum().view(np.int64)), "b": int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)), "tokens": low[:TOKENS].astype("<u4").tobytes(), "nodes": first_nodes(low.astype(np.uint64)).tolist()}
-                        row |= dict(zip(_S, _sketch(low).tolist(), strict=True))
-                    out.append(row)
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    columns = f"id string, n_shingles long, a long, b long, {', '.join(f'{s} long' for s in _S)}, tokens binary, nodes array<long>"
+            out = []
+            for key, s in zip(table.column("id").to_pylist(), shingle_sets(words), strict=True):
+                row = {"id": key, "n_shingles": len(s)}
+                if len(s):
+                    bins, sketch = parity_sketch(s)
+                    row |= {"a": set_hash(s), "b": set_hash(s, 0x5851F42D4C957F2D), "bins": bins, "sketch": sketch, "tokens": minwise(s).tobytes()}
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    columns = "id string, n_shingles long, a long, b long, bins int, sketch binary, tokens binary"
     return docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).mapInArrow(run, columns)
 
 
-def _packed_sets(docs: DataFrame, needed: DataFrame, kind: str, id_col: str, text_col: str) -> DataFrame:
-    """(rid, shingles array) of the documents in needed; one text of each."""
-    schema = pa.schema([("rid", pa.string()), ("shingles", pa.list_(pa.int64()))])
+def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, shingles array) of the texts that needed (rid, id, a) names; of rows that repeat an id, those whose set has the hash a."""
+    schema = pa.schema([("rid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, words in gathered(batches, lower=True):
-            ids, sets = table.column("id").to_pylist(), shingle_sets(words)
-            for k in range(0, len(sets), 512):
-                arrays = [s.view(np.int64) for s in sets[k : k + 512]]
-                offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 512], pa.string()), flat], schema=schema)
+            sets, a = shingle_sets(words), table.column("a").to_pylist()
+            right = [k for k, s in enumerate(sets) if len(s) and set_hash(s) == a[k]]
+            if right:
+                offsets = np.cumsum([0, *(len(sets[k]) for k in right)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([sets[k] for k in right]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([table.column("rid").take(pa.array(right)).combine_chunks(), flat], schema=schema)
 
-    rows = docs.select(F.col(id_col).alias("rid"), text.alias("text")).join(needed.hint("shuffle_merge"), "rid", "left_semi")
-    sets = rows.select(F.col("rid").cast("string").alias("id"), "text").mapInArrow(run, "rid string, shingles array<long>")
-    # an id that repeats has one class; the text with the most shingles stands for it
-    return sets.select(F.col("rid").cast(kind).alias("rid"), "shingles")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(needed, "id")
+    return rows.select("rid", "a", "text").mapInArrow(run, "rid long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 x intersection >= percent x union."""
     left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
@@ -148,162 +262,130 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
-def _ordered(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold more than one document, with size, that number; all of a node's rows at once."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(sizes, "node")
+
+
+def _chosen(node: Column, at: Column) -> Column:
+    return F.xxhash64(node, at, F.expr("substring(tokens, cast(at * 4 + 1 as int), 4)"))
 
 
-def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id.
 
     A document is the set of its distinct five-word shingles (A-Z in lower case). Documents
-    with equal sets form a class, known by its smallest id, and only classes go on. In each of
-    TREES trees a class follows CHOSEN of its minwise tokens at every node. A node of up to
-    SMALL classes compares all pairs; a larger node compares its most central class with all
-    others, and branches on. Sketches rule out pairs that are far below the threshold; what is
-    left is verified on the full sets. Since components are wanted, pairs inside one component
-    need no test: each class first tests its most alike partner, then what still crosses
-    components, and large nodes close when all they hold is one component. So a group of
-    copies costs links in its size, not in its square, and no link between components is cut:
-    a large node that branching does not resolve compares its outsiders with all its members.
-
-    At the threshold a pair shares a node of one tree with probability 0.97, so of some tree
-    but for one in a million. Null or wordless texts are alone; rows that repeat an id are one
-    document; null ids have a null component. An empty table gives no rows.
+    with equal sets form a class, and only classes go on. In each tree the root deals them out
+    by one minwise token. A node of up to SMALL classes compares all its pairs by their
+    sketches; a larger node branches on further tokens, one or two as a hash of the node says,
+    until its parts are small. Two classes at the threshold share a node of one tree with
+    probability 0.85 where the root's nodes are small, and 0.74 after five more levels; ten
+    trees so miss less than two in a million.
+
+    Links are wanted only as far as they join components, so a node sends the likeliest links
+    that span its candidates, one for each class at most. They are verified on the full sets;
+    then the nodes that had pairs near the threshold besides look again and send those that
+    still cross components. A node that stays large also compares its classes with one of
+    them, its pivot: those linked with it are one component and leave the node if the classes
+    that could be linked with them, but not with the pivot (distances obey the triangle
+    inequality), are few; those few meet them in parts of SMALL. So a group of copies costs
+    rows and links in its size, not in its square, and no link is cut.
+
+    Null or wordless texts are alone. Rows that repeat an id are separate documents under one
+    name. Null ids have a null component. An empty table gives no rows; other columns are not
+    read.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    share = percent / 100
-    near = least_agreement(share)
-    # at `high` agreement a class is surely within `reach` of the pivot; under `low` it is surely beyond what that can link to
-    high = int(SKETCH * (share + (1 - share) / 4))
-    low = least_agreement(max(0.0, 4 / 3 * (near / SKETCH - 0.25) - (1 - share)))
+    old: list[str] = []
+    level: list[str] = []
     rows = cut(sketches(docs, id_col, text_col).withColumn("id", F.col("id").cast(kind)))
     full = rows.where("n_shingles > 0 and id is not null")
-    classes = cut(full.groupBy("a", "b", "n_shingles").agg(F.min("id").alias("rid"), *[F.first(c).alias(c) for c in [*_S, "tokens", "nodes"]]))
-    level, left = counted(_sized(classes.select(F.explode("nodes").alias("node"), "rid", *_S)).distinct())
-    release(spark)
-
-    known: DataFrame | None = None
-    sets: DataFrame | None = None
-    tried: DataFrame | None = None
-
-    def labelled(rows_: DataFrame, column: str, to: str) -> DataFrame:
-        if known is None:
-            return rows_.withColumn(to, F.col(column))
-        of = known.select(F.col("node").alias("k_"), F.col("component").alias("c_"))
-        return rows_.join(of, F.col(column) == F.col("k_"), "left").withColumn(to, F.coalesce("c_", column)).drop("k_", "c_")
-
-    def crossing(pairs: DataFrame) -> DataFrame:
-        out = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").drop("ca", "cb")
-        return out if tried is None else out.join(tried, ["a", "b"], "left_anti")
-
-    def take(pairs: DataFrame) -> None:
-        """Verify pairs; merge the components of those that hold."""
-        nonlocal known, tried, sets
-        pairs, n = counted(pairs.select("a", "b").distinct())
-        if not n:
-            return
-        if sets is None:
-            sets = cut(_packed_sets(docs, wanted, kind, id_col, text_col))
-            release(spark)
-        new, n = counted(_verified(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        release(spark)
-        if not n:
-            return
-        if known is None:
-            known = components(new)
-        else:  # only components that meet change, so the graph of components is what is solved
-            joint = components(labelled(labelled(new, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnsRenamed({"node": "n_", "component": "m_"})
-            everyone = known.unionByName(joint.select(F.col("n_").alias("node"), F.col("n_").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-            known = cut(everyone.join(joint, F.col("component") == F.col("n_"), "left").select("node", F.coalesce("m_", "component").alias("component")))
-        release(spark)
-
-    for round_ in range(ROUNDS):
-        if not left:
-            break
-        small, large = level.where(f"n <= {SMALL}").drop("n"), level.where(f"n > {SMALL}").drop("n")
-        x, y = small.alias("x"), small.alias("y")
-        within = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.rid") < F.col("y.rid")) & (_agree("x", "y") >= near))
-        pairs = cut(within.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), _agree("x", "y").alias("agree")).distinct())
-        pivots = cut(_pivots(large))
-        m, p = large.alias("m"), pivots.alias("p")
-        to_pivot = m.join(p, (F.col("m.node") == F.col("p.node")) & (F.col("m.rid") != F.col("p.rid")) & (_agree("m", "p") >= near))
-        central = to_pivot.select(*_ordered(F.col("m.rid"), F.col("p.rid")), F.col("m.rid").alias("rid"), _agree("m", "p").alias("agree"))
-        if sets is None:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(large.select("rid")).distinct()
-        best = (
-            pairs.select("a", "b", F.col("b").alias("rid"), "agree")
-            .unionByName(central.select("a", "b", "rid", "agree"))
-            .groupBy("rid")
-            .agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.xxhash64("a", "b"))).alias("p"))
-            .select("p.*")
-        )
-        take(crossing(best))
-        inside = labelled(large, "rid", "component")
-        main = labelled(pivots.select("node", F.struct(*_S).alias("p"), F.col("rid").alias("pivot")), "pivot", "main").select("node", "p", "main")
-        placed = inside.join(main, "node").withColumn("to_pivot", _agree_with("p")).withColumn("out", F.col("component") != F.col("main"))
-        held = ~F.col("out") & (F.col("to_pivot") >= high)
-        seen = cut(placed.withColumns({"held": held, "border": F.col("out") & (F.col("to_pivot") >= low)}).drop("p", "to_pivot", "main"))
-        outs = cut(seen.groupBy("node").agg(F.count_if("out").alias("outs"), F.count_if("border").alias("borders")).where("outs > 0"))
-        last = round_ == ROUNDS - 1
-        settle = outs if last else outs.where(f"outs <= {FEW} or borders <= {FEW}")
-        # outsiders far from the pivot can't reach what is held close to it (Jaccard distance is a metric)
-        flagged = seen.join(settle.withColumn("all", F.lit(True) if last else F.col("outs") <= FEW).select("node", "all"), "node")
-        few, every = flagged.where("out and (all or border)").alias("f"), flagged.where("all or held").alias("e")
-        crossed = few.join(every, (F.col("f.node") == F.col("e.node")) & (F.col("f.component") != F.col("e.component")) & (F.col("f.border") | ~F.col("e.held")) & (_agree("f", "e") >= near))
-        take(crossing(pairs.select("a", "b").unionByName(crossed.select(*_ordered(F.col("f.rid"), F.col("e.rid")))).distinct()))
-        if last:
-            break
-        going = seen.join(outs.where(f"outs > {FEW}"), "node").where(f"not held or borders > {FEW}").select("node", "rid", *_S)
-        level, left = counted(_descended(going, classes))
-        release(spark)
-    member = classes.select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.col("n_shingles").alias("n_"), "rid")
-    joined = rows.select("id", "n_shingles", "a", "b").join(member, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")) & (F.col("n_shingles") == F.col("n_")), "left")
-    named = labelled(joined.withColumn("rid", F.coalesce("rid", "id")), "rid", "component_id")
-    return named.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def _pivots(large: DataFrame) -> DataFrame:
-    """For each large node its most central class: (node, rid, sketch).
-
-    Central is what agrees most with up to 16 witnesses of the node, which hashes pick.
+    first = full.groupBy("a", "b", "n_shingles").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("bins", "sketch", "tokens")])
+    classes = cut(first.withColumnRenamed("n_shingles", "n").withColumn("rid", F.monotonically_increasing_id()), old)
+
+    drawn = classes.select("rid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("at"))
+    nodes = cut(_sized(drawn.select(_chosen(F.col("at"), F.col("at")).alias("node"), "rid")), level)
+    leaves, links = nodes.where(f"size <= {SMALL}").select("node", "rid"), None
+    opened = nodes.where(f"size > {SMALL}").select("node", "rid")
+    depth = 0
+    while not opened.isEmpty():
+        depth += 1
+        settled, going, sure = _around_pivots(opened, classes, percent, level)
+        links = sure if links is None else links.unionByName(sure)
+        at = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
+        other = F.pmod(at + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
+        choices = F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(16)) < (SECOND_OF_16 if depth <= SECOND_DEPTH else 0), F.array(at, other)).otherwise(F.array(at))
+        below = going.join(classes.select("rid", "tokens"), "rid").withColumn("at", F.explode(choices))
+        nodes = cut(_sized(below.select(_chosen(F.col("node"), F.col("at")).alias("node"), "rid")), level)
+        leaves = leaves.unionByName(settled).unionByName(nodes.where(f"size <= {SMALL}").select("node", "rid"))
+        opened = nodes.where(f"size > {SMALL}").select("node", "rid")
+
+    leaf_rows = cut(leaves.join(classes.select("rid", "n", "bins", "sketch"), "rid").select(*[c for c, _ in _ROW]), old)
+    found = cut(node_links(_by_node(leaf_rows), percent), old)
+    edges = found.where("a is not null").select("a", "b")
+    candidates = cut((edges if links is None else edges.unionByName(links)).distinct(), old)
+    drop(spark, level)
+    doubtful = leaf_rows.join(found.where("a is null").select("node"), "node", "left_semi")
+    wanted, n_wanted = counted(candidates.select(F.explode(F.array("a", "b")).alias("rid")).unionByName(doubtful.select("rid")).distinct(), keep=old)
+    sets, n_sets = counted(full_sets(docs, classes.select("rid", "id", "a").join(wanted, "rid", "left_semi"), id_col, text_col), keep=old)
+    if n_sets > n_wanted:  # rows that repeat id and text
+        sets = cut(sets.dropDuplicates(["rid"]), old)
+    linked = cut(verified(candidates, sets, percent), old)
+    known = components(linked, old).withColumnRenamed("node", "rid")
+    labelled = doubtful.join(known, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
+    more, n_more = counted(verified(node_crossings(_by_node(labelled), percent).distinct(), sets, percent), keep=old)
+    if n_more:
+        known = components(linked.unionByName(more), old).withColumnRenamed("node", "rid")
+    # a component is known by the smallest id of all its rows
+    member = classes.select("rid", "id", "a", "b", "n").join(known, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    named = member.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_class = cut(member.join(named, "component").select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.col("n").alias("n_"), "component_id"))
+    drop(spark, old)
+    same = (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")) & (F.col("n_shingles") == F.col("n_"))
+    joined = rows.select("id", "n_shingles", "a", "b").join(of_class, same, "left")
+    return joined.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def _by_node(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node", "rid")
+
+
+def _around_pivots(opened: DataFrame, classes: DataFrame, percent: int, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of small nodes, rows that branch on, links with pivots) of large nodes.
+
+    The members linked with the pivot leave their node if at most SMALL others lie within
+    reach of them, else those within a third of the linking distance if at most SMALL others
+    lie within reach of these, else none. Those within reach meet the leaving members in parts.
     """
-    slot = F.pmod(F.xxhash64("node", "rid"), F.lit(16))
-    one = large.groupBy("node", slot.alias("slot")).agg(F.min_by(F.struct(*_S), F.xxhash64("rid", "node")).alias("w"))
-    witnesses = one.groupBy("node").agg(F.collect_list("w").alias("ws"))
-    agree = "+".join(f"bit_count(((w.s{k} ^ s{k}) | shiftrightunsigned(w.s{k} ^ s{k}, 1)) & 6148914691236517205L)" for k in range(len(_S)))
-    scored = large.join(witnesses, "node").withColumn("away", F.expr(f"aggregate(ws, 0, (acc, w) -> acc + cast({agree} as int))"))
-    return scored.groupBy("node").agg(F.min_by(F.struct("rid", *_S), F.struct("away", "rid")).alias("p")).select("node", "p.*")
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one class, with n, the node's classes."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(sizes, "node")
-
-
-def _descended(going: DataFrame, classes: DataFrame) -> DataFrame:
-    """The nodes that open nodes lead to, DESCENT levels down; a node that turns small on the way stops there."""
-    rows, stopped = going.join(classes.select("rid", "tokens"), "rid"), None
-    for k in range(DESCENT):
-        one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
-        two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
-        token = F.expr("substring(tokens, cast(at * 4 + 1 as int), 4)")
-        children = cut(_sized(rows.withColumn("at", F.explode(F.array(one, two))).select(F.xxhash64("node", "at", token).alias("node"), "rid", *_S, "tokens")))
-        if k == DESCENT - 1:
-            done = children.drop("tokens")
-            return done if stopped is None else done.unionByName(stopped)
-        small = children.where(f"n <= {SMALL}").drop("tokens")
-        stopped = small if stopped is None else stopped.unionByName(small)
-        rows = children.where(f"n > {SMALL}").drop("n")
-    raise AssertionError
+    pivot = opened.groupBy("node").agg(F.min_by("rid", F.xxhash64("rid", "node")).alias("pivot"))
+    of = classes.select("rid", "n", "bins", "sketch")
+    pivots = pivot.join(of.withColumnsRenamed({"rid": "pivot", "n": "p_n", "bins": "p_bins", "sketch": "p_sketch"}), "pivot")
+    placed = cut(to_pivots(opened.join(of, "rid").join(pivots, "node"), percent).drop("n", "bins", "sketch"), keep)
+    linked, close = F.col("above") >= SLACK, F.col("close") >= SLACK
+    far, some = ~linked & (F.col("beyond") >= -SLACK), ~close & (F.col("near") >= -SLACK) & (F.col("above") < SLACK)
+    sums = placed.groupBy("node").agg(F.count_if(far).alias("far_n"), F.count_if(some).alias("some_n"))
+    way = F.when(F.col("far_n") <= SMALL, 2).when(F.col("some_n") <= SMALL, 1).otherwise(0)
+    told = placed.join(sums.select("node", way.alias("way")), "node")
+    leaves = ((F.col("way") == 2) & linked) | ((F.col("way") == 1) & close)
+    border = ((F.col("way") == 2) & far) | ((F.col("way") == 1) & some)
+    told = cut(told.select("node", "rid", "pivot", (leaves & (F.col("rid") != F.col("pivot"))).alias("leaves"), border.alias("border")), keep)
+    gone = told.where("leaves").groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SMALL).alias("parts"))
+    part = told.where("leaves").join(gone, "node").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    meet = told.where("border").join(gone, "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    settled = part.unionByName(meet).select(F.xxhash64("node", "part", F.lit("part")).alias("node"), "rid")
+    sure = told.where("leaves").select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b"))
+    return settled, told.where("not leaves").select("node", "rid"), sure
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component; columns as they were.
 
-    Rows with null ids stay. Texts are shuffled once, to meet the ids that go.
+    Rows with null ids stay, as do null and wordless texts and all rows that repeat an id
+    that stays. An empty table gives no rows. Texts are shuffled once, to meet the ids that go.
     """
     found = near_components(docs, percent, id_col, text_col)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone_")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone_"), "left_anti")
+    names = docs.columns
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("key")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("key"))
+    return packed.join(gone, "key", "left_anti").select(*[F.col(f"row.`{c}`") for c in names])

@@ -107,8 +107,7 @@ def test_near_components(docs, texts):
 
 def test_large_nodes_lose_no_link(spark, monkeypatch):
     """A star of copies that are like their source and less like each other, beside a chain and strangers."""
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
-    monkeypatch.setattr(near_dedup, "FEW", 6)
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
     rng = random.Random(5)
     base = [f"b{k}" for k in range(400)]
     texts = [(1000, " ".join(base), "a")]
