@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -9,17 +11,18 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from stormglass.llm.bpe import TOGETHER, restore_id, select_text
-from stormglass.llm.common import cut
 
 #: Code points of a k-gram and k-grams of a window: a shared run of GRAM + WINDOW - 1 code
 #: points always shares a selected hash, and no run under GRAM code points is seen.
 GRAM, WINDOW = 16, 32
 #: Code points of a text that help to cut ranges where an id repeats.
 RANGE_HEAD = 64
+_RESULT = pa.schema([("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("positions", pa.list_(pa.int32()))])
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -99,74 +102,97 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return restore_id(select_text(docs, id_col, text_col).mapInPandas(run, schema), id_col, kind)
 
 
-def _compared(text: str, following: str, gram: int, window: int) -> dict:
+def _prints(text: str, gram: int, window: int) -> dict:
+    hashes, positions = winnow(text, gram, window)
+    return {"hashes": hashes, "positions": positions, "distinct": np.unique(hashes)}
+
+
+def compared(text: str, own: dict, following: str, other: dict, gram: int, window: int) -> dict:
+    """The result of a document and the next: own and other are their prints."""
     n = len(text)
     swapped = n // 3
     edited = text[: n - swapped] + following[:swapped]
-    own, changed, other = (winnow(t, gram, window)[0] for t in (text, edited, following))
-    sets = [np.unique(x) for x in (own, changed, other)]
+    changed = _prints(edited, gram, window)
     return {
         "n_chars": n,
         "edited_sha256": sha256(edited.encode()).hexdigest(),
-        # side by side: they share most hashes, and compress as one string
-        "prints": f"{as_text(own)},{as_text(changed)}",
-        "near_edited": likeness(sets[0], sets[1]),
-        "near_next": likeness(sets[0], sets[2]),
+        "fingerprint": as_text(own["hashes"]),
+        "edited_fingerprint": as_text(changed["hashes"]),
+        "near_edited": likeness(own["distinct"], changed["distinct"]),
+        "near_next": likeness(own["distinct"], other["distinct"]),
+        "positions": own["positions"],
     }
 
 
+def _first_rows(rows: DataFrame, n: int) -> list[tuple]:
+    """(id, head) of the first row of each of n ranges of the rows (id, head), in the order of documents.
+
+    Only ids and heads are shuffled, and one row a range comes to the driver.
+    """
+    order = [F.col("id").desc_nulls_last(), F.col("head").asc()]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    return [tuple(r["f"]) for r in sorted(dealt.groupBy("part").agg(F.first(F.struct("id", "head")).alias("f")).collect(), key=lambda r: r["part"])]
+
+
+def _range_of(firsts: list[tuple], kind: str) -> Column:
+    """The number of the range of a row (id, head): how many first rows besides the first of all stand at or before it.
+
+    They are looked up in two steps, so a row meets some twice the square root of their number.
+    """
+    step = max(1, math.isqrt(len(firsts)))
+    groups = [firsts[k : k + step] for k in range(0, len(firsts), step)]
+    told = json.dumps([[{"id": i, "head": h} for i, h in group] for group in groups], default=str)
+    listed = F.from_json(F.lit(told), f"array<array<struct<id:{kind},head:string>>>")
+    ahead = lambda b: F.coalesce((b["id"] > F.col("id")) | (b["id"].isNotNull() & F.col("id").isNull()) | (b["id"].eqNullSafe(F.col("id")) & (b["head"] <= F.col("head"))), F.lit(False))
+    coarse = F.greatest(F.size(F.filter(listed, lambda g: ahead(g[0]))) - 1, F.lit(0))
+    fine = F.greatest(F.size(F.filter(F.element_at(listed, coarse + 1), ahead)) - 1, F.lit(0))
+    return (coarse * step + fine).cast("int")
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of every document, of an edited copy, and their likeness with it and the next document.
 
     Next is by descending id, then by ascending text where ids repeat; a null id comes last;
     after the last document comes the first. The edited text has its last n_chars / 3 code
     points replaced by as many from the head of the next document. Null texts are empty; two
-    empty fingerprints have likeness 1.
-
-    Texts are dealt out once, by ranges of ids, and each task walks through its sorted range
-    with one document in hand. Only the first and the last document of a range leave the task
-    as texts; the few range ends are then joined with the heads that follow them.
+    empty fingerprints have likeness 1; rows that repeat id and text follow one another. An
+    empty table gives no rows; other columns are not read. positions are those of the
+    fingerprint's hashes in code points.
+
+    Ranges of ids, one a shuffle partition, are laid down first from ids and heads of texts.
+    Each range then gets its documents and, as an end mark, the first document of the range
+    after it; its task walks through them in order with one document in hand. Texts travel
+    once and nothing is stored on the way.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = "n_chars long, edited_sha256 string, prints string, near_edited double, near_next double"
-    names = ["n_chars", "edited_sha256", "prints", "near_edited", "near_next"]
-    by_id = F.col("id").cast(kind).desc_nulls_last()
-    order = [by_id, F.col("text").asc()]
-    rows = select_text(docs, id_col, text_col)
-    # the order is the id's own, not that of its string; the driver samples the keys of ranges, so no whole texts
-    dealt = rows.repartitionByRange(by_id, F.substring("text", 1, RANGE_HEAD).asc()).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-
-    result = pa.schema([("id", pa.string()), ("part", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("n_chars", pa.int64()), *((c, pa.string()) for c in names[1:3]), *((c, pa.float64()) for c in names[3:])])
+    spark, field = docs.sparkSession, docs.schema[id_col]
+    kind = field.dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("head", F.substring("text", 1, RANGE_HEAD))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    firsts = _first_rows(rows.select("id", "head"), n) or [(None, "")]
+    marks = spark.createDataFrame([(k, *f) for k, f in enumerate(firsts)], StructType([StructField("mark", IntegerType()), StructField("i_", field.dataType), StructField("h_", StringType())]))
+    same = F.col("id").eqNullSafe(F.col("i_")) & (F.col("head") == F.col("h_"))
+    # one row a range, so as small as the number of partitions
+    ends = rows.join(F.broadcast(marks), same).groupBy("mark").agg(F.min("text").alias("text"))
+    before = F.pmod(F.col("mark") - 1, F.lit(len(firsts))).cast("int")
+    inside = rows.select("id", "text", _range_of(firsts, kind).alias("part"), F.lit(False).alias("end"))
+    marked = ends.select(F.lit(None).cast(kind).alias("id"), "text", before.alias("part"), F.lit(True).alias("end"))
+    dealt = inside.unionByName(marked).repartitionById(n, "part").sortWithinPartitions("part", "end", F.col("id").desc_nulls_last(), F.col("text").asc())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = own = None
         for batch in batches:
+            key = batch.schema.field("id").type
             for k in range(0, batch.num_rows, TOGETHER):
-                out = []
+                ids, out = [], []
                 for row in batch.slice(k, TOGETHER).to_pylist():
-                    if held is None:
-                        out.append({"id": row["id"], "part": row["part"], "head": row["text"]})
-                    else:
-                        out.append({"id": held["id"], **_compared(held["text"], row["text"], gram, window)})
-                    held = row
-                yield pa.RecordBatch.from_pylist(out, schema=result)
-        if held is not None:
-            yield pa.RecordBatch.from_pylist([{"id": held["id"], "part": held["part"], "tail": held["text"]}], schema=result)
-
-    walked = cut(dealt.mapInArrow(walk, f"id string, part int, head string, tail string, {columns}"))
-    parts = walked.where("head is not null").select("part").withColumn("first", F.min("part").over(Window.partitionBy(F.lit(1))))
-    after = parts.select("part", F.coalesce(F.lead("part").over(Window.partitionBy(F.lit(1)).orderBy("part")), F.col("first")).alias("next_part"))
-    heads = walked.where("head is not null").select(F.col("part").alias("next_part"), F.col("head").alias("following"))
-    ends = walked.where("tail is not null").select("id", "part", F.col("tail").alias("text"))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.schema([f for f in result if f.name not in ("part", "head", "tail")])
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"id": r["id"], **_compared(r["text"], r["following"], gram, window)} for r in batch.to_pylist()], schema=whole)
-
-    pairs = ends.join(after, "part").join(heads, "next_part").select("id", "text", "following")
-    closed = pairs.mapInArrow(close, f"id string, {columns}")
-    inner = walked.where("head is null and tail is null").select("id", *names)
-    both = F.split("prints", ",")
-    out = inner.unionByName(closed).select("id", "n_chars", "edited_sha256", both[0].alias("fingerprint"), both[1].alias("edited_fingerprint"), "near_edited", "near_next")
-    return restore_id(out, id_col, kind)
+                    prints = _prints(row["text"], gram, window)
+                    if held is not None:
+                        ids.append(held["id"])
+                        out.append(compared(held["text"], own, row["text"], prints, gram, window))
+                    held, own = (None, None) if row["end"] else (row, prints)
+                values = [pa.array([o[f.name] for o in out], f.type) for f in _RESULT]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, key), *values], names=["id", *_RESULT.names])
+
+    columns = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
+    walked = dealt.mapInArrow(walk, f"id {kind}, {columns}")
+    return walked.withColumnRenamed("id", id_col)
