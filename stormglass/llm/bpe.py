@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Strings that a worker remembers; the store is emptied when full.
-KEPT = 1_000_000
+#: Strings of up to LONG characters that a worker remembers, some 30 MB; the store is emptied when full.
+KEPT = 1 << 17
 #: Slots of the store of tested pairs; a newer pair takes the slot of an older one.
 PAIR_SLOTS = 1 << 20
 #: Strings longer than this are not remembered.
@@ -153,6 +153,25 @@ class PrefixTable:
                 token, open_ = token[more], open_[more]
         return last, base, lengths
 
+    def prefix_counts(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, first, base, lengths): counts[base[k] + p] is the number of tokens of the first p
+        bytes of piece k, first[base[k] + p] the first of them. Each follows from the last token
+        of the prefix and the entry before that token. Pieces must come longest first."""
+        if pieces and len(pieces[0]) > 4 * LONG:  # one long piece, so that short ones don't wait for it
+            last, base, lengths = self._long(pieces[0]), np.zeros(1, np.int64), np.array([len(pieces[0])])
+            if len(pieces) > 1:
+                raise ValueError("long pieces come alone")
+        else:
+            last, base, lengths = self.last_tokens(pieces)
+        counts, first = np.zeros(len(last), np.int32), np.full(len(last), -1, np.int32)
+        for p in range(1, int(lengths.max(initial=0)) + 1):
+            at = base[: np.searchsorted(-lengths, -p, side="right")] + p
+            token = last[at]
+            before = at - self.size[token]
+            counts[at] = counts[before] + 1
+            first[at] = np.where(counts[before] == 0, token, first[before])
+        return counts, first, base, lengths
+
     def _long(self, piece: bytes) -> np.ndarray:
         """last_tokens() of one long piece, byte by byte."""
         last, state, sizes, tested = [-1] * (len(piece) + 1), 0, self.size, {}

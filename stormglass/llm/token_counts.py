@@ -51,7 +51,7 @@ class PieceCounts:
                 if (a := words.get(p[:at])) is not None and (b := words.get(p[at:])) is not None:
                     merge[a, b] = rank[i]
         self.table = PrefixTable({i: p.encode() for p, i in reached.items()}, parts, rank, merge)
-        self.mark = int(words[SPACE]).to_bytes(4, "little")
+        self.mark = int(words[SPACE])
         self.chunks = regex.compile(f"({SPACE}*)([^{SPACE}]*)").findall
         self.known: dict[str, int] = {}
         self.alone: set[str] = set()
@@ -82,23 +82,28 @@ class PieceCounts:
             sizes[k : k + 2] = [sizes[k] + sizes[k + 1]]
         return whole + len(sizes)
 
-    def prefix_counts(self, word: str) -> list[int]:
-        """Tokens of every prefix of a word (in characters) that stands after one mark, the mark included."""
-        piece = (SPACE + word).encode()
-        last = self.table.last_tokens([piece])[0]
-        counts = np.zeros(len(piece) + 1, np.int64)
-        for at in range(1, len(piece) + 1):
-            counts[at] = counts[at - self.table.size[last[at]]] + 1
-        ends = np.cumsum([len(c.encode()) for c in SPACE + word])
-        return counts[ends].tolist()
+    def prefix_counts(self, word: str, marks: int = 1) -> list[int]:
+        """Tokens of every prefix of `marks` space marks and a word, from none to all of its characters."""
+        counts, first, _, _ = self.table.prefix_counts([(SPACE + word).encode()])
+        ends = np.cumsum([len(c.encode()) for c in SPACE + word])[1:]
+        own = counts[ends]
+        # the last mark joins the word, or stays a token of the run of marks
+        inside = np.where(first[ends] == self.mark, own - 1 + self._run(marks), own + self._run(marks - 1))
+        return [self._run(k) for k in range(1, marks + 1)] + inside.tolist()
 
     def _learn(self, words: set[str]) -> None:
-        """Remember the tokens of a mark followed by each word, and whether the mark stays a token of its own."""
-        new = list(words - self.known.keys())
-        for word, ids in zip(new, self.table.encode([(SPACE + w).encode() for w in new]), strict=True):
-            self.known[word] = len(ids) // 4
-            if ids.startswith(self.mark):
-                self.alone.add(word)
+        """Remember the tokens of a mark followed by each word, and whether the mark stays a token of its own.
+
+        Both are read off the end of the word's prefix table.
+        """
+        new = sorted(words - self.known.keys(), key=lambda w: -len(w.encode()))
+        long = next((n for n, w in enumerate(new) if len(w.encode()) + 3 <= 4 * LONG), len(new))
+        for some in [*([w] for w in new[:long]), *(new[k : k + (1 << 14)] for k in range(long, len(new), 1 << 14))]:
+            counts, first, base, lengths = self.table.prefix_counts([(SPACE + w).encode() for w in some])
+            for word, n, token in zip(some, counts[base + lengths].tolist(), first[base + lengths].tolist(), strict=True):
+                self.known[word] = n
+                if token == self.mark:
+                    self.alone.add(word)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of every text."""
@@ -128,23 +133,24 @@ class PieceCounts:
         return self.counts([text])[0]
 
     def truncate(self, text: str, limit: int) -> str:
-        """The longest prefix of text with at most `limit` tokens, by bisection over prefix counts of its words.
+        """The longest prefix of text with at most `limit` tokens.
 
-        Counts grow with the prefix but for the token under construction, so the cut is looked
-        for at word ends first and inside the word that crosses the limit by its prefix table.
+        Each chunk (space marks and a word) has one token at least, so counts at chunk ends
+        grow; the cut lies in the last chunk that begins below the limit, and that chunk's
+        table of prefix counts tells where. Nothing is encoded again.
         """
-        if self.count(text) <= limit:
-            return text
-        low, high, ends = 0, 0, [k for k, c in enumerate(text) if c == " "] + [len(text)]
-        for end in ends:
-            if self.count(text[:end]) > limit:
-                high = end
+        before = begin = 0
+        for marks, word in self.chunks(SPACE + text.replace(" ", SPACE)):
+            if not marks and not word:
                 break
-            low = end
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (middle, high) if self.count(text[:middle]) <= limit else (low, middle)
-        return text[:low]
+            if word and word not in self.known:
+                self._learn({word})
+            n = self._chunk(marks, word)
+            if before + n > limit:
+                fits = [k for k, c in enumerate(self.prefix_counts(word, len(marks)), 1) if before + c <= limit]
+                return text[: max(0, begin + max(fits, default=0) - 1)]  # one mark stands before the text
+            before, begin = before + n, begin + len(marks) + len(word)
+        return text
 
 
 @lru_cache(maxsize=2)
@@ -154,12 +160,15 @@ def piece_counts(path: str) -> PieceCounts:
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
+    """Per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), fit_bytes.
+
+    fit_bytes: bytes of the longest prefix with at most `limit` tokens, from the prefix counts.
 
     model: path of a sentencepiece BPE model that every worker can open. No begin or end
     token is counted; strings that look like special tokens are plain text. Null texts count
-    as empty, with 0 tokens. One pass without a shuffle, bounded memory; other columns are
-    not read, an empty table gives no rows.
+    as empty, with 0 tokens; null ids stay null; rows that repeat id and text get equal
+    results. One pass without a shuffle, bounded memory; other columns are not read, an empty
+    table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -170,7 +179,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id"
                 some = batch.iloc[k : k + TOGETHER]
                 texts = some["text"].tolist()
                 n = np.array(counts.counts(texts), np.int64)
-                yield pd.DataFrame({"id": some["id"].to_numpy(), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit})
+                yield pd.DataFrame({"id": some["id"].to_numpy(), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit, "fit_bytes": [len((t if m <= limit else counts.truncate(t, limit)).encode()) for t, m in zip(texts, n.tolist(), strict=True)]})
 
-    schema = "id string, n_bytes long, n_tokens long, over_limit boolean"
+    schema = "id string, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long"
     return restore_id(select_text(docs, id_col, text_col).mapInPandas(run, schema), id_col, kind)

@@ -179,8 +179,13 @@ def test_token_counts_equal_the_library(docs, texts):
             assert mine.count(" " * n + tail) == len(library.encode(" " * n + tail))
     word = "internationalization"
     assert mine.prefix_counts(word)[1:] == [len(library.encode(word[: k + 1])) for k in range(len(word))]
-    cut = mine.truncate("some words that go on and on", 5)
-    assert len(library.encode(cut)) <= 5 < len(library.encode("some words that go on and on"))
+    rng = random.Random(8)
+    some = ["some words that go on and on", "  two  marks", "日本語 の x", "", "a" * 700] + ["".join(rng.choices("ab ▁éte.", k=30)) for _ in range(60)]
+    for text in some:
+        counts = [len(library.encode(text[:k])) for k in range(len(text) + 1)]
+        for limit in {0, 1, 3, counts[-1] // 2, counts[-1]}:
+            want = max(k for k, c in enumerate(counts) if c <= limit)
+            assert mine.truncate(text, limit) == text[:want], (text, limit)
 
 
 def brute_repeats(texts, length):
