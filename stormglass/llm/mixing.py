@@ -145,10 +145,16 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; columns as they were."""
+    """docs with every row repeated as often as the mix takes it; columns as they were, whatever their names.
+
+    Null and empty texts stay once. Rows that repeat id, source and size are repeated alike;
+    null ids and sources are matched like any other. An empty table gives no rows.
+    """
     id_col, source_col, text_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
-    copies = mix_copies(docs, **options).where("copies > 0").select(F.col("id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("size_"), "copies")
-    copies = copies.select("id_", "source_", "size_", F.col("copies").alias("copies_"))
-    same = F.col(id_col).eqNullSafe(F.col("id_")) & F.col(source_col).eqNullSafe(F.col("source_")) & (word_count(text_or_empty(text_col)) == F.col("size_"))
-    joined = docs.join(copies, same)
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("copy_")).drop("copy_")
+    names = docs.columns
+    taken = mix_copies(docs, **options).where("copies > 0").select("id", "source", "size", "copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    packed = docs.select(row, F.col(id_col).alias("own_id"), F.col(source_col).alias("own_source"), word_count(text_or_empty(text_col)).alias("own_size"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+    joined = packed.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return joined.select(*[F.col(f"row.`{c}`") for c in names])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormglass.llm.common import cut, text_or_empty
+from stormglass.llm.common import cut, drop, text_or_empty
 
 #: Bits of the key's hash that the directory can use.
 HASH_BITS = 60
@@ -34,7 +34,7 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
     prefixes that are still too large look at STEP_BITS more. Rows that share all 60 bits
     (an id that repeats) can't be split by bits: they are dealt to numbered pages of one
     bucket, by running sum. A single text above the limit has a page to itself and is marked
-    oversized. Null texts have 0 bytes; null ids hash alike; an empty table gives no rows.
+    oversized. The directory grows with the data, so it is joined by shuffles, not broadcast. Null texts have 0 bytes; null ids hash alike; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"))
     units = cut(rows.groupBy("id", "n_bytes").agg(F.count(F.lit(1)).alias("n")).withColumn("h", key_hash(F.col("id"))))
@@ -44,10 +44,10 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
         fine = cut(open_units.groupBy(_prefix(high).alias("p")).agg(F.sum(F.col("n_bytes") * F.col("n")).alias("bytes")))
         levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("bucket", F.call_function("shiftright", F.col("p"), F.lit(high) - F.col("depth")))
         sums = levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes"))
-        placed = levels.select("p", "depth", "bucket").join(sums.where(F.col("shard_bytes") <= limit_bytes), ["depth", "bucket"])
+        placed = levels.select("p", "depth", "bucket").join(sums.where(F.col("shard_bytes") <= limit_bytes).hint("shuffle_merge"), ["depth", "bucket"])
         best = placed.groupBy("p").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("b"))
-        found = cut(fine.select("p").join(best, "p", "left").select("p", "b.*"))
-        here = open_units.withColumn("p", _prefix(high)).join(found, "p").drop("p")
+        found = cut(fine.select("p").join(best.hint("shuffle_merge"), "p", "left").select("p", "b.*"))
+        here = open_units.withColumn("p", _prefix(high)).join(found.hint("shuffle_merge"), "p").drop("p")
         fits = here.where("depth is not null")
         settled = fits if settled is None else settled.unionByName(fits)
         if found.where("depth is null").isEmpty():
@@ -87,13 +87,30 @@ def _pages(units: DataFrame, limit_bytes: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs to one folder a shard, `shard=<depth>-<bucket>-<page>`; rows travel once."""
-    shards = assign_shards(docs, limit_bytes, id_col, text_col).withColumn("shard", F.concat_ws("-", "depth", "bucket", "page"))
-    keyed = shards.select(F.col(id_col).alias("id_"), "n_bytes", "shard", "page")
-    one = keyed.groupBy("id_", "n_bytes").agg(F.min("shard").alias("shard"))
-    size = F.octet_length(text_or_empty(text_col)).cast("long")
-    joined = docs.join(one, F.col(id_col).eqNullSafe(F.col("id_")) & (size == F.col("n_bytes"))).drop("id_", "n_bytes")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs to one folder a shard, `shard=<depth>-<bucket>-<page>`; columns as they were, in column `row`.
+
+    Rows that share id and size fill their pages in turn: they are numbered inside the parts
+    of a written table, whose counts give each part its offset, so a hot id is not gathered in
+    one task. Null ids are rows like any other; an empty table writes no shard.
+    """
+    old: list[str] = []
+    shards = assign_shards(docs, limit_bytes, id_col, text_col)
+    pages = shards.groupBy(F.col(id_col).alias("id"), "n_bytes", "depth", "bucket", "page").agg(F.count(F.lit(1)).alias("rows"))
+    units = pages.groupBy("id", "n_bytes").agg(F.min("depth").alias("depth"), F.min("bucket").alias("bucket"), F.min("page").alias("page"), F.max("rows").alias("each"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(id_col).alias("own_id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("size"), F.monotonically_increasing_id().alias("m"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("n_bytes"))
+    placed = cut(keyed.join(units, same).drop("own_id", "size").withColumn("part", F.call_function("shiftright", F.col("m"), F.lit(33))), old)
+    unit = [F.coalesce(F.col("id").cast("string"), F.lit("\0")), F.col("n_bytes")]
+    counts = placed.groupBy("id", "n_bytes", "part").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*unit).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("before", before).select(F.col("id").alias("i"), F.col("n_bytes").alias("b"), F.col("part").alias("p"), "before")
+    local = placed.withColumn("at", F.row_number().over(Window.partitionBy(*unit, "part").orderBy("m")) - 1)
+    numbered = local.join(offsets, F.col("id").eqNullSafe(F.col("i")) & (F.col("n_bytes") == F.col("b")) & (F.col("part") == F.col("p")))
+    page = F.col("page") + F.floor((F.col("at") + F.col("before")) / F.col("each"))
+    out = numbered.select("row", F.concat_ws("-", "depth", "bucket", page.cast("long")).alias("shard"))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    drop(docs.sparkSession, old)
 
 
 def expected_depth(total_bytes: int, limit_bytes: int) -> int:

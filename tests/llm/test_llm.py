@@ -278,6 +278,25 @@ def test_shards_of_one_id(spark):
     assert len(got) == 30 and max(Counter(r["page"] for r in got).values()) == 4
 
 
+def test_written_shards_keep_their_limit(spark, tmp_path):
+    rows = [(1, "x" * 50, "a")] * 30 + [(None, "y" * 20, "b")] * 3 + [(2, None, "c"), (3, "z" * 500, "c")]
+    docs_ = table(spark, rows).withColumn("shard", F.lit("s")).withColumn("n_bytes", F.lit(3))
+    sharding.write_shards(docs_, str(tmp_path / "shards"), 200)
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    assert got.count() == len(rows) and got.select("row.*").columns == docs_.columns
+    sizes = got.groupBy("shard").agg(F.sum(F.length("row.text")).alias("n"), F.count("*").alias("k")).collect()
+    assert all((r["n"] or 0) <= 200 or r["k"] == 1 for r in sizes)
+
+
+def test_names_that_clash(spark):
+    names = ["id_", "source_", "size_", "copies_", "copy_", "gone_", "key", "row", "id", "size", "copies", "own_id"]
+    docs_ = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, None, None)], "doc_id long, text string, source string")
+    docs_ = docs_.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    for out in (mixing.mixed_documents(docs_), near_dedup.keep_one(docs_), exact_dedup.drop_exact(docs_)):
+        assert out.columns == docs_.columns
+        assert all(r["copy_"] == 4 and r["own_id"] == 11 for r in out.collect())
+
+
 def brute_winnow(text, gram, window):
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     h = [int(fingerprints.gram_hashes(points[i : i + gram], gram)[0]) for i in range(max(1, len(points) - gram + 1))] if text else []
