@@ -83,8 +83,8 @@ def confidence(n: np.ndarray, bins: np.ndarray, sketch: np.ndarray, k: int, to:
     filled = np.expm1(-union / BINS) * have / (np.expm1(-n1 / BINS) + np.expm1(-n2 / BINS))
     apart = np.maximum(have - 2 * share * filled, 0.0)
     fade = np.exp(-2 * apart / BITS)
-    sampled = 4 * filled * share * (1 - share) * (1 - np.minimum(filled / union, 1.0)) + 1
-    noise = np.sqrt(fade * fade * sampled + BITS / 4 * (1 - fade * fade) - apart * fade * fade + 1)
+    sampled = 4 * filled * share * (1 - share) * (1 - np.minimum(filled / union, 1.0))
+    noise = np.sqrt(fade * fade * sampled + BITS / 4 * (1 - fade * fade) - apart * fade * fade + 0.5)
     differ = np.bitwise_count(sketch[k] ^ sketch[to]).sum(axis=1, dtype=np.int64)
     out = (BITS / 2 * (1 - fade) - differ) / noise
     out[100 * np.minimum(n1, n2) < percent * np.maximum(n1, n2)] = -np.inf
@@ -101,6 +101,8 @@ class _Nodes:
     bins: np.ndarray
     sketch: np.ndarray
     label: np.ndarray | None = None
+    #: all nodes of each row's document
+    nodes: list[list[int]] | None = None
 
     def ranges(self) -> Iterator[tuple[int, int]]:
         starts = np.flatnonzero(np.diff(self.node, prepend=~self.node[:1]))
@@ -125,8 +127,8 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[_Nodes]:
 
 def _nodes(table: pa.Table) -> _Nodes:
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-    label = table.column("label").to_numpy() if "label" in table.column_names else None
-    return _Nodes(*(table.column(c).to_numpy() for c in ("node", "rid", "n", "bins")), sketch, label)
+    more = (table.column("label").to_numpy(), table.column("nodes").to_pylist()) if "label" in table.column_names else ()
+    return _Nodes(*(table.column(c).to_numpy() for c in ("node", "rid", "n", "bins")), sketch, *more)
 
 
 def _forest(x: _Nodes, a: int, b: int, percent: int) -> tuple[list[tuple[int, int]], bool]:
@@ -176,17 +178,24 @@ def node_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def node_crossings(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all candidates of each node whose labels differ. rows: as for node_links, with label."""
+    """(a, b): all candidates of each node whose labels differ. rows: as for node_links, with label and nodes.
+
+    Of the nodes that two documents share, in several trees, the one with the least number tells.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_nodes(batches):
+            pairs = []
             for a, b in x.ranges():
+                here = int(x.node[a])
                 for k in range(a, b - 1):
                     c = confidence(x.n, x.bins, x.sketch, k, slice(k + 1, b), percent)
                     at = k + 1 + np.flatnonzero((c >= -SLACK) & (x.label[k + 1 : b] != x.label[k]))
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x.rid[at], x.rid[k])), pa.array(np.maximum(x.rid[at], x.rid[k]))], schema=schema)
+                    own = set(x.nodes[k]) if len(at) else None
+                    pairs += [(k, j) for j in at.tolist() if min(own.intersection(x.nodes[j])) == here]
+            one, two = (x.rid[np.array([p[i] for p in pairs], np.int64)] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], schema=schema)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -334,6 +343,8 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     linked = cut(verified(candidates, sets, percent), old)
     known = components(linked, old).withColumnRenamed("node", "rid")
     labelled = doubtful.join(known, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
+    # as many as a document has paths
+    labelled = labelled.join(doubtful.groupBy("rid").agg(F.collect_set("node").alias("nodes")), "rid")
     more, n_more = counted(verified(node_crossings(_by_node(labelled), percent).distinct(), sets, percent), keep=old)
     if n_more:
         known = components(linked.unionByName(more), old).withColumnRenamed("node", "rid")
