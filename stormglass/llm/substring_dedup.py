@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -158,12 +159,6 @@ def _within(spans: list[list[int] | None], n: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def _digest(words: Words, begin: int, end: int, keep: np.ndarray | None) -> tuple[int, bytes]:
-    """(words removed, the words left, joined by one space) of one document."""
-    at = range(begin, end) if keep is None else np.flatnonzero(keep[begin:end]) + begin
-    return end - begin - len(at), b" ".join(map(words.at, at))
-
-
 def remove_repeats(docs: DataFrame, length: int = 35, period: int = PERIOD, id_col: str = "doc_id", text_col: str = "text", text: bool = False) -> DataFrame:
     """Per row of docs: id, n_words, n_removed, kept_sha256 and, if text, kept (words left, joined by one space).
 
@@ -206,24 +201,26 @@ def remove_repeats(docs: DataFrame, length: int = 35, period: int = PERIOD, id_c
     open_schema = pa.schema([*fields, ("th", pa.int64()), ("text", pa.binary()), ("spans", pa.list_(pa.int32()))])
     columns = "id string, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text
 
-    def digest(keys: list[str], words: Words, keep: np.ndarray | None) -> list[dict]:
-        out = []
-        for key, (begin, end) in zip(keys, words.ranges(), strict=True):
-            gone, left = _digest(words, begin, end, keep)
-            out.append({"id": key, "n_words": end - begin, "n_removed": gone, "kept_sha256": sha256(left).hexdigest()} | ({"kept": left.decode()} if text else {}))
-        return out
+    def digest(key: str, raw: bytes, keep: np.ndarray | None) -> dict:
+        own = raw.split()  # by ASCII white space, as words are
+        kept = own if keep is None else list(compress(own, keep.tolist()))
+        left = b" ".join(kept)
+        out = {"id": key, "n_words": len(own), "n_removed": len(own) - len(kept), "kept_sha256": sha256(left).hexdigest()}
+        return out | ({"kept": left.decode()} if text else {})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, words in gathered(batches):
-            done = digest(table.column("id").to_pylist(), words, None)
-            whole = table.select(["th", "text", "spans"]).to_pylist()
-            yield pa.RecordBatch.from_pylist([d if w["spans"] is None else {"id": d["id"]} | w for d, w in zip(done, whole, strict=True)], schema=open_schema)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                some = batch.slice(k, 1024).to_pylist()
+                yield pa.RecordBatch.from_pylist([digest(r["id"], r["text"], None) if r["spans"] is None else r for r in some], schema=open_schema)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, words in gathered(batches):
             starts = table.column("spans").to_pylist()
             covered = [s and [x if k % 2 == 0 else x - 1 + length for k, x in enumerate(s)] for s in starts]
-            yield pa.RecordBatch.from_pylist(digest(table.column("id").to_pylist(), words, ~_within(covered, words.n)), schema=pa.schema(fields))
+            keep, keys, raw = ~_within(covered, words.n), table.column("id").to_pylist(), table.column("text").to_pylist()
+            out = [digest(i, t, keep[b:e]) for i, t, (b, e) in zip(keys, raw, words.ranges(), strict=True)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 
     once = lambda spans: spans.dropDuplicates(["id", "th"])  # noqa: E731  rows that repeat id and text have equal spans
     parted = cut(rows.join(once(found).hint("shuffle_merge"), ["id", "th"], "left").mapInArrow(finish, f"{columns}, th long, text binary, spans array<int>"))
