@@ -67,28 +67,40 @@ def build_event_labels(
 ) -> DataFrame:
     """All labels of one horizon: drawdown, volatility, level, joint stress, phase, run, overlap and time to the next onset.
 
-    Full-sample quantiles are one small aggregation per key, joined back; credit and liquidity
-    are optional.
+    A volatility or level label is missing where its own column is, `horizon` rows ahead; the
+    joint label counts a missing one as no and is missing with the drawdown label. Overlap
+    means that an event goes on. Full-sample quantiles are one small aggregation per key,
+    joined back; credit and liquidity are optional.
     """
     wanted = {"vol_cut": (vol, vol_q)} | {f"{k}_cut": (c, stress_q) for k, c in (("credit", credit), ("liquidity", liquidity)) if c}
     cuts = df.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(k) for k, (c, q) in wanted.items()])
-    dd, vol_name, vix_name, joint = (f"drawdown_{round(threshold * 100)}pct_h{horizon}", f"realized_vol_top_{round((1 - vol_q) * 100)}pct_h{horizon}", f"vix_gt_{vix_level:g}_h{horizon}", f"joint_stress_h{horizon}")
+    dd, vol_name, vix_name, joint = (
+        f"drawdown_{round(threshold * 100)}pct_h{horizon}",
+        f"realized_vol_top_{round((1 - vol_q) * 100)}pct_h{horizon}",
+        f"vix_gt_{int(vix_level)}_h{horizon}",
+        f"joint_stress_h{horizon}",
+    )
     ahead = lambda c: forward_max(F.col(c), keys, time, horizon)
-    known = F.lead(price, horizon).over(ordered(keys, time)).isNotNull()
-    flag = lambda c: F.when(known, F.coalesce(c, F.lit(False)).cast("double"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def masked(hit: Column, own: str) -> Column:
+        return F.when(F.lead(own, horizon).over(ordered(keys, time)).isNotNull(), yes(hit).cast("double"))
+
     stress = F.lit(False)
     for k, c in (("credit", credit), ("liquidity", liquidity)):
         if c:
-            stress = stress | F.coalesce(ahead(c) >= F.col(f"{k}_cut"), F.lit(False))
+            stress = stress | yes(ahead(c) >= F.col(f"{k}_cut"))
     out = (
         df.join(cuts, keys)
+        .withColumn("forecast_horizon_days", F.lit(horizon))
         .withColumn("forward_drawdown", forward_drawdown(F.col(price), keys, time, horizon))
         .withColumn(dd, drawdown_label(F.col(price), keys, time, horizon, threshold))
-        .withColumn(vol_name, flag(ahead(vol) >= F.col("vol_cut")))
-        .withColumn(vix_name, flag(ahead(vix) > vix_level))
-        .withColumn(joint, F.when(known, (F.coalesce(F.col(dd) == 1, F.lit(False)) & (F.coalesce(ahead(vol) >= F.col("vol_cut"), F.lit(False)) | F.coalesce(ahead(vix) > vix_level, F.lit(False))) & stress).cast("double")))
-        .withColumn("event_phase", phases(F.col(dd), keys, time))
-        .withColumn("overlapping_event_window", F.coalesce(F.col(dd) == 1, F.lit(False)))
+        .withColumn(vol_name, masked(ahead(vol) >= F.col("vol_cut"), vol))
+        .withColumn(vix_name, masked(ahead(vix) >= vix_level, vix))
+        .withColumn("stress_", stress)
     )
+    hit = (F.col(dd) == 1) & (yes(F.col(vol_name) == 1) | yes(F.col(vix_name) == 1)) & F.col("stress_")
+    out = out.withColumn(joint, F.when(F.col(dd).isNotNull(), hit.cast("double"))).withColumn("event_phase", phases(F.col(dd), keys, time))
+    out = out.withColumn("overlapping_event_window", yes(F.col(dd) == 1) & (F.col("event_phase") == CONTINUATION))
     out = time_to_onset(run_ids(out, dd, keys, time), dd, keys, time)
-    return out.drop(*wanted)
+    return out.drop(*wanted, "stress_")

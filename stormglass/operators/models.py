@@ -1,13 +1,16 @@
-"""Baselines and logistic models of rare events on MLlib."""
+"""Baselines and logistic models of rare events, fitted by aggregations."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stormglass.functions.scratch import cut
+from stormglass.operators.windows import running_sum
+
 
 def historical_frequency(train: DataFrame, rows: DataFrame, label: str) -> DataFrame:
     """rows with the constant probability of the train labels."""
@@ -17,61 +20,138 @@ def historical_frequency(train: DataFrame, rows: DataFrame, label: str) -> DataF
     return rows.crossJoin(F.broadcast(rate))
 
 
-def fit_predict_logistic(train: DataFrame, rows: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True) -> DataFrame:
-    """rows with p and fallback: median imputation, population scaling, L2 logistic regression.
+@dataclass
+class Logistic:
+    """A fitted model in plain numbers; with one class in the train rows, only their rate."""
+
+    fill: dict[str, float]
+    mean: dict[str, float]
+    scale: dict[str, float]
+    weights: dict[str, float]
+    intercept: float
+    rate: float | None = None
+
+    def probability(self) -> Column:
+        """The probability of a row, in built-in expressions."""
+        if self.rate is not None:
+            return F.lit(self.rate)
+        terms = (w * scaled(f, self) for f, w in self.weights.items())
+        return 1 / (1 + F.exp(-sum(terms, F.lit(self.intercept))))
+
 
-    The penalty matches an objective of log losses plus w'w / (2c). Where the train labels have
-    one class, p is their mean and fallback is true.
+def scaled(feature: str, model: Logistic) -> Column:
+    value = F.coalesce(F.col(f"`{feature}`").cast("double"), F.lit(model.fill[feature]))
+    return (value - model.mean[feature]) / model.scale[feature]
+
+
+def exact_medians(rows: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The median of every column: values are counted first, then ranks come from running sums over ranges of values."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
+    counts = long.where("x is not null").groupBy("name", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_sum(counts, ["name", "x"], "n", ["name"])
+    total = counts.groupBy("name").agg(F.sum("n").alias("all"))
+    # the two middle values have the ranks (all + 1) / 2, rounded down and up
+    low, high = F.floor((F.col("all") + 1) / 2), F.ceil((F.col("all") + 1) / 2)
+    middle = upto.join(total, "name").groupBy("name").agg(F.min(F.when(F.col("upto") >= low, F.col("x"))).alias("a"), F.min(F.when(F.col("upto") >= high, F.col("x"))).alias("b"))
+    found = {r["name"]: (r["a"] + r["b"]) / 2 for r in middle.collect()}
+    return {c: found.get(c) for c in columns}
+
+
+def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True, steps: int = 50) -> Logistic:
+    """Median imputation, population scaling, L2 logistic regression by Newton steps.
+
+    Minimises the (weighted) log losses plus w'w / (2c), the intercept unpenalised. Each step is
+    one aggregation of the gradient and the upper half of the curvature, for p features
+    (p + 1)(p + 4) / 2 sums, whatever the number of rows; only these reach the driver.
     """
-    known = train.where(F.col(label).isNotNull())
-    cells = [F.percentile(f, F.lit(0.5)).alias(f) for f in features]
-    counts = known.agg(F.count(F.lit(1)).alias("n_"), F.sum((F.col(label) == 1).cast("double")).alias("pos_"), *cells).first()
-    n, pos = counts["n_"], counts["pos_"] or 0.0
+    known = cut(train.where(F.col(label).isNotNull()).select(label, *features))
+    counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(label) == 1).cast("double")).alias("pos")).first()
+    n, pos = counts["n"], counts["pos"] or 0.0
     if not n:
         raise ValueError("no labels to learn from")
     if pos in (0, n):
-        return rows.withColumns({"p": F.lit(pos / n), "fallback": F.lit(True)})
-    fill = {f: counts[f] if counts[f] is not None else 0.0 for f in features}
-    filled = known.fillna(fill)
-    moments = filled.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    scale = {f: ((F.col(f) - moments[f"m_{f}"]) / (moments[f"s_{f}"] or 1.0)).alias(f) for f in features}
+        return Logistic({}, {}, {}, {}, 0.0, pos / n)
+    fill = {f: m if m is not None else 0.0 for f, m in exact_medians(known, features).items()}
+    filled = known.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(fill[f])).alias(f"x{k}") for k, f in enumerate(features)])
+    moments = filled.agg(*[F.avg(f"x{k}").alias(f"m{k}") for k in range(len(features))], *[F.stddev_pop(f"x{k}").alias(f"s{k}") for k in range(len(features))]).first()
+    model = Logistic(fill, {f: moments[f"m{k}"] for k, f in enumerate(features)}, {f: moments[f"s{k}"] or 1.0 for k, f in enumerate(features)}, {}, 0.0)
     weight = F.when(F.col(label) == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))) if balanced else F.lit(1.0)
-    assemble = VectorAssembler(inputCols=features, outputCol="features_")
-    data = assemble.transform(filled.select(F.col(label).cast("double").alias("label_"), weight.alias("weight_"), *scale.values())).cache()
-    total = float(n)  # balanced weights also sum to n
-    model = LogisticRegression(featuresCol="features_", labelCol="label_", weightCol="weight_", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(data)
-    data.unpersist()
-    scored = rows.fillna(fill).select(F.struct(*[F.col(x) for x in rows.columns]).alias("row_"), *scale.values())
-    scored = model.transform(assemble.transform(scored)).select("row_", vector_to_array("probability")[1].alias("p"))
-    originals = scored.select("row_.*", "p")
-    return originals.withColumn("fallback", F.lit(False))
-
-
-def feature_group_holdout(panel: DataFrame, groups: dict[str, list[str]], targets: list[str]) -> DataFrame:
+    z = [F.lit(1.0), *(F.col(f"z{k}") for k in range(len(features)))]
+    # every step reads this table, so what made the train rows runs once
+    data = cut(known.select(F.col(label).cast("double").alias("y"), weight.alias("w"), *[scaled(f, model).alias(f"z{k}") for k, f in enumerate(features)]))
+    half = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    penalty = np.diag([0.0, *[1 / c] * len(features)])
+
+    def sums(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        score = sum((float(t) * x for t, x in zip(theta[1:], z[1:], strict=True)), F.lit(float(theta[0])))
+        p = data.withColumn("score", score).withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
+        curve = F.col("w") * F.col("p") * (1 - F.col("p"))
+        # log(1 + exp(s)) without overflow
+        loss = F.col("w") * (F.greatest("score", F.lit(0.0)) + F.log1p(F.exp(-F.abs("score"))) - F.col("y") * F.col("score"))
+        got = p.agg(F.sum(loss), *[F.sum(F.col("w") * (F.col("p") - F.col("y")) * x) for x in z], *[F.sum(curve * z[i] * z[j]) for i, j in half]).first()
+        h = np.zeros((len(z), len(z)))
+        for (i, j), v in zip(half, got[1 + len(z) :], strict=True):
+            h[i, j] = h[j, i] = v
+        return got[0] + theta @ penalty @ theta / 2, np.array(got[1 : 1 + len(z)]) + penalty @ theta, h + penalty
+
+    theta = np.zeros(len(z))
+    loss, gradient, curvature = sums(theta)
+    for _ in range(steps):
+        step = np.linalg.lstsq(curvature, gradient, rcond=None)[0]
+        while True:
+            after = sums(theta - step)
+            if after[0] <= loss + 1e-12 * abs(loss) or np.abs(step).max() < 1e-9:
+                break
+            step = step / 2
+        theta, (loss, gradient, curvature) = theta - step, after
+        if np.abs(step).max() < 1e-8:
+            break
+    model.intercept, model.weights = float(theta[0]), dict(zip(features, theta[1:].tolist(), strict=True))
+    return model
+
+
+def fit_predict_logistic(train: DataFrame, rows: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True) -> DataFrame:
+    """rows with p and fallback; where the train labels have one class, p is their mean and fallback is true."""
+    model = fit_logistic(train, features, label, c, balanced)
+    return rows.withColumns({"p": model.probability(), "fallback": F.lit(model.rate is not None)})
+
+
+def feature_group_holdout(panel: DataFrame, groups: dict[str, list[str]], targets: list[str], c: float = 1.0) -> DataFrame:
     """Long scores (model, y, p) of every target and group: fitted on rows with role train, scored on test."""
     out = None
     for target in targets:
         known = panel.where(F.col(target).isNotNull())
-        train, test = known.where("role = 'train'").cache(), known.where("role = 'test'")
+        train, test = known.where("role = 'train'"), known.where("role = 'test'")
         for name, features in groups.items():
-            scored = fit_predict_logistic(train, test, features, target) if features else historical_frequency(train, test, target)
+            scored = fit_predict_logistic(train, test, features, target, c) if features else historical_frequency(train, test, target)
             part = scored.select(F.lit(f"{target}/{name}").alias("model"), F.col(target).cast("double").alias("y"), "p")
             out = part if out is None else out.unionByName(part)
-        train.unpersist()
     return out
 
 
-def predictive_screen(panel: DataFrame, features: list[str], targets: list[str], least_train: int = 100, least_test: int = 30) -> DataFrame:
-    """Like feature_group_holdout, with a guard row (p null) where rows, features or classes do not suffice."""
-    out = None
+def predictive_screen(panel: DataFrame, groups: dict[str, list[str]], targets: list[str], least_train: int = 100, least_test: int = 30, c: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(scores, coefficients): a base rate and a logit for each group of features, for every target.
+
+    scores is as in feature_group_holdout, with a guard row (p null) where rows, features or
+    classes do not suffice; coefficients (model, feature, coefficient, rank) come with the
+    largest first.
+    """
+    spark, out, told = panel.sparkSession, None, []
     for target in targets:
         known = panel.where(F.col(target).isNotNull())
         seen = known.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(target).alias("classes")).collect()
         size = {r["role"]: (r["n"], r["classes"]) for r in seen}
         (n_train, c_train), (n_test, _) = size.get("train", (0, 0)), size.get("test", (0, 0))
-        if n_train < least_train or n_test < least_test or len(features) < 2 or c_train < 2:
-            part = panel.sparkSession.createDataFrame([(f"{target}/insufficient_class_balance", None, None)], "model string, y double, p double")
+        if n_train < least_train or n_test < least_test or c_train < 2 or any(len(f) < 2 for f in groups.values()):
+            parts = [spark.createDataFrame([(f"{target}/insufficient_class_balance", None, None)], "model string, y double, p double")]
         else:
-            part = feature_group_holdout(panel, {"base_rate": [], "logit_first": features[:1], "logit_all": features}, [target])
-        out = part if out is None else out.unionByName(part)
-    return out
+            train, test = known.where("role = 'train'"), known.where("role = 'test'")
+            parts = [historical_frequency(train, test, target).select(F.lit(f"{target}/base_rate").alias("model"), F.col(target).cast("double").alias("y"), "p")]
+            for name, features in groups.items():
+                model = fit_logistic(train, features, target, c)
+                parts.append(test.select(F.lit(f"{target}/{name}").alias("model"), F.col(target).cast("double").alias("y"), model.probability().alias("p")))
+                order = sorted(model.weights.items(), key=lambda t: (-abs(t[1]), t[0]))
+                told += [(f"{target}/{name}", f, w, k) for k, (f, w) in enumerate(order, 1)]
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+    return out, spark.createDataFrame(told, "model string, feature string, coefficient double, rank int")

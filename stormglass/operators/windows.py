@@ -150,6 +150,20 @@ def row_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFra
     return dealt.join(offsets, "part_").withColumn(name, F.col("offset_") + F.col("local_")).drop("part_", "mono_", "local_", "offset_")
 
 
+def running_sum(df: DataFrame, order: list[str | Column], value: str, by: list[str], name: str = "upto") -> DataFrame:
+    """df with the sum of value over the rows up to here in the order, for each key of by (never null).
+
+    order begins with the keys. No key is sorted in one task: ranges of the order are summed on
+    their own, and each adds what the ranges before it hold, one row a key and range.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    local = dealt.withColumn(name, F.sum(value).over(Window.partitionBy("part_", *by).orderBy(*order)))
+    sizes = dealt.groupBy(*by, "part_").agg(F.sum(value).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*by, "part_", before.alias("offset_"))
+    return local.join(offsets, [*by, "part_"]).withColumn(name, F.col(name) + F.col("offset_")).drop("part_", "offset_")
+
+
 def with_halo(df: DataFrame, index: str, chunk: int, halo: int, keys: Keys) -> DataFrame:
     """df in chunks of `chunk` rows by index, each with copies of the `halo` rows before it (is_halo).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 K, T = ["entity"], "date"
+#: The event types of the test tables: tickers of the bars, features of the store.
+_TICKERS = ["click", "error", "purchase", "signup", "view"]
+_WIDE = ", ".join(f"max(ret) FILTER (ticker = '{t}') AS {t}" for t in _TICKERS)
 
 
 def P() -> Column:
@@ -164,18 +168,27 @@ def clean_column_names(spark, sf_dir):
 # -- joins -------------------------------------------------------------------------------
 
 
-@query(f"WITH {frames.STORE}, {frames.FORECASTS}, clicks AS (SELECT entity, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, earliest_valid_prediction_timestamp AS available FROM store WHERE feature_name = 'click') SELECT f.entity, f.forecast_timestamp, c.event_id, c.value, c.available FROM forecasts f ASOF LEFT JOIN (SELECT entity, available, max(event_id) AS event_id, arg_max(struct_pack(v := value), event_id).v AS value FROM clicks GROUP BY 1, 2) c ON f.entity = c.entity AND f.forecast_timestamp >= c.available")
+@query(f"""WITH {frames.STORE}, {frames.FORECASTS},
+records AS (SELECT entity, event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS value, earliest_valid_prediction_timestamp AS available FROM store),
+latest AS (SELECT entity, available, max(event_id) AS event_id, arg_max(struct_pack(v := value), event_id).v AS value FROM records GROUP BY 1, 2)
+SELECT f.entity, f.forecast_timestamp, c.event_id, c.value, c.available
+FROM forecasts f ASOF LEFT JOIN latest c ON f.entity = c.entity AND f.forecast_timestamp >= c.available""")
 def as_of_join(spark, sf_dir):
-    store = frames.feature_store(spark, sf_dir).where("feature_name = 'click'")
+    store = frames.feature_store(spark, sf_dir)
     records = store.select("entity", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), F.col("earliest_valid_prediction_timestamp").alias("available"))
     return pit.as_of_join(frames.forecasts(spark, sf_dir), records, ["entity"], available="available", tie=["event_id"])
 
 
-_MATRIX = f"WITH {frames.STORE}, {frames.FORECASTS}, rec AS (SELECT entity, feature_name, earliest_valid_prediction_timestamp AS available, max(value) AS value FROM store GROUP BY 1, 2, 3), matrix AS (SELECT f.entity, f.forecast_timestamp, a.value AS click, a.available AS click__available_at, b.value AS purchase, b.available AS purchase__available_at FROM forecasts f ASOF LEFT JOIN (SELECT * FROM rec WHERE feature_name = 'click') a ON f.entity = a.entity AND f.forecast_timestamp >= a.available ASOF LEFT JOIN (SELECT * FROM rec WHERE feature_name = 'purchase') b ON f.entity = b.entity AND f.forecast_timestamp >= b.available)"
+_MATRIX = (
+    f"WITH {frames.STORE}, {frames.FORECASTS}, rec AS (SELECT entity, feature_name, earliest_valid_prediction_timestamp AS available, max(value) AS value FROM store GROUP BY 1, 2, 3), "
+    + "matrix AS (SELECT f.entity, f.forecast_timestamp, " + ", ".join(f"{t}_.value AS {t}, {t}_.available AS {t}__available_at" for t in _TICKERS) + " FROM forecasts f "
+    + " ".join(f"ASOF LEFT JOIN (SELECT * FROM rec WHERE feature_name = '{t}') {t}_ ON f.entity = {t}_.entity AND f.forecast_timestamp >= {t}_.available" for t in _TICKERS)
+    + ")"
+)
 
 
 def _matrix(spark, sf_dir):
-    return pit.pit_feature_matrix(frames.forecasts(spark, sf_dir), frames.feature_store(spark, sf_dir), ["click", "purchase"], ["entity"])
+    return pit.pit_feature_matrix(frames.forecasts(spark, sf_dir), frames.feature_store(spark, sf_dir), None, ["entity"])
 
 
 @query(f"{_MATRIX} SELECT * FROM matrix")
@@ -183,7 +196,7 @@ def pit_feature_matrix(spark, sf_dir):
     return _matrix(spark, sf_dir)
 
 
-@query(f"{_MATRIX} SELECT 'click__available_at' AS \"column\", count(*) FILTER (click__available_at > forecast_timestamp - INTERVAL 1 HOUR) AS violations FROM matrix UNION ALL SELECT 'purchase__available_at', count(*) FILTER (purchase__available_at > forecast_timestamp - INTERVAL 1 HOUR) FROM matrix")
+@query(f"{_MATRIX} " + " UNION ALL ".join(f"SELECT '{t}__available_at' AS \"column\", count(*) FILTER ({t}__available_at > forecast_timestamp - INTERVAL 1 HOUR) AS violations FROM matrix" for t in _TICKERS))
 def validate_no_future_availability(spark, sf_dir):
     earlier = _matrix(spark, sf_dir).withColumn("forecast_timestamp", F.timestamp_add("HOUR", F.lit(-1), F.col("forecast_timestamp")))
     return pit.future_availability(earlier)
@@ -217,7 +230,7 @@ def stress_panel_join(spark, sf_dir):
 
 
 _CORR = "CASE WHEN stddev_samp({a}) > 0 AND stddev_samp({b}) > 0 THEN covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) END"
-_RANKED = f"WITH {frames.RETURNS}, x AS (SELECT r.ticker, r.ts, r.ret AS a, s.ret AS b FROM returns r JOIN returns s ON r.ts = s.ts AND s.ticker = 'click' WHERE r.ticker <> 'click' AND r.ret IS NOT NULL AND s.ret IS NOT NULL), early AS (SELECT ticker, {_CORR.format(a='a', b='b')} AS c FROM x WHERE hour(ts) < 12 GROUP BY 1), late AS (SELECT ticker, {_CORR.format(a='a', b='b')} AS c FROM x WHERE hour(ts) >= 12 AND ticker <> 'view' GROUP BY 1)"
+_RANKED = f"WITH {frames.RETURNS}, x AS (SELECT r.ticker, r.ts, r.ret AS a, s.ret AS b FROM returns r JOIN returns s ON r.ts = s.ts AND s.ticker = 'click' WHERE r.ticker <> 'click' AND r.ret IS NOT NULL AND s.ret IS NOT NULL), early AS (SELECT ticker, {_CORR.format(a='a', b='b')} AS c FROM x WHERE hour(ts) < 12 GROUP BY 1), late AS (SELECT ticker, {_CORR.format(a='a', b='b')} AS c FROM x WHERE hour(ts) >= 12 GROUP BY 1)"
 
 
 @query(f"{_RANKED} SELECT coalesce(e.ticker, l.ticker) AS root, {R('e.c')} AS corr_am, {R('l.c')} AS corr_pm, CASE coalesce(e.ticker, l.ticker) WHEN 'view' THEN 'traffic' WHEN 'purchase' THEN 'sales' ELSE 'Other' END AS grp FROM early e FULL JOIN late l ON e.ticker = l.ticker")
@@ -226,22 +239,23 @@ def compare_correlations(spark, sf_dir):
     ref = r.where("ticker = 'click'").select("ts", F.col("ret").alias("b"))
     x = r.where("ticker <> 'click'").join(ref, "ts")
     ranked = lambda rows, name: rows.groupBy(F.col("ticker").alias("root")).agg(col_fns.guarded_corr(F.col("ret"), F.col("b")).alias(name))
-    am, pm = ranked(x.where(F.hour("ts") < 12), "corr_am"), ranked(x.where((F.hour("ts") >= 12) & (F.col("ticker") != "view")), "corr_pm")
+    am, pm = ranked(x.where(F.hour("ts") < 12), "corr_am"), ranked(x.where(F.hour("ts") >= 12), "corr_pm")
     groups = F.broadcast(spark.sql("SELECT * FROM VALUES ('view', 'traffic'), ('purchase', 'sales') AS v(root, grp)"))
     return rounded(am.join(pm, "root", "outer").join(groups, "root", "left").withColumn("grp", F.coalesce("grp", F.lit("Other"))))
 
 
 # -- reshape -----------------------------------------------------------------------------
 
-_TICKERS = ["click", "purchase", "view"]
+_CLOSES = ", ".join(f"max(close) FILTER (ticker = '{t}') AS {t}" for t in _TICKERS)
 
 
-@query(f"WITH {frames.BARS} SELECT ts, max(close) FILTER (ticker = 'click') AS click, max(close) FILTER (ticker = 'purchase') AS purchase, max(close) FILTER (ticker = 'view') AS view FROM bars GROUP BY ts")
+@query(f"WITH {frames.BARS} SELECT ts, {_CLOSES} FROM bars GROUP BY ts")
 def price_panel(spark, sf_dir):
     return panel.pivot_last(frames.bars(spark, sf_dir), "ts", "ticker", "close", "volume", _TICKERS)
 
 
-@query(f"WITH {frames.RETURNS}, wide AS (SELECT ts, max(ret) FILTER (ticker = 'click') AS click, max(ret) FILTER (ticker = 'purchase') AS purchase, max(ret) FILTER (ticker = 'view') AS view FROM returns GROUP BY ts) SELECT ts, {R('click')} AS click, {R('purchase')} AS purchase, {R('view')} AS view FROM wide WHERE coalesce(click, purchase, view) IS NOT NULL")
+@query(f"""WITH {frames.RETURNS}, wide AS (SELECT ts, {_WIDE} FROM returns GROUP BY ts)
+SELECT ts, {', '.join(f'{R(t)} AS {t}' for t in _TICKERS)} FROM wide WHERE coalesce({', '.join(_TICKERS)}) IS NOT NULL""")
 def return_panel(spark, sf_dir):
     return rounded(panel.return_panel(frames.bars(spark, sf_dir), "ts", "ticker", "close", _TICKERS))
 
@@ -267,11 +281,13 @@ def root_panel(spark, sf_dir):
     return rounded(panel.root_panel(panel.constant_tenor(frames.chain(spark, sf_dir), frames.TIE, target_days=(30,), fields=["atm"]), "atm", 30))
 
 
-@query(f"WITH {frames.BARS}, s AS (SELECT ticker, 'click' AS part, close FROM bars WHERE ticker = 'click' UNION ALL SELECT ticker, 'view', close FROM bars WHERE ticker = 'view') SELECT part, count(*) AS n FROM (SELECT DISTINCT * FROM s) GROUP BY part")
+@query(f"""WITH {frames.BARS}, s AS ({' UNION ALL '.join(f"SELECT ticker, '{t}' AS part, close FROM bars WHERE ticker = '{t}'" for t in _TICKERS)})
+SELECT part, count(*) AS n FROM (SELECT DISTINCT * FROM s) GROUP BY part""")
 def union_frames(spark, sf_dir):
     b = frames.bars(spark, sf_dir)
-    parts = [b.where(F.col("ticker") == t).select("ticker", F.lit(t).alias("part"), "close") for t in ("click", "view")]
-    return parts[0].unionByName(parts[1]).dropDuplicates().groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parts = [b.where(F.col("ticker") == t).select("ticker", F.lit(t).alias("part"), "close") for t in _TICKERS]
+    stacked = functools.reduce(DataFrame.unionByName, parts)
+    return stacked.dropDuplicates().groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- aggregations ------------------------------------------------------------------------
@@ -496,14 +512,16 @@ def rolling_event_frequency(spark, sf_dir):
 
 _BUILD = f"""{_RET}, v AS (SELECT *, CASE WHEN count(ret) OVER {_frame(20)} >= 5 THEN stddev_samp(ret) OVER {_frame(20)} * sqrt(252) END AS vol FROM r),
 cuts AS (SELECT entity, quantile_cont(vol, 0.95) AS vol_cut, quantile_cont(credit, 0.9) AS credit_cut FROM v GROUP BY entity),
-a AS (SELECT v.*, lead(price, 20) OVER w IS NOT NULL AS known, min(price) OVER {_NEXT20} / price - 1 AS dd, max(vol) OVER {_NEXT20} >= vol_cut AS hot, max(vix) OVER {_NEXT20} > 35 AS fear, coalesce(max(credit) OVER {_NEXT20} >= credit_cut, false) AS tight
+a AS (SELECT v.*, lead(price, 20) OVER w IS NOT NULL AS known, lead(vol, 20) OVER w IS NOT NULL AS vol_known, lead(vix, 20) OVER w IS NOT NULL AS vix_known,
+             min(price) OVER {_NEXT20} / price - 1 AS dd, coalesce(max(vol) OVER {_NEXT20} >= vol_cut, false) AS hot, coalesce(max(vix) OVER {_NEXT20} >= 35, false) AS fear,
+             coalesce(max(credit) OVER {_NEXT20} >= credit_cut, false) AS tight
       FROM v JOIN cuts USING (entity) WINDOW w AS ({_W})),
-b AS (SELECT *, CASE WHEN known THEN coalesce(dd <= -0.05, false)::INT::DOUBLE END AS label FROM a),
+b AS (SELECT *, CASE WHEN known THEN coalesce(dd <= -0.05, false)::INT::DOUBLE END AS label, CASE WHEN vol_known THEN hot::INT::DOUBLE END AS vol_label, CASE WHEN vix_known THEN fear::INT::DOUBLE END AS vix_label FROM a),
 c AS (SELECT *, coalesce(lag(label) OVER ({_W}), 0) AS p, row_number() OVER ({_W}) AS rn FROM b)
-SELECT entity, date, {R('dd')} AS forward_drawdown, label AS drawdown_5pct_h20, CASE WHEN known THEN coalesce(hot, false)::INT::DOUBLE END AS realized_vol_top_5pct_h20, CASE WHEN known THEN coalesce(fear, false)::INT::DOUBLE END AS vix_gt_35_h20,
-       CASE WHEN known THEN (label = 1 AND (coalesce(hot, false) OR coalesce(fear, false)) AND tight)::INT::DOUBLE END AS joint_stress_h20,
+SELECT entity, date, 20 AS forecast_horizon_days, {R('dd')} AS forward_drawdown, label AS drawdown_5pct_h20, vol_label AS realized_vol_top_5pct_h20, vix_label AS vix_gt_35_h20,
+       CASE WHEN label IS NOT NULL THEN (label = 1 AND (coalesce(vol_label = 1, false) OR coalesce(vix_label = 1, false)) AND tight)::INT::DOUBLE END AS joint_stress_h20,
        CASE WHEN label IS NULL THEN 'insufficient_forward_window' WHEN label = 1 AND p = 1 THEN 'continuation' WHEN label = 1 THEN 'onset' WHEN p = 1 THEN 'recovery' ELSE 'calm' END AS event_phase,
-       CASE WHEN label = 1 THEN sum((label = 1 AND p <> 1)::INT) OVER ({_W})::BIGINT END AS event_id, coalesce(label = 1, false) AS overlapping_event_window,
+       CASE WHEN label = 1 THEN sum((label = 1 AND p <> 1)::INT) OVER ({_W})::BIGINT END AS event_id, coalesce(label = 1 AND p = 1, false) AS overlapping_event_window,
        (min(CASE WHEN label = 1 AND p <> 1 THEN rn END) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - rn)::INT AS time_to_next_event
 FROM c"""
 
@@ -563,17 +581,48 @@ def build_daily_panel(spark, sf_dir):
     return rounded(_panel_frame(spark, sf_dir).drop("ret_micro", "price", "vix3m", "credit"))
 
 
-@query(f"{_ALIGNED}, target AS (SELECT ts, lead(large_abs::INT) OVER (ORDER BY ts) AS next_abs, lead(large_down::INT) OVER (ORDER BY ts) AS next_down, threshold_ready FROM ev), wide AS (SELECT ts, max(ret) FILTER (ticker = 'click') AS click, max(ret) FILTER (ticker = 'purchase') AS purchase, max(ret) FILTER (ticker = 'view') AS view FROM returns GROUP BY ts) SELECT ts, {R('click')} AS click, {R('purchase')} AS purchase, {R('view')} AS view, {R('view - click')} AS view_spread, next_abs, next_down FROM wide JOIN target USING (ts) WHERE threshold_ready")
+#: Rolling state of the reference, over the rows of the panel: name -> (rows, least rows).
+_STATE = ["ref_vol_20", "ref_vol_60", "ref_abs_20", "price_spread", "price_ratio", "click_spread"]
+
+
+def _rolls(expression: str, n: int, least: int) -> str:
+    w = f"(ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(click) OVER {w} >= {least} THEN {expression} OVER {w} END"
+
+
+@query(f"""{_EVENTS},
+target AS (SELECT ts, lead(large_abs::INT) OVER (ORDER BY ts) AS next_abs, lead(large_down::INT) OVER (ORDER BY ts) AS next_down, threshold_ready FROM ev),
+wide AS (SELECT ts, {_WIDE}, max(close) FILTER (ticker = 'purchase') - max(close) FILTER (ticker = 'view') AS price_spread,
+                CASE WHEN max(close) FILTER (ticker = 'view') <> 0 THEN max(close) FILTER (ticker = 'purchase') / max(close) FILTER (ticker = 'view') - 1 END AS price_ratio
+         FROM returns GROUP BY ts),
+state AS (SELECT *, {_rolls('stddev_samp(click)', 20, 10)} AS ref_vol_20, {_rolls('stddev_samp(click)', 60, 20)} AS ref_vol_60, {_rolls('avg(abs(click))', 20, 10)} AS ref_abs_20 FROM wide)
+SELECT ts, {', '.join(f'{R(t)} AS {t}' for t in _TICKERS)}, {R('ref_vol_20')} AS ref_vol_20, {R('ref_vol_60')} AS ref_vol_60, {R('ref_abs_20')} AS ref_abs_20,
+       {R('price_spread')} AS price_spread, {R('price_ratio')} AS price_ratio, {R('view - click')} AS view_spread, {R('purchase - click')} AS click_spread, next_abs, next_down
+FROM state JOIN target USING (ts) WHERE threshold_ready""")
 def predictive_frame(spark, sf_dir):
     return rounded(_predictive(spark, sf_dir))
 
 
 def _predictive(spark, sf_dir, names=tuple(_TICKERS)):
+    """Returns, rolling state and spreads known at a bar's close; the next reference bar's flags; ready rows."""
     ev = _events(spark, sf_dir)
     w = Window.partitionBy("ticker").orderBy("ts")
-    target = ev.select("ts", F.lead(F.col("large_abs").cast("int")).over(w).alias("next_abs"), F.lead(F.col("large_down").cast("int")).over(w).alias("next_down"), "threshold_ready")
-    wide = frames.returns(spark, sf_dir).groupBy("ts").pivot("ticker", list(names)).agg(F.max("ret"))
-    return wide.join(target, "ts").where("threshold_ready").select("ts", *names, (F.col("view") - F.col("click")).alias("view_spread"), "next_abs", "next_down")
+    flag = lambda c: F.lead(F.col(c).cast("int")).over(w)
+    target = ev.select("ts", flag("large_abs").alias("next_abs"), flag("large_down").alias("next_down"), "threshold_ready")
+    returns = frames.returns(spark, sf_dir)
+    close = lambda t: F.max(F.when(F.col("ticker") == t, F.col("close")))
+    prices = returns.groupBy("ts").agg((close("purchase") - close("view")).alias("price_spread"), (F.try_divide(close("purchase"), close("view")) - 1).alias("price_ratio"))
+    wide = returns.groupBy("ts").pivot("ticker", list(names)).agg(F.max("ret")).join(prices, "ts").withColumn("reference", F.lit("click"))
+    ref, by = F.col("click"), ["reference"]
+    state = {
+        "ref_vol_20": win.enough(ref, win.trailing(by, "ts", 20), 10, F.stddev_samp(ref).over(win.trailing(by, "ts", 20))),
+        "ref_vol_60": win.enough(ref, win.trailing(by, "ts", 60), 20, F.stddev_samp(ref).over(win.trailing(by, "ts", 60))),
+        "ref_abs_20": win.rolling_mean_abs(ref, by, "ts", 20, 10),
+        "view_spread": F.col("view") - ref,
+        "click_spread": F.col("purchase") - ref,
+    }
+    ready = wide.withColumns(state).join(target, "ts").where("threshold_ready")
+    return ready.select("ts", *names, *_STATE, "view_spread", "next_abs", "next_down")
 
 
 # -- top k -------------------------------------------------------------------------------
@@ -703,24 +752,41 @@ def feature_group_holdout(spark, sf_dir):
     return rounded(metrics.probability_metrics(models.feature_group_holdout(_holdout_panel(spark, sf_dir), groups, ["event_dd5_h20", "event_dd5_h60"])), 4)
 
 
+def _event_types(spark, sf_dir):
+    return sorted(r[0] for r in frames.table(spark, sf_dir, "events").where("event_type is not null").select("event_type").distinct().collect())
+
+
+def _screened(spark, sf_dir):
+    names = _event_types(spark, sf_dir)
+    rows = win.row_index(_predictive(spark, sf_dir, names), ["ts"]).withColumn("k", F.lit(1))
+    rows = rows.join(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")), "k")
+    groups = {"logit_returns": names, "logit_all": [*names, "view_spread", *_STATE]}
+    return models.predictive_screen(splits.chronological(rows, 0.7), groups, ["next_abs", "next_down"])
+
+
 @query()
 def predictive_screen(spark, sf_dir):
-    names = sorted(r[0] for r in frames.table(spark, sf_dir, "events").where("event_type is not null").select("event_type").distinct().collect())
-    rows = splits.indexed(_predictive(spark, sf_dir, names).withColumn("k", F.lit(1)), ["k"], "ts")
-    scored = models.predictive_screen(splits.chronological(rows, 0.7), [*names, "view_spread"], ["next_abs", "next_down"])
-    return rounded(metrics.probability_metrics(scored), 4)
+    """Scores of the next bar's events by a base rate and two logits."""
+    return rounded(metrics.probability_metrics(_screened(spark, sf_dir)[0]), 4)
+
+
+@query()
+def predictive_screen_coefficients(spark, sf_dir):
+    return rounded(_screened(spark, sf_dir)[1], 4)
 
 
 @query()
 def baseline_suite(spark, sf_dir):
-    """Four evaluations of one model side by side: shuffled, constant, chronological, last purged fold."""
-    rows = _panel_frame(spark, sf_dir).where("event_dd5_h20 is not null").select("entity", "date", *_FEATURES, F.col("event_dd5_h20").alias("y"))
+    """Four evaluations side by side: shuffled with leaked features, constant, chronological, last purged fold."""
+    rows = _panel_frame(spark, sf_dir).where("event_dd5_h20 is not null").select("entity", "date", *_FEATURES, F.col("event_dd5_h20").alias("y"), "forward_dd_20", F.col("event_dd10_h20").alias("leaked_next"))
+    rows = rows.withColumnRenamed("forward_dd_20", "leaked_drawdown")
+    leaky = [*_FEATURES, "leaked_drawdown", "leaked_next"]
     numbered = splits.indexed(rows, K, T)
     chrono = splits.chronological(numbered, 0.7)
     purged = splits.purged_folds(numbered, K, 3, 20, 5).where("fold = 2")
     shuffled = splits.stratified_random(rows, "y", ["entity", "date"])
     out = None
-    for name, split, features in (("leaky_random", shuffled, _FEATURES), ("naive", chrono, []), ("chronological", chrono, _FEATURES), ("purged", purged, _FEATURES)):
+    for name, split, features in (("leaky_random", shuffled, leaky), ("naive", chrono, []), ("chronological", chrono, _FEATURES), ("purged", purged, _FEATURES)):
         part = models.feature_group_holdout(split, {name: features}, ["y"])
         out = part if out is None else out.unionByName(part)
     return rounded(metrics.probability_metrics(out), 4)
