@@ -6,21 +6,25 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir, which a cluster's machines share, and read it back.
+def new_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which a cluster's machines share.
 
-    A session on one machine (tests) gets a folder of its own where that setting is missing; a cluster raises.
+    A session on one machine (tests) gets a root of its own where that setting is missing; a cluster raises.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to a new folder of the shared root and read it back: lineage ends there."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,14 +22,22 @@ def window_sizes(per_date: float, days: int = 20, least: int = 60) -> tuple[int,
     return width, max(least, round(0.35 * width))
 
 
-def impulse_events(returns: DataFrame, keys: list[str], width: int, least: int, q: float = 0.95, time: str = "ts", ret: str = "ret") -> DataFrame:
-    """Flags of bars whose absolute return reaches the quantile of the `width` bars before."""
+def impulse_events(returns: DataFrame, keys: list[str], q: float = 0.95, days: int = 20, least: int = 60, time: str = "ts", ret: str = "ret") -> DataFrame:
+    """Flags of bars whose absolute return reaches the quantile of the bars before, over so many days of bars.
+
+    rolling_window_bars and estimated_bars_per_date say how wide the window is; bars without a
+    return are left out.
+    """
+    rows = returns.where(F.col(ret).isNotNull())
+    per_date = bars_per_date(rows, time)
+    width, enough = window_sizes(per_date, days, least)
     before = Window.partitionBy(*keys).orderBy(time).rowsBetween(-width, -1)
     size = F.abs(ret)
-    threshold = F.when(F.count(size).over(before) >= least, F.percentile(size, F.lit(q)).over(before))
-    out = returns.where(F.col(ret).isNotNull()).withColumn("abs_ret", size).withColumn("threshold", threshold)
+    threshold = F.when(F.count(size).over(before) >= enough, F.percentile(size, F.lit(q)).over(before))
+    out = rows.withColumn("abs_ret", size).withColumn("threshold", threshold)
     big = F.coalesce(F.col("abs_ret") >= F.col("threshold"), F.lit(False))
-    return out.withColumns({"threshold_ready": F.col("threshold").isNotNull(), "large_abs": big, "large_down": big & (F.col(ret) < 0), "large_up": big & (F.col(ret) > 0)})
+    flags = {"threshold_ready": F.col("threshold").isNotNull(), "large_abs": big, "large_down": big & (F.col(ret) < 0), "large_up": big & (F.col(ret) > 0)}
+    return out.withColumns(flags | {"rolling_window_bars": F.lit(width), "estimated_bars_per_date": F.lit(float(per_date))})
 
 
 def impulse_summary(events: DataFrame, ret: str = "ret") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,7 +15,7 @@ def conditional_lift(panel: DataFrame, specs: dict[str, tuple[str, str]], target
     """
     keys = keys or []
     cuts = panel.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.9 if side == "high" else 0.1)).alias(f"cut_{k}") for k, (c, side) in enumerate(specs.values())])
-    joined = panel.join(F.broadcast(cuts), keys) if keys else panel.crossJoin(F.broadcast(cuts))
+    joined = panel.join(cuts, keys) if keys else panel.crossJoin(F.broadcast(cuts))
     flags = [F.struct(F.lit(label).alias("indicator"), F.coalesce((F.col(c) >= F.col(f"cut_{k}")) if side == "high" else (F.col(c) <= F.col(f"cut_{k}")), F.lit(False)).alias("inside")) for k, (label, (c, side)) in enumerate(specs.items())]
     rows = joined.select(*keys, F.explode(F.array(*flags)).alias("i"), F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets]).alias("ts"))
     rows = rows.select(*keys, "i.*", F.explode("ts").alias("t")).select(*keys, "indicator", "inside", "t.*")
@@ -26,6 +26,27 @@ def conditional_lift(panel: DataFrame, specs: dict[str, tuple[str, str]], target
     return out.withColumn("lift", F.try_divide("conditional_rate", "base_rate"))
 
 
+def indicator_table(panel: DataFrame, specs: dict[str, tuple[str, str, float]], targets: list[str], keys: list[str]) -> DataFrame:
+    """Per key, target and indicator: coverage, base rate, rate where the indicator holds, lift, and rank by lift.
+
+    specs: label -> (column, test, level), where test is "above", "below", "at_most" or "top"
+    (at or above the quantile `level` of the key). All quantiles are one aggregation.
+    """
+    tops = {k: (c, q) for k, (c, test, q) in enumerate(specs.values()) if test == "top"}
+    cuts = panel.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(f"cut_{k}") for k, (c, q) in tops.items()], F.count(F.lit(1)).alias("rows_"))
+    tests = {"above": lambda c, k, x: c > x, "below": lambda c, k, x: c < x, "at_most": lambda c, k, x: c <= x, "top": lambda c, k, x: c >= F.col(f"cut_{k}")}
+    flags = [F.struct(F.lit(label).alias("indicator"), F.coalesce(tests[test](F.col(c), k, x), F.lit(False)).alias("inside")) for k, (label, (c, test, x)) in enumerate(specs.items())]
+    ys = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])
+    rows = panel.join(cuts, keys).select(*keys, F.array(*flags).alias("is"), F.explode(ys).alias("t")).select(*keys, "t.*", F.explode("is").alias("i")).select(*keys, "target", "y", "i.*")
+    valid = F.col("inside") & F.col("y").isNotNull()
+    out = rows.groupBy(*keys, "target", "indicator").agg(
+        (F.count_if(valid) / F.count(F.lit(1))).alias("coverage"), F.avg("y").alias("base_rate"), F.avg(F.when(F.col("inside"), F.col("y"))).alias("conditional_rate"),
+    )
+    out = out.withColumn("lift", F.try_divide("conditional_rate", "base_rate"))
+    order = Window.partitionBy(*keys, "target").orderBy(F.round("lift", 9).desc_nulls_last(), "indicator")
+    return out.withColumn("rank", F.row_number().over(order))
+
+
 def quantile_bins(df: DataFrame, x: str, bins: int = 10, name: str = "decile") -> DataFrame:
     """Right-closed bins at exact quantiles, the lowest edge included, equal edges merged; from 1."""
     edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("edges_"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.functions.columns import guarded_corr
+from stormglass.functions.scratch import cut
 from stormglass.operators.impulse import SAMPLES, sample_flags
 from stormglass.operators.windows import row_index
 
@@ -57,75 +58,134 @@ def correlation_of(n: int, sums: np.ndarray, cross: np.ndarray) -> np.ndarray:
         return cov / np.outer(std, std)
 
 
-def conditional_pca(aligned: DataFrame, time: str = "ts", key: str = "ticker", reference: str = "", least: int = 30, components: int = 5) -> DataFrame:
-    """Per sample and component: rows, explained and cumulative ratio, correlation with the reference, loadings.
+def conditional_pca(aligned: DataFrame, time: str = "ts", key: str = "ticker", reference: str = "", least: int = 30, components: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(summary, loadings) per sample and component.
 
-    Drivers are chosen from the counts of their null patterns: too sparse or constant ones go,
-    then the sparsest, until enough complete rows are left. One pass then gathers the Gram
-    matrices, reference included, and scores are never made: corr(score, ref) = v . c / sqrt(lambda).
+    summary: status, rows, drivers, explained and cumulative ratio, correlation with the
+    reference, and the three strongest drivers of either sign; a sample without enough
+    complete rows has one row that says so. loadings: one row a driver, turned so that the
+    component moves with the reference.
+
+    Drivers that are too sparse or constant go, then the sparsest, until enough complete rows
+    are left. That order depends on the counts alone, so one histogram of how many of the
+    ordered drivers a row has before its first gap answers every step. One pass then gathers
+    the Gram matrix, reference included, and scores are never made: corr(score, ref) =
+    v . c / sqrt(lambda).
     """
     spark = aligned.sparkSession
     flagged = aligned.withColumn("sample", F.explode(sample_flags()))
     names = sorted(r[0] for r in aligned.where(F.col(key) != reference).select(key).distinct().collect())
-    wide = flagged.groupBy("sample", time).pivot(key, names).agg(F.max("ret")).join(flagged.groupBy("sample", time).agg(F.max("ref_ret").alias("ref_")), ["sample", time]).cache()
-    patterns = wide.groupBy("sample", F.array(*[F.col(f"`{n}`").isNotNull() for n in names]).alias("mask")).agg(F.count(F.lit(1)).alias("n")).collect()
-    spread = {r["sample"]: r for r in wide.groupBy("sample").agg(*[F.stddev_samp(f"`{n}`").alias(n) for n in names]).collect()}
-    out = []
+    ref = flagged.groupBy("sample", time).agg(F.max("ref_ret").alias("ref_"))
+    wide = cut(flagged.groupBy("sample", time).pivot(key, names).agg(F.max("ret")).join(ref, ["sample", time]))
+    cells = [F.count(f"`{n}`").alias(f"n_{k}") for k, n in enumerate(names)] + [F.stddev_samp(f"`{n}`").alias(f"s_{k}") for k, n in enumerate(names)]
+    stats = {r["sample"]: r for r in wide.groupBy("sample").agg(*cells).collect()}
+    summary, loadings = [], []
     for sample in SAMPLES[1:]:
-        rows = [(np.array(r["mask"]), r["n"]) for r in patterns if r["sample"] == sample]
-        count = {n: sum(c for m, c in rows if m[k]) for k, n in enumerate(names)}
-        use = [n for n in names if count[n] >= least and (spread[sample][n] or 0) > 0] if sample in spread else []
-        complete = lambda u: sum(c for m, c in rows if all(m[names.index(n)] for n in u))  # noqa: B023, E731
-        while len(use) > 1 and complete(use) < least:
-            use.remove(min(sorted(use, key=lambda n: -count[n]), key=lambda n: count[n]))  # noqa: B023
-        if len(use) < 2 or complete(use) < least:
-            out.append((sample, 0, 0, None, None, None, "insufficient_complete_rows"))
+        seen = stats.get(sample)
+        fit = [k for k in range(len(names)) if seen and seen[f"n_{k}"] >= least and (seen[f"s_{k}"] or 0) > 0]
+        # the earliest of equally sparse drivers goes first, so it stands last
+        order = [names[k] for k in sorted(fit, key=lambda k: (-seen[f"n_{k}"], -k))]  # noqa: B023
+        rows = wide.where(F.col("sample") == sample)
+        use, n_rows = _complete_drivers(rows, order, least)
+        if len(use) < 2:
+            summary.append((sample, None, "insufficient_complete_rows", 0, 0, None, None, None, None, None))
             continue
-        n, sums, cross = gram(wide.where(F.col("sample") == sample), [*use, "ref_"], "sample")[sample]
+        use = [n for n in names if n in use]
+        n, sums, cross = gram(rows, [*use, "ref_"], "sample")[sample]
         corr = correlation_of(n, sums, cross)
         values, vectors = np.linalg.eigh(corr[:-1, :-1])
-        order = np.argsort(values)[::-1][:components]
         total = 0.0
-        for k, i in enumerate(order, 1):
+        for k, i in enumerate(np.argsort(values)[::-1][: min(components, len(use), n - 1)], 1):
             v, share = vectors[:, i], float(max(values[i], 0.0) / len(use))
             total += share
             # a component without variance has no scores to correlate
             with_ref = float(v @ corr[:-1, -1] / np.sqrt(values[i])) if values[i] > 1e-9 else float("nan")
-            sign = np.sign(with_ref) if np.isfinite(with_ref) and with_ref else np.sign(v[np.argmax(np.abs(v))])
-            top = sorted(zip(use, v * sign, strict=True), key=lambda t: -abs(t[1]))[:3]
-            out.append((sample, k, int(n), share, total, abs(with_ref) if np.isfinite(with_ref) else None, ", ".join(f"{a}:{b:.4f}" for a, b in top)))
-    wide.unpersist()
-    return spark.createDataFrame(out, "sample string, component int, n_rows long, explained double, cumulative double, abs_corr_reference double, loadings string")
-
-
-def rolling_absorption(wide: DataFrame, columns: list[str], time: str, width: int, step: int, least_rows: int, least_columns: int = 2, share: float = 0.8, top: int = 3, chunk_ends: int = 64) -> DataFrame:
-    """Share of variance in the first components, for windows that end every `step` rows; the last row never ends one.
-
-    Rows are dealt to chunks of window ends with the rows before them as halo, so each task
+            known = np.isfinite(with_ref)
+            turned = v * (np.sign(with_ref) if known and with_ref else np.sign(v[np.argmax(np.abs(v))]))
+            strongest = sorted(zip(use, turned.tolist(), strict=True), key=lambda t: -abs(t[1]))
+            up, down = (", ".join([d for d, x in strongest if x * side > 0][:3]) for side in (1, -1))
+            strength = abs(with_ref) if known else None
+            summary.append((sample, k, "fit", int(n), len(use), share, total, strength, up, down))
+            loadings += [(sample, k, d, x, abs(x), share, strength) for d, x in zip(use, turned.tolist(), strict=True)]
+    first = spark.createDataFrame(summary, "sample string, component int, status string, n_rows long, n_drivers int, explained double, cumulative double, abs_corr_reference double, top_positive string, top_negative string")
+    return first, spark.createDataFrame(loadings, "sample string, component int, driver string, loading double, abs_loading double, explained double, abs_corr_reference double")
+
+
+def _complete_drivers(rows: DataFrame, order: list[str], least: int) -> tuple[list[str], int]:
+    """The longest head of the ordered drivers, two at least, that enough rows have complete; and how many rows have."""
+    if len(order) < 2:
+        return [], 0
+    gap = F.coalesce(*[F.when(F.col(f"`{n}`").isNull(), F.lit(k)) for k, n in enumerate(order)], F.lit(len(order)))
+    found = {r["k"]: r["n"] for r in rows.where(F.col("ref_").isNotNull()).groupBy(gap.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    for size in range(len(order), 1, -1):
+        n = sum(c for k, c in found.items() if k >= size)
+        if n >= least:
+            return order[:size], n
+    return [], 0
+
+
+def absorption(x: np.ndarray, least_rows: int, least_columns: int = 2, top: int = 3, share: float | None = None) -> tuple[int, int, float | None]:
+    """(complete rows, columns, share of variance in the first components) of one window.
+
+    With share, columns that are present in that share of rows stay. Without, columns with
+    least_rows values and a spread stay, and the sparsest go until least_rows rows are complete.
+    """
+    have = np.isfinite(x)
+    count = have.sum(axis=0)
+    if share is not None:
+        columns = np.flatnonzero(count >= share * max(1, len(x))).tolist()
+        full = x[:, columns][have[:, columns].all(axis=1)]
+    else:
+        spread = [len(x) > 1 and count[k] > 1 and x[have[:, k], k].std(ddof=1) > 0 for k in range(x.shape[1])]
+        columns = sorted((k for k in range(x.shape[1]) if count[k] >= least_rows and spread[k]), key=lambda k: (-count[k], -k))
+        full = x[:0]
+        while len(columns) >= 2 and len(full := x[:, columns][have[:, columns].all(axis=1)]) < least_rows:
+            columns.pop()
+        if len(columns) < 2:
+            return 0, len(columns), None
+    if len(full) < max(least_rows, 2) or len(columns) < least_columns:
+        return len(full), len(columns), None
+    varied = full[:, full.std(axis=0) > 0]
+    if varied.shape[1] < 2:
+        return len(full), len(columns), 1.0 if varied.shape[1] else None
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(varied, rowvar=False)))[::-1]
+    return len(full), len(columns), float(values[: min(top, len(full) - 1)].sum() / values.sum())
+
+
+def rolling_absorption(
+    wide: DataFrame, columns: list[str], time: str, width: int, step: int, least_rows: int, least_columns: int = 2, share: float | None = 0.8, top: int = 3, flag: str | None = None, chunk_ends: int = 64
+) -> DataFrame:
+    """Share of variance in the first components over windows of `width` rows, one every `step` rows.
+
+    A window has the time of its last row. Per window: n_rows (complete ones), n_columns,
+    absorption; with flag, a boolean column, also flagged_rows and flagged_absorption over its
+    flagged rows alone, of which a quarter of least_rows (8 at least) must be complete.
+
+    Rows are dealt to chunks of windows with the rows before them as halo, so each task
     computes its windows alone and a row is copied about width / (step x chunk_ends) times.
     """
     span = step * chunk_ends
-    rows = row_index(wide.select(time, *columns), [time], "i")
+    rows = row_index(wide.select(time, *[F.col(f"`{c}`") for c in columns], *([flag] if flag else [])), [time], "i")
     rows = rows.crossJoin(F.broadcast(rows.agg(F.max("i").alias("last")))).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("i") / span), F.floor((F.col("i") + width - 1) / span))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         i, x = pdf["i"].to_numpy(), pdf[columns].to_numpy(float)
+        marked = pdf[flag].fillna(False).to_numpy(bool) if flag else np.zeros(len(pdf), bool)
         chunk, last = int(pdf["chunk"].iloc[0]), int(pdf["last"].iloc[0])
         out = []
-        for end in range(chunk * span, min((chunk + 1) * span, last)):
-            if end < width or (end - width) % step:
+        # end is one past the window's last row; the reference's last end is the last row's index
+        for end in range(max(width, chunk * span + 1), min((chunk + 1) * span, last) + 1):
+            if (end - width) % step:
                 continue
-            window = x[(i >= end - width) & (i < end)]
-            here = window[:, np.isfinite(window).mean(axis=0) >= share] if len(window) else window
-            full = here[np.isfinite(here).all(axis=1)]
-            full = full[:, full.std(axis=0) > 0] if len(full) else full
-            value = None
-            if full.shape[1] >= least_columns and len(full) >= least_rows:
-                values = np.linalg.eigvalsh(np.corrcoef(full, rowvar=False))
-                value = float(np.sort(values)[::-1][:top].sum() / values.sum())
-            out.append((pdf[time].to_numpy()[np.searchsorted(i, end)], len(full), full.shape[1] if len(full) else 0, value))
-        return pd.DataFrame(out, columns=[time, "n_rows", "n_columns", "absorption"])
+            inside = (i >= end - width) & (i < end)
+            row = [pdf[time].iloc[int(np.searchsorted(i, end - 1))], *absorption(x[inside], least_rows, least_columns, top, share)]
+            if flag:
+                chosen = x[inside & marked]
+                row += [len(chosen), absorption(chosen, max(8, least_rows // 4), least_columns, top, share)[2]]
+            out.append(row)
+        return pd.DataFrame(out, columns=[time, "n_rows", "n_columns", "absorption", *(["flagged_rows", "flagged_absorption"] if flag else [])])
 
     kind = wide.schema[time].dataType.simpleString()
-    return rows.groupBy("chunk").applyInPandas(run, f"{time} {kind}, n_rows long, n_columns long, absorption double")
+    extra = ", flagged_rows long, flagged_absorption double" if flag else ""
+    return rows.groupBy("chunk").applyInPandas(run, f"{time} {kind}, n_rows long, n_columns long, absorption double{extra}")

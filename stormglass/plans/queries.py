@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormglass.functions import columns as col_fns
+from stormglass.functions import scratch
 from stormglass.operators import backtest, impulse, labels, lift, metrics, models, panel, pca, pit, splits
 from stormglass.operators import windows as win
 from stormglass.plans import frames
@@ -165,6 +166,20 @@ def clean_column_names(spark, sf_dir):
     return rows.withColumnsRenamed({c: col_fns.clean_name(c) for c in rows.columns})
 
 
+@query("SELECT s_suppkey, s_nationkey, s_name, unnest(['csv', 'parquet']) AS kind, (SELECT count(*) FROM supplier) AS n_rows FROM supplier")
+def load_save_tables(spark, sf_dir):
+    """Suppliers written as Parquet (by nation) and CSV beside a JSON record, and what reading them gives."""
+    rows = frames.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    folder = scratch.new_folder(spark)
+    io.save(rows, f"{folder}/parquet", partition_by=["s_nationkey"])
+    io.save(rows, f"{folder}/csv", "csv")
+    io.save_metadata(spark, f"{folder}/run", n_rows=rows.count(), columns=rows.columns)
+    facts = spark.read.schema("n_rows long").json(f"{folder}/run").select("n_rows")
+    back = {"parquet": spark.read.schema(rows.schema).parquet(f"{folder}/parquet"), "csv": spark.read.schema(rows.schema).option("header", True).csv(f"{folder}/csv")}
+    read = [df.select(*rows.columns, F.lit(kind).alias("kind")) for kind, df in back.items()]
+    return read[0].unionByName(read[1]).crossJoin(F.broadcast(facts))
+
+
 # -- joins -------------------------------------------------------------------------------
 
 
@@ -319,16 +334,23 @@ def event_base_rates(spark, sf_dir):
     return rounded(lift.base_rates(_labelled(spark, sf_dir), ["label"]))
 
 
-_WIDTH = f"per AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM bars WHERE ticker = 'click' GROUP BY 1)"
-_EVENTS = f"WITH {frames.RETURNS}, ref AS (SELECT ts, ret, abs(ret) AS abs_ret FROM returns WHERE ticker = 'click' AND ret IS NOT NULL), th AS (SELECT *, CASE WHEN count(abs_ret) OVER w >= 100 THEN quantile_cont(abs_ret, 0.95) OVER w END AS threshold FROM ref WINDOW w AS (ORDER BY ts ROWS BETWEEN 240 PRECEDING AND 1 PRECEDING)), ev AS (SELECT *, threshold IS NOT NULL AS threshold_ready, coalesce(abs_ret >= threshold, false) AS large_abs, coalesce(abs_ret >= threshold, false) AND ret < 0 AS large_down, coalesce(abs_ret >= threshold, false) AND ret > 0 AS large_up FROM th)"
+_EVENTS = f"""WITH {frames.RETURNS},
+ref AS (SELECT ts, ret, abs(ret) AS abs_ret FROM returns WHERE ticker = 'click' AND ret IS NOT NULL),
+per AS (SELECT coalesce(median(n), 24) AS bars FROM (SELECT count(*) AS n FROM ref GROUP BY CAST(ts AS DATE))),
+width AS (SELECT bars, greatest(60, round_even(20 * bars, 0)::INT) AS w FROM per),
+sized AS (SELECT ref.*, bars, w, greatest(60, round_even(0.35 * w, 0)::INT) AS least FROM ref, width),
+th AS (SELECT *, CASE WHEN count(abs_ret) OVER before >= least THEN quantile_cont(abs_ret, 0.95) OVER before END AS threshold
+       FROM sized WINDOW before AS (ORDER BY ts ROWS BETWEEN w PRECEDING AND 1 PRECEDING)),
+ev AS (SELECT *, threshold IS NOT NULL AS threshold_ready, coalesce(abs_ret >= threshold, false) AS large_abs, coalesce(abs_ret >= threshold, false) AND ret < 0 AS large_down,
+              coalesce(abs_ret >= threshold, false) AND ret > 0 AS large_up FROM th)"""
 
 
 def _events(spark, sf_dir):
-    ref = frames.returns(spark, sf_dir).where("ticker = 'click'")
-    return impulse.impulse_events(ref, ["ticker"], 240, 100)
+    return impulse.impulse_events(frames.returns(spark, sf_dir).where("ticker = 'click'"), ["ticker"])
 
 
-@query(f"{_EVENTS} SELECT 'click' AS ticker, ts, {R('ret')} AS ret, {R('threshold')} AS threshold, threshold_ready, large_abs, large_down, large_up FROM ev")
+@query(f"""{_EVENTS} SELECT 'click' AS ticker, ts, {R('ret')} AS ret, {R('threshold')} AS threshold, threshold_ready, large_abs, large_down, large_up,
+       w AS rolling_window_bars, bars::DOUBLE AS estimated_bars_per_date FROM ev""")
 def impulse_events(spark, sf_dir):
     return rounded(_events(spark, sf_dir).drop("close", "abs_ret"))
 
@@ -358,10 +380,10 @@ def conditional_correlation(spark, sf_dir):
     return rounded(impulse.conditional_correlation(_aligned(spark, sf_dir)))
 
 
-@query(f"{_CONDITIONAL}, r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(abs_corr, 9) DESC NULLS LAST, n_obs DESC, ticker)::INT AS rank FROM cc) SELECT sample, ticker, n_obs, {R('corr')} AS corr, rank FROM r WHERE rank <= 3")
+@query(f"{_CONDITIONAL}, r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(abs_corr, 9) DESC NULLS LAST, n_obs DESC, ticker)::INT AS rank FROM cc) SELECT sample, ticker, n_obs, {R('corr')} AS corr, rank FROM r WHERE rank <= 8")
 def top_drivers_per_sample(spark, sf_dir):
     rows = impulse.conditional_correlation(_aligned(spark, sf_dir)).withColumn("abs_corr", F.round("abs_corr", 9))
-    return rounded(impulse.top_drivers(rows, n=3).select("sample", "ticker", "n_obs", "corr", "rank"))
+    return rounded(impulse.top_drivers(rows, n=8).select("sample", "ticker", "n_obs", "corr", "rank"))
 
 
 @query(f"WITH {frames.RETURNS}, v AS (SELECT * FROM returns WHERE ret IS NOT NULL) SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, {R(_CORR.format(a='x.ret', b='y.ret'))} AS corr FROM v x JOIN v y ON x.ts = y.ts AND x.ticker <= y.ticker GROUP BY 1, 2")
@@ -378,17 +400,6 @@ def conditional_lift_table(spark, sf_dir):
     return rounded(lift.conditional_lift(rows, {"vix_high": ("vix", "high"), "term_low": ("term", "low")}, ["label"]))
 
 
-@query(f"{_LABELLED}, q AS (SELECT entity, quantile_cont(vix, 0.9) AS hi FROM labelled GROUP BY entity), i AS (SELECT l.entity, indicator, inside, label FROM (SELECT entity, 'vix_level' AS indicator, coalesce(vix >= hi, false) AS inside, label FROM labelled JOIN q USING (entity) UNION ALL SELECT entity, 'inverted', coalesce(vix3m < vix, false), label FROM labelled UNION ALL SELECT entity, 'credit_wide', coalesce(credit > 0.04, false), label FROM labelled) l) SELECT entity, indicator, {R('count(*) FILTER (inside AND label IS NOT NULL) / count(*)')} AS coverage, {R('avg(label)')} AS base_rate, {R('avg(label) FILTER (inside)')} AS conditional_rate FROM i GROUP BY 1, 2")
-def conditional_indicator_table(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    cuts = rows.groupBy("entity").agg(F.percentile("vix", F.lit(0.9)).alias("hi"))
-    rows = rows.join(cuts, "entity")
-    tests = {"vix_level": F.col("vix") >= F.col("hi"), "inverted": F.col("vix3m") < F.col("vix"), "credit_wide": F.col("credit") > 0.04}
-    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("indicator"), F.coalesce(t, F.lit(False)).alias("inside")) for n, t in tests.items()])).alias("i")
-    rows = rows.select("entity", "label", kinds).select("entity", "label", "i.*")
-    return rounded(rows.groupBy("entity", "indicator").agg((F.count_if(F.col("inside") & F.col("label").isNotNull()) / F.count(F.lit(1))).alias("coverage"), F.avg("label").alias("base_rate"), F.avg(F.when(F.col("inside"), F.col("label"))).alias("conditional_rate")))
-
-
 @query(f"{_LABELLED}, e AS (SELECT list_sort(list_distinct(quantile_cont(vix, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM labelled) SELECT (1 + len(list_filter(edges[2:len(edges) - 1], lambda x: x < vix)))::INT AS decile, count(*) AS n, {R('avg(vix)')} AS mean_vix, {R('avg(label)')} AS event_rate FROM labelled, e GROUP BY 1")
 def stress_decile_rates(spark, sf_dir):
     rows = lift.quantile_bins(_labelled(spark, sf_dir), "vix")
@@ -540,14 +551,54 @@ def cross_section_stats(spark, sf_dir):
     return rounded(panel.cross_section(rows, "date", "grp", "value", ["first", "second"]))
 
 
-_STRESS = f"{_RET}, z AS (SELECT entity, date, {_Z} AS z1, CASE WHEN count(credit) OVER {_PRIOR} >= 126 THEN (credit - avg(credit) OVER {_PRIOR}) / nullif(stddev_samp(credit) OVER {_PRIOR}, 0) END AS z2, CASE WHEN count(vix3m) OVER {_PRIOR} >= 126 THEN (vix3m - avg(vix3m) OVER {_PRIOR}) / nullif(stddev_samp(vix3m) OVER {_PRIOR}, 0) END AS z3 FROM r)"
+_STRESS = f"{_RET}, z AS (SELECT entity, date, {_Z} AS z1 FROM r)"
+
+#: The root whose skew is a part of the stress score.
+_SKEW_ROOT = "FRANCE"
+
+
+def _z_of(column: str) -> str:
+    w = "(ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({column}) OVER {w} >= 126 THEN ({column} - avg({column}) OVER {w}) / nullif(stddev_samp({column}) OVER {w}, 0) END"
+
+
+_PARTS = ["equity_vol", "broad_vol", "dispersion", "skew_pressure", "absorption"]
+_SCORE = f"""{_TENOR},
+market AS (SELECT date, avg(value) FILTER (field = 'atm') AS broad, stddev_samp(value) FILTER (field = 'atm') AS dispersion, avg(value) FILTER (field = 'atm' AND ticker < 'J') AS equity,
+                  avg(value) FILTER (field = 'atm' AND ticker >= 'J') AS other, max(value) FILTER (field = 'rr25' AND ticker = '{_SKEW_ROOT}') AS skew
+           FROM tenor WHERE target_days = 30 GROUP BY date),
+i AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM market),
+ends AS (SELECT e.date, count(*) AS complete, {_CORR.format(a='x.equity', b='x.other')} AS c, count(x.equity) AS ne, count(x.other) AS no
+         FROM i e JOIN i x ON x.i > e.i - 52 AND x.i <= e.i WHERE e.i >= 51 AND e.i < e.n - 1 AND (e.i - 51) % 5 = 0 GROUP BY e.date),
+held AS (SELECT i.*, CASE WHEN ne >= 41.6 AND no >= 41.6 THEN (1 + abs(c)) / 2 END AS absorbed FROM i LEFT JOIN ends USING (date)),
+filled AS (SELECT *, last_value(absorbed IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS absorption_level FROM held),
+parts AS (SELECT date, {_z_of('equity')} AS equity_vol, {_z_of('broad')} AS broad_vol, {_z_of('dispersion')} AS dispersion, -({_z_of('skew')}) AS skew_pressure,
+                 {_z_of('absorption_level')} AS absorption FROM filled),
+scored AS (SELECT *, ({' + '.join(f'coalesce({p}, 0)' for p in _PARTS)}) / nullif({' + '.join(f'({p} IS NOT NULL)::INT' for p in _PARTS)}, 0) AS score FROM parts),
+stress AS (SELECT date, score, {_z_of('score')} AS score_z FROM scored)"""
 
 
-@query(f"{_STRESS} SELECT entity, date, {R('(coalesce(z1, 0) + coalesce(z2, 0) + coalesce(-z3, 0)) / nullif((z1 IS NOT NULL)::INT + (z2 IS NOT NULL)::INT + (z3 IS NOT NULL)::INT, 0)')} AS score FROM z")
+def _stress(spark, sf_dir):
+    """Per date the score, the mean of five z-scores that are known, and the z-score of the score."""
+    chosen = panel.constant_tenor(frames.chain(spark, sf_dir), frames.TIE, target_days=(30,), fields=["atm", "rr25"])
+    atm = lambda test=None: F.when((F.col("field") == "atm") & (F.lit(True) if test is None else test), F.col("value"))
+    market = chosen.groupBy("date").agg(
+        F.avg(atm()).alias("broad"), F.stddev_samp(atm()).alias("dispersion"), F.avg(atm(F.col("ticker") < "J")).alias("equity"), F.avg(atm(F.col("ticker") >= "J")).alias("other"),
+        F.max(F.when((F.col("field") == "rr25") & (F.col("ticker") == _SKEW_ROOT), F.col("value"))).alias("skew"),
+    )
+    # the share of the first of two components; a universe of many roots passes all of them and top=3
+    absorbed = pca.rolling_absorption(market, ["equity", "other"], "date", 52, 5, 20, 2, 0.8, top=1).select("date", F.col("absorption").alias("absorbed"))
+    rows, by = market.join(absorbed, "date", "left").withColumn("universe", F.lit("all")), ["universe"]
+    rows = rows.withColumn("absorption_level", win.bounded_ffill(F.col("absorbed"), by, "date", 5))
+    z = lambda c: win.shifted_zscore(F.col(c), by, "date")
+    parts = rows.select("universe", "date", z("equity").alias("equity_vol"), z("broad").alias("broad_vol"), z("dispersion").alias("dispersion"), (-z("skew")).alias("skew_pressure"), z("absorption_level").alias("absorption"))
+    scored = parts.withColumn("score", col_fns.skip_null_mean(*[F.col(p) for p in _PARTS]))
+    return scored.withColumn("score_z", z("score")).drop("universe")
+
+
+@query(f"{_SCORE} SELECT date, {R('score')} AS score, {R('score_z')} AS score_z FROM stress")
 def stress_score(spark, sf_dir):
-    z = lambda c: win.shifted_zscore(F.col(c), K, T)
-    rows = frames.daily(spark, sf_dir).withColumns({"z1": z("vix"), "z2": z("credit"), "z3": -z("vix3m")})
-    return rounded(rows.select("entity", "date", col_fns.skip_null_mean(F.col("z1"), F.col("z2"), F.col("z3")).alias("score")))
+    return rounded(_stress(spark, sf_dir).select("date", "score", "score_z"))
 
 
 def _panel_frame(spark, sf_dir):
@@ -581,6 +632,39 @@ def build_daily_panel(spark, sf_dir):
     return rounded(_panel_frame(spark, sf_dir).drop("ret_micro", "price", "vix3m", "credit"))
 
 
+#: Label, column, test and level of the indicators, in the order of the table.
+_INDICATORS = {
+    "level over 30": ("vix", "above", 30.0),
+    "level top decile": ("vix", "top", 0.9),
+    "term below 0": ("term", "below", 0.0),
+    "level fell": ("vix_change_5", "below", 0.0),
+    "credit top decile": ("credit", "top", 0.9),
+    "term top decile": ("term", "top", 0.9),
+    "drawdown of 5 percent": ("dd_60", "at_most", -0.05),
+    "volatility top decile": ("vol_20", "top", 0.9),
+    "credit below 0.04": ("credit", "below", 0.04),
+}
+_EVENT_TARGETS = ["event_dd5_h20", "event_dd10_h20"]
+_TESTS = {"above": "{c} > {x}", "below": "{c} < {x}", "at_most": "{c} <= {x}", "top": "{c} >= (quantile_cont({c}, {x}) OVER (PARTITION BY entity))"}
+_INDICATOR_SQL = f"""{_RET}, f AS (
+    SELECT entity, date, vix, credit, vix3m - vix AS term, vix - lag(vix, 5) OVER ({_W}) AS vix_change_5,
+           CASE WHEN count(price) OVER {_frame(60)} >= 20 THEN price / max(price) OVER {_frame(60)} - 1 END AS dd_60,
+           CASE WHEN count(ret) OVER {_frame(20)} >= 10 THEN stddev_samp(ret) OVER {_frame(20)} * 100 * sqrt(252) END AS vol_20,
+           {', '.join(f'CASE WHEN lead(price, 20) OVER ({_W}) IS NOT NULL THEN coalesce(min(price) OVER {_next(20)} / price - 1 <= -{t}, false)::INT::DOUBLE END AS {n}' for n, t in zip(_EVENT_TARGETS, (0.05, 0.1), strict=True))}
+    FROM r WHERE vix IS NOT NULL
+), flags AS (SELECT *, {', '.join(f"coalesce({_TESTS[t].format(c=c, x=x)}, false) AS i{k}" for k, (c, t, x) in enumerate(_INDICATORS.values()))} FROM f),
+long AS ({' UNION ALL '.join(f"SELECT entity, '{y}' AS target, '{label}' AS indicator, {y} AS y, i{k} AS inside FROM flags" for y in _EVENT_TARGETS for k, label in enumerate(_INDICATORS))}),
+rates AS (SELECT entity, target, indicator, count(*) FILTER (inside AND y IS NOT NULL) / count(*) AS coverage, avg(y) AS base_rate, avg(y) FILTER (inside) AS conditional_rate FROM long GROUP BY ALL),
+lifts AS (SELECT *, conditional_rate / nullif(base_rate, 0) AS lift FROM rates)"""
+
+
+@query(f"""{_INDICATOR_SQL} SELECT entity, target, indicator, {R('coverage')} AS coverage, {R('base_rate')} AS base_rate, {R('conditional_rate')} AS conditional_rate, {R('lift')} AS lift,
+       row_number() OVER (PARTITION BY entity, target ORDER BY round(lift, 9) DESC NULLS LAST, indicator)::INT AS rank FROM lifts""")
+def conditional_indicator_table(spark, sf_dir):
+    rows = _panel_frame(spark, sf_dir).select("entity", "date", "vix", "credit", "term", "vix_change_5", "dd_60", "vol_20", *_EVENT_TARGETS)
+    return rounded(lift.indicator_table(rows, _INDICATORS, _EVENT_TARGETS, K))
+
+
 #: Rolling state of the reference, over the rows of the panel: name -> (rows, least rows).
 _STATE = ["ref_vol_20", "ref_vol_60", "ref_abs_20", "price_spread", "price_ratio", "click_spread"]
 
@@ -794,11 +878,30 @@ def baseline_suite(spark, sf_dir):
 
 @query()
 def conditional_pca(spark, sf_dir):
-    return rounded(pca.conditional_pca(_aligned(spark, sf_dir), reference="click", least=25))
+    return rounded(pca.conditional_pca(_aligned(spark, sf_dir), reference="click", least=25)[0])
+
 
+@query()
+def conditional_pca_loadings(spark, sf_dir):
+    return rounded(pca.conditional_pca(_aligned(spark, sf_dir), reference="click", least=25)[1])
 
-@query(f"WITH {frames.RETURNS}, w AS (SELECT ts, max(ret) FILTER (ticker = 'click') AS a, max(ret) FILTER (ticker = 'view') AS b FROM returns GROUP BY ts), i AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM w), e AS (SELECT ts, i FROM i WHERE i >= 120 AND (i - 120) % 12 = 0 AND i < n - 1) SELECT e.ts, count(*) AS n_rows, 2 AS n_columns, {R('(1 + abs(' + _CORR.format(a='x.a', b='x.b') + ')) / 2')} AS absorption FROM e JOIN i x ON x.i >= e.i - 120 AND x.i < e.i WHERE x.a IS NOT NULL AND x.b IS NOT NULL GROUP BY e.ts")
+
+@query()
 def rolling_pca_absorption(spark, sf_dir):
+    """All drivers but the reference on its bars: three components, for all bars and for those of large impulses."""
+    names, ev = [t for t in _event_types(spark, sf_dir) if t != "click"], _events(spark, sf_dir)
+    per_date = impulse.bars_per_date(ev)
+    wide = frames.returns(spark, sf_dir).groupBy("ts").pivot("ticker", names).agg(F.max("ret")).join(ev.select("ts", "large_abs"), "ts")
+    return rounded(pca.rolling_absorption(wide, names, "ts", max(40, round(20 * per_date)), max(1, round(per_date)), 40, share=None, flag="large_abs"))
+
+
+@query(f"""WITH {frames.RETURNS}, w AS (SELECT ts, max(ret) FILTER (ticker = 'click') AS a, max(ret) FILTER (ticker = 'view') AS b FROM returns GROUP BY ts),
+i AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM w),
+e AS (SELECT ts, i FROM i WHERE i >= 119 AND (i - 119) % 12 = 0 AND i < n - 1)
+SELECT e.ts, count(*) AS n_rows, 2 AS n_columns, {R('(1 + abs(' + _CORR.format(a='x.a', b='x.b') + ')) / 2')} AS absorption
+FROM e JOIN i x ON x.i > e.i - 120 AND x.i <= e.i WHERE x.a IS NOT NULL AND x.b IS NOT NULL GROUP BY e.ts""")
+def rolling_pair_absorption(spark, sf_dir):
+    """Two series, for which the first component's share is (1 + |r|) / 2."""
     wide = frames.returns(spark, sf_dir).groupBy("ts").pivot("ticker", ["click", "view"]).agg(F.max("ret"))
     return rounded(pca.rolling_absorption(wide, ["click", "view"], "ts", 120, 12, 40, share=0.5, top=1))
 
