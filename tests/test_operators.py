@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,26 @@ def test_logistic_fallback_and_fit(spark):
     assert models.fit_predict_logistic(df.where("y = 1"), df, ["a"], "y").first()["fallback"]
 
 
+@pytest.mark.parametrize("c,balanced", [(1.0, True), (0.5, False)])
+def test_logistic_minimises_its_objective(spark, c, balanced):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 2)) * [1, 30] + [0, 7]
+    y = (x[:, 0] + rng.normal(size=80) > 0.6).astype(float)
+    df = spark.createDataFrame([(*map(float, row), float(t)) for row, t in zip(x, y, strict=True)], "a double, b double, y double")
+    model = models.fit_logistic(df, ["a", "b"], "y", c, balanced)
+    z = np.column_stack([np.ones(80), (x - x.mean(0)) / x.std(0)])
+    w = np.where(y == 1, 80 / (2 * y.sum()), 80 / (2 * (80 - y.sum()))) if balanced else np.ones(80)
+    theta = np.array([model.intercept, model.weights["a"], model.weights["b"]])
+    gradient = z.T @ (w * (1 / (1 + np.exp(-z @ theta)) - y)) + np.array([0, theta[1] / c, theta[2] / c])
+    assert np.abs(gradient).max() < 1e-6
+    panel_ = df.withColumn("role", F.when(F.rand(1) < 0.7, "train").otherwise("test"))
+    scores, told = models.predictive_screen(panel_, {"one": ["a", "b"]}, ["y"], 20, 5)
+    assert {r["model"] for r in scores.select("model").distinct().collect()} == {"y/base_rate", "y/one"}
+    assert [r["rank"] for r in told.orderBy("rank").collect()] == [1, 2]
+    guard, nothing = models.predictive_screen(panel_, {"one": ["a", "b"]}, ["y"], 1000, 5)
+    assert guard.first()["p"] is None and nothing.count() == 0
+
+
 def test_overlay_is_shifted(spark):
     df = spark.createDataFrame([("a", k, 0.01, k == 1) for k in range(4)], "key string, t int, ret double, risk boolean")
     got = backtest.overlay(df, ["key"], "t", "ret", "risk", 0.5)
@@ -164,17 +185,93 @@ def test_matrix_without_a_list_takes_every_name(spark):
     assert row.asDict() == {"k": "a", "forecast_timestamp": D(2024, 1, 3), "move": 2.0, "move__available_at": D(2024, 1, 2), "vix": 1.0, "vix__available_at": D(2024, 1, 1)}
 
 
-def test_impulses_and_pca(spark):
+def bars(spark):
     base = [0.001] * 120 + [-0.02 + 0.01 * k / 9 for k in range(10)] + [0.001] * 50
-    rows = [(t, k, r * f + (k % 7) * 1e-5) for t, f in (("ES1", 1.0), ("NQ1", 1.2), ("TY1", -0.7)) for k, r in enumerate(base)]
-    returns = spark.createDataFrame(rows, "ticker string, ts int, ret double")
-    events = impulse.impulse_events(returns.where("ticker = 'ES1'"), ["ticker"], 48, 20, 0.9)
+    rows = [(t, D(2024, 1, 1) + dt.timedelta(hours=k), r * f + (k % 7) * 1e-5 * (1 + 0.3 * ((k * len(t) + ord(t[0])) % 5))) for t, f in (("ES1", 1.0), ("NQ1", 1.2), ("TY1", -0.7), ("DXY", -0.2)) for k, r in enumerate(base)]
+    return spark.createDataFrame(rows, "ticker string, ts timestamp, ret double")
+
+
+def test_impulses_and_pca(spark):
+    returns = bars(spark)
+    events = impulse.impulse_events(returns.where("ticker = 'ES1'"), ["ticker"], 0.9, days=2, least=20)
     assert events.where("large_down").count() > 0
+    assert events.select("rolling_window_bars", "estimated_bars_per_date").distinct().collect() == [(48, 24.0)]
     aligned = impulse.reference_align(returns, events)
     table = impulse.conditional_correlation(aligned)
     assert table.agg(F.max("n_obs")).first()[0] >= 5 and table.where("sample = 'all' and ticker = 'TY1'").first()["corr"] < 0
-    fitted = pca.conditional_pca(aligned, reference="ES1", least=5).where("explained is not null").collect()
-    assert fitted and all(0 <= r["explained"] <= 1 + 1e-9 for r in fitted)
+    summary, loadings = pca.conditional_pca(aligned, reference="ES1", least=5)
+    fitted = summary.where("status = 'fit' and sample = 'threshold_ready'").orderBy("component").collect()
+    x = aligned.where("threshold_ready").groupBy("ts", "ref_ret").pivot("ticker", ["DXY", "NQ1", "TY1"]).agg(F.max("ret")).toPandas()
+    z = x[["DXY", "NQ1", "TY1"]].to_numpy()
+    z = (z - z.mean(0)) / z.std(0)
+    values, vectors = np.linalg.eigh(np.corrcoef(z, rowvar=False))
+    order = np.argsort(values)[::-1]
+    for r, i in zip(fitted, order, strict=True):
+        assert r["n_drivers"] == 3 and r["explained"] == pytest.approx(values[i] / 3, abs=1e-9)
+        scores = z @ vectors[:, i]
+        assert r["abs_corr_reference"] == pytest.approx(abs(np.corrcoef(scores, x["ref_ret"])[0, 1]), abs=1e-6)
+    first = {r["driver"]: r["loading"] for r in loadings.where("sample = 'threshold_ready' and component = 1").collect()}
+    side = np.sign(np.corrcoef(z @ vectors[:, order[0]], x["ref_ret"])[0, 1])
+    assert [first[n] for n in ("DXY", "NQ1", "TY1")] == pytest.approx((vectors[:, order[0]] * side).tolist(), abs=1e-6)
+    assert fitted[0]["top_positive"].startswith("NQ1") and "TY1" in fitted[0]["top_negative"]
+    none, _ = pca.conditional_pca(aligned, reference="ES1", least=500)
+    assert {(r["status"], r["component"]) for r in none.collect()} == {("insufficient_complete_rows", None)}
+
+
+def test_sparse_drivers_leave_first(spark):
+    rows = [(k, None if k % 2 else 1.0 * k, None if k % 3 else 2.0 * (k % 7), 1.0 * (k % 5), float(k)) for k in range(60)]
+    wide = spark.createDataFrame(rows, "ts int, a double, b double, c double, ref_ double")
+    assert pca._complete_drivers(wide, ["c", "a", "b"], 11) == (["c", "a"], 30)
+    assert pca._complete_drivers(wide, ["c", "a", "b"], 10) == (["c", "a", "b"], 10)
+    assert pca._complete_drivers(wide, ["c", "a", "b"], 31) == ([], 0)
+
+
+def test_rolling_absorption_equals_windows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4))
+    x[rng.random((90, 4)) < 0.15] = np.nan
+    flags = rng.random(90) < 0.4
+    rows = [(k, *[None if math.isnan(v) else float(v) for v in x[k]], bool(flags[k])) for k in range(90)]
+    wide = spark.createDataFrame(rows, "ts int, a double, b double, c double, d double, hit boolean")
+    for share in (None, 0.8):
+        got = {r["ts"]: r for r in pca.rolling_absorption(wide, list("abcd"), "ts", 30, 4, 12, 2, share, flag="hit", chunk_ends=3).collect()}
+        ends = list(range(30, 90, 4))
+        assert sorted(got) == [e - 1 for e in ends]
+        for e in ends:
+            n_rows, n_columns, value = pca.absorption(x[e - 30 : e], 12, 2, 3, share)
+            r, inside = got[e - 1], flags[e - 30 : e]
+            assert (r["n_rows"], r["n_columns"], r["flagged_rows"]) == (n_rows, n_columns, inside.sum())
+            assert r["absorption"] == (None if value is None else pytest.approx(value))
+            part = pca.absorption(x[e - 30 : e][inside], 8, 2, 3, share)[2]
+            assert r["flagged_absorption"] == (None if part is None else pytest.approx(part))
+    full = x[:30][np.isfinite(x[:30]).all(axis=1)]
+    values = np.linalg.eigvalsh(np.corrcoef(full, rowvar=False))
+    assert pca.absorption(x[:30], len(full), 2, 1, None)[2] == pytest.approx(values[-1] / 4)
+
+
+def test_event_labels_at_their_edges(spark):
+    """A value exactly at the level, a missing volatility at the horizon, and a run of ones."""
+    price = [100.0, 100.0, 90.0, 80.0, 70.0, 70.0, 70.0]
+    vol = [0.1, 0.2, 0.3, None, 0.4, 0.2, 0.1]
+    vix = [20.0, 35.0, 20.0, 20.0, 20.0, 20.0, 20.0]
+    df = spark.createDataFrame([("a", k, p, v, x, float(k)) for k, (p, v, x) in enumerate(zip(price, vol, vix, strict=True))], "key string, t int, p double, v double, x double, c double")
+    got = labels.build_event_labels(df, ["key"], "t", "p", "v", "x", credit="c", horizon=2, threshold=0.05, vol_q=0.5, vix_level=35).orderBy("t").collect()
+    assert [r["drawdown_5pct_h2"] for r in got] == [1, 1, 1, 1, 0, None, None]
+    assert [r["vix_gt_35_h2"] for r in got] == [1, 0, 0, 0, 0, None, None]
+    assert [r["realized_vol_top_50pct_h2"] for r in got] == [1, None, 1, 1, 1, None, None]
+    assert [r["joint_stress_h2"] for r in got] == [0, 0, 0, 0, 0, None, None]
+    assert [r["event_phase"] for r in got][:5] == ["onset", "continuation", "continuation", "continuation", "recovery"]
+    assert [r["overlapping_event_window"] for r in got] == [False, True, True, True, False, False, False]
+    assert {r["forecast_horizon_days"] for r in got} == {2}
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(k % 3, k * 7 % 50, 1 + k % 4) for k in range(50)]
+    df = spark.createDataFrame(rows, "g int, x int, n int").repartition(5)
+    got = {(r["g"], r["x"]): r["upto"] for r in win.running_sum(df, ["g", "x"], "n", ["g"]).collect()}
+    assert got == {(g, x): sum(m for h, y, m in rows if h == g and y <= x) for g, x, _ in rows}
+    medians = models.exact_medians(spark.createDataFrame([(1.0, None), (3.0, None), (2.0, 5.0), (9.0, 6.0), (None, 7.0)], "a double, b double").withColumn("c", F.lit(None).cast("double")), ["a", "b", "c"])
+    assert medians == {"a": 2.5, "b": 6.0, "c": None}
 
 
 def test_quantile_bins_close_on_the_right(spark):
