@@ -36,6 +36,11 @@ def next_business_day(day: Column) -> Column:
     return F.date_add(day, F.when(weekday == 6, 3).when(weekday == 7, 2).otherwise(1))
 
 
+def next_business_time(day: Column, hour: int = 14, minute: int = 30) -> Column:
+    """The next business day at a time of day."""
+    return F.timestamp_add("MINUTE", F.lit(60 * hour + minute), next_business_day(day).cast("timestamp"))
+
+
 def ratio_change(a: Column, b: Column) -> Column:
     """a / b - 1; null where b is 0."""
     return F.try_divide(a, b) - 1

@@ -38,7 +38,7 @@ def sensitivity_grid(df: DataFrame, keys: list[str], time: str, ret: str, score:
     """
     cuts = df.where(train).groupBy(*keys).agg(F.percentile(score, F.array(*[F.lit(q) for q in quantiles])).alias("cuts"))
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("quantile"), F.lit(e).alias("low_exposure")) for k, q in enumerate(quantiles) for e in exposures])).alias("g")
-    rows = df.join(F.broadcast(cuts), keys).select("*", grid).select(*df.columns, "cuts", "g.*")
+    rows = df.join(cuts, keys).select("*", grid).select(*df.columns, "cuts", "g.*")
     rows = rows.withColumn("high_risk", F.col(score) >= F.element_at("cuts", F.col("k") + 1))
     by = [*keys, "quantile", "low_exposure"]
     run = overlay(rows, by, time, ret, "high_risk", F.col("low_exposure"))
@@ -65,7 +65,8 @@ def block_bootstrap(df: DataFrame, keys: list[str], time: str, excess: str, bloc
     prefix = sums.unionByName(start_row)
     plan = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("b", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))))
     length = F.least(F.lit(block), F.col("n") - F.col("b") * block)
-    begin = F.pmod(F.xxhash64("rep", "b", F.lit(seed)), F.greatest(F.col("n") - block + 1, F.lit(1)))
+    digest = F.md5(F.concat_ws("-", "rep", "b", F.lit(seed)))
+    begin = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.greatest(F.col("n") - block + 1, F.lit(1)))
     plan = plan.withColumn("begin", begin.cast("int")).withColumn("end", F.col("begin") + length.cast("int"))
     low = prefix.select(*keys, F.col("i").alias("begin"), F.col("s").alias("s0"))
     high = prefix.select(*keys, F.col("i").alias("end"), F.col("s").alias("s1"))

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormglass.operators.windows import exact_quantiles
+
 
 def conditional_lift(panel: DataFrame, specs: dict[str, tuple[str, str]], targets: list[str], keys: list[str] | None = None) -> DataFrame:
     """Per indicator and target: coverage, base rate, rate in the tail and lift.
 
     specs: label -> (column, "high" or "low"): at or above the 0.9 quantile, or at or below the
-    0.1 quantile. All quantiles are one aggregation, all rates a second; both rows of
-    thresholds and of rates are as many as the specs.
+    0.1 quantile, of the key or, without keys, of the whole column.
     """
     keys = keys or []
-    cuts = panel.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.9 if side == "high" else 0.1)).alias(f"cut_{k}") for k, (c, side) in enumerate(specs.values())])
-    joined = panel.join(cuts, keys) if keys else panel.crossJoin(F.broadcast(cuts))
-    flags = [F.struct(F.lit(label).alias("indicator"), F.coalesce((F.col(c) >= F.col(f"cut_{k}")) if side == "high" else (F.col(c) <= F.col(f"cut_{k}")), F.lit(False)).alias("inside")) for k, (label, (c, side)) in enumerate(specs.items())]
+    shares = {f"cut_{k}": (c, 0.9 if side == "high" else 0.1) for k, (c, side) in enumerate(specs.values())}
+    if keys:
+        joined = panel.join(panel.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(k) for k, (c, q) in shares.items()]), keys)
+    else:
+        joined = panel.withColumns({k: F.lit(v).cast("double") for k, v in exact_quantiles(panel, shares).items()})
+    flags = []
+    for k, (label, (c, side)) in enumerate(specs.items()):
+        inside = F.col(c) >= F.col(f"cut_{k}") if side == "high" else F.col(c) <= F.col(f"cut_{k}")
+        flags.append(F.struct(F.lit(label).alias("indicator"), F.coalesce(inside, F.lit(False)).alias("inside")))
     rows = joined.select(*keys, F.explode(F.array(*flags)).alias("i"), F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets]).alias("ts"))
     rows = rows.select(*keys, "i.*", F.explode("ts").alias("t")).select(*keys, "indicator", "inside", "t.*")
     valid = F.col("inside") & F.col("y").isNotNull()
@@ -49,10 +56,10 @@ def indicator_table(panel: DataFrame, specs: dict[str, tuple[str, str, float]],
 
 def quantile_bins(df: DataFrame, x: str, bins: int = 10, name: str = "decile") -> DataFrame:
     """Right-closed bins at exact quantiles, the lowest edge included, equal edges merged; from 1."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("edges_"))
-    inner = F.slice("edges_", 2, F.greatest(F.size("edges_") - 2, F.lit(0)))
-    number = 1 + F.size(F.filter(inner, lambda e: e < F.col(x)))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(x).isNotNull(), number)).drop("edges_")
+    found = exact_quantiles(df, {str(k): (x, k / bins) for k in range(bins + 1)}).values()
+    edges = sorted({e for e in found if e is not None})
+    number = sum(((F.col(x) > e).cast("int") for e in edges[1:-1]), F.lit(1))
+    return df.withColumn(name, F.when(F.col(x).isNotNull(), number))
 
 
 def base_rates(df: DataFrame, labels: list[str]) -> DataFrame:

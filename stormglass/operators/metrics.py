@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stormglass.operators.windows import running_sum
+
 # The edges of ten equal bins as floating point makes them.
 EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
 
@@ -13,7 +15,8 @@ def probability_metrics(scores: DataFrame, key: str = "model", y: str = "y", p:
     """n, positive_rate, brier, log_loss, average_precision, roc_auc (null when one class is missing).
 
     Rows collapse to distinct scores first, with their positives and negatives; ranking
-    measures are running sums over those, so ties share one step.
+    measures are running sums over ranges of those, so ties share one step and no model is
+    sorted in one task.
     """
     rows = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -22,8 +25,7 @@ def probability_metrics(scores: DataFrame, key: str = "model", y: str = "y", p:
         F.avg(-(F.col(y) * F.ln(clipped) + (1 - F.col(y)) * F.ln(1 - clipped))).alias("log_loss"),
     )
     steps = rows.groupBy(key, p).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
-    down = Window.partitionBy(key).orderBy(F.col(p).desc())
-    steps = steps.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    steps = running_sum(steps, [key, F.col(p).desc()], {"tp": "pos", "fp": "neg"}, [key])
     ranked = steps.groupBy(key).agg(
         F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"),
@@ -61,7 +63,7 @@ def calibration_line(scores: DataFrame, key: str = "model", y: str = "y", p: str
         m = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
         w = F.col("n") * F.col("m") * (1 - F.col("m"))
         r = F.col("n") * (F.col("y") - F.col("m"))
-        got = points.join(F.broadcast(now), "key_").withColumn("m", m).groupBy("key_").agg(
+        got = points.join(now, "key_").withColumn("m", m).groupBy("key_").agg(
             F.sum(w).alias("h0"), F.sum(w * F.col("x")).alias("h1"), F.sum(w * F.col("x") * F.col("x")).alias("h2"), F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1")
         ).collect()
         moved = 0.0
@@ -78,4 +80,4 @@ def calibration_line(scores: DataFrame, key: str = "model", y: str = "y", p: str
     points.unpersist()
     rows = scores.select(key).distinct()
     fitted = rows.sparkSession.createDataFrame([(k, b, a) for k, (a, b) in state.items()], f"{key} {rows.schema[key].dataType.simpleString()}, slope double, intercept double")
-    return rows.join(F.broadcast(fitted), key, "left")
+    return rows.join(fitted, key, "left")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.functions.scratch import cut
-from stormglass.operators.windows import running_sum
+from stormglass.operators.windows import exact_quantiles
 
 
 def historical_frequency(train: DataFrame, rows: DataFrame, label: str) -> DataFrame:
@@ -44,19 +44,6 @@ def scaled(feature: str, model: Logistic) -> Column:
     return (value - model.mean[feature]) / model.scale[feature]
 
 
-def exact_medians(rows: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """The median of every column: values are counted first, then ranks come from running sums over ranges of values."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
-    counts = long.where("x is not null").groupBy("name", "x").agg(F.count(F.lit(1)).alias("n"))
-    upto = running_sum(counts, ["name", "x"], "n", ["name"])
-    total = counts.groupBy("name").agg(F.sum("n").alias("all"))
-    # the two middle values have the ranks (all + 1) / 2, rounded down and up
-    low, high = F.floor((F.col("all") + 1) / 2), F.ceil((F.col("all") + 1) / 2)
-    middle = upto.join(total, "name").groupBy("name").agg(F.min(F.when(F.col("upto") >= low, F.col("x"))).alias("a"), F.min(F.when(F.col("upto") >= high, F.col("x"))).alias("b"))
-    found = {r["name"]: (r["a"] + r["b"]) / 2 for r in middle.collect()}
-    return {c: found.get(c) for c in columns}
-
-
 def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True, steps: int = 50) -> Logistic:
     """Median imputation, population scaling, L2 logistic regression by Newton steps.
 
@@ -71,7 +58,7 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 1
         raise ValueError("no labels to learn from")
     if pos in (0, n):
         return Logistic({}, {}, {}, {}, 0.0, pos / n)
-    fill = {f: m if m is not None else 0.0 for f, m in exact_medians(known, features).items()}
+    fill = {f: m if m is not None else 0.0 for f, m in exact_quantiles(known, {f: (f, 0.5) for f in features}).items()}
     filled = known.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(fill[f])).alias(f"x{k}") for k, f in enumerate(features)])
     moments = filled.agg(*[F.avg(f"x{k}").alias(f"m{k}") for k in range(len(features))], *[F.stddev_pop(f"x{k}").alias(f"s{k}") for k in range(len(features))]).first()
     model = Logistic(fill, {f: moments[f"m{k}"] for k, f in enumerate(features)}, {f: moments[f"s{k}"] or 1.0 for k, f in enumerate(features)}, {}, 0.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormglass.operators.windows import running_sum
+
 
 def indexed(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """row_idx from 0 and n_rows within each key."""
@@ -85,6 +87,14 @@ def holdout(df: DataFrame, keys: list[str], time: str, cutoff: str, purge: int =
 
 def stratified_random(df: DataFrame, label: str, unique: list[str], train_share: float = 0.7, seed: int = 42) -> DataFrame:
     """role: a shuffled share of every class trains (the control that ignores time); the order is a hash of the unique columns."""
-    by = Window.partitionBy(label)
-    rank = F.row_number().over(by.orderBy(F.xxhash64(*unique, F.lit(seed)), *unique))
-    return df.withColumn("role", F.when(rank <= F.round(F.count(F.lit(1)).over(by) * train_share), "train").otherwise("test"))
+    place = F.xxhash64(*unique, F.lit(seed))
+    ranked = running_sum(df.withColumn("place_", place), [label, "place_", *unique], {"rank_": F.lit(1)}, [label])
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("all_"))
+    role = F.when(F.col("rank_") <= F.round(F.col("all_") * train_share), "train").otherwise("test")
+    return ranked.join(sizes, label).withColumn("role", role).drop("place_", "rank_", "all_")
+
+
+def three_way(df: DataFrame, time: str, validation: str, test: str) -> DataFrame:
+    """role by date: train before `validation`, validation before `test`, test from there on."""
+    day = lambda x: F.lit(x).cast("date")
+    return df.withColumn("role", F.when(F.col(time) < day(validation), "train").when(F.col(time) < day(test), "validation").otherwise("test"))

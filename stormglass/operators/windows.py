@@ -6,10 +6,13 @@ null; a window with fewer than `least` values gives null.
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 from stormglass.functions.scratch import cut
@@ -119,10 +122,26 @@ def rolling_event_frequency(label: Column, keys: Keys, time: str, width: int = 2
     return enough(label, w, least, F.avg(label).over(w))
 
 
-def expanding_quantile(x: Column, keys: Keys, time: str, q: float = 0.85, least: int = 756) -> Column:
-    """Quantile of all rows before."""
-    w = rows(keys, time, Window.unboundedPreceding, -1)
-    return enough(x, w, least, F.percentile(x, F.lit(q)).over(w))
+def expanding_quantile(df: DataFrame, x: str, keys: Keys, time: str, name: str, q: float = 0.85, least: int = 756) -> DataFrame:
+    """df with the quantile of all earlier values of the key, linear between neighbours; null before `least` of them.
+
+    Each key's values are kept in order as they come, so a row costs a search and a move in
+    memory, not a pass over all that is before it.
+    """
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time, kind="stable")
+        seen, out = [], []
+        for value in pdf[x].to_numpy(float):
+            place = (len(seen) - 1) * q
+            low = int(place)
+            out.append(seen[low] + (seen[min(low + 1, len(seen) - 1)] - seen[low]) * (place - low) if len(seen) >= max(least, 1) else None)
+            if not math.isnan(value):
+                bisect.insort(seen, value)
+        return pdf.assign(**{name: pd.array(out, "Float64")})
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
 
 
 def rolling_quantile(x: Column, keys: Keys, time: str, width: int, q: float, least: int) -> Column:
@@ -150,18 +169,41 @@ def row_index(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFra
     return dealt.join(offsets, "part_").withColumn(name, F.col("offset_") + F.col("local_")).drop("part_", "mono_", "local_", "offset_")
 
 
-def running_sum(df: DataFrame, order: list[str | Column], value: str, by: list[str], name: str = "upto") -> DataFrame:
-    """df with the sum of value over the rows up to here in the order, for each key of by (never null).
+def running_sum(df: DataFrame, order: list[str | Column], values: dict[str, str | Column], by: list[str]) -> DataFrame:
+    """df with the sums (name -> column) over the rows up to here in the order, for each key of by (never null).
 
     order begins with the keys. No key is sorted in one task: ranges of the order are summed on
     their own, and each adds what the ranges before it hold, one row a key and range.
     """
-    dealt = cut(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
-    local = dealt.withColumn(name, F.sum(value).over(Window.partitionBy("part_", *by).orderBy(*order)))
-    sizes = dealt.groupBy(*by, "part_").agg(F.sum(value).alias("n_"))
-    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*by, "part_", before.alias("offset_"))
-    return local.join(offsets, [*by, "part_"]).withColumn(name, F.col(name) + F.col("offset_")).drop("part_", "offset_")
+    parts = {f"v{k}_": F.col(v) if isinstance(v, str) else v for k, v in enumerate(values.values())}
+    dealt = cut(df.withColumns(parts).repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    local = dealt.withColumns({n: F.sum(v).over(Window.partitionBy("part_", *by).orderBy(*order)) for n, v in zip(values, parts, strict=True)})
+    before = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*by, "part_").agg(*[F.sum(v).alias(v) for v in parts])
+    offsets = sizes.select(*by, "part_", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"o{v}") for v in parts])
+    out = local.join(offsets, [*by, "part_"]).withColumns({n: F.col(n) + F.col(f"o{v}") for n, v in zip(values, parts, strict=True)})
+    return out.drop("part_", *parts, *[f"o{v}" for v in parts])
+
+
+def exact_quantiles(rows: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, float | None]:
+    """Quantiles (name -> (column, share)) of whole columns, linear between neighbours; None without values.
+
+    Values are counted first, then ranks come from running sums over ranges of values, so no
+    task holds a column; one row a quantile reaches the driver.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
+    counts = rows.select(F.explode(cells).alias("e")).select("e.*").where("x is not null").groupBy("name", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_sum(counts, ["name", "x"], {"upto": "n"}, ["name"])
+    total = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("n").alias("n")).collect()}
+    places = {k: (c, (total[c] - 1) * q) for k, (c, q) in wanted.items() if c in total}
+    if not places:
+        return dict.fromkeys(wanted)
+    at = lambda c, rank: F.min(F.when((F.col("name") == c) & (F.col("upto") > rank), F.col("x")))
+    names = list(places)
+    got = upto.agg(*[at(places[k][0], math.floor(places[k][1])).alias(f"a{i}") for i, k in enumerate(names)], *[at(places[k][0], math.ceil(places[k][1])).alias(f"b{i}") for i, k in enumerate(names)]).first()
+    found = {k: got[f"a{i}"] + (got[f"b{i}"] - got[f"a{i}"]) * (places[k][1] - math.floor(places[k][1])) for i, k in enumerate(names)}
+    return {k: found.get(k) for k in wanted}
 
 
 def with_halo(df: DataFrame, index: str, chunk: int, halo: int, keys: Keys) -> DataFrame:

@@ -117,9 +117,11 @@ def pair_features(spark, sf_dir):
     return rounded(d.select("entity", "date", (F.col("vix3m") - F.col("vix")).alias("term_spread"), col_fns.ratio_change(F.col("vix3m"), F.col("vix")).alias("term_ratio"), col_fns.ratio_change(P(), F.lit(100.0)).alias("basis"), (F.col("credit") - 0.04).alias("surprise")))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate::DATE + CASE isodow(o_orderdate) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS DATE) AS next_day FROM orders")
+@query("""SELECT o_orderkey, d + n AS next_day, (d + n)::TIMESTAMP + INTERVAL 870 MINUTE AS next_time
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE isodow(o_orderdate) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS n FROM orders)""")
 def next_business_timestamp(spark, sf_dir):
-    return frames.table(spark, sf_dir, "orders").select("o_orderkey", col_fns.next_business_day(F.to_date("o_orderdate")).alias("next_day"))
+    day = F.to_date("o_orderdate")
+    return frames.table(spark, sf_dir, "orders").select("o_orderkey", col_fns.next_business_day(day).alias("next_day"), col_fns.next_business_time(day).alias("next_time"))
 
 
 @query(f"WITH {frames.STORE}, broken AS (SELECT event_id, list_filter(['ingestion_before_release', 'valid_before_release', 'valid_before_ingestion', 'leak_without_reason'], lambda x: (x = 'ingestion_before_release' AND ingestion_time < release_time) OR (x = 'valid_before_release' AND earliest_valid_prediction_timestamp < release_time) OR (x = 'valid_before_ingestion' AND earliest_valid_prediction_timestamp < ingestion_time) OR (x = 'leak_without_reason' AND is_known_leak AND coalesce(trim(leak_reason), '') = '')) AS r FROM (SELECT * REPLACE (CASE WHEN event_id % 53 = 0 THEN release_time - INTERVAL 1 MINUTE ELSE earliest_valid_prediction_timestamp END AS earliest_valid_prediction_timestamp) FROM store)) SELECT event_id, array_to_string(r, ',') AS broken_rules FROM broken WHERE len(r) > 0")
@@ -500,8 +502,12 @@ _daily_query("forward_drawdown", lambda: win.forward_drawdown(P(), K, T, 20), f"
 _daily_query("forward_window_max", lambda: win.forward_max(VIX(), K, T, 20), f"max(vix) OVER {_NEXT20}")
 _daily_query("forward_drawdown_label", lambda: labels.drawdown_label(P(), K, T, 20, 0.05), f"CASE WHEN lead(price, 20) OVER ({_W}) IS NOT NULL THEN coalesce(min(price) OVER {_NEXT20} / price - 1 <= -0.05, false)::INT::DOUBLE END")
 _daily_query("bounded_ffill", lambda: win.bounded_ffill(F.col("vix3m"), K, T), f"last_value(vix3m IGNORE NULLS) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
-_daily_query("expanding_quantile_threshold", lambda: win.expanding_quantile(VIX(), K, T, 0.85, 756), f"CASE WHEN count(vix) OVER x >= 756 THEN quantile_cont(vix, 0.85) OVER x END")
-ORACLES["expanding_quantile_threshold"] += f" WINDOW x AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"{_RET} SELECT entity, date, {R('CASE WHEN count(vix) OVER x >= 756 THEN quantile_cont(vix, 0.85) OVER x END')} AS value FROM r WINDOW x AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def expanding_quantile_threshold(spark, sf_dir):
+    rows = frames.daily(spark, sf_dir).select("entity", "date", "vix")
+    return rounded(win.expanding_quantile(rows, "vix", K, T, "value").drop("vix"))
 
 
 @query(f"WITH {frames.DAILY}, r AS (SELECT *, coalesce(price / lag(price) OVER ({_W}) - 1, 0) AS ret FROM daily), g AS (SELECT *, product(1 + ret) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS growth FROM r) SELECT entity, date, {R('ret')} AS ret, {R('growth')} AS growth, {R(f'growth / max(growth) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1')} AS drawdown FROM g")
@@ -773,6 +779,11 @@ def stratified_random_split(spark, sf_dir):
     return rows.groupBy("label", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {frames.DAILY} SELECT entity, date, CASE WHEN date < DATE '1995-01-01' THEN 'train' WHEN date < DATE '1997-01-01' THEN 'validation' ELSE 'test' END AS role FROM daily")
+def three_way_split(spark, sf_dir):
+    return splits.three_way(frames.daily(spark, sf_dir).select("entity", "date"), T, "1995-01-01", "1997-01-01")
+
+
 @query(f"WITH {frames.DAILY} SELECT entity, date, row_number() OVER (ORDER BY date, entity) - 1 AS row_idx FROM daily")
 def global_row_index(spark, sf_dir):
     return win.row_index(frames.daily(spark, sf_dir).select("entity", "date"), ["date", "entity"]).select("entity", "date", "row_idx")
@@ -963,7 +974,25 @@ def rank_strategies(spark, sf_dir):
     return rounded(backtest.rank_strategies(grid, K).select("entity", "quantile", "low_exposure", "rank", "sharpe"))
 
 
-@query()
+_CUT = "date < DATE '1996-01-01'"
+_RUN = f"p AS (SELECT *, coalesce(lag(exposure) OVER w, 1.0) AS position FROM x WINDOW w AS (PARTITION BY {{k}} ORDER BY date)), o AS (SELECT *, abs(position - coalesce(lag(position) OVER w, position)) AS turn FROM p WINDOW w AS (PARTITION BY {{k}} ORDER BY date)), run AS (SELECT {{k}}, date, position::DOUBLE AS position, turn::DOUBLE AS turn, position * base - turn * 0.0001 AS overlay_return FROM o)"
+_RULE = "entity, quantile, low_exposure"
+_SPLIT = f"""{_STRESS},
+base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.price) OVER (PARTITION BY r.entity ORDER BY r.date) - 1, 0) AS base, z1 FROM r JOIN z USING (entity, date)),
+cuts AS ({' UNION ALL '.join(f"SELECT entity, {q}::DOUBLE AS quantile, quantile_cont(z1, {q}) AS cut FROM base WHERE {_CUT} GROUP BY 1" for q in (0.75, 0.8, 0.85, 0.9))}),
+best AS (WITH x AS (SELECT entity, date, base, quantile, low_exposure, CASE WHEN coalesce(z1 >= cut, false) THEN low_exposure ELSE 1.0 END AS exposure
+                    FROM base JOIN cuts USING (entity), (SELECT unnest([0, 0.25, 0.5, 0.75]::DOUBLE[]) AS low_exposure) WHERE {_CUT}),
+         {_RUN.format(k=_RULE)}, {_METRICS.format(k=_RULE, t='run')}
+         SELECT {_RULE}, 'selected' AS rule FROM s
+         QUALIFY row_number() OVER (PARTITION BY entity ORDER BY annual_return / nullif(annual_vol, 0) DESC NULLS LAST, max_drawdown DESC, quantile, low_exposure) = 1),
+rules AS (SELECT * FROM best UNION ALL SELECT DISTINCT entity, 0.85, 0.5, 'fixed' FROM base),
+x AS (SELECT b.entity, rule, u.quantile, low_exposure, b.date, base, CASE WHEN coalesce(z1 >= cut, false) THEN low_exposure ELSE 1.0 END AS exposure
+      FROM base b JOIN rules u USING (entity) JOIN cuts c ON c.entity = b.entity AND c.quantile = u.quantile WHERE NOT ({_CUT})),
+{_RUN.format(k=_RULE + ', rule')}, {_METRICS.format(k=_RULE + ', rule', t='run')}
+SELECT entity, rule, quantile, low_exposure, n, {_METRIC_COLUMNS} FROM s"""
+
+
+@query(_SPLIT)
 def sample_split_selection(spark, sf_dir):
     """The best rule before the cutoff, evaluated after it beside a fixed rule."""
     rows = _overlay(spark, sf_dir).select("entity", "date", "base", "score")
@@ -972,7 +1001,7 @@ def sample_split_selection(spark, sf_dir):
     fixed = rows.select("entity").distinct().select("entity", F.lit(0.85).alias("quantile"), F.lit(0.5).alias("low_exposure"), F.lit("fixed").alias("rule"))
     cuts = rows.where(early).groupBy("entity").agg(F.percentile("score", F.array(*[F.lit(q) for q in (0.75, 0.8, 0.85, 0.9)])).alias("cuts"))
     rules = best.unionByName(fixed).join(cuts, "entity")
-    late = rows.where(~early).join(F.broadcast(rules), "entity")
+    late = rows.where(~early).join(rules, "entity")
     place = F.round((F.col("quantile") - 0.75) / 0.05).cast("int") + 1
     late = late.withColumn("high_risk", F.col("score") >= F.element_at("cuts", place))
     by = ["entity", "rule", "quantile", "low_exposure"]
@@ -982,17 +1011,38 @@ def sample_split_selection(spark, sf_dir):
 @query(f"{_STRESS}, base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.price) OVER (PARTITION BY r.entity ORDER BY r.date) - 1, 0) AS base, z1, CASE WHEN count(z1) OVER q >= 756 THEN quantile_cont(z1, 0.85) OVER q END AS cut FROM r JOIN z USING (entity, date) WINDOW q AS (PARTITION BY r.entity ORDER BY r.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), x AS (SELECT *, CASE WHEN coalesce(z1 >= cut, false) THEN 0.5 ELSE 1.0 END AS exposure FROM base), p AS (SELECT *, coalesce(lag(exposure) OVER ({_W}), 1.0) AS position FROM x), o AS (SELECT *, abs(position - coalesce(lag(position) OVER ({_W}), position)) AS turn FROM p), run AS (SELECT entity, date, position::DOUBLE AS position, turn::DOUBLE AS turn, position * base - turn * 0.0001 AS overlay_return FROM o), {_METRICS.format(k='entity', t='run')} SELECT entity, n, {_METRIC_COLUMNS} FROM s")
 def expanding_overlay(spark, sf_dir):
     rows = _overlay(spark, sf_dir)
-    rows = rows.withColumn("high_risk", F.col("score") >= win.expanding_quantile(F.col("score"), K, T))
+    rows = win.expanding_quantile(rows.select("entity", "date", "base", "score"), "score", K, T, "cut").withColumn("high_risk", F.col("score") >= F.col("cut"))
     return rounded(backtest.strategy_metrics(backtest.overlay(rows, K, T, "base", "high_risk", 0.5), K, T, "overlay_return"))
 
 
-@query()
+@query(f"""{_OVER},
+ex AS (SELECT entity, date, position * base - turn * 0.0001 - base AS e FROM o),
+sums AS (SELECT entity, row_number() OVER ({_W}) AS i, sum(e) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM ex),
+sizes AS (SELECT entity, max(i) AS n, arg_max(s, i) AS total FROM sums GROUP BY 1),
+prefix AS (SELECT * FROM sums UNION ALL SELECT entity, 0, 0.0 FROM sizes),
+plan AS (SELECT entity, n, rep, b, least(20, n - b * 20) AS size, ('0x' || substr(md5(rep || '-' || b || '-7'), 1, 12))::BIGINT % greatest(n - 19, 1) AS begin_
+         FROM (SELECT entity, n, unnest(range(1, 2001)) AS rep FROM sizes) JOIN (SELECT entity, unnest(range(0, ceil(n / 20)::BIGINT)) AS b FROM sizes) USING (entity)),
+reps AS (SELECT entity, rep, sum(y.s - x.s) / any_value(n) * 252 AS mean FROM plan JOIN prefix x USING (entity) JOIN prefix y USING (entity) WHERE x.i = begin_ AND y.i = begin_ + size GROUP BY 1, 2)
+SELECT entity, {R('any_value(total / n * 252)')} AS mean_excess, {R('quantile_cont(mean, 0.05)')} AS p05, {R('quantile_cont(mean, 0.5)')} AS p50, {R('quantile_cont(mean, 0.95)')} AS p95, count(*) AS replicates
+FROM reps JOIN sizes USING (entity) GROUP BY entity""")
 def block_bootstrap_excess(spark, sf_dir):
     run = backtest.overlay(_overlay(spark, sf_dir), K, T, "base", "high_risk", 0.5)
     return rounded(backtest.block_bootstrap(run.withColumn("excess", F.col("overlay_return") - F.col("base")), K, T, "excess"))
 
 
-@query()
+_MONITOR_Z = {c: f"CASE WHEN count({c}) OVER {_PRIOR} >= 126 THEN ({c} - avg({c}) OVER {_PRIOR}) / nullif(stddev_samp({c}) OVER {_PRIOR}, 0) END" for c in ("atm", "dispersion", "vix")}
+
+
+@query(f"""{_TENOR}, {frames.DAILY},
+labelled AS (SELECT *, {_LABEL_5_20} AS label FROM daily WINDOW w AS (PARTITION BY entity ORDER BY date)),
+market AS (SELECT date AS week, avg(value) AS atm, stddev_samp(value) AS dispersion FROM tenor WHERE field = 'atm' AND target_days = 30 GROUP BY 1),
+joined AS (SELECT l.*, atm, dispersion FROM labelled l LEFT JOIN market m ON m.week = CAST(date_trunc('week', l.date) AS DATE)),
+scored AS (SELECT *, {', '.join(f'{sql} AS {c}_z' for c, sql in _MONITOR_Z.items())} FROM joined),
+stressed AS (SELECT *, (coalesce(atm_z, 0) + coalesce(dispersion_z, 0) + coalesce(vix_z, 0)) / nullif((atm_z IS NOT NULL)::INT + (dispersion_z IS NOT NULL)::INT + (vix_z IS NOT NULL)::INT, 0) AS stress FROM scored),
+q AS (SELECT quantile_cont(stress, 0.9) AS s_cut, quantile_cont(atm_z, 0.9) AS a_cut FROM stressed),
+i AS (SELECT 'stress_high' AS indicator, coalesce(stress >= s_cut, false) AS inside, label FROM stressed, q UNION ALL SELECT 'atm_high', coalesce(atm_z >= a_cut, false), label FROM stressed, q)
+SELECT indicator, 'label' AS target, {R('count(*) FILTER (inside AND label IS NOT NULL) / count(*)')} AS coverage, {R('avg(label)')} AS base_rate, {R('avg(label) FILTER (inside)')} AS conditional_rate,
+       {R('avg(label) FILTER (inside) / nullif(avg(label), 0)')} AS lift FROM i GROUP BY indicator""")
 def stress_monitor(spark, sf_dir):
     """End to end: option chain to cross section, stress score, labels and event lift."""
     chain = panel.root_panel(panel.constant_tenor(frames.chain(spark, sf_dir), frames.TIE, target_days=(30,), fields=["atm"]), "atm", 30)

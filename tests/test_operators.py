@@ -268,10 +268,21 @@ def test_event_labels_at_their_edges(spark):
 def test_running_sums_over_ranges(spark):
     rows = [(k % 3, k * 7 % 50, 1 + k % 4) for k in range(50)]
     df = spark.createDataFrame(rows, "g int, x int, n int").repartition(5)
-    got = {(r["g"], r["x"]): r["upto"] for r in win.running_sum(df, ["g", "x"], "n", ["g"]).collect()}
+    got = {(r["g"], r["x"]): r["upto"] for r in win.running_sum(df, ["g", "x"], {"upto": "n"}, ["g"]).collect()}
     assert got == {(g, x): sum(m for h, y, m in rows if h == g and y <= x) for g, x, _ in rows}
-    medians = models.exact_medians(spark.createDataFrame([(1.0, None), (3.0, None), (2.0, 5.0), (9.0, 6.0), (None, 7.0)], "a double, b double").withColumn("c", F.lit(None).cast("double")), ["a", "b", "c"])
-    assert medians == {"a": 2.5, "b": 6.0, "c": None}
+    odd = spark.createDataFrame([(1.0, None), (3.0, None), (2.0, 5.0), (9.0, 6.0), (None, 7.0)], "a double, b double").withColumn("c", F.lit(None).cast("double"))
+    got = win.exact_quantiles(odd, {"a5": ("a", 0.5), "a9": ("a", 0.9), "b": ("b", 0.5), "c": ("c", 0.5)})
+    assert got == {"a5": 2.5, "a9": pytest.approx(7.2), "b": 6.0, "c": None}
+
+
+def test_expanding_quantile_equals_numpy(spark):
+    x = [5.0, None, 1.0, 4.0, 4.0, None, 9.0, 2.0]
+    got = win.expanding_quantile(series(spark, x), "price", ["key"], "t", "q", 0.85, 3)
+    want = []
+    for k in range(len(x)):
+        before = [v for v in x[:k] if v is not None]
+        want.append(pytest.approx(np.quantile(before, 0.85)) if len(before) >= 3 else None)
+    assert values(got, "q") == want
 
 
 def test_quantile_bins_close_on_the_right(spark):
