@@ -9,18 +9,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormglass.functions.columns import guarded_corr
 from stormglass.functions.scratch import cut
 from stormglass.operators.impulse import SAMPLES, sample_flags
 from stormglass.operators.windows import row_index
 
 
 def corr_matrix(long: DataFrame, date: str, name: str, value: str) -> DataFrame:
-    """Pairwise complete correlations a <= b with n; for up to some dozens of names, beyond which gram() is the way."""
+    """Pairwise complete correlations a <= b with n; null where a pair has no two rows or no spread.
+
+    Dates become rows of a matrix with a column a name; each partition multiplies its rows and
+    their masks, so p x p moments travel and not every pair of every date. Values are taken
+    from their mean first, so that nothing cancels out.
+    """
     rows = long.where(F.col(value).isNotNull())
-    x = rows.select(date, F.col(name).alias("a"), F.col(value).alias("va"))
-    y = rows.select(date, F.col(name).alias("b"), F.col(value).alias("vb"))
-    return x.join(y, date).where("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), guarded_corr(F.col("va"), F.col("vb")).alias("corr"))
+    means = {r["name"]: r["mean"] for r in rows.groupBy(F.col(name).alias("name")).agg(F.avg(value).alias("mean")).collect()}
+    names = sorted(means)
+    wide = rows.groupBy(date).pivot(name, names).agg(F.max(value)).select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names])
+    centre = np.array([means[n] for n in names])
+    one, two = np.triu_indices(len(names))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(names), len(names)))
+        for batch in batches:
+            x = batch.to_numpy(float) - centre
+            here = np.isfinite(x).astype(float)
+            x = np.where(here > 0, x, 0.0)
+            total += np.stack([here.T @ here, x.T @ here, here.T @ x, (x * x).T @ here, here.T @ (x * x), x.T @ x])
+        cells = total[:, one, two]
+        some = cells[0] > 0
+        yield pd.DataFrame({"a": np.array(names, object)[one[some]], "b": np.array(names, object)[two[some]], **{c: cells[k, some] for k, c in enumerate(("n", "sa", "sb", "saa", "sbb", "sab"))}})
+
+    parts = wide.mapInPandas(part, "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double")
+    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    real = lambda s, ss: spread(s, ss) > 1e-12 * F.col(ss)
+    corr = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(spread("sa", "saa") * spread("sb", "sbb"))
+    return sums.select("a", "b", F.col("n").cast("long").alias("n"), F.when((F.col("n") > 1) & real("sa", "saa") & real("sb", "sbb"), corr).alias("corr"))
 
 
 def gram(wide: DataFrame, columns: list[str], by: str) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
