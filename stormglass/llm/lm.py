@@ -174,18 +174,6 @@ def _parted(values: np.ndarray, asked: pa.ChunkedArray, width: int) -> pa.Array:
     return pa.array([values[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())
 
 
-def choose_floor(tally: list[int], bits: int) -> tuple[int, int]:
-    """(lowest level stored, items stored) of a filter with a bound: all n-grams if bits suffice, else the most frequent that fit.
-
-    Scoring has no bound and does not use it.
-    """
-    for low in range(1, len(tally)):
-        items = sum(n * (level - low + 1) for level, n in enumerate(tally) if level >= low)
-        if items * BITS_PER_ITEM <= bits:
-            return low, items
-    return len(tally), 0
-
-
 class LogFrequencyFilter:
     """Membership bits of (n-gram, level) items. Bucket b has a segment of its own."""
 

@@ -387,7 +387,6 @@ def test_filter_counts_are_floors():
     got = model.counts(keys)
     assert np.mean((got <= true) & (got * 2**0.5 > true - 1)) > 0.95
     assert np.mean(model.counts(keys + np.uint64(1)) == 0) > 0.95
-    assert lm.choose_floor([0, 100, 10, 1], 12 * 20) == (2, 12)
 
 
 def test_quality_learns_and_is_total(spark):
