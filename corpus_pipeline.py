@@ -13,27 +13,30 @@ NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.3; the classifier learns from labels outside its held-out fold."""
+    """Documents whose score is at least 0.3; the classifier learns from labels outside its held-out fold.
+
+    Null and empty texts are judged like any other, rows that repeat stay or go alike; an empty table stays empty.
+    """
     return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each distinct text, the one with the smallest id."""
+    """One document of each distinct text, the one with the smallest id; a null text equals an empty one."""
     return exact_dedup.drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id; wordless texts and null ids stay."""
     return near_dedup.keep_one(docs, NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their targets."""
+    """Documents repeated or left out so that sources meet their targets; wordless texts stay once, null sources are one source."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with their digests."""
+    """Token ids of every document of the mix, with their digests; a null text has none."""
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), ids=True).drop("decoded")
 
 
@@ -44,10 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+    """All stages over documents; each stage's result is written and read again, and deleted once the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        written: list[str] = []
+        docs = common.cut(stage(spark, docs, sf_dir), written)
+        common.drop(spark, last)
+        last = written
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
