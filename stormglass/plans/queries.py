@@ -72,7 +72,9 @@ def ingest_wide_panel(spark, sf_dir):
     return io.wide_panel(_raw_panel(spark, sf_dir))
 
 
-@query(f"WITH {frames.BARS} SELECT upper(ticker) AS ticker, ts, open, high, low, close, volume, CASE WHEN ticker IN ('click', 'view') THEN 'traffic' WHEN ticker = 'purchase' THEN 'sales' ELSE 'unknown' END AS asset_class, CASE WHEN ticker = 'click' THEN 'reference' WHEN ticker IN ('view', 'purchase') THEN 'driver' ELSE 'unknown' END AS role FROM bars")
+@query(f"""WITH {frames.BARS} SELECT upper(ticker) AS ticker, ts, open, high, low, close, volume, CASE WHEN ticker IN ('click', 'view') THEN 'traffic' WHEN ticker = 'purchase' THEN 'sales' ELSE 'unknown' END AS asset_class,
+CASE WHEN ticker = 'click' THEN 'reference' WHEN ticker IN ('view', 'purchase') THEN 'driver' ELSE 'unknown' END AS role
+FROM bars""")
 def ingest_bars(spark, sf_dir):
     text = frames.bars(spark, sf_dir).select(F.concat(F.upper("ticker"), F.lit("  Index")).alias("label"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume")])
     twice = text.unionByName(text.limit(50)).unionByName(text.limit(20).withColumn("close", F.lit(None).cast("string")).withColumn("timestamp", F.lit("bad")))
@@ -83,13 +85,17 @@ def _instruments(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame([("CLICK", "traffic", "reference"), ("VIEW", "traffic", "driver"), ("PURCHASE", "sales", "driver")], "ticker string, asset_class string, role string"))
 
 
-@query(f"WITH {frames.BARS} SELECT ticker, ts, coalesce(CASE WHEN ticker IN ('click', 'view') THEN 'traffic' WHEN ticker = 'purchase' THEN 'sales' END, 'unknown') AS asset_class, coalesce(CASE WHEN ticker = 'click' THEN 'reference' WHEN ticker IN ('view', 'purchase') THEN 'driver' END, 'unknown') AS role FROM bars")
+@query(f"""WITH {frames.BARS} SELECT ticker, ts, coalesce(CASE WHEN ticker IN ('click', 'view') THEN 'traffic' WHEN ticker = 'purchase' THEN 'sales' END,
+'unknown') AS asset_class, coalesce(CASE WHEN ticker = 'click' THEN 'reference' WHEN ticker IN ('view', 'purchase') THEN 'driver' END,
+'unknown') AS role FROM bars""")
 def enrich_instruments(spark, sf_dir):
     dim = _instruments(spark).withColumn("ticker", F.lower("ticker"))
     return panel.enrich(frames.bars(spark, sf_dir).select("ticker", "ts"), F.broadcast(dim))
 
 
-@query(f"WITH {frames.DAILY}, {frames.BARS} SELECT 'daily' AS dataset, count(*) AS n_rows, min(date)::TIMESTAMP AS first_time, max(date)::TIMESTAMP AS last_time, 7 AS n_columns FROM daily UNION ALL SELECT 'bars', count(*), min(ts)::TIMESTAMP, max(ts)::TIMESTAMP, 7 FROM bars")
+@query(f"""WITH {frames.DAILY}, {frames.BARS} SELECT 'daily' AS dataset, count(*) AS n_rows, min(date)::TIMESTAMP AS first_time, max(date)::TIMESTAMP AS last_time,
+7 AS n_columns FROM daily UNION ALL SELECT 'bars', count(*), min(ts)::TIMESTAMP, max(ts)::TIMESTAMP, 7
+FROM bars""")
 def dataset_summary(spark, sf_dir):
     return io.dataset_summary({"daily": (frames.daily(spark, sf_dir), "date"), "bars": (frames.bars(spark, sf_dir), "ts")})
 
@@ -111,7 +117,8 @@ def canonical_ticker(spark, sf_dir):
     return frames.table(spark, sf_dir, "supplier").withColumn("label", F.expr(_LABEL)).select("s_suppkey", col_fns.canonical_ticker(F.col("label")).alias("ticker"))
 
 
-@query(f"WITH {frames.DAILY} SELECT entity, date, {R('vix3m - vix')} AS term_spread, {R('vix3m / nullif(vix, 0) - 1')} AS term_ratio, {R('price / 100 - 1')} AS basis, {R('credit - 0.04')} AS surprise FROM daily")
+@query(f"""WITH {frames.DAILY} SELECT entity, date, {R('vix3m - vix')} AS term_spread, {R('vix3m / nullif(vix, 0) - 1')} AS term_ratio, {R('price / 100 - 1')} AS basis,
+{R('credit - 0.04')} AS surprise FROM daily""")
 def pair_features(spark, sf_dir):
     d = frames.daily(spark, sf_dir)
     return rounded(d.select("entity", "date", (F.col("vix3m") - F.col("vix")).alias("term_spread"), col_fns.ratio_change(F.col("vix3m"), F.col("vix")).alias("term_ratio"), col_fns.ratio_change(P(), F.lit(100.0)).alias("basis"), (F.col("credit") - 0.04).alias("surprise")))
@@ -124,7 +131,11 @@ def next_business_timestamp(spark, sf_dir):
     return frames.table(spark, sf_dir, "orders").select("o_orderkey", col_fns.next_business_day(day).alias("next_day"), col_fns.next_business_time(day).alias("next_time"))
 
 
-@query(f"WITH {frames.STORE}, broken AS (SELECT event_id, list_filter(['ingestion_before_release', 'valid_before_release', 'valid_before_ingestion', 'leak_without_reason'], lambda x: (x = 'ingestion_before_release' AND ingestion_time < release_time) OR (x = 'valid_before_release' AND earliest_valid_prediction_timestamp < release_time) OR (x = 'valid_before_ingestion' AND earliest_valid_prediction_timestamp < ingestion_time) OR (x = 'leak_without_reason' AND is_known_leak AND coalesce(trim(leak_reason), '') = '')) AS r FROM (SELECT * REPLACE (CASE WHEN event_id % 53 = 0 THEN release_time - INTERVAL 1 MINUTE ELSE earliest_valid_prediction_timestamp END AS earliest_valid_prediction_timestamp) FROM store)) SELECT event_id, array_to_string(r, ',') AS broken_rules FROM broken WHERE len(r) > 0")
+@query(f"""WITH {frames.STORE}, broken AS (SELECT event_id, list_filter(['ingestion_before_release', 'valid_before_release', 'valid_before_ingestion',
+'leak_without_reason'], lambda x: (x = 'ingestion_before_release' AND ingestion_time < release_time) OR (x = 'valid_before_release' AND earliest_valid_prediction_timestamp < release_time) OR (x = 'valid_before_ingestion' AND earliest_valid_prediction_timestamp < ingestion_time) OR (x = 'leak_without_reason' AND is_known_leak AND coalesce(trim(leak_reason),
+'') = '')) AS r FROM (SELECT * REPLACE (CASE WHEN event_id % 53 = 0 THEN release_time - INTERVAL 1 MINUTE ELSE earliest_valid_prediction_timestamp END AS earliest_valid_prediction_timestamp)
+FROM store)) SELECT event_id, array_to_string(r, ',') AS broken_rules
+FROM broken WHERE len(r) > 0""")
 def validate_availability_order(spark, sf_dir):
     store = frames.feature_store(spark, sf_dir)
     early = F.when(F.col("event_id") % 53 == 0, F.timestamp_add("MINUTE", F.lit(-1), F.col("release_time"))).otherwise(F.col("earliest_valid_prediction_timestamp"))
@@ -135,13 +146,18 @@ def validate_availability_order(spark, sf_dir):
 _NAMES = "n_name || CASE n_nationkey % 5 WHEN 0 THEN '_Forward_label' WHEN 1 THEN '_target' WHEN 2 THEN '_post_event' ELSE '_vol_20' END"
 
 
-@query(f"SELECT DISTINCT name AS feature_name, CASE WHEN contains(lower(name), 'future') THEN 'future' WHEN contains(lower(name), 'forward') THEN 'forward' WHEN contains(lower(name), 'leaked') THEN 'leaked' WHEN contains(lower(name), 'target') THEN 'target' WHEN contains(lower(name), 'label') THEN 'label' WHEN contains(lower(name), 'outcome') THEN 'outcome' ELSE 'post_event' END AS pattern FROM (SELECT {_NAMES} AS name FROM nation, supplier WHERE s_nationkey = n_nationkey) WHERE regexp_matches(lower(name), 'future|forward|leaked|target|label|outcome|post_event')")
+@query(f"""SELECT DISTINCT name AS feature_name, CASE WHEN contains(lower(name), 'future') THEN 'future' WHEN contains(lower(name), 'forward') THEN 'forward' WHEN contains(lower(name),
+'leaked') THEN 'leaked' WHEN contains(lower(name), 'target') THEN 'target' WHEN contains(lower(name), 'label') THEN 'label' WHEN contains(lower(name),
+'outcome') THEN 'outcome' ELSE 'post_event' END AS pattern FROM (SELECT {_NAMES} AS name
+FROM nation, supplier WHERE s_nationkey = n_nationkey) WHERE regexp_matches(lower(name), 'future|forward|leaked|target|label|outcome|post_event')""")
 def suspicious_feature_names(spark, sf_dir):
     rows = frames.table(spark, sf_dir, "supplier").join(F.broadcast(frames.table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     return pit.suspicious_features(rows.select(F.expr(_NAMES).alias("feature_name")))
 
 
-@query(f"WITH {frames.BARS}, dates AS (SELECT count(DISTINCT ts) AS n_dates FROM bars) SELECT ticker, count(close) AS n_values, {R('count(close) / any_value(n_dates)')} AS share FROM bars, dates GROUP BY ticker HAVING count(close) >= 0.15 * any_value(n_dates)")
+@query(f"""WITH {frames.BARS}, dates AS (SELECT count(DISTINCT ts) AS n_dates
+FROM bars) SELECT ticker, count(close) AS n_values, {R('count(close) / any_value(n_dates)')} AS share
+FROM bars, dates GROUP BY ticker HAVING count(close) >= 0.15 * any_value(n_dates)""")
 def column_coverage_filter(spark, sf_dir):
     bars = frames.bars(spark, sf_dir)
     dates = bars.agg(F.count_distinct("ts").alias("n_dates"))
@@ -219,7 +235,12 @@ def validate_no_future_availability(spark, sf_dir):
     return pit.future_availability(earlier)
 
 
-@query(f"WITH {frames.DAILY}, d AS (SELECT entity, date, price, coalesce(lag(price, 20) OVER w, first_value(price) OVER w) AS before_20, coalesce(lag(price, 60) OVER w, first_value(price) OVER w) AS before_60 FROM daily WINDOW w AS (PARTITION BY entity ORDER BY date)), cases AS (SELECT * FROM (VALUES ('first', DATE '1993-03-06'), ('second', DATE '1995-08-19'), ('early', DATE '1980-01-01')) v(case_name, case_date)) SELECT entity, case_name, date, price, before_20, before_60, {R('price / nullif(before_20, 0) - 1')} AS change_20, {R('price / nullif(before_60, 0) - 1')} AS change_60 FROM d, cases QUALIFY row_number() OVER (PARTITION BY entity, case_name ORDER BY abs(date - case_date), date) = 1")
+@query(f"""WITH {frames.DAILY}, d AS (SELECT entity, date, price, coalesce(lag(price, 20) OVER w, first_value(price) OVER w) AS before_20, coalesce(lag(price,
+60) OVER w, first_value(price) OVER w) AS before_60 FROM daily
+WINDOW w AS (PARTITION BY entity ORDER BY date)), cases AS (SELECT *
+FROM (VALUES ('first', DATE '1993-03-06'), ('second', DATE '1995-08-19'), ('early', DATE '1980-01-01')) v(case_name, case_date))
+SELECT entity, case_name, date, price, before_20, before_60, {R('price / nullif(before_20, 0) - 1')} AS change_20, {R('price / nullif(before_60, 0) - 1')} AS change_60
+FROM d, cases QUALIFY row_number() OVER (PARTITION BY entity, case_name ORDER BY abs(date - case_date), date) = 1""")
 def nearest_date_snapshot(spark, sf_dir):
     cases = spark.sql("SELECT * FROM VALUES ('first', DATE'1993-03-06'), ('second', DATE'1995-08-19'), ('early', DATE'1980-01-01') AS v(case_name, case_date)")
     return rounded(panel.nearest_dates(frames.daily(spark, sf_dir).select("entity", "date", "price"), cases, "entity", "date", "price"))
@@ -239,7 +260,9 @@ def label_join(spark, sf_dir):
     return d.select("entity", "date", "price").join(_labelled(spark, sf_dir).select("entity", "date", "label"), ["entity", "date"])
 
 
-@query(f"WITH {frames.DAILY}, stress AS (SELECT date, avg(vix) AS stress FROM daily GROUP BY date HAVING count(*) > 1) SELECT entity, date, price, {R('stress')} AS stress FROM daily LEFT JOIN stress USING (date)")
+@query(f"""WITH {frames.DAILY}, stress AS (SELECT date, avg(vix) AS stress
+FROM daily GROUP BY date HAVING count(*) > 1) SELECT entity, date, price, {R('stress')} AS stress
+FROM daily LEFT JOIN stress USING (date)""")
 def stress_panel_join(spark, sf_dir):
     d = frames.daily(spark, sf_dir)
     stress = d.groupBy("date").agg(F.avg("vix").alias("stress"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -247,10 +270,16 @@ def stress_panel_join(spark, sf_dir):
 
 
 _CORR = "CASE WHEN stddev_samp({a}) > 0 AND stddev_samp({b}) > 0 THEN covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) END"
-_RANKED = f"WITH {frames.RETURNS}, x AS (SELECT r.ticker, r.ts, r.ret AS a, s.ret AS b FROM returns r JOIN returns s ON r.ts = s.ts AND s.ticker = 'click' WHERE r.ticker <> 'click' AND r.ret IS NOT NULL AND s.ret IS NOT NULL), early AS (SELECT ticker, {_CORR.format(a='a', b='b')} AS c FROM x WHERE hour(ts) < 12 GROUP BY 1), late AS (SELECT ticker, {_CORR.format(a='a', b='b')} AS c FROM x WHERE hour(ts) >= 12 GROUP BY 1)"
+_RANKED = f"""WITH {frames.RETURNS}, x AS (SELECT r.ticker, r.ts, r.ret AS a, s.ret AS b
+FROM returns r JOIN returns s ON r.ts = s.ts AND s.ticker = 'click'
+WHERE r.ticker <> 'click' AND r.ret IS NOT NULL AND s.ret IS NOT NULL),
+early AS (SELECT ticker, {_CORR.format(a='a', b='b')} AS c FROM x
+WHERE hour(ts) < 12 GROUP BY 1), late AS (SELECT ticker, {_CORR.format(a='a', b='b')} AS c
+FROM x WHERE hour(ts) >= 12 GROUP BY 1)"""
 
 
-@query(f"{_RANKED} SELECT coalesce(e.ticker, l.ticker) AS root, {R('e.c')} AS corr_am, {R('l.c')} AS corr_pm, CASE coalesce(e.ticker, l.ticker) WHEN 'view' THEN 'traffic' WHEN 'purchase' THEN 'sales' ELSE 'Other' END AS grp FROM early e FULL JOIN late l ON e.ticker = l.ticker")
+@query(f"""{_RANKED} SELECT coalesce(e.ticker, l.ticker) AS root, {R('e.c')} AS corr_am, {R('l.c')} AS corr_pm, CASE coalesce(e.ticker, l.ticker) WHEN 'view' THEN 'traffic' WHEN 'purchase' THEN 'sales' ELSE 'Other' END AS grp
+FROM early e FULL JOIN late l ON e.ticker = l.ticker""")
 def compare_correlations(spark, sf_dir):
     r = frames.returns(spark, sf_dir)
     ref = r.where("ticker = 'click'").select("ts", F.col("ret").alias("b"))
@@ -277,7 +306,10 @@ def return_panel(spark, sf_dir):
     return rounded(panel.return_panel(frames.bars(spark, sf_dir), "ts", "ticker", "close", _TICKERS))
 
 
-@query(f"WITH {frames.DAILY}, m AS (SELECT entity, date::TIMESTAMP AS event_time, price, vix AS vix_20, credit AS leaked_60 FROM daily) SELECT entity, event_time, event_time + INTERVAL 1 DAY AS earliest_valid_prediction_timestamp, feature_name, value, CASE feature_name WHEN 'vix_20' THEN '20d' WHEN 'leaked_60' THEN '60d' ELSE 'point' END AS transformation_window, feature_name = 'leaked_60' AS is_known_leak, CASE WHEN feature_name = 'leaked_60' THEN 'uses later prices' END AS leak_reason FROM m UNPIVOT INCLUDE NULLS (value FOR feature_name IN (price, vix_20, leaked_60))")
+@query(f"""WITH {frames.DAILY}, m AS (SELECT entity, date::TIMESTAMP AS event_time, price, vix AS vix_20, credit AS leaked_60
+FROM daily) SELECT entity, event_time, event_time + INTERVAL 1 DAY AS earliest_valid_prediction_timestamp, feature_name, value, CASE feature_name WHEN 'vix_20' THEN '20d' WHEN 'leaked_60' THEN '60d' ELSE 'point' END AS transformation_window,
+feature_name = 'leaked_60' AS is_known_leak, CASE WHEN feature_name = 'leaked_60' THEN 'uses later prices' END AS leak_reason
+FROM m UNPIVOT INCLUDE NULLS (value FOR feature_name IN (price, vix_20, leaked_60))""")
 def to_feature_store(spark, sf_dir):
     at = F.col("date").cast("timestamp")
     after = F.timestamp_add("DAY", F.lit(1), at)
@@ -285,7 +317,12 @@ def to_feature_store(spark, sf_dir):
     return panel.to_feature_store(d, "entity", ["price", "vix_20", "leaked_60"], ["leaked_60"]).drop("release_time", "ingestion_time")
 
 
-_TENOR = f"WITH {frames.CHAIN}, near AS (SELECT *, abs(dte - target_days) AS distance FROM chain, (SELECT unnest([30, 60, 90]) AS target_days) WHERE abs(dte - target_days) <= 20), picked AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY ticker, date, target_days ORDER BY distance, dte, l_orderkey, l_linenumber, l_partkey, l_suppkey, futures, l_shipdate) = 1), tenor AS (SELECT ticker, date, target_days::INT AS target_days, field, value, ticker || '_' || field || '_' || target_days || 'd' AS feature FROM picked UNPIVOT INCLUDE NULLS (value FOR field IN (futures, atm, rr25)))"
+_TENOR = f"""WITH {frames.CHAIN}, near AS (SELECT *, abs(dte - target_days) AS distance
+FROM chain, (SELECT unnest([30, 60, 90]) AS target_days) WHERE abs(dte - target_days) <= 20),
+picked AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY ticker, date, target_days ORDER BY distance, dte, l_orderkey,
+l_linenumber, l_partkey, l_suppkey, futures, l_shipdate) = 1),
+tenor AS (SELECT ticker, date, target_days::INT AS target_days, field, value, ticker || '_' || field || '_' || target_days || 'd' AS feature
+FROM picked UNPIVOT INCLUDE NULLS (value FOR field IN (futures, atm, rr25)))"""
 
 
 @query(f"{_TENOR} SELECT ticker, date, target_days, field, {R('value')} AS value, feature FROM tenor")
@@ -310,7 +347,11 @@ def union_frames(spark, sf_dir):
 # -- aggregations ------------------------------------------------------------------------
 
 
-@query(f"WITH {frames.BARS}, per AS (SELECT ticker, CAST(ts AS DATE) AS d, count(*) AS n FROM bars GROUP BY 1, 2), med AS (SELECT ticker, median(n) AS median_bars, count(*) AS n_dates FROM per GROUP BY 1) SELECT ticker, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, any_value(n_dates) AS n_dates, any_value(median_bars) AS median_bars_per_date, {R('avg((coalesce(volume, 0) = 0)::INT)')} AS zero_volume_share, {R('avg((close IS NULL)::INT)')} AS missing_close_share FROM bars JOIN med USING (ticker) GROUP BY ticker")
+@query(f"""WITH {frames.BARS}, per AS (SELECT ticker, CAST(ts AS DATE) AS d, count(*) AS n
+FROM bars GROUP BY 1, 2), med AS (SELECT ticker, median(n) AS median_bars, count(*) AS n_dates
+FROM per GROUP BY 1) SELECT ticker, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, any_value(n_dates) AS n_dates, any_value(median_bars) AS median_bars_per_date,
+{R('avg((coalesce(volume, 0) = 0)::INT)')} AS zero_volume_share, {R('avg((close IS NULL)::INT)')} AS missing_close_share
+FROM bars JOIN med USING (ticker) GROUP BY ticker""")
 def bars_coverage(spark, sf_dir):
     b = frames.bars(spark, sf_dir)
     per = b.groupBy("ticker", F.to_date("ts").alias("d")).agg(
@@ -319,7 +360,9 @@ def bars_coverage(spark, sf_dir):
     return rounded(out)
 
 
-@query(f"WITH {frames.CHAIN} SELECT ticker, count(*) AS n_rows, min(date) AS start_date, max(date) AS end_date, count(DISTINCT date) AS n_dates, min(dte) AS min_dte, median(dte) AS median_dte, max(dte) AS max_dte FROM chain GROUP BY ticker")
+@query(f"""WITH {frames.CHAIN} SELECT ticker, count(*) AS n_rows, min(date) AS start_date, max(date) AS end_date, count(DISTINCT date) AS n_dates,
+min(dte) AS min_dte, median(dte) AS median_dte, max(dte) AS max_dte
+FROM chain GROUP BY ticker""")
 def chain_coverage(spark, sf_dir):
     c = frames.chain(spark, sf_dir)
     return c.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count_distinct("date").alias("n_dates"), F.min("dte").alias("min_dte"), F.percentile("dte", F.lit(0.5)).alias("median_dte"), F.max("dte").alias("max_dte"))
@@ -357,7 +400,10 @@ def impulse_events(spark, sf_dir):
     return rounded(_events(spark, sf_dir).drop("close", "abs_ret"))
 
 
-@query(f"{_EVENTS}, k AS (SELECT ret * 10000 AS bp, unnest(['large_abs', 'large_down', 'large_up']) AS event, unnest([large_abs, large_down, large_up]) AS hit FROM ev WHERE threshold_ready) SELECT event, count(*) AS eligible, count(*) FILTER (hit) AS n_events, {R('avg(hit::INT)')} AS rate, {R('quantile_cont(bp, 0.5) FILTER (hit)')} AS median_bp, {R('quantile_cont(bp, 0.1) FILTER (hit)')} AS p10_bp, {R('quantile_cont(bp, 0.9) FILTER (hit)')} AS p90_bp, {R('avg(abs(bp)) FILTER (hit)')} AS mean_abs_bp FROM k GROUP BY event")
+@query(f"""{_EVENTS}, k AS (SELECT ret * 10000 AS bp, unnest(['large_abs', 'large_down', 'large_up']) AS event, unnest([large_abs, large_down,
+large_up]) AS hit FROM ev WHERE threshold_ready) SELECT event, count(*) AS eligible, count(*) FILTER (hit) AS n_events, {R('avg(hit::INT)')} AS rate,
+{R('quantile_cont(bp, 0.5) FILTER (hit)')} AS median_bp, {R('quantile_cont(bp, 0.1) FILTER (hit)')} AS p10_bp, {R('quantile_cont(bp, 0.9) FILTER (hit)')} AS p90_bp,
+{R('avg(abs(bp)) FILTER (hit)')} AS mean_abs_bp FROM k GROUP BY event""")
 def impulse_summary(spark, sf_dir):
     return rounded(impulse.impulse_summary(_events(spark, sf_dir)))
 
@@ -374,7 +420,12 @@ def reference_align(spark, sf_dir):
     return rounded(_aligned(spark, sf_dir))
 
 
-_CONDITIONAL = f"{_ALIGNED}, s AS (SELECT *, unnest(list_filter(['all', CASE WHEN threshold_ready THEN 'threshold_ready' END, CASE WHEN large_abs THEN 'large_abs' END, CASE WHEN large_down THEN 'large_down' END, CASE WHEN large_up THEN 'large_up' END], lambda x: x IS NOT NULL)) AS sample FROM aligned WHERE ret IS NOT NULL AND ref_ret IS NOT NULL), c AS (SELECT sample, ticker, count(*) AS n_obs, CASE WHEN count(*) >= 3 THEN {_CORR.format(a='ret', b='ref_ret')} END AS corr FROM s GROUP BY 1, 2), grid AS (SELECT DISTINCT ticker, unnest(['all', 'threshold_ready', 'large_abs', 'large_down', 'large_up']) AS sample FROM aligned), cc AS (SELECT g.sample, g.ticker, coalesce(n_obs, 0) AS n_obs, corr, abs(corr) AS abs_corr, corr - max(CASE WHEN g.sample = 'threshold_ready' THEN corr END) OVER (PARTITION BY g.ticker) AS delta_vs_ready FROM grid g LEFT JOIN c USING (sample, ticker))"
+_CONDITIONAL = f"""{_ALIGNED}, s AS (SELECT *, unnest(list_filter(['all', CASE WHEN threshold_ready THEN 'threshold_ready' END, CASE WHEN large_abs THEN 'large_abs' END,
+CASE WHEN large_down THEN 'large_down' END, CASE WHEN large_up THEN 'large_up' END], lambda x: x IS NOT NULL)) AS sample
+FROM aligned WHERE ret IS NOT NULL AND ref_ret IS NOT NULL), c AS (SELECT sample, ticker, count(*) AS n_obs, CASE WHEN count(*) >= 3 THEN {_CORR.format(a='ret', b='ref_ret')} END AS corr
+FROM s GROUP BY 1, 2), grid AS (SELECT DISTINCT ticker, unnest(['all', 'threshold_ready', 'large_abs', 'large_down', 'large_up']) AS sample
+FROM aligned), cc AS (SELECT g.sample, g.ticker, coalesce(n_obs, 0) AS n_obs, corr, abs(corr) AS abs_corr, corr - max(CASE WHEN g.sample = 'threshold_ready' THEN corr END) OVER (PARTITION BY g.ticker) AS delta_vs_ready
+FROM grid g LEFT JOIN c USING (sample, ticker))"""
 
 
 @query(f"{_CONDITIONAL} SELECT sample, ticker, n_obs, {R('corr')} AS corr, {R('abs_corr')} AS abs_corr, {R('delta_vs_ready')} AS delta_vs_ready FROM cc")
@@ -382,33 +433,49 @@ def conditional_correlation(spark, sf_dir):
     return rounded(impulse.conditional_correlation(_aligned(spark, sf_dir)))
 
 
-@query(f"{_CONDITIONAL}, r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(abs_corr, 9) DESC NULLS LAST, n_obs DESC, ticker)::INT AS rank FROM cc) SELECT sample, ticker, n_obs, {R('corr')} AS corr, rank FROM r WHERE rank <= 8")
+@query(f"""{_CONDITIONAL}, r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(abs_corr, 9) DESC NULLS LAST, n_obs DESC, ticker)::INT AS rank
+FROM cc) SELECT sample, ticker, n_obs, {R('corr')} AS corr, rank
+FROM r WHERE rank <= 8""")
 def top_drivers_per_sample(spark, sf_dir):
     rows = impulse.conditional_correlation(_aligned(spark, sf_dir)).withColumn("abs_corr", F.round("abs_corr", 9))
     return rounded(impulse.top_drivers(rows, n=8).select("sample", "ticker", "n_obs", "corr", "rank"))
 
 
-@query(f"WITH {frames.RETURNS}, v AS (SELECT * FROM returns WHERE ret IS NOT NULL) SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, {R(_CORR.format(a='x.ret', b='y.ret'))} AS corr FROM v x JOIN v y ON x.ts = y.ts AND x.ticker <= y.ticker GROUP BY 1, 2")
+@query(f"""WITH {frames.RETURNS}, v AS (SELECT * FROM returns WHERE ret IS NOT NULL)
+SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, {R(_CORR.format(a='x.ret', b='y.ret'))} AS corr
+FROM v x JOIN v y ON x.ts = y.ts AND x.ticker <= y.ticker GROUP BY 1, 2""")
 def corr_matrix(spark, sf_dir):
     return rounded(pca.corr_matrix(frames.returns(spark, sf_dir), "ts", "ticker", "ret"))
 
 
-_LIFT_ROWS = f"{_LABELLED}, q AS (SELECT quantile_cont(vix, 0.9) AS hi, quantile_cont(vix3m - vix, 0.1) AS lo FROM labelled), i AS (SELECT 'vix_high' AS indicator, coalesce(vix >= hi, false) AS inside, label FROM labelled, q UNION ALL SELECT 'term_low', coalesce(vix3m - vix <= lo, false), label FROM labelled, q)"
+_LIFT_ROWS = f"""{_LABELLED}, q AS (SELECT quantile_cont(vix, 0.9) AS hi, quantile_cont(vix3m - vix, 0.1) AS lo
+FROM labelled), i AS (SELECT 'vix_high' AS indicator, coalesce(vix >= hi, false) AS inside, label
+FROM labelled, q UNION ALL SELECT 'term_low', coalesce(vix3m - vix <= lo, false), label
+FROM labelled, q)"""
 
 
-@query(f"{_LIFT_ROWS} SELECT indicator, 'label' AS target, {R('count(*) FILTER (inside AND label IS NOT NULL) / count(*)')} AS coverage, {R('avg(label)')} AS base_rate, {R('avg(label) FILTER (inside)')} AS conditional_rate, {R('avg(label) FILTER (inside) / nullif(avg(label), 0)')} AS lift FROM i GROUP BY indicator")
+@query(f"""{_LIFT_ROWS} SELECT indicator, 'label' AS target, {R('count(*) FILTER (inside AND label IS NOT NULL) / count(*)')} AS coverage, {R('avg(label)')} AS base_rate,
+{R('avg(label) FILTER (inside)')} AS conditional_rate, {R('avg(label) FILTER (inside) / nullif(avg(label), 0)')} AS lift
+FROM i GROUP BY indicator""")
 def conditional_lift_table(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("term", F.col("vix3m") - F.col("vix"))
     return rounded(lift.conditional_lift(rows, {"vix_high": ("vix", "high"), "term_low": ("term", "low")}, ["label"]))
 
 
-@query(f"{_LABELLED}, e AS (SELECT list_sort(list_distinct(quantile_cont(vix, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM labelled) SELECT (1 + len(list_filter(edges[2:len(edges) - 1], lambda x: x < vix)))::INT AS decile, count(*) AS n, {R('avg(vix)')} AS mean_vix, {R('avg(label)')} AS event_rate FROM labelled, e GROUP BY 1")
+@query(f"""{_LABELLED}, e AS (SELECT list_sort(list_distinct(quantile_cont(vix, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges
+FROM labelled) SELECT (1 + len(list_filter(edges[2:len(edges) - 1], lambda x: x < vix)))::INT AS decile, count(*) AS n, {R('avg(vix)')} AS mean_vix,
+{R('avg(label)')} AS event_rate FROM labelled, e GROUP BY 1""")
 def stress_decile_rates(spark, sf_dir):
     rows = lift.quantile_bins(_labelled(spark, sf_dir), "vix")
     return rounded(rows.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg("vix").alias("mean_vix"), F.avg("label").alias("event_rate")))
 
 
-@query(f"{_LABELLED}, long AS (SELECT label, feature_name, value FROM (SELECT label, vix, credit, label * 2 + vix * 0.01 AS twin FROM labelled) UNPIVOT INCLUDE NULLS (value FOR feature_name IN (vix, credit, twin))), v AS (SELECT * FROM long WHERE label IS NOT NULL AND value IS NOT NULL), s AS (SELECT feature_name, count(*) AS n_valid, count(DISTINCT label) AS n_targets, {_CORR.format(a='value', b='label')} AS corr FROM v GROUP BY 1) SELECT feature_name, n_valid, n_targets, {R('corr')} AS corr FROM s WHERE n_valid >= 10 AND n_targets >= 2 AND abs(corr) >= 0.9")
+@query(f"""{_LABELLED}, long AS (SELECT label, feature_name, value FROM (SELECT label, vix, credit, label * 2 + vix * 0.01 AS twin
+FROM labelled) UNPIVOT INCLUDE NULLS (value FOR feature_name IN (vix, credit, twin))),
+v AS (SELECT * FROM long WHERE label IS NOT NULL AND value IS NOT NULL),
+s AS (SELECT feature_name, count(*) AS n_valid, count(DISTINCT label) AS n_targets, {_CORR.format(a='value', b='label')} AS corr
+FROM v GROUP BY 1) SELECT feature_name, n_valid, n_targets, {R('corr')} AS corr
+FROM s WHERE n_valid >= 10 AND n_targets >= 2 AND abs(corr) >= 0.9""")
 def target_correlation_audit(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("twin", F.col("label") * 2 + F.col("vix") * 0.01)
     long = rows.unpivot(["label"], ["vix", "credit", "twin"], "feature_name", "value")
@@ -421,7 +488,9 @@ def leakage_audit(spark, sf_dir):
     return pit.leakage_audit(rows, "label", "date")
 
 
-_PHASED = f"{_LABELLED}, prev AS (SELECT *, coalesce(lag(label) OVER (PARTITION BY entity ORDER BY date), 0) AS p FROM labelled), phased AS (SELECT *, CASE WHEN label IS NULL THEN 'insufficient_forward_window' WHEN label = 1 AND p = 1 THEN 'continuation' WHEN label = 1 THEN 'onset' WHEN p = 1 THEN 'recovery' ELSE 'calm' END AS phase FROM prev)"
+_PHASED = f"""{_LABELLED}, prev AS (SELECT *, coalesce(lag(label) OVER (PARTITION BY entity ORDER BY date), 0) AS p
+FROM labelled), phased AS (SELECT *, CASE WHEN label IS NULL THEN 'insufficient_forward_window' WHEN label = 1 AND p = 1 THEN 'continuation' WHEN label = 1 THEN 'onset' WHEN p = 1 THEN 'recovery' ELSE 'calm' END AS phase
+FROM prev)"""
 
 
 def _phased(spark, sf_dir):
@@ -433,7 +502,8 @@ def event_phases(spark, sf_dir):
     return _phased(spark, sf_dir).select("entity", "date", "phase")
 
 
-@query(f"{_PHASED}, t AS (SELECT coalesce(lag(phase) OVER (PARTITION BY entity ORDER BY date), 'start') AS previous_phase, phase AS current_phase FROM phased) SELECT *, count(*) AS n FROM t GROUP BY ALL")
+@query(f"""{_PHASED}, t AS (SELECT coalesce(lag(phase) OVER (PARTITION BY entity ORDER BY date), 'start') AS previous_phase, phase AS current_phase
+FROM phased) SELECT *, count(*) AS n FROM t GROUP BY ALL""")
 def regime_transitions(spark, sf_dir):
     return labels.transitions(_phased(spark, sf_dir), "phase", K, T)
 
@@ -443,12 +513,17 @@ def event_run_ids(spark, sf_dir):
     return labels.run_ids(_labelled(spark, sf_dir), "label", K, T).select("entity", "date", "event_id")
 
 
-@query(f"{_PHASED}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn FROM phased) SELECT entity, date, (min(CASE WHEN phase = 'onset' THEN rn END) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - rn)::INT AS time_to_next_event FROM n")
+@query(f"""{_PHASED}, n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn
+FROM phased) SELECT entity, date, (min(CASE WHEN phase = 'onset' THEN rn END) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - rn)::INT AS time_to_next_event
+FROM n""")
 def time_to_next_onset(spark, sf_dir):
     return labels.time_to_onset(_labelled(spark, sf_dir), "label", K, T).select("entity", "date", "time_to_next_event")
 
 
-@query(f"WITH {frames.DAILY}, l AS (SELECT component, value FROM daily UNPIVOT (value FOR component IN (vix, vix3m, credit))) SELECT component, count(value) AS n, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std, {R('min(value)')} AS low, {R('quantile_cont(value, 0.25)')} AS q25, {R('quantile_cont(value, 0.5)')} AS q50, {R('quantile_cont(value, 0.75)')} AS q75, {R('max(value)')} AS high FROM l GROUP BY component")
+@query(f"""WITH {frames.DAILY}, l AS (SELECT component, value FROM daily UNPIVOT (value FOR component IN (vix, vix3m, credit)))
+SELECT component, count(value) AS n, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std, {R('min(value)')} AS low, {R('quantile_cont(value, 0.25)')} AS q25,
+{R('quantile_cont(value, 0.5)')} AS q50, {R('quantile_cont(value, 0.75)')} AS q75, {R('max(value)')} AS high
+FROM l GROUP BY component""")
 def describe_series(spark, sf_dir):
     long = frames.daily(spark, sf_dir).unpivot([], ["vix", "vix3m", "credit"], "component", "value")
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -504,25 +579,32 @@ _daily_query("forward_drawdown_label", lambda: labels.drawdown_label(P(), K, T,
 _daily_query("bounded_ffill", lambda: win.bounded_ffill(F.col("vix3m"), K, T), f"last_value(vix3m IGNORE NULLS) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 
 
-@query(f"{_RET} SELECT entity, date, {R('CASE WHEN count(vix) OVER x >= 756 THEN quantile_cont(vix, 0.85) OVER x END')} AS value FROM r WINDOW x AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(f"""{_RET} SELECT entity, date, {R('CASE WHEN count(vix) OVER x >= 756 THEN quantile_cont(vix, 0.85) OVER x END')} AS value
+FROM r WINDOW x AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def expanding_quantile_threshold(spark, sf_dir):
     rows = frames.daily(spark, sf_dir).select("entity", "date", "vix")
     return rounded(win.expanding_quantile(rows, "vix", K, T, "value").drop("vix"))
 
 
-@query(f"WITH {frames.DAILY}, r AS (SELECT *, coalesce(price / lag(price) OVER ({_W}) - 1, 0) AS ret FROM daily), g AS (SELECT *, product(1 + ret) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS growth FROM r) SELECT entity, date, {R('ret')} AS ret, {R('growth')} AS growth, {R(f'growth / max(growth) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1')} AS drawdown FROM g")
+@query(f"""WITH {frames.DAILY}, r AS (SELECT *, coalesce(price / lag(price) OVER ({_W}) - 1, 0) AS ret
+FROM daily), g AS (SELECT *, product(1 + ret) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS growth
+FROM r) SELECT entity, date, {R('ret')} AS ret, {R('growth')} AS growth, {R(f'growth / max(growth) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1')} AS drawdown
+FROM g""")
 def pct_change_growth(spark, sf_dir):
     rows = frames.daily(spark, sf_dir).withColumn("ret", win.simple_return(P(), K, T))
     rows = rows.withColumn("growth", win.growth(F.col("ret"), K, T))
     return rounded(rows.withColumn("drawdown", win.running_drawdown(F.col("growth"), K, T)).select("entity", "date", "ret", "growth", "drawdown"))
 
 
-@query(f"WITH {frames.DAILY}, c AS (SELECT entity, quantile_cont(vix, 0.95) AS hi FROM daily GROUP BY entity) SELECT entity, date, coalesce(max(vix) OVER {_NEXT20} >= hi, false)::INT::DOUBLE AS label FROM daily JOIN c USING (entity)")
+@query(f"""WITH {frames.DAILY}, c AS (SELECT entity, quantile_cont(vix, 0.95) AS hi
+FROM daily GROUP BY entity) SELECT entity, date, coalesce(max(vix) OVER {_NEXT20} >= hi, false)::INT::DOUBLE AS label
+FROM daily JOIN c USING (entity)""")
 def forward_quantile_label(spark, sf_dir):
     return labels.quantile_label(frames.daily(spark, sf_dir), "vix", K, T, 20, 0.95, "label").select("entity", "date", "label")
 
 
-@query(f"{_LABELLED} SELECT entity, date, {R(f'CASE WHEN count(label) OVER x >= 20 THEN avg(label) OVER x END')} AS frequency FROM labelled WINDOW x AS ({_W} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)")
+@query(f"""{_LABELLED} SELECT entity, date, {R(f'CASE WHEN count(label) OVER x >= 20 THEN avg(label) OVER x END')} AS frequency
+FROM labelled WINDOW x AS ({_W} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)""")
 def rolling_event_frequency(spark, sf_dir):
     return rounded(_labelled(spark, sf_dir).withColumn("frequency", win.rolling_event_frequency(F.col("label"), K, T)).select("entity", "date", "frequency"))
 
@@ -550,7 +632,9 @@ def build_event_labels(spark, sf_dir):
     return rounded(out.drop("price", "ret", "ret_micro", "vix", "vix3m", "credit", "vol"))
 
 
-@query(f"{_TENOR} SELECT date, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS dispersion, {R('avg(value) FILTER (ticker < $$J$$)')} AS mean_first, {R('avg(value) FILTER (ticker >= $$J$$)')} AS mean_second FROM tenor WHERE field = 'atm' AND target_days = 30 GROUP BY date")
+@query(f"""{_TENOR} SELECT date, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS dispersion, {R('avg(value) FILTER (ticker < $$J$$)')} AS mean_first,
+{R('avg(value) FILTER (ticker >= $$J$$)')} AS mean_second FROM tenor
+WHERE field = 'atm' AND target_days = 30 GROUP BY date""")
 def cross_section_stats(spark, sf_dir):
     rows = panel.constant_tenor(frames.chain(spark, sf_dir), frames.TIE, target_days=(30,), fields=["atm"])
     rows = rows.withColumn("grp", F.when(F.col("ticker") < "J", "first").otherwise("second"))
@@ -723,7 +807,9 @@ def top_risk_dates(spark, sf_dir):
     return frames.scores(spark, sf_dir).where("model = 'quality'").orderBy(F.desc("p"), "id").limit(25)
 
 
-@query(f"{_RET}, d AS (SELECT entity, date, price, vix, {R('price / max(price) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 8)} AS drawdown FROM r) SELECT entity, date, {R('drawdown')} AS drawdown, {R('vix')} AS vix FROM d ORDER BY d.drawdown, entity, date LIMIT 10")
+@query(f"""{_RET}, d AS (SELECT entity, date, price, vix, {R('price / max(price) OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 8)} AS drawdown
+FROM r) SELECT entity, date, {R('drawdown')} AS drawdown, {R('vix')} AS vix
+FROM d ORDER BY d.drawdown, entity, date LIMIT 10""")
 def largest_drawdowns(spark, sf_dir):
     rows = frames.daily(spark, sf_dir).withColumn("drawdown", F.round(win.running_drawdown(P(), K, T), 8))
     return rounded(rows.select("entity", "date", "drawdown", "vix").orderBy("drawdown", "entity", "date").limit(10))
@@ -743,7 +829,10 @@ def chronological_split(spark, sf_dir):
     return splits.chronological(_indexed(spark, sf_dir), 0.7)
 
 
-_FOLDS = f"{_IDX}, f AS (SELECT entity, fold, fold * (n // 3) + least(fold, n % 3) AS s, n // 3 + (fold < n % 3)::INT AS size FROM (SELECT entity, any_value(n_rows) AS n FROM i GROUP BY entity), (SELECT unnest([0, 1, 2]) AS fold)), a AS (SELECT i.entity, date, row_idx, fold::INT AS fold, CASE WHEN row_idx BETWEEN s AND s + size - 1 THEN 'test' WHEN row_idx + 20 < s OR row_idx > s + size - 1 + 5 THEN 'train' END AS role FROM i JOIN f USING (entity))"
+_FOLDS = f"""{_IDX}, f AS (SELECT entity, fold, fold * (n // 3) + least(fold, n % 3) AS s, n // 3 + (fold < n % 3)::INT AS size
+FROM (SELECT entity, any_value(n_rows) AS n FROM i GROUP BY entity), (SELECT unnest([0, 1, 2]) AS fold)),
+a AS (SELECT i.entity, date, row_idx, fold::INT AS fold, CASE WHEN row_idx BETWEEN s AND s + size - 1 THEN 'test' WHEN row_idx + 20 < s OR row_idx > s + size - 1 + 5 THEN 'train' END AS role
+FROM i JOIN f USING (entity))"""
 
 
 @query(f"{_FOLDS} SELECT * FROM a WHERE role IS NOT NULL")
@@ -751,12 +840,18 @@ def purged_time_series_split(spark, sf_dir):
     return splits.purged_folds(_indexed(spark, sf_dir), K, 3, 20, 5).select("entity", "date", "row_idx", "fold", "role")
 
 
-@query(f"{_FOLDS} SELECT entity, fold, min(date) FILTER (role = 'train') AS train_start, max(date) FILTER (role = 'train') AS train_end, min(date) FILTER (role = 'test') AS test_start_time, max(date) FILTER (role = 'test') AS test_end_time, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test FROM a GROUP BY 1, 2")
+@query(f"""{_FOLDS} SELECT entity, fold, min(date) FILTER (role = 'train') AS train_start, max(date) FILTER (role = 'train') AS train_end, min(date) FILTER (role = 'test') AS test_start_time,
+max(date) FILTER (role = 'test') AS test_end_time, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test
+FROM a GROUP BY 1, 2""")
 def split_summary(spark, sf_dir):
     return splits.fold_summary(splits.purged_folds(_indexed(spark, sf_dir), K, 3, 20, 5), K, T)
 
 
-@query(f"{_IDX}, f AS (SELECT entity, s, least(s + 250, n) - 1 AS e, (row_number() OVER (PARTITION BY entity ORDER BY s) - 1)::INT AS fold FROM (SELECT entity, n, unnest(range(1000, n, 250)) AS s FROM (SELECT entity, any_value(n_rows) AS n FROM i GROUP BY entity))), a AS (SELECT i.entity, row_idx, fold, CASE WHEN row_idx BETWEEN s AND e THEN 'test' WHEN row_idx < s - 20 OR row_idx > e + 1 + 5 THEN 'train' END AS role FROM i JOIN f USING (entity)) SELECT entity, fold, role, count(*) AS n, min(row_idx) AS first_idx, max(row_idx) AS last_idx FROM a WHERE role IS NOT NULL GROUP BY ALL")
+@query(f"""{_IDX}, f AS (SELECT entity, s, least(s + 250, n) - 1 AS e, (row_number() OVER (PARTITION BY entity ORDER BY s) - 1)::INT AS fold
+FROM (SELECT entity, n, unnest(range(1000, n, 250)) AS s FROM (SELECT entity, any_value(n_rows) AS n
+FROM i GROUP BY entity))), a AS (SELECT i.entity, row_idx, fold, CASE WHEN row_idx BETWEEN s AND e THEN 'test' WHEN row_idx < s - 20 OR row_idx > e + 1 + 5 THEN 'train' END AS role
+FROM i JOIN f USING (entity)) SELECT entity, fold, role, count(*) AS n, min(row_idx) AS first_idx, max(row_idx) AS last_idx
+FROM a WHERE role IS NOT NULL GROUP BY ALL""")
 def expanding_window_splits(spark, sf_dir):
     rows = splits.expanding_folds(_indexed(spark, sf_dir), K, 1000, 250, 20, 5)
     return rows.groupBy("entity", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_idx"), F.max("row_idx").alias("last_idx"))
@@ -768,12 +863,17 @@ def purge_embargo_masks(spark, sf_dir):
     return _indexed(spark, sf_dir).select("entity", "date", "row_idx", splits.purge_mask(i, F.lit(600), 20).alias("purged_ok"), splits.embargo_mask(i, F.lit(700), 10).alias("embargo_ok"))
 
 
-@query(f"{_IDX}, h AS (SELECT entity, date, date < DATE '1996-01-01' AS early, row_number() OVER (PARTITION BY entity, date < DATE '1996-01-01' ORDER BY date DESC) AS back FROM i) SELECT entity, date, CASE WHEN early THEN 'train' ELSE 'test' END AS role FROM h WHERE NOT early OR back > 20")
+@query(f"""{_IDX}, h AS (SELECT entity, date, date < DATE '1996-01-01' AS early, row_number() OVER (PARTITION BY entity, date < DATE '1996-01-01' ORDER BY date DESC) AS back
+FROM i) SELECT entity, date, CASE WHEN early THEN 'train' ELSE 'test' END AS role
+FROM h WHERE NOT early OR back > 20""")
 def holdout_with_purge(spark, sf_dir):
     return splits.holdout(frames.daily(spark, sf_dir).select("entity", "date"), K, T, "1996-01-01")
 
 
-@query(f"{_LABELLED}, c AS (SELECT label, count(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1) SELECT label, 'train' AS role, round(n * 0.7)::BIGINT AS n FROM c UNION ALL SELECT label, 'test', n - round(n * 0.7)::BIGINT FROM c")
+@query(f"""{_LABELLED}, c AS (SELECT label, count(*) AS n FROM labelled WHERE label IS NOT NULL
+GROUP BY 1) SELECT label, 'train' AS role, round(n * 0.7)::BIGINT AS n
+FROM c UNION ALL SELECT label, 'test', n - round(n * 0.7)::BIGINT
+FROM c""")
 def stratified_random_split(spark, sf_dir):
     rows = splits.stratified_random(_labelled(spark, sf_dir).where("label is not null"), "label", ["entity", "date"])
     return rows.groupBy("label", "role").agg(F.count(F.lit(1)).alias("n"))
@@ -808,12 +908,22 @@ def historical_frequency(spark, sf_dir):
     return rounded(models.historical_frequency(rows.where(early), rows.where(~early).select("entity", "date"), "label"))
 
 
-@query(f"WITH {frames.SCORES}, s AS (SELECT model, p, sum((y = 1)::INT) AS pos, sum((y <> 1)::INT) AS neg FROM scores GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM s WINDOW w AS (PARTITION BY model ORDER BY p DESC)), k AS (SELECT model, sum(pos) AS np, sum(neg) AS nn, sum(pos * tp / (tp + fp)) AS ap, sum(neg * (tp - pos / 2)) AS area FROM c GROUP BY 1), b AS (SELECT model, count(*) AS n, avg(y) AS positive_rate, avg((y - p) * (y - p)) AS brier, avg(-(y * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))) AS log_loss FROM scores GROUP BY 1) SELECT model, n, {R('positive_rate')} AS positive_rate, {R('brier')} AS brier, {R('log_loss')} AS log_loss, {R('ap / np')} AS average_precision, {R('area / (np * nn)')} AS roc_auc FROM b JOIN k USING (model)")
+@query(f"""WITH {frames.SCORES}, s AS (SELECT model, p, sum((y = 1)::INT) AS pos, sum((y <> 1)::INT) AS neg
+FROM scores GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp
+FROM s WINDOW w AS (PARTITION BY model ORDER BY p DESC)), k AS (SELECT model, sum(pos) AS np, sum(neg) AS nn, sum(pos * tp / (tp + fp)) AS ap,
+sum(neg * (tp - pos / 2)) AS area FROM c GROUP BY 1), b AS (SELECT model, count(*) AS n, avg(y) AS positive_rate, avg((y - p) * (y - p)) AS brier,
+avg(-(y * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))) AS log_loss
+FROM scores GROUP BY 1) SELECT model, n, {R('positive_rate')} AS positive_rate, {R('brier')} AS brier, {R('log_loss')} AS log_loss,
+{R('ap / np')} AS average_precision, {R('area / (np * nn)')} AS roc_auc
+FROM b JOIN k USING (model)""")
 def probability_metrics(spark, sf_dir):
     return rounded(metrics.probability_metrics(frames.scores(spark, sf_dir)))
 
 
-@query(f"WITH {frames.SCORES}, b AS (SELECT model, len(list_filter([0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]::DOUBLE[], lambda e: p > e)) AS bin, count(*) AS n, avg(y) AS my, avg(p) AS mp FROM scores GROUP BY 1, 2) SELECT model, {R('sum(n * abs(my - mp)) / sum(n)')} AS ece FROM b GROUP BY 1")
+@query(f"""WITH {frames.SCORES}, b AS (SELECT model, len(list_filter([0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001,
+0.8, 0.9]::DOUBLE[], lambda e: p > e)) AS bin, count(*) AS n, avg(y) AS my, avg(p) AS mp
+FROM scores GROUP BY 1, 2) SELECT model, {R('sum(n * abs(my - mp)) / sum(n)')} AS ece
+FROM b GROUP BY 1""")
 def expected_calibration_error(spark, sf_dir):
     return rounded(metrics.calibration_error(frames.scores(spark, sf_dir)))
 
@@ -926,7 +1036,12 @@ def panel_pca_absorption(spark, sf_dir):
     return rounded(pca.rolling_absorption(wide, names, "date", 252, 5, 160, 6))
 
 
-_OVER = f"{_STRESS}, base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.price) OVER (PARTITION BY r.entity ORDER BY r.date) - 1, 0) AS base, z1 FROM r JOIN z USING (entity, date)), x AS (SELECT *, CASE WHEN coalesce(z1 >= 1, false) THEN 0.5 ELSE 1.0 END AS exposure FROM base), p AS (SELECT *, coalesce(lag(exposure) OVER ({_W}), 1.0) AS position FROM x), o AS (SELECT *, abs(position - coalesce(lag(position) OVER ({_W}), position)) AS turn FROM p), run AS (SELECT entity, date, position::DOUBLE AS position, turn::DOUBLE AS turn, position * base - turn * 0.0001 AS overlay_return FROM o)"
+_OVER = f"""{_STRESS}, base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.price) OVER (PARTITION BY r.entity ORDER BY r.date) - 1, 0) AS base,
+z1 FROM r JOIN z USING (entity, date)), x AS (SELECT *, CASE WHEN coalesce(z1 >= 1, false) THEN 0.5 ELSE 1.0 END AS exposure
+FROM base), p AS (SELECT *, coalesce(lag(exposure) OVER ({_W}), 1.0) AS position
+FROM x), o AS (SELECT *, abs(position - coalesce(lag(position) OVER ({_W}), position)) AS turn
+FROM p), run AS (SELECT entity, date, position::DOUBLE AS position, turn::DOUBLE AS turn, position * base - turn * 0.0001 AS overlay_return
+FROM o)"""
 
 
 def _overlay(spark, sf_dir):
@@ -968,14 +1083,20 @@ def sensitivity_pivot(spark, sf_dir):
     return rounded(named.groupBy("entity", "quantile").pivot("column", [f"exposure_{e}" for e in (0, 25, 50, 75)]).agg(F.max("sharpe")))
 
 
-@query(f"{_GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(annual_return / nullif(annual_vol, 0), 9) DESC NULLS LAST, round(max_drawdown, 9) DESC, quantile, low_exposure)::INT AS rank FROM final) SELECT entity, quantile::DOUBLE AS quantile, low_exposure, rank, {R('annual_return / nullif(annual_vol, 0)')} AS sharpe FROM k WHERE rank <= 8")
+@query(f"""{_GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(annual_return / nullif(annual_vol, 0), 9) DESC NULLS LAST,
+round(max_drawdown, 9) DESC, quantile, low_exposure)::INT AS rank
+FROM final) SELECT entity, quantile::DOUBLE AS quantile, low_exposure, rank, {R('annual_return / nullif(annual_vol, 0)')} AS sharpe
+FROM k WHERE rank <= 8""")
 def rank_strategies(spark, sf_dir):
     grid = _grid(spark, sf_dir).withColumns({"sharpe": F.round("sharpe", 9), "max_drawdown": F.round("max_drawdown", 9)})
     return rounded(backtest.rank_strategies(grid, K).select("entity", "quantile", "low_exposure", "rank", "sharpe"))
 
 
 _CUT = "date < DATE '1996-01-01'"
-_RUN = f"p AS (SELECT *, coalesce(lag(exposure) OVER w, 1.0) AS position FROM x WINDOW w AS (PARTITION BY {{k}} ORDER BY date)), o AS (SELECT *, abs(position - coalesce(lag(position) OVER w, position)) AS turn FROM p WINDOW w AS (PARTITION BY {{k}} ORDER BY date)), run AS (SELECT {{k}}, date, position::DOUBLE AS position, turn::DOUBLE AS turn, position * base - turn * 0.0001 AS overlay_return FROM o)"
+_RUN = f"""p AS (SELECT *, coalesce(lag(exposure) OVER w, 1.0) AS position
+FROM x WINDOW w AS (PARTITION BY {{k}} ORDER BY date)), o AS (SELECT *, abs(position - coalesce(lag(position) OVER w, position)) AS turn
+FROM p WINDOW w AS (PARTITION BY {{k}} ORDER BY date)), run AS (SELECT {{k}}, date, position::DOUBLE AS position, turn::DOUBLE AS turn,
+position * base - turn * 0.0001 AS overlay_return FROM o)"""
 _RULE = "entity, quantile, low_exposure"
 _SPLIT = f"""{_STRESS},
 base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.price) OVER (PARTITION BY r.entity ORDER BY r.date) - 1, 0) AS base, z1 FROM r JOIN z USING (entity, date)),
@@ -1008,7 +1129,15 @@ def sample_split_selection(spark, sf_dir):
     return rounded(backtest.strategy_metrics(backtest.overlay(late, by, T, "base", "high_risk", F.col("low_exposure")), by, T, "overlay_return"))
 
 
-@query(f"{_STRESS}, base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.price) OVER (PARTITION BY r.entity ORDER BY r.date) - 1, 0) AS base, z1, CASE WHEN count(z1) OVER q >= 756 THEN quantile_cont(z1, 0.85) OVER q END AS cut FROM r JOIN z USING (entity, date) WINDOW q AS (PARTITION BY r.entity ORDER BY r.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), x AS (SELECT *, CASE WHEN coalesce(z1 >= cut, false) THEN 0.5 ELSE 1.0 END AS exposure FROM base), p AS (SELECT *, coalesce(lag(exposure) OVER ({_W}), 1.0) AS position FROM x), o AS (SELECT *, abs(position - coalesce(lag(position) OVER ({_W}), position)) AS turn FROM p), run AS (SELECT entity, date, position::DOUBLE AS position, turn::DOUBLE AS turn, position * base - turn * 0.0001 AS overlay_return FROM o), {_METRICS.format(k='entity', t='run')} SELECT entity, n, {_METRIC_COLUMNS} FROM s")
+@query(f"""{_STRESS}, base AS (SELECT r.entity, r.date, coalesce(r.price / lag(r.price) OVER (PARTITION BY r.entity ORDER BY r.date) - 1, 0) AS base,
+z1, CASE WHEN count(z1) OVER q >= 756 THEN quantile_cont(z1, 0.85) OVER q END AS cut
+FROM r JOIN z USING (entity, date) WINDOW q AS (PARTITION BY r.entity ORDER BY r.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, CASE WHEN coalesce(z1 >= cut, false) THEN 0.5 ELSE 1.0 END AS exposure
+FROM base), p AS (SELECT *, coalesce(lag(exposure) OVER ({_W}), 1.0) AS position
+FROM x), o AS (SELECT *, abs(position - coalesce(lag(position) OVER ({_W}), position)) AS turn
+FROM p), run AS (SELECT entity, date, position::DOUBLE AS position, turn::DOUBLE AS turn, position * base - turn * 0.0001 AS overlay_return
+FROM o), {_METRICS.format(k='entity', t='run')} SELECT entity, n, {_METRIC_COLUMNS}
+FROM s""")
 def expanding_overlay(spark, sf_dir):
     rows = _overlay(spark, sf_dir)
     rows = win.expanding_quantile(rows.select("entity", "date", "base", "score"), "score", K, T, "cut").withColumn("high_risk", F.col("score") >= F.col("cut"))
