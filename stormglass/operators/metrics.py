@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stormglass.functions.scratch import cut
 from stormglass.operators.windows import running_sum
 
 # The edges of ten equal bins as floating point makes them.
@@ -50,34 +51,27 @@ def paired_brier(scores: DataFrame, y: str, a: str, b: str) -> DataFrame:
 def calibration_line(scores: DataFrame, key: str = "model", y: str = "y", p: str = "p", steps: int = 25) -> DataFrame:
     """Slope and intercept of y on the logit of p, by reweighted least squares; null where one class is missing.
 
-    Two parameters a model: each step is one aggregation over the distinct (model, p, y).
+    Two parameters a model: each step is one aggregation over the distinct (model, p, y). The
+    state is a table of one row a model, written at each step; one number reaches the driver.
     """
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     x = F.ln(clipped / (1 - clipped))
-    points = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(key).alias("key_"), x.alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")).cache()
-    state = {r["key_"]: (0.0, 1.0) for r in points.groupBy("key_").agg(F.count_distinct("y").alias("c")).where("c > 1").collect()}
+    known = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    points = cut(known.groupBy(F.col(key).alias("key_"), x.alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    both = points.groupBy("key_").agg(F.count_distinct("y").alias("c")).where("c > 1")
+    state = cut(both.select("key_", F.lit(0.0).alias("a"), F.lit(1.0).alias("b")))
     for _ in range(steps):
-        if not state:
-            break
-        now = points.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in state.items()], f"key_ {points.schema['key_'].dataType.simpleString()}, a double, b double")
         m = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
         w = F.col("n") * F.col("m") * (1 - F.col("m"))
         r = F.col("n") * (F.col("y") - F.col("m"))
-        got = points.join(now, "key_").withColumn("m", m).groupBy("key_").agg(
-            F.sum(w).alias("h0"), F.sum(w * F.col("x")).alias("h1"), F.sum(w * F.col("x") * F.col("x")).alias("h2"), F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1")
-        ).collect()
-        moved = 0.0
-        for g in got:
-            det = g["h0"] * g["h2"] - g["h1"] ** 2
-            if abs(det) < 1e-12:
-                continue
-            da, db = (g["h2"] * g["g0"] - g["h1"] * g["g1"]) / det, (g["h0"] * g["g1"] - g["h1"] * g["g0"]) / det
-            a, b = state[g["key_"]]
-            state[g["key_"]] = (a + da, b + db)
-            moved = max(moved, abs(da), abs(db))
-        if moved < 1e-10:
+        sums = {"h0": w, "h1": w * F.col("x"), "h2": w * F.col("x") * F.col("x"), "g0": r, "g1": r * F.col("x")}
+        got = points.join(state, "key_").withColumn("m", m).groupBy("key_", "a", "b").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+        det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
+        solved = lambda top: F.when(F.abs(det) >= 1e-12, top / det).otherwise(0.0)  # noqa: B023, E731
+        da, db = solved(F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")), solved(F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0"))
+        after = cut(got.select("key_", (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), F.greatest(F.abs(da), F.abs(db)).alias("moved")))
+        state, moved = after.drop("moved"), after.agg(F.max("moved")).first()[0]
+        if moved is None or moved < 1e-10:
             break
-    points.unpersist()
-    rows = scores.select(key).distinct()
-    fitted = rows.sparkSession.createDataFrame([(k, b, a) for k, (a, b) in state.items()], f"{key} {rows.schema[key].dataType.simpleString()}, slope double, intercept double")
-    return rows.join(fitted, key, "left")
+    fitted = state.select(F.col("key_").alias(key), F.col("b").alias("slope"), F.col("a").alias("intercept"))
+    return scores.select(key).distinct().join(fitted, key, "left")
