@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from stormglass.llm.common import cut, text_or_empty, word_count
+from stormglass.llm.common import cut, drop, text_or_empty, word_count
 
 #: Newton steps at most; the log of the constraint is smooth, so some ten steps suffice.
 MAX_STEPS = 60
@@ -65,7 +65,8 @@ def tilt(units: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
         .drop(mean["source"])
         .withColumns({"lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
     )
-    state = cut(state.coalesce(1))
+    old: list[str] = []
+    state = cut(state.coalesce(1), old)
     exact = lambda x: F.sum(x.cast("decimal(38,9)")).cast("double")
     for _ in range(MAX_STEPS):
         seen = hist.join(state.where("not cut and target > 0").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
@@ -89,9 +90,12 @@ def tilt(units: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
         )
         step = step.withColumn("next", F.when(inside, F.col("newton")).otherwise(halfway))
         done = F.abs(F.col("gap")) <= TOLERANCE
-        step = cut(step.withColumn("lam", F.when(done, F.col("lam")).otherwise(F.col("next"))).coalesce(1))
-        worst = step.agg(F.max(F.abs("gap"))).first()[0]
-        state = step.select(*state.columns)
+        seen_gap = Observation()
+        step = step.withColumn("lam", F.when(done, F.col("lam")).otherwise(F.col("next"))).coalesce(1)
+        step = cut(step.observe(seen_gap, F.max(F.abs("gap")).alias("worst")), old)
+        worst = seen_gap.get["worst"]
+        drop(units.sparkSession, old[:-1])
+        state, old = step.select(*state.columns), old[-1:]
         if worst is None or worst <= TOLERANCE:
             break
     return state.withColumn("lam", F.round("lam", 10)).select("source", "source_size", "n_docs", "cut", "target", "mean", "lam")

@@ -24,7 +24,7 @@ TREES = 10
 #: choose one, so rows grow sevenfold at most and then shrink.
 SECOND_OF_16, SECOND_DEPTH = 6, 6
 #: A node of up to this many documents is compared exhaustively; a larger one branches.
-SMALL = 2048
+SMALL = 4096
 #: The sketch: shingles fall into BINS by their hash, the least of each bin sets a bit to its parity.
 BINS, BITS = 1 << 12, 1 << 11
 #: Standard deviations below the threshold at which the sketches of a pair rule it out.
@@ -295,7 +295,7 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Links are wanted only as far as they join components, so a node sends the likeliest links
     that span its candidates, one for each class at most. They are verified on the full sets;
     then the nodes that had pairs near the threshold besides look again and send those that
-    still cross components. A node that stays large also compares its classes with one of
+    still cross components. A node that is large below the root's level also compares its classes with one of
     them, its pivot: those linked with it are one component and leave the node if the classes
     that could be linked with them, but not with the pivot (distances obey the triangle
     inequality), are few; those few meet them in parts of SMALL. So a group of copies costs
@@ -320,14 +320,16 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     depth = 0
     while not opened.isEmpty():
         depth += 1
-        settled, going, sure = _around_pivots(opened, classes, percent, level)
-        links = sure if links is None else links.unionByName(sure)
+        going = opened
+        if depth > 1:  # most large nodes fall apart by themselves at once
+            settled, going, sure = _around_pivots(opened, classes, percent, level)
+            leaves, links = leaves.unionByName(settled), sure if links is None else links.unionByName(sure)
         at = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
         other = F.pmod(at + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
         choices = F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(16)) < (SECOND_OF_16 if depth <= SECOND_DEPTH else 0), F.array(at, other)).otherwise(F.array(at))
         below = going.join(classes.select("rid", "tokens"), "rid").withColumn("at", F.explode(choices))
         nodes = cut(_sized(below.select(_chosen(F.col("node"), F.col("at")).alias("node"), "rid")), level)
-        leaves = leaves.unionByName(settled).unionByName(nodes.where(f"size <= {SMALL}").select("node", "rid"))
+        leaves = leaves.unionByName(nodes.where(f"size <= {SMALL}").select("node", "rid"))
         opened = nodes.where(f"size > {SMALL}").select("node", "rid")
 
     leaf_rows = cut(leaves.join(classes.select("rid", "n", "bins", "sketch"), "rid").select(*[c for c, _ in _ROW]), old)
