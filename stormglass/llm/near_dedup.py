@@ -16,13 +16,13 @@ from stormglass.llm.words import Words, gathered, mixed, window_hashes
 #: Words of a shingle.
 SHINGLE = 5
 #: Minwise tokens of a document that paths choose from.
-TOKENS = 32
+TOKENS = 64
 #: Independent trees. The root of tree t chooses token t.
 TREES = 10
-#: A node below the root always chooses one token, and in so many of 16 cases a second one, down
-#: to this depth: 1.375 children on average, of which a pair at 0.85 follows 1.17. Deeper nodes
-#: choose one, so rows grow sevenfold at most and then shrink.
-SECOND_OF_16, SECOND_DEPTH = 6, 6
+#: A node below the root always chooses one token, and in half of the cases a second one, as long
+#: as the rows of large nodes are at most GROWTH times those that the roots left. So a pair at 0.85
+#: goes on along 1.275 paths on average, and rows stay bounded.
+GROWTH = 6
 #: A node of up to this many documents is compared exhaustively; a larger one branches.
 SMALL = 4096
 #: The sketch: shingles fall into BINS by their hash, the least of each bin sets a bit to its parity.
@@ -289,8 +289,8 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     by one minwise token. A node of up to SMALL classes compares all its pairs by their
     sketches; a larger node branches on further tokens, one or two as a hash of the node says,
     until its parts are small. Two classes at the threshold share a node of one tree with
-    probability 0.85 where the root's nodes are small, and 0.74 after five more levels; ten
-    trees so miss less than two in a million.
+    probability 0.85 where the root's nodes are small, and with 0.7 at least however deep the
+    tree; ten trees so miss one in 170 million, or one in 170,000.
 
     Links are wanted only as far as they join components, so a node sends the likeliest links
     that span its candidates, one for each class at most. They are verified on the full sets;
@@ -317,16 +317,16 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     nodes = cut(_sized(drawn.select(_chosen(F.col("at"), F.col("at")).alias("node"), "rid")), level)
     leaves, links = nodes.where(f"size <= {SMALL}").select("node", "rid"), None
     opened = nodes.where(f"size > {SMALL}").select("node", "rid")
-    depth = 0
-    while not opened.isEmpty():
-        depth += 1
+    depth, first_open = 0, None
+    while n_open := opened.count():
+        depth, first_open = depth + 1, first_open or n_open
         going = opened
         if depth > 1:  # most large nodes fall apart by themselves at once
             settled, going, sure = _around_pivots(opened, classes, percent, level)
             leaves, links = leaves.unionByName(settled), sure if links is None else links.unionByName(sure)
         at = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
         other = F.pmod(at + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
-        choices = F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(16)) < (SECOND_OF_16 if depth <= SECOND_DEPTH else 0), F.array(at, other)).otherwise(F.array(at))
+        choices = F.when((F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2)) == 0) & F.lit(n_open <= GROWTH * first_open), F.array(at, other)).otherwise(F.array(at))
         below = going.join(classes.select("rid", "tokens"), "rid").withColumn("at", F.explode(choices))
         nodes = cut(_sized(below.select(_chosen(F.col("node"), F.col("at")).alias("node"), "rid")), level)
         leaves = leaves.unionByName(nodes.where(f"size <= {SMALL}").select("node", "rid"))
