@@ -185,12 +185,12 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, label: str, id_col
     """The network fitted on the sample, broadcast (3 MB whatever the corpus).
 
     Texts stay on the workers: their context sums come to the driver as FIT_TASKS tables of
-    3 MB, then their pooled vectors, 0.8 kB a document. Sums are of whole numbers and vectors
-    are sorted by id, so reruns agree.
+    3 MB at most, then their pooled vectors, 0.8 kB a document. Sums are of whole numbers and
+    vectors are sorted by id, so reruns agree.
     """
     spark, old = docs.sparkSession, []
     sample = cut(labelled_sample(docs, labels, fit_rows, label, id_col, text_col, mod), old)
-    dealt = sample.repartition(FIT_TASKS, "key")
+    dealt = sample.coalesce(FIT_TASKS)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
