@@ -289,8 +289,9 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     by one minwise token. A node of up to SMALL classes compares all its pairs by their
     sketches; a larger node branches on further tokens, one or two as a hash of the node says,
     until its parts are small. Two classes at the threshold share a node of one tree with
-    probability 0.85 where the root's nodes are small, and with 0.7 at least however deep the
-    tree; ten trees so miss one in 170 million, or one in 170,000.
+    probability 0.85 where the root's nodes are small: ten trees miss one in 170 million. In
+    deep trees the probability tends to 0.76 as long as second choices are allowed, and falls
+    where GROWTH forbids them, in very large groups of documents that are all somewhat alike.
 
     Links are wanted only as far as they join components, so a node sends the likeliest links
     that span its candidates, one for each class at most. They are verified on the full sets;
