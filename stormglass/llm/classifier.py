@@ -189,8 +189,8 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, label: str, id_col
     vectors are sorted by id, so reruns agree.
     """
     spark, old = docs.sparkSession, []
-    sample = cut(labelled_sample(docs, labels, fit_rows, label, id_col, text_col, mod), old)
-    dealt = sample.coalesce(FIT_TASKS)
+    # few rows, so few files
+    dealt = cut(labelled_sample(docs, labels, fit_rows, label, id_col, text_col, mod).coalesce(FIT_TASKS), old).coalesce(FIT_TASKS)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
