@@ -824,7 +824,7 @@ def _indexed(spark, sf_dir):
     return splits.indexed(frames.daily(spark, sf_dir).select("entity", "date"), K, T)
 
 
-@query(f"{_IDX} SELECT *, CASE WHEN row_idx < floor(n_rows * 0.7) THEN 'train' ELSE 'test' END AS role FROM i")
+@query(f"{_IDX} SELECT *, CASE WHEN row_idx < floor(n_rows * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS role FROM i")
 def chronological_split(spark, sf_dir):
     return splits.chronological(_indexed(spark, sf_dir), 0.7)
 
