@@ -588,12 +588,12 @@ def expanding_quantile_threshold(spark, sf_dir):
 
 @query(f"""WITH {frames.DAILY}, r AS (SELECT *, coalesce(price / lag(price) OVER ({_W}) - 1, 0) AS ret
 FROM daily), g AS (SELECT *, product(1 + ret) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS growth
-FROM r) SELECT entity, date, {R('ret')} AS ret, {R('growth')} AS growth, {R(f'growth / max(growth) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1')} AS drawdown
+FROM r) SELECT entity, date, {R('ret', 9)} AS ret, {R('growth', 9)} AS growth, {R(f'growth / max(growth) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 9)} AS drawdown
 FROM g""")
 def pct_change_growth(spark, sf_dir):
     rows = frames.daily(spark, sf_dir).withColumn("ret", win.simple_return(P(), K, T))
     rows = rows.withColumn("growth", win.growth(F.col("ret"), K, T))
-    return rounded(rows.withColumn("drawdown", win.running_drawdown(F.col("growth"), K, T)).select("entity", "date", "ret", "growth", "drawdown"))
+    return rounded(rows.withColumn("drawdown", win.running_drawdown(F.col("growth"), K, T)).select("entity", "date", "ret", "growth", "drawdown"), 9)
 
 
 @query(f"""WITH {frames.DAILY}, c AS (SELECT entity, quantile_cont(vix, 0.95) AS hi
@@ -1018,9 +1018,11 @@ def rolling_pca_absorption(spark, sf_dir):
 
 @query(f"""WITH {frames.RETURNS}, w AS (SELECT ts, max(ret) FILTER (ticker = 'click') AS a, max(ret) FILTER (ticker = 'view') AS b FROM returns GROUP BY ts),
 i AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM w),
-e AS (SELECT ts, i FROM i WHERE i >= 119 AND (i - 119) % 12 = 0 AND i < n - 1)
-SELECT e.ts, count(*) AS n_rows, 2 AS n_columns, {R('(1 + abs(' + _CORR.format(a='x.a', b='x.b') + ')) / 2')} AS absorption
-FROM e JOIN i x ON x.i > e.i - 120 AND x.i <= e.i WHERE x.a IS NOT NULL AND x.b IS NOT NULL GROUP BY e.ts""")
+e AS (SELECT ts, i FROM i WHERE i >= 119 AND (i - 119) % 12 = 0 AND i < n - 1),
+pairs AS (SELECT e.ts, x.a AS a0, x.b AS b0, CASE WHEN x.b IS NOT NULL THEN x.a END AS a, CASE WHEN x.a IS NOT NULL THEN x.b END AS b FROM e JOIN i x ON x.i > e.i - 120 AND x.i <= e.i),
+c AS (SELECT ts, count(*) AS size, count(a0) AS na, count(b0) AS nb, count(a) AS full_rows, {_CORR.format(a='a', b='b')} AS r FROM pairs GROUP BY ts)
+SELECT ts, CASE WHEN na >= 60 AND nb >= 60 THEN full_rows WHEN na >= 60 THEN na WHEN nb >= 60 THEN nb ELSE size END AS n_rows, (na >= 60)::BIGINT + (nb >= 60)::BIGINT AS n_columns,
+       {R('CASE WHEN na >= 60 AND nb >= 60 AND full_rows >= 40 THEN (1 + abs(r)) / 2 END')} AS absorption FROM c""")
 def rolling_pair_absorption(spark, sf_dir):
     """Two series, for which the first component's share is (1 + |r|) / 2."""
     wide = frames.returns(spark, sf_dir).groupBy("ts").pivot("ticker", ["click", "view"]).agg(F.max("ret"))
