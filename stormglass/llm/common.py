@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space (space and 0x09-0x0D).
@@ -70,6 +70,27 @@ def counted(df: DataFrame, what: Column | None = None, keep: list[str] | None =
     return out, seen.get["n"]
 
 
+def small(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """df with the hint to broadcast it if a count finds at most so many rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def placed(rows: DataFrame, by: list[str], order: list[str], keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with place, from 0 within each key of by (never null), and n, the key's rows; the keys with n).
+
+    No key is sorted in one task: rows are dealt by ranges of (by, order) and numbered where
+    they lie; what each range holds of each key is counted, and the sums before it are added.
+    """
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("mono_", F.monotonically_increasing_id())
+    dealt = cut(dealt.withColumns({"part_": F.shiftright("mono_", 33), "local_": F.col("mono_").bitwiseAND(F.lit((1 << 33) - 1))}).drop("mono_"), keep)
+    parts = dealt.groupBy(*by, "part_").agg(F.count(F.lit(1)).alias("n_"), F.min("local_").alias("first_"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("n_").over(whole.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut(parts.select(*by, "part_", (before - F.col("first_")).alias("shift_"), F.sum("n_").over(whole).alias("n")), keep)
+    out = dealt.join(small(offsets), [*by, "part_"]).withColumn("place", F.col("local_") + F.col("shift_"))
+    return out.drop("part_", "local_", "shift_"), offsets.select(*by, "n").distinct()
+
+
 def components(edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import bpe, classifier, exact_dedup, fingerprints, lm, mixing, near_dedup, sharding, substring_dedup, token_counts
+from stormglass.llm import bpe, classifier, exact_dedup, fingerprints, lm, merkle, mixing, near_dedup, sharding, substring_dedup, token_counts
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
@@ -72,6 +72,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, key = F.col("text"), F.col("doc_id").cast("string").cast("binary")
+    found = merkle.audit(documents(spark, sf_dir), {"text": merkle.lower_ascii(text)}, F.crc32(key) % 3 == 0, ["doc_id", "source", "lang", "n_chars", "text"])
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -83,9 +89,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_merkle": op11_merkle,
 }
 
+#: The record of a leaf with a text, and the remainder of crc32 of the id in decimal, bit by bit.
+_RECORD = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))))"""
+_MERKLE = f"""
+    WITH RECURSIVE leaves AS (
+        SELECT row_number() OVER () AS r, coalesce('=' || lang, '') AS tree, doc_id, sha256({_RECORD.replace("{text}", "text")}) AS leaf,
+               CASE WHEN {_CRC} % 3 = 0
+                    THEN sha256({_RECORD.replace("{text}", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS altered
+        FROM documents
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+    ), nodes AS (
+        SELECT 0 AS level, tree, p, n, leaf AS digest FROM numbered
+        UNION ALL
+        SELECT level + 1, tree, p // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY p)) FROM nodes WHERE n > 1 GROUP BY level, tree, p // 8, n
+    ), subs AS (
+        SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1
+    ), tops AS (
+        SELECT 0 AS level, '^' AS tree, p, n, digest FROM subs
+        UNION ALL
+        SELECT level + 1, tree, p // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY p)) FROM tops WHERE n > 1 GROUP BY level, tree, p // 8, n
+    ), steps AS (
+        SELECT tree, level, p, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+               coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+        FROM (SELECT level, tree, p, n, digest FROM nodes UNION ALL SELECT * FROM tops) WINDOW run AS (PARTITION BY tree, level, p // 8 ORDER BY p)
+    ), climb AS (
+        SELECT r AS row, tree, 0 AS level, p, n, coalesce(altered, leaf) AS folded, '' AS proof FROM numbered
+        UNION ALL
+        SELECT c.row, CASE WHEN c.n > 1 THEN c.tree ELSE '^' END, CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END, CASE WHEN c.n > 1 THEN c.p // 8 ELSE u.p END,
+               CASE WHEN c.n > 1 THEN (c.n + 7) // 8 ELSE u.n END, CASE WHEN c.n > 1 THEN sha256(s.l || c.folded || s.r) ELSE c.folded END,
+               CASE WHEN c.n > 1 THEN c.proof || s.l || s.r ELSE c.proof END
+        FROM climb c LEFT JOIN steps s ON c.n > 1 AND s.tree = c.tree AND s.level = c.level AND s.p = c.p
+        LEFT JOIN subs u ON c.n = 1 AND u.tree = c.tree WHERE c.n > 1 OR c.tree <> '^'
+    )
+    SELECT m.doc_id, m.leaf, s.digest AS subroot, t.digest AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = t.digest AS verified
+    FROM climb c JOIN numbered m ON c.tree = '^' AND c.n = 1 AND c.row = m.r JOIN subs s ON s.tree = m.tree, (SELECT digest FROM tops WHERE n = 1) t
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_merkle": _MERKLE,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
