@@ -14,7 +14,6 @@ FANOUT = 8
 #: Rows of a pointer jump that may meet at one ancestor; beyond that the ancestor is repeated.
 TOGETHER = 512
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 Step = "struct<left:string,right:string>"
 
 
@@ -159,9 +158,3 @@ def audit(docs: DataFrame, altered: dict[str, Column], when: Column, fields: lis
     rows = manifest(docs, fields, id_col, group_col, {"altered_leaf": F.when(when, changed)})
     folded = fold(F.coalesce("altered_leaf", "leaf"), F.col("proof"))
     return rows.withColumn("folded_root", folded).withColumn("verified", F.col("folded_root") == F.col("root")).drop("altered_leaf")
-
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    plain = F.length(text) == F.octet_length(text)
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import bpe, classifier, exact_dedup, fingerprints, lm, merkle, mixing, near_dedup, sharding, substring_dedup, token_counts
+from stormglass.llm import bpe, classifier, common, exact_dedup, fingerprints, licenses, lm, merkle, mixing, near_dedup, sharding, substring_dedup, token_counts
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
@@ -74,10 +74,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, key = F.col("text"), F.col("doc_id").cast("string").cast("binary")
-    found = merkle.audit(documents(spark, sf_dir), {"text": merkle.lower_ascii(text)}, F.crc32(key) % 3 == 0, ["doc_id", "source", "lang", "n_chars", "text"])
+    found = merkle.audit(documents(spark, sf_dir), {"text": common.lower_ascii(text)}, F.crc32(key) % 3 == 0, ["doc_id", "source", "lang", "n_chars", "text"])
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("blocks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
     "op11_merkle": op11_merkle,
+    "op12_licenses": op12_licenses,
 }
 
 #: The record of a leaf with a text, and the remainder of crc32 of the id in decimal, bit by bit.
@@ -131,8 +136,37 @@ _MERKLE = f"""
     FROM climb c JOIN numbered m ON c.tree = '^' AND c.n = 1 AND c.row = m.r JOIN subs s ON s.tree = m.tree, (SELECT digest FROM tops WHERE n = 1) t
 """
 
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {licenses.width_of(len(text.split()))}, list_distinct(string_split('{text}', ' ')))" for label, text in licenses.TEMPLATES)
+_PHRASE_ROWS = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in licenses.PHRASES.items())
+_LICENSES = f"""
+    WITH templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) t(label, width, own)),
+    phrases AS (SELECT * FROM (VALUES {_PHRASE_ROWS}) t(label, own)),
+    texts AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+        FROM documents
+    ), base AS (
+        SELECT r, label, i - 1 AS place
+        FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM texts), phrases WHERE words[i] = own[1] AND words[i : i + len(own) - 1] = own
+    ), blocks AS (
+        SELECT r, width, list_distinct(words[k * width + 1 : (k + 2) * width]) AS held
+        FROM (SELECT r, words, width, unnest(range(0, greatest((len(words) + width - 1) // width - 1, 1))) AS k FROM texts, (SELECT DISTINCT width FROM templates))
+    ), met AS (
+        SELECT r, label, max(len(list_intersect(held, own)) / len(own)) AS share
+        FROM blocks JOIN templates USING (width) WHERE 100 * len(list_intersect(held, own)) >= {licenses.PERCENT} * len(own) GROUP BY r, label
+    ), of_base AS (
+        SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r
+    ), of_all AS (
+        SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM met) GROUP BY r
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first_word, b.last_word, coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+           CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce((SELECT max(share) FROM met m WHERE m.r = t.r), 0.0)::DOUBLE END AS score
+    FROM texts t LEFT JOIN of_base b USING (r) LEFT JOIN of_all a USING (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op11_merkle": _MERKLE,
+    "op12_licenses": _LICENSES,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from stormglass.llm import merkle
+from stormglass.llm import common, merkle
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, place string, tree int, root double"
@@ -59,7 +59,7 @@ def brute(rows):
 
 def audited(docs):
     key = F.col("doc_id").cast("string").cast("binary")
-    found = merkle.audit(docs, {"text": merkle.lower_ascii(F.col("text"))}, F.crc32(key) % 3 == 0, FIELDS)
+    found = merkle.audit(docs, {"text": common.lower_ascii(F.col("text"))}, F.crc32(key) % 3 == 0, FIELDS)
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")), "folded_root", "verified")
 
 
