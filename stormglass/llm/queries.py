@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormglass.llm import bpe, classifier, common, exact_dedup, fingerprints, licenses, lm, merkle, mixing, near_dedup, sharding, substring_dedup, token_counts
+from stormglass.llm import bpe, classifier, common, exact_dedup, fingerprints, licenses, lm, merkle, mixing, near_dedup, search, sharding, substring_dedup, token_counts
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
@@ -82,6 +82,10 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_merkle": op11_merkle,
     "op12_licenses": op12_licenses,
+    "op13_search": op13_search,
 }
 
 #: The record of a leaf with a text, and the remainder of crc32 of the id in decimal, bit by bit.
@@ -164,9 +169,25 @@ _LICENSES = f"""
     FROM texts t LEFT JOIN of_base b USING (r) LEFT JOIN of_all a USING (r)
 """
 
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SEARCH = f"""
+    WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+    facts AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM texts WHERE len(terms) > 0),
+    counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM texts) GROUP BY ALL),
+    weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, facts GROUP BY term),
+    items AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    scores AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(terms) * docs) // total))))::BIGINT AS score
+        FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN texts USING (r), facts GROUP BY item_id, r, doc_id
+    )
+    SELECT item_id, row_number() OVER best AS rank, doc_id, score FROM scores WHERE score > 0
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op11_merkle": _MERKLE,
     "op12_licenses": _LICENSES,
+    "op13_search": _SEARCH,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

@@ -18,6 +18,9 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: What parts terms: ASCII but for digits and letters.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 #: Masks that keep the first k of eight bytes.
@@ -86,18 +89,18 @@ class Words:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
 
-def words_of(texts: list[bytes], lower: bool = False) -> Words:
-    """Words are runs of anything but ASCII white space; lower changes A-Z only."""
+def words_of(texts: list[bytes], lower: bool = False, outside: np.ndarray = _WHITE) -> Words:
+    """Words are runs of anything but ASCII white space, or but the bytes marked in outside; lower changes A-Z only."""
     data = np.frombuffer(b"".join([b" ", b" ".join(texts), b" " * 8]), np.uint8)
     if lower:
         data = _LOWER[data]
-    edges = np.flatnonzero(np.diff(_WHITE[data].view(np.int8))) + 1  # a word begins, a word ends, ...
+    edges = np.flatnonzero(np.diff(outside[data].view(np.int8))) + 1  # a word begins, a word ends, ...
     starts, ends = edges[::2], edges[1::2]
     begin = 1 + np.cumsum([0, *(len(t) + 1 for t in texts)])
     return Words(data, starts, ends, np.diff(np.searchsorted(starts, begin)))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], lower: bool = False) -> Iterator[tuple[pa.Table, Words]]:
+def gathered(batches: Iterator[pa.RecordBatch], lower: bool = False, outside: np.ndarray = _WHITE) -> Iterator[tuple[pa.Table, Words]]:
     """Rows of a task and the words of their texts (a binary column), in portions.
 
     A portion ends at TOGETHER_BYTES of text or TOGETHER_ROWS rows, whichever comes first, so
@@ -111,9 +114,9 @@ def gathered(batches: Iterator[pa.RecordBatch], lower: bool = False) -> Iterator
             size += len(texts[-1])
             if size >= TOGETHER_BYTES or len(texts) >= TOGETHER_ROWS:
                 rows.append(batch.slice(start, k + 1 - start))
-                yield pa.Table.from_batches(rows), words_of(texts, lower)
+                yield pa.Table.from_batches(rows), words_of(texts, lower, outside)
                 rows, texts, size, start = [], [], 0, k + 1
         if start < batch.num_rows:
             rows.append(batch.slice(start))
     if rows:
-        yield pa.Table.from_batches(rows), words_of(texts, lower)
+        yield pa.Table.from_batches(rows), words_of(texts, lower, outside)
