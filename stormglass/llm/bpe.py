@@ -261,16 +261,19 @@ class ByteBPE:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _learn(self, pieces: Iterable[str]) -> None:
+    def _learn(self, pieces: Iterable[str]) -> list[str]:
+        """Put the ids of all pieces into the store; those that it did not have are returned."""
         new = list(set(pieces) - self.pieces.keys())
         self.pieces.update(zip(new, self.table.encode([p.encode() for p in new]), strict=True))
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, as little-endian unsigned 32-bit integers.
 
         Where white space is single spaces and newlines inside the text, it falls apart before
         each space, and its words are looked up with that space; other texts are cut by the
-        pattern as a whole.
+        pattern as a whole. Words and pieces are kept for later texts, but for those of more
+        than LONG characters, so both stores are bounded in bytes.
         """
         plan, words, rest = [], set(), set()
         for text in texts:
@@ -288,14 +291,14 @@ class ByteBPE:
                 plan.append((parts, []))
         new = list(words - self.words.keys())
         pieces_of = [[" " + w] if w.isalpha() else self.split(" " + w) for w in new]
-        self._learn(itertools.chain(rest, *pieces_of))
+        learned = self._learn(itertools.chain(rest, *pieces_of))
         look = self.pieces.__getitem__
         self.words.update(zip(new, [look(ps[0]) if len(ps) == 1 else b"".join(map(look, ps)) for ps in pieces_of], strict=True))
         out = [
             b"".join([*(x.to_bytes(4, "little") if isinstance(x, int) else look(x) for x in head), *map(self.words.__getitem__, tail)])
             for head, tail in plan
         ]
-        for store, some, most in ((self.words, new, KEPT), (self.pieces, rest, KEPT // 4)):
+        for store, some, most in ((self.words, new, KEPT), (self.pieces, learned, KEPT // 4)):
             if len(store) > most:
                 store.clear()
             else:
@@ -326,7 +329,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     vocabulary: path of a byte-level BPE file, which every worker can open. Special tokens in
     a text become their ids, as the tokenizers library does. Null texts count as empty and
-    have no tokens. One pass without a shuffle; a task holds one Arrow batch and a bounded
+    have no tokens, null ids are ids like any other, rows that repeat give equal rows, and an
+    empty table gives none. One pass without a shuffle; a task holds one Arrow batch and a bounded
     store of pieces, so a lost task is only run again. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.llm.common import cut, text_or_empty
@@ -40,24 +40,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """docs with one whole row for each distinct text; ties of id fall to the smallest row.
+    """docs with one whole row for each distinct text, the one with the min or max id.
 
-    The row travels as one struct through a max or min that combines on the map side.
-    Null text equals empty text. Columns and their order stay as they are.
+    Rows are chosen by (id is null, id, hash of the row) alone, and the row is carried beside
+    that order through a min_by or max_by that combines on the map side, so columns may have
+    any type, maps included, and any name. A null id stays only where a text has no other; of
+    rows that repeat id and text, the one whose hash is smallest (or largest) stays, one of
+    equal rows. Null text equals empty text; the row that stays keeps its own. Columns and
+    their order stay as they are. An empty table gives no rows.
     """
-    pick = {"min": F.min, "max": F.max}[keep]
+    pick = {"min": F.min_by, "max": F.max_by}[keep]
     names = docs.columns
-    order = [id_col] + [c for c in names if c not in (id_col, text_col)]
-    rest = F.struct(*[F.col(f"`{c}`") for c in order], F.col(text_col).isNull().alias("text_was_null_"))
-    # struct order puts nulls first; a null id must lose against any other
+    kept = [c for c in names if c != text_col]
+    # maps have no hash; their JSON has one
+    hashed = [F.to_json(F.struct(_named(c).alias("x"))) if "map<" in kind else _named(c) for c, kind in docs.dtypes if c != text_col]
+    missing = _named(id_col).isNull()
     tagged = docs.select(
-        text_or_empty(text_col).alias("text_"),
-        F.struct((F.col(id_col).isNull() if keep == "min" else F.col(id_col).isNotNull()).alias("rank_"), rest.alias("row_")).alias("candidate_"),
-    )
-    won = tagged.groupBy(F.unhex(F.md5("text_")).alias("h_"), "text_").agg(pick("candidate_").alias("won_"))
-    return won.select(
-        *[
-            (F.when(~F.col("won_.row_.text_was_null_"), F.col("text_")) if c == text_col else F.col(f"won_.row_.`{c}`")).alias(c)
-            for c in names
-        ]
+        text_or_empty(f"`{text_col}`").alias("text"),
+        F.struct((missing if keep == "min" else ~missing).alias("rank"), _named(id_col).alias("id"), F.xxhash64(*hashed).alias("hash")).alias("order"),
+        F.struct(F.struct(*[_named(c).alias(f"c{k}") for k, c in enumerate(kept)]).alias("row"), _named(text_col).isNull().alias("null")).alias("carried"),
     )
+    won = tagged.groupBy(F.unhex(F.md5("text")).alias("h"), "text").agg(pick("carried", "order").alias("won"))
+    return won.select(*[(F.when(~F.col("won.null"), F.col("text")) if c == text_col else F.col(f"won.row.c{kept.index(c)}")).alias(c) for c in names])
+
+
+def _named(column: str) -> Column:
+    return F.col(f"`{column}`")

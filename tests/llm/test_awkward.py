@@ -8,10 +8,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stormglass.llm import bpe, classifier, exact_dedup, fingerprints, lm, mixing, near_dedup, sharding, substring_dedup, token_counts, words  # noqa: E402
+from stormglass.llm import bpe, classifier, exact_dedup, fingerprints, licenses, lm, merkle, mixing, near_dedup, sharding, substring_dedup, token_counts, words  # noqa: E402
 from test_llm import brute_components, table  # noqa: E402
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -30,6 +31,9 @@ ROWWISE = {
     "exact_dedup": exact_dedup.exact_groups,
     "substring_dedup": substring_dedup.remove_repeats,
     "lm": lm.score_documents,
+    "licenses": licenses.scan,
+    "merkle": lambda d: merkle.manifest(d, ["doc_id", "source", "text"]),
+    "mixing": lambda d: mixing.mix_copies(d).withColumn("doc_id", F.col("id")).withColumn("each", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("each"),
     "sharding": lambda d: sharding.assign_shards(d, 1000),
     "token_counts": lambda d: token_counts.count_tokens(d, PIECES, 100),
     "fingerprints": fingerprints.compare_with_next,
@@ -65,7 +69,7 @@ def test_null_ids_and_repeated_rows(odd, name):
     rows = ROWWISE[name](odd).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(d) for d, _, _ in ODD)
     twice = [r for r in rows if r["doc_id"] == 4]
-    own = [c for c in twice[0].asDict() if c not in ("kept", "near_next", "edited_sha256", "edited_fingerprint", "near_edited")]
+    own = [c for c in twice[0].asDict() if c not in ("kept", "copies", "place", "proof", "near_next", "edited_sha256", "edited_fingerprint", "near_edited")]
     assert len(twice) == 2 and all(twice[0][c] == twice[1][c] for c in own)
 
 
@@ -86,6 +90,14 @@ def long(spark):
     return table(spark, [(1, many, "a"), (2, many + " end", "a"), (3, "x" * 1_000_000, "b"), (4, "日" * 300_000, "b"), (5, "short one", "a")]).repartition(2).cache()
 
 
+@pytest.mark.parametrize("name", KEEPING)
+def test_very_long_texts_stay_whole(long, name):
+    size = {r["doc_id"]: len(r["text"]) for r in long.collect()}
+    rows = KEEPING[name](long).collect()
+    assert rows and all(len(r["text"]) == size[r["doc_id"]] for r in rows)
+    assert name != "drop_exact" or len(rows) == 5
+
+
 @pytest.mark.parametrize("name", ROWWISE)
 def test_very_long_texts(long, name):
     rows = {r["doc_id"]: r for r in ROWWISE[name](long).collect()}
@@ -106,6 +118,29 @@ def test_portions_are_bounded():
     assert sum(sizes) == 120 and max(sizes) <= 1 + words.TOGETHER_BYTES // 300_000
 
 
+def test_stores_of_the_encoder_are_bounded_in_bytes():
+    """Words of thousands of letters, alone and glued by punctuation, leave nothing behind."""
+    rng = random.Random(2)
+    encoder = bpe.ByteBPE(BYTES)
+    long = ["".join(rng.choices("abcdefgh", k=3000)) for _ in range(60)]
+    encoder.encode([" ".join(long), "  ".join(long), " ".join(f"x{w}-{w}" for w in long), "short words stay"])
+    for store in (encoder.words, encoder.pieces):
+        assert store and max(map(len, store)) <= bpe.LONG
+
+
+def test_drop_exact_takes_any_type_and_name(spark):
+    rows = [(2, "a", {"k": 1}, "x"), (1, "a", {"k": 2}, "y"), (1, "a", {"k": 3}, "y"), (None, "a", None, "z"), (None, None, {}, None), (None, "", None, "w"), (3, "b", {"k": 4}, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_was_null_ map<string,int>, row string")
+    got = exact_dedup.drop_exact(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    kept = {(r["doc_id"], r["text"], str(r["text_was_null_"])) for r in got.collect()}
+    assert {(d, t or "") for d, t, _ in kept} == {(1, "a"), (None, ""), (3, "b")}
+    assert (3, "b", "{'k': 4}") in kept and kept <= {(d, t, str(m)) for d, t, m, _ in rows}
+    again = {(r["doc_id"], r["text"], str(r["text_was_null_"])) for r in exact_dedup.drop_exact(docs.orderBy(F.rand(3)).repartition(5)).collect()}
+    assert again == kept
+    assert {r["doc_id"] for r in exact_dedup.drop_exact(docs, keep="max").collect()} == {2, None, 3}
+
+
 def test_words_are_those_of_split():
     rng = random.Random(1)
     for lower in (False, True):
