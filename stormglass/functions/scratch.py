@@ -23,8 +23,21 @@ def new_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to a new folder of the shared root and read it back: lineage ends there."""
+def cut(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Write df to a new folder of the shared root and read it back: lineage ends there.
+
+    The folder is added to keep, with which drop() deletes it after its last reader.
+    """
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
+    if keep is not None:
+        keep.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders that cut() wrote and nothing reads any more, through the file system that they are on."""
+    jvm = spark.sparkContext._jvm
+    while folders:
+        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

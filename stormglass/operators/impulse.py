@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormglass.functions.columns import guarded_corr
+from stormglass.operators.quantiles import rolling_quantile
 
 SAMPLES = ["all", "threshold_ready", "large_abs", "large_down", "large_up"]
 
@@ -31,10 +32,7 @@ def impulse_events(returns: DataFrame, keys: list[str], q: float = 0.95, days: i
     rows = returns.where(F.col(ret).isNotNull())
     per_date = bars_per_date(rows, time)
     width, enough = window_sizes(per_date, days, least)
-    before = Window.partitionBy(*keys).orderBy(time).rowsBetween(-width, -1)
-    size = F.abs(ret)
-    threshold = F.when(F.count(size).over(before) >= enough, F.percentile(size, F.lit(q)).over(before))
-    out = rows.withColumn("abs_ret", size).withColumn("threshold", threshold)
+    out = rolling_quantile(rows.withColumn("abs_ret", F.abs(ret)), "abs_ret", keys, time, width, q, enough, "threshold")
     big = F.coalesce(F.col("abs_ret") >= F.col("threshold"), F.lit(False))
     flags = {"threshold_ready": F.col("threshold").isNotNull(), "large_abs": big, "large_down": big & (F.col(ret) < 0), "large_up": big & (F.col(ret) > 0)}
     return out.withColumns(flags | {"rolling_window_bars": F.lit(width), "estimated_bars_per_date": F.lit(float(per_date))})

@@ -2,48 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormglass.functions.columns import guarded_corr, suspicious_part
+from stormglass.operators.scans import Scan, deal
 
 
 def as_of_join(forecasts: DataFrame, records: DataFrame, by: list[str], forecast_time: str = "forecast_timestamp", available: str = "earliest_valid_prediction_timestamp", tie: list[str] | None = None, suffix: str = "_pit", direction: str = "backward") -> DataFrame:
     """Each forecast with the whole latest record that was available by then; nulls if none.
 
-    Both sides are stacked and swept once in time order per key; equal times match, and of
-    records that tie the last in `tie` order wins. The record travels as a struct, so a null
-    value in the latest record is not skipped. Record columns that clash get the suffix.
+    Both sides are stacked and dealt by ranges of (key, time), so a key with most of the rows
+    lies in many ranges; each is swept on its own and starts from the last record that the
+    ranges before it hold. Equal times match, and of records that tie the last in `tie` order
+    wins. The record travels as a struct, so a null value in the latest record is not skipped.
+    Record columns that clash get the suffix; null keys match each other.
     """
     if direction != "backward":
         raise ValueError("only backward joins keep to what was known")
     payload = [c for c in records.columns if c not in by]
     tie = tie or []
     pack = F.struct(*payload)
-    left = forecasts.select(*by, F.col(forecast_time).alias("at_"), F.lit(1).alias("side_"), *[F.lit(None).cast(records.schema[c].dataType).alias(f"tie_{k}") for k, c in enumerate(tie)], F.struct(*forecasts.columns).alias("row_"), F.lit(None).cast(records.select(pack.alias("r")).schema["r"].dataType).alias("rec_"))
-    right = records.where(F.col(available).isNotNull()).select(*by, F.col(available).alias("at_"), F.lit(0).alias("side_"), *[F.col(c).alias(f"tie_{k}") for k, c in enumerate(tie)], F.lit(None).cast(left.schema["row_"].dataType).alias("row_"), pack.alias("rec_"))
-    sweep = Window.partitionBy(*by).orderBy("at_", "side_", *[f"tie_{k}" for k in range(len(tie))]).rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("last_", F.last("rec_", ignorenulls=True).over(sweep)).where("side_ = 1")
+    left = forecasts.select(*by, F.col(forecast_time).alias("time_"), F.lit(1).alias("side_"), *[F.lit(None).cast(records.schema[c].dataType).alias(f"tie_{k}") for k, c in enumerate(tie)], F.struct(*forecasts.columns).alias("row_"), F.lit(None).cast(records.select(pack.alias("r")).schema["r"].dataType).alias("rec_"))
+    right = records.where(F.col(available).isNotNull()).select(*by, F.col(available).alias("time_"), F.lit(0).alias("side_"), *[F.col(c).alias(f"tie_{k}") for k, c in enumerate(tie)], F.lit(None).cast(left.schema["row_"].dataType).alias("row_"), pack.alias("rec_"))
+    stacked = deal(left.unionByName(right), by, ["time_", "side_", *[f"tie_{k}" for k in range(len(tie))]])
+    seen = stacked.scan({"seen_": Scan("last", F.col("rec_"))}).rows.where("side_ = 1")
     names = {c: c + suffix if c in forecasts.columns else c for c in payload}
-    return seen.select("row_.*", *[F.col(f"last_.{c}").alias(n) for c, n in names.items()])
+    return seen.select("row_.*", *[F.col(f"seen_.{c}").alias(n) for c, n in names.items()])
 
 
 def pit_feature_matrix(forecasts: DataFrame, store: DataFrame, features: list[str] | None, by: list[str], forecast_time: str = "forecast_timestamp", available: str = "earliest_valid_prediction_timestamp") -> DataFrame:
     """Distinct forecasts with, for every feature, its latest value and `<feature>__available_at`.
 
-    One sweep serves all features: a conditional last() for each, instead of a join for each.
-    Without a list, all non-null names of the store are features.
+    One sweep over ranges of (key, time) serves all features: a conditional last for each,
+    instead of a join for each. Without a list, all non-null names of the store are features.
     """
     if features is None:
         features = sorted(r[0] for r in store.where("feature_name is not null").select("feature_name").distinct().collect())
-    left = forecasts.select(*by, F.col(forecast_time).alias("at_"), F.lit(1).alias("side_"), F.lit(None).cast("string").alias("feature_name"), F.lit(None).cast("double").alias("value")).distinct()
-    right = store.where(F.col("feature_name").isin(features) & F.col(available).isNotNull()).select(*by, F.col(available).alias("at_"), F.lit(0).alias("side_"), "feature_name", F.col("value").cast("double").alias("value"))
-    sweep = Window.partitionBy(*by).orderBy("at_", "side_", "value").rowsBetween(Window.unboundedPreceding, 0)
-    rows = left.unionByName(right)
-    for k, f in enumerate(features):
-        rows = rows.withColumn(f"f{k}_", F.last(F.when(F.col("feature_name") == f, F.struct("value", F.col("at_").alias("at"))), ignorenulls=True).over(sweep))
+    left = forecasts.select(*by, F.col(forecast_time).alias("time_"), F.lit(1).alias("side_"), F.lit(None).cast("string").alias("feature_name"), F.lit(None).cast("double").alias("value")).distinct()
+    right = store.where(F.col("feature_name").isin(features) & F.col(available).isNotNull()).select(*by, F.col(available).alias("time_"), F.lit(0).alias("side_"), "feature_name", F.col("value").cast("double").alias("value"))
+    of = {f"f{k}_": Scan("last", F.when(F.col("feature_name") == f, F.struct("value", F.col("time_").alias("at")))) for k, f in enumerate(features)}
+    rows = deal(left.unionByName(right), by, ["time_", "side_", "value"]).scan(of).rows
     picked = [c for k, f in enumerate(features) for c in (F.col(f"f{k}_.value").alias(f), F.col(f"f{k}_.at").alias(f"{f}__available_at"))]
-    return rows.where("side_ = 1").select(*by, F.col("at_").alias(forecast_time), *picked)
+    return rows.where("side_ = 1").select(*by, F.col("time_").alias(forecast_time), *picked)
 
 
 def future_availability(matrix: DataFrame, forecast_time: str = "forecast_timestamp", columns: list[str] | None = None, strict: bool = False) -> DataFrame:

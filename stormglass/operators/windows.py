@@ -1,21 +1,20 @@
-"""Trailing, forward and running features, one sort per key.
+"""Trailing, forward and running features.
 
-Every function takes the value, the keys and the time column and returns a Column. Missing is
-null; a window with fewer than `least` values gives null.
+Functions of a value, the keys and the time column return a Column, computed in one sort per
+key; those of a DataFrame split a key over many tasks and cost the same for any horizon.
+Missing is null; a window with fewer than `least` values gives null.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 from stormglass.functions.scratch import cut
+from stormglass.operators.scans import Dealt, Scan, deal
 
 Keys = list[str]
 
@@ -57,15 +56,6 @@ def simple_return(price: Column, keys: Keys, time: str) -> Column:
     return F.when(before.isNull(), F.lit(0.0)).otherwise(F.try_divide(price, before) - 1)
 
 
-def growth(ret: Column, keys: Keys, time: str) -> Column:
-    """Growth of 1."""
-    return F.product(1 + ret).over(rows(keys, time, Window.unboundedPreceding, 0))
-
-
-def running_drawdown(value: Column, keys: Keys, time: str) -> Column:
-    return F.try_divide(value, F.max(value).over(rows(keys, time, Window.unboundedPreceding, 0))) - 1
-
-
 def rolling_momentum(ret: Column, keys: Keys, time: str, width: int) -> Column:
     w = trailing(keys, time, width)
     return enough(ret, w, max(2, width // 4), F.sum(ret).over(w))
@@ -117,37 +107,52 @@ def forward_max(x: Column, keys: Keys, time: str, horizon: int) -> Column:
     return F.max(x).over(rows(keys, time, 1, horizon))
 
 
-def rolling_event_frequency(label: Column, keys: Keys, time: str, width: int = 252, least: int = 20) -> Column:
-    w = prior(keys, time, width)
-    return enough(label, w, least, F.avg(label).over(w))
+def chunks(df: DataFrame, keys: Keys, time: str, before: int, after: int, keep: list[str] | None = None) -> Dealt:
+    """df in chunks of rows along time, each with the rows that windows of such a reach need."""
+    return deal(df, keys, [time], keep).numbered().chunked(before, after)
 
 
-def expanding_quantile(df: DataFrame, x: str, keys: Keys, time: str, name: str, q: float = 0.85, least: int = 756) -> DataFrame:
-    """df with the quantile of all earlier values of the key, linear between neighbours; null before `least` of them.
+def _positive(horizon: int) -> None:
+    if horizon <= 0:
+        raise ValueError("horizon must be positive")
 
-    Each key's values are kept in order as they come, so a row costs a search and a move in
-    memory, not a pass over all that is before it.
-    """
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        seen, out = [], []
-        for value in pdf[x].to_numpy(float):
-            place = (len(seen) - 1) * q
-            low = int(place)
-            out.append(seen[low] + (seen[min(low + 1, len(seen) - 1)] - seen[low]) * (place - low) if len(seen) >= max(least, 1) else None)
-            if not math.isnan(value):
-                bisect.insort(seen, value)
-        return pdf.assign(**{name: pd.array(out, "Float64")})
+def add_trailing_drawdown(df: DataFrame, price: str, keys: Keys, time: str, width: int, name: str, least: int = 1) -> DataFrame:
+    """df with trailing_drawdown(); a row costs the same for any width, and a long key runs in many tasks."""
+    d = chunks(df, keys, time, width - 1, 0).extremes({"top_": ("max", F.col(price), 1 - width, 0)}).counts({"n_": (F.col(price), 1 - width, 0)})
+    value = F.when(F.col("n_") >= least, F.try_divide(F.col(price), F.col("top_")) - 1)
+    return d.whole().plain().withColumn(name, value).drop("top_", "n_")
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
 
+def add_forward_drawdown(df: DataFrame, price: str, keys: Keys, time: str, horizon: int, name: str) -> DataFrame:
+    """df with forward_drawdown(); a row costs the same for any horizon, and a long key runs in many tasks."""
+    _positive(horizon)
+    d = chunks(df, keys, time, 0, horizon).extremes({"low_": ("min", F.col(price), 1, horizon)})
+    return d.whole().plain().withColumn(name, F.try_divide("low_", F.col(price)) - 1).drop("low_")
 
-def rolling_quantile(x: Column, keys: Keys, time: str, width: int, q: float, least: int) -> Column:
-    """Quantile of the `width` rows before; for windows up to a few thousand rows."""
+
+def add_forward_max(df: DataFrame, x: str, keys: Keys, time: str, horizon: int, name: str) -> DataFrame:
+    """df with forward_max(); a row costs the same for any horizon, and a long key runs in many tasks."""
+    _positive(horizon)
+    return chunks(df, keys, time, 0, horizon).extremes({name: ("max", F.col(x), 1, horizon)}).whole().plain()
+
+
+def add_growth(df: DataFrame, ret: str, keys: Keys, time: str) -> DataFrame:
+    """df with growth (of 1) and drawdown (against its highest so far), as scans over ranges of time."""
+    grown = deal(df, keys, [time]).scan({"growth": Scan("product", 1 + F.col(ret))}).settled()
+    top = grown.scan({"top_": Scan("max", F.col("growth"))}).rows
+    return Dealt(top.withColumn("drawdown", F.try_divide("growth", F.col("top_")) - 1).drop("top_"), keys).plain()
+
+
+def add_drawdown(df: DataFrame, value: str, keys: Keys, time: str, name: str) -> DataFrame:
+    """df with the value against its highest so far, minus 1, as a scan over ranges of time."""
+    rows = deal(df, keys, [time]).scan({"top_": Scan("max", F.col(value))}).rows
+    return Dealt(rows.withColumn(name, F.try_divide(F.col(value), F.col("top_")) - 1).drop("top_"), keys).plain()
+
+
+def rolling_event_frequency(label: Column, keys: Keys, time: str, width: int = 252, least: int = 20) -> Column:
     w = prior(keys, time, width)
-    return enough(x, w, least, F.percentile(x, F.lit(q)).over(w))
+    return enough(label, w, least, F.avg(label).over(w))
 
 
 def bounded_ffill(x: Column, keys: Keys, time: str, limit: int = 5) -> Column:

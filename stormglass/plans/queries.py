@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stormglass.functions import columns as col_fns
 from stormglass.functions import scratch
-from stormglass.operators import backtest, impulse, labels, lift, metrics, models, panel, pca, pit, splits
+from stormglass.operators import backtest, impulse, labels, lift, metrics, models, panel, pca, pit, quantiles, splits
 from stormglass.operators import windows as win
 from stormglass.plans import frames
 from stormglass.sources import io
@@ -494,7 +494,7 @@ FROM prev)"""
 
 
 def _phased(spark, sf_dir):
-    return _labelled(spark, sf_dir).withColumn("phase", labels.phases(F.col("label"), K, T))
+    return labels.phased(_labelled(spark, sf_dir), "label", K, T, phase="phase", run=None, ahead=None)
 
 
 @query(f"{_PHASED} SELECT entity, date, phase FROM phased")
@@ -549,10 +549,12 @@ def _ret(spark, sf_dir):
 
 
 def _daily_query(name: str, value: Callable, sql: str, base: Callable = _ret) -> None:
-    """Register one windowed feature of the daily frame."""
+    """Register one windowed feature of the daily frame: a Column, or (called with rows) the rows with it."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(base(spark, sf_dir).withColumn("value", value()).select("entity", "date", "value"))
+        rows = base(spark, sf_dir)
+        with_value = value(rows) if value.__code__.co_argcount else rows.withColumn("value", value())
+        return rounded(with_value.select("entity", "date", "value"))
 
     QUERIES[name], ORACLES[name] = run, f"{_RET} SELECT entity, date, {R(sql)} AS value FROM r"
 
@@ -571,11 +573,11 @@ _daily_query("rolling_zscore", lambda: win.rolling_zscore(VIX(), K, T, 60), f"CA
 _PRIOR = f"({_W} ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)"
 _Z = f"CASE WHEN count(vix) OVER {_PRIOR} >= 126 THEN (vix - avg(vix) OVER {_PRIOR}) / nullif(stddev_samp(vix) OVER {_PRIOR}, 0) END"
 _daily_query("shifted_zscore", lambda: win.shifted_zscore(VIX(), K, T), _Z)
-_daily_query("trailing_drawdown", lambda: win.trailing_drawdown(P(), K, T, 60, 20), f"CASE WHEN count(price) OVER {_frame(60)} >= 20 THEN price / max(price) OVER {_frame(60)} - 1 END")
+_daily_query("trailing_drawdown", lambda rows: win.add_trailing_drawdown(rows, "price", K, T, 60, "value", 20), f"CASE WHEN count(price) OVER {_frame(60)} >= 20 THEN price / max(price) OVER {_frame(60)} - 1 END")
 _NEXT20 = f"({_W} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)"
-_daily_query("forward_drawdown", lambda: win.forward_drawdown(P(), K, T, 20), f"min(price) OVER {_NEXT20} / price - 1")
-_daily_query("forward_window_max", lambda: win.forward_max(VIX(), K, T, 20), f"max(vix) OVER {_NEXT20}")
-_daily_query("forward_drawdown_label", lambda: labels.drawdown_label(P(), K, T, 20, 0.05), f"CASE WHEN lead(price, 20) OVER ({_W}) IS NOT NULL THEN coalesce(min(price) OVER {_NEXT20} / price - 1 <= -0.05, false)::INT::DOUBLE END")
+_daily_query("forward_drawdown", lambda rows: win.add_forward_drawdown(rows, "price", K, T, 20, "value"), f"min(price) OVER {_NEXT20} / price - 1")
+_daily_query("forward_window_max", lambda rows: win.add_forward_max(rows, "vix", K, T, 20, "value"), f"max(vix) OVER {_NEXT20}")
+_daily_query("forward_drawdown_label", lambda rows: labels.add_drawdown_label(rows, "price", K, T, 20, 0.05, "value"), f"CASE WHEN lead(price, 20) OVER ({_W}) IS NOT NULL THEN coalesce(min(price) OVER {_NEXT20} / price - 1 <= -0.05, false)::INT::DOUBLE END")
 _daily_query("bounded_ffill", lambda: win.bounded_ffill(F.col("vix3m"), K, T), f"last_value(vix3m IGNORE NULLS) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 
 
@@ -583,7 +585,7 @@ _daily_query("bounded_ffill", lambda: win.bounded_ffill(F.col("vix3m"), K, T), f
 FROM r WINDOW x AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def expanding_quantile_threshold(spark, sf_dir):
     rows = frames.daily(spark, sf_dir).select("entity", "date", "vix")
-    return rounded(win.expanding_quantile(rows, "vix", K, T, "value").drop("vix"))
+    return rounded(quantiles.expanding_quantile(rows, "vix", K, T, "value").drop("vix"))
 
 
 @query(f"""WITH {frames.DAILY}, r AS (SELECT *, coalesce(price / lag(price) OVER ({_W}) - 1, 0) AS ret
@@ -592,8 +594,7 @@ FROM r) SELECT entity, date, {R('ret', 9)} AS ret, {R('growth', 9)} AS growth, {
 FROM g""")
 def pct_change_growth(spark, sf_dir):
     rows = frames.daily(spark, sf_dir).withColumn("ret", win.simple_return(P(), K, T))
-    rows = rows.withColumn("growth", win.growth(F.col("ret"), K, T))
-    return rounded(rows.withColumn("drawdown", win.running_drawdown(F.col("growth"), K, T)).select("entity", "date", "ret", "growth", "drawdown"), 9)
+    return rounded(win.add_growth(rows, "ret", K, T).select("entity", "date", "ret", "growth", "drawdown"), 9)
 
 
 @query(f"""WITH {frames.DAILY}, c AS (SELECT entity, quantile_cont(vix, 0.95) AS hi
@@ -811,7 +812,7 @@ def top_risk_dates(spark, sf_dir):
 FROM r) SELECT entity, date, {R('drawdown')} AS drawdown, {R('vix')} AS vix
 FROM d ORDER BY d.drawdown, entity, date LIMIT 10""")
 def largest_drawdowns(spark, sf_dir):
-    rows = frames.daily(spark, sf_dir).withColumn("drawdown", F.round(win.running_drawdown(P(), K, T), 8))
+    rows = win.add_drawdown(frames.daily(spark, sf_dir), "price", K, T, "drawdown").withColumn("drawdown", F.round("drawdown", 8))
     return rounded(rows.select("entity", "date", "drawdown", "vix").orderBy("drawdown", "entity", "date").limit(10))
 
 
@@ -1142,7 +1143,7 @@ FROM o), {_METRICS.format(k='entity', t='run')} SELECT entity, n, {_METRIC_COLUM
 FROM s""")
 def expanding_overlay(spark, sf_dir):
     rows = _overlay(spark, sf_dir)
-    rows = win.expanding_quantile(rows.select("entity", "date", "base", "score"), "score", K, T, "cut").withColumn("high_risk", F.col("score") >= F.col("cut"))
+    rows = quantiles.expanding_quantile(rows.select("entity", "date", "base", "score"), "score", K, T, "cut").withColumn("high_risk", F.col("score") >= F.col("cut"))
     return rounded(backtest.strategy_metrics(backtest.overlay(rows, K, T, "base", "high_risk", 0.5), K, T, "overlay_return"))
 
 

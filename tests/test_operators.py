@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormglass.functions import columns as col_fns
-from stormglass.operators import backtest, impulse, labels, lift, metrics, models, panel, pca, pit, splits
+from stormglass.operators import backtest, impulse, labels, lift, metrics, models, panel, pca, pit, quantiles, splits
 from stormglass.operators import windows as win
 from stormglass.sources import io
 
@@ -59,7 +59,7 @@ def test_forward_label_and_phases(spark):
     got = df.withColumn("label", labels.drawdown_label(F.col("price"), ["key"], "t", 2, 0.10))
     assert values(got, "label") == [1.0, 1.0, 0.0, None, None]
     marks = series(spark, [0.0, 1.0, 1.0, 0.0, None, 1.0], "label")
-    phased = marks.withColumn("phase", labels.phases(F.col("label"), ["key"], "t"))
+    phased = labels.phased(marks, "label", ["key"], "t", phase="phase")
     assert values(phased, "phase") == ["calm", "onset", "continuation", "recovery", "insufficient_forward_window", "onset"]
     assert values(labels.run_ids(marks, "label", ["key"], "t"), "event_id") == [None, 1, 1, None, None, 2]
     assert values(labels.time_to_onset(marks, "label", ["key"], "t"), "time_to_next_event") == [1, 0, 3, 2, 1, 0]
@@ -277,7 +277,7 @@ def test_running_sums_over_ranges(spark):
 
 def test_expanding_quantile_equals_numpy(spark):
     x = [5.0, None, 1.0, 4.0, 4.0, None, 9.0, 2.0]
-    got = win.expanding_quantile(series(spark, x), "price", ["key"], "t", "q", 0.85, 3)
+    got = quantiles.expanding_quantile(series(spark, x), "price", ["key"], "t", "q", 0.85, 3)
     want = []
     for k in range(len(x)):
         before = [v for v in x[:k] if v is not None]
