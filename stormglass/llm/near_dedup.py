@@ -19,12 +19,13 @@ SHINGLE = 5
 TOKENS = 64
 #: Independent trees. The root of tree t chooses token t.
 TREES = 10
-#: A node below the root always chooses one token, and in half of the cases a second one, as long
-#: as the rows of large nodes are at most GROWTH times those that the roots left. So a pair at 0.85
-#: goes on along 1.275 paths on average, and rows stay bounded.
-GROWTH = 6
-#: A node of up to this many documents is compared exhaustively; a larger one branches.
-SMALL = 4096
+#: A node of up to this many documents is compared exhaustively; a larger one branches, up to LEVELS
+#: times below the root. What is still larger then is compared exhaustively as well, part by part.
+SMALL, LEVELS = 4096, 12
+#: Tokens that a node of a level may choose from; those of a path's levels and of its root differ.
+CHOICES = 4
+#: Shingles of a part of a node whose full sets are compared in one task.
+TOGETHER_SHINGLES = 1 << 22
 #: The sketch: shingles fall into BINS by their hash, the least of each bin sets a bit to its parity.
 BINS, BITS = 1 << 12, 1 << 11
 #: Standard deviations below the threshold at which the sketches of a pair rule it out.
@@ -32,6 +33,8 @@ SLACK = 5.0
 
 _MULTIPLY = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Tokens that roots leave to the levels below: a prime number, so that multiples of any number but 0 run through all.
+_BELOW = 53
 _ROW = [("node", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("bins", pa.int32()), ("sketch", pa.binary())]
 
 
@@ -101,8 +104,6 @@ class _Nodes:
     bins: np.ndarray
     sketch: np.ndarray
     label: np.ndarray | None = None
-    #: all nodes of each row's document
-    nodes: list[list[int]] | None = None
 
     def ranges(self) -> Iterator[tuple[int, int]]:
         starts = np.flatnonzero(np.diff(self.node, prepend=~self.node[:1]))
@@ -127,7 +128,7 @@ def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[_Nodes]:
 
 def _nodes(table: pa.Table) -> _Nodes:
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-    more = (table.column("label").to_numpy(), table.column("nodes").to_pylist()) if "label" in table.column_names else ()
+    more = (table.column("label").to_numpy(),) if "label" in table.column_names else ()
     return _Nodes(*(table.column(c).to_numpy() for c in ("node", "rid", "n", "bins")), sketch, *more)
 
 
@@ -177,25 +178,76 @@ def node_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, node long")
 
 
-def node_crossings(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all candidates of each node whose labels differ. rows: as for node_links, with label and nodes.
-
-    Of the nodes that two documents share, in several trees, the one with the least number tells.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def crossing_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, rid): the rows of each node that have a candidate of another label in it. rows: as for node_links, with label."""
+    schema = pa.schema([("node", pa.int64()), ("rid", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _whole_nodes(batches):
-            pairs = []
+            told = np.zeros(len(x.rid), bool)
             for a, b in x.ranges():
-                here = int(x.node[a])
                 for k in range(a, b - 1):
                     c = confidence(x.n, x.bins, x.sketch, k, slice(k + 1, b), percent)
-                    at = k + 1 + np.flatnonzero((c >= -SLACK) & (x.label[k + 1 : b] != x.label[k]))
-                    own = set(x.nodes[k]) if len(at) else None
-                    pairs += [(k, j) for j in at.tolist() if min(own.intersection(x.nodes[j])) == here]
-            one, two = (x.rid[np.array([p[i] for p in pairs], np.int64)] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], schema=schema)
+                    crosses = (c >= -SLACK) & (x.label[k + 1 : b] != x.label[k])
+                    told[k] |= crosses.any()
+                    told[k + 1 : b] |= crosses
+            yield pa.RecordBatch.from_arrays([pa.array(x.node[told]), pa.array(x.rid[told])], schema=schema)
+
+    return rows.mapInArrow(run, "node long, rid long")
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share, exactly; shingles of one set alone are left out before."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = row[many[column] > 1], column[many[column] > 1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    out, width = np.zeros((len(sets), len(sets)), np.float32), 1024
+    ends = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + width, width))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[a:b], column[a:b] % width] = 1
+        out += part @ part.T
+    return out
+
+
+def crossing_links(label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between rows of different labels, by their full sets: as many as it takes to join what they join."""
+    n, common = np.array([len(s) for s in sets]), common_shingles(sets)
+    linked = 100 * common >= percent * (n[:, None] + n - common)
+    now, links = np.unique(label, return_inverse=True)[1], []
+    for k in range(len(n)):
+        others = np.flatnonzero(linked[k] & (now != now[k]))
+        _, first = np.unique(now[others], return_index=True)
+        for j in others[first].tolist():
+            links.append((k, j))
+            now[now == now[j]] = now[k]
+    return links
+
+
+def node_crossings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join different labels of a node. rows: (node, rid, label, shingles), sorted by node."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def close(rid: list[int], label: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        links = crossing_links(np.array(label), sets, percent) if len(set(label)) > 1 else []
+        pairs = [sorted((rid[k], rid[j])) for k, j in links]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, open_ = None, ([], [], [])
+        for batch in batches:
+            shingles = batch.column("shingles")
+            for k, (node, rid, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "rid", "label")), strict=True)):
+                if node != here:
+                    if open_[0]:
+                        yield close(*open_)
+                    here, open_ = node, ([], [], [])
+                for some, x in zip(open_, (rid, label, shingles[k].values.to_numpy()), strict=True):
+                    some.append(x)
+        if open_[0]:
+            yield close(*open_)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -203,8 +255,8 @@ def node_crossings(rows: DataFrame, percent: int) -> DataFrame:
 def to_pivots(rows: DataFrame, percent: int) -> DataFrame:
     """rows with their confidence to be as similar to the node's pivot (p_n, p_bins, p_sketch) as the
     threshold says (above), and within 4/3 (near), 2 (beyond) and 1/3 (close) of its distance."""
-    names = [*(c for c, _ in _ROW), "pivot"]
-    schema = pa.schema([*_ROW, ("pivot", pa.int64()), ("above", pa.float64()), ("near", pa.float64()), ("beyond", pa.float64()), ("close", pa.float64())])
+    names = [*(c for c, _ in _ROW), "tree", "pivot"]
+    schema = pa.schema([*_ROW, ("tree", pa.int32()), ("pivot", pa.int64()), ("above", pa.float64()), ("near", pa.float64()), ("beyond", pa.float64()), ("close", pa.float64())])
     away = 100 - percent
     limits = [percent, int(100 - 4 * away / 3), max(1, 100 - 2 * away), 100 - away // 3]
 
@@ -221,7 +273,7 @@ def to_pivots(rows: DataFrame, percent: int) -> DataFrame:
                     out[k, s:e] = confidence(*x, 0, slice(1, None), limit)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(o) for o in out)], schema=schema)
 
-    return rows.mapInArrow(run, "node long, rid long, n long, bins int, sketch binary, pivot long, above double, near double, beyond double, close double")
+    return rows.mapInArrow(run, "node long, rid long, n long, bins int, sketch binary, tree int, pivot long, above double, near double, beyond double, close double")
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -281,6 +333,30 @@ def _chosen(node: Column, at: Column) -> Column:
     return F.xxhash64(node, at, F.expr("substring(tokens, cast(at * 4 + 1 as int), 4)"))
 
 
+def _choices(depth: int, percent: int) -> Column:
+    """The one or two tokens that a node chooses on a level, by its hash: 100 / percent on average, so
+    that a pair at the threshold goes on along one path on average, whatever the depth.
+
+    Each tree runs through the tokens that no root has in an order of its own, CHOICES a level.
+    """
+    node = lambda salt, of: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(of))
+    first = node(1, CHOICES)
+    second = F.pmod(first + 1 + node(2, CHOICES - 1), F.lit(CHOICES))
+    step, start = (1 + F.pmod(F.xxhash64("tree", F.lit(k)), F.lit(_BELOW - 1)) for k in (3, 4))
+    token = lambda i: TREES + F.pmod(start + step * (CHOICES * (depth - 1) + i), F.lit(_BELOW))
+    return F.when(node(5, 1000) < 1000 * (100 - percent) // percent, F.array(token(first), token(second))).otherwise(F.array(token(first)))
+
+
+def _in_parts(rows: DataFrame, parts: Column) -> DataFrame:
+    """rows whose nodes are dealt to so many parts (an aggregate, rounded up), and every two parts of a node to a node of their own."""
+    sizes = rows.groupBy("node").agg(F.greatest(F.ceil(parts), F.lit(1)).cast("long").alias("parts"))
+    dealt = rows.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    paired = dealt.withColumn("other", other).withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+    # with two parts or more, no part meets itself alone
+    return paired.where("parts = 1 or own <> other").select(*[c for c in rows.columns if c != "tree"])
+
+
 def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id.
 
@@ -288,15 +364,18 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     with equal sets form a class, and only classes go on. In each tree the root deals them out
     by one minwise token. A node of up to SMALL classes compares all its pairs by their
     sketches; a larger node branches on further tokens, one or two as a hash of the node says,
-    until its parts are small. Two classes at the threshold share a node of one tree with
-    probability 0.85 where the root's nodes are small: ten trees miss one in 170 million. In
-    deep trees the probability tends to 0.76 as long as second choices are allowed, and falls
-    where GROWTH forbids them, in very large groups of documents that are all somewhat alike.
+    none of them met before on the path, until its parts are small. After LEVELS levels the
+    parts of a node that is still large are compared two by two, so the recursion ends with
+    every pair of every node compared. Two classes at the threshold share a node of one tree
+    with probability 0.85 where the root's nodes are small: ten trees miss one in 170 million.
+    Below, a pair goes on along one path a tree on average, and k levels down is met in a tree
+    with probability 1 / (1 + k / 8) or more; at the last level ten trees meet 0.99 of pairs.
 
     Links are wanted only as far as they join components, so a node sends the likeliest links
     that span its candidates, one for each class at most. They are verified on the full sets;
-    then the nodes that had pairs near the threshold besides look again and send those that
-    still cross components. A node that is large below the root's level also compares its classes with one of
+    then the nodes that had pairs near the threshold besides look again: rows with a candidate
+    in another component bring their full sets, are compared exactly, part by part where the
+    sets are large, and send the links that join components. A node that is large below the root's level also compares its classes with one of
     them, its pivot: those linked with it are one component and leave the node if the classes
     that could be linked with them, but not with the pivot (distances obey the triangle
     inequality), are few; those few meet them in parts of SMALL. So a group of copies costs
@@ -314,24 +393,23 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     first = full.groupBy("a", "b", "n_shingles").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("bins", "sketch", "tokens")])
     classes = cut(first.withColumnRenamed("n_shingles", "n").withColumn("rid", F.monotonically_increasing_id()), old)
 
-    drawn = classes.select("rid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("at"))
-    nodes = cut(_sized(drawn.select(_chosen(F.col("at"), F.col("at")).alias("node"), "rid")), level)
+    drawn = classes.select("rid", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    drawn = drawn.withColumn("at", F.col("tree"))
+    nodes = cut(_sized(drawn.select("tree", _chosen(F.col("tree"), F.col("at")).alias("node"), "rid")), level)
     leaves, links = nodes.where(f"size <= {SMALL}").select("node", "rid"), None
-    opened = nodes.where(f"size > {SMALL}").select("node", "rid")
-    depth, first_open = 0, None
-    while n_open := opened.count():
-        depth, first_open = depth + 1, first_open or n_open
-        going = opened
+    opened = nodes.where(f"size > {SMALL}").select("tree", "node", "rid")
+    depth = 0
+    while depth < LEVELS and not opened.isEmpty():
+        depth, going = depth + 1, opened
         if depth > 1:  # most large nodes fall apart by themselves at once
             settled, going, sure = _around_pivots(opened, classes, percent, level)
             leaves, links = leaves.unionByName(settled), sure if links is None else links.unionByName(sure)
-        at = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
-        other = F.pmod(at + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
-        choices = F.when((F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2)) == 0) & F.lit(n_open <= GROWTH * first_open), F.array(at, other)).otherwise(F.array(at))
-        below = going.join(classes.select("rid", "tokens"), "rid").withColumn("at", F.explode(choices))
-        nodes = cut(_sized(below.select(_chosen(F.col("node"), F.col("at")).alias("node"), "rid")), level)
+        below = going.join(classes.select("rid", "tokens"), "rid").withColumn("at", F.explode(_choices(depth, percent)))
+        nodes = cut(_sized(below.select("tree", _chosen(F.col("node"), F.col("at")).alias("node"), "rid")), level)
         leaves = leaves.unionByName(nodes.where(f"size <= {SMALL}").select("node", "rid"))
-        opened = nodes.where(f"size > {SMALL}").select("node", "rid")
+        opened = nodes.where(f"size > {SMALL}").select("tree", "node", "rid")
+    if depth == LEVELS:
+        leaves = leaves.unionByName(_in_parts(opened, F.count(F.lit(1)) * 2 / SMALL))
 
     leaf_rows = cut(leaves.join(classes.select("rid", "n", "bins", "sketch"), "rid").select(*[c for c, _ in _ROW]), old)
     found = cut(node_links(_by_node(leaf_rows), percent), old)
@@ -346,11 +424,13 @@ def near_components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     linked = cut(verified(candidates, sets, percent), old)
     known = components(linked, old).withColumnRenamed("node", "rid")
     labelled = doubtful.join(known, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
-    # as many as a document has paths
-    labelled = labelled.join(doubtful.groupBy("rid").agg(F.collect_set("node").alias("nodes")), "rid")
-    more, n_more = counted(verified(node_crossings(_by_node(labelled), percent).distinct(), sets, percent), keep=old)
-    if n_more:
-        known = components(linked.unionByName(more), old).withColumnRenamed("node", "rid")
+    crossing, n_crossing = counted(crossing_rows(_by_node(labelled), percent), keep=old)
+    if n_crossing:
+        rest = crossing.join(known, "rid", "left").select("node", "rid", F.coalesce("component", "rid").alias("label")).join(sets, "rid")
+        parts = _in_parts(rest, F.sum(F.size("shingles").cast("long")) * 2 / TOGETHER_SHINGLES)
+        more, n_more = counted(node_crossings(_by_node(parts).select("node", "rid", "label", "shingles"), percent).distinct(), keep=old)
+        if n_more:
+            known = components(linked.unionByName(more), old).withColumnRenamed("node", "rid")
     # a component is known by the smallest id of all its rows
     member = classes.select("rid", "id", "a", "b", "n").join(known, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     named = member.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -383,13 +463,13 @@ def _around_pivots(opened: DataFrame, classes: DataFrame, percent: int, keep: li
     told = placed.join(sums.select("node", way.alias("way")), "node")
     leaves = ((F.col("way") == 2) & linked) | ((F.col("way") == 1) & close)
     border = ((F.col("way") == 2) & far) | ((F.col("way") == 1) & some)
-    told = cut(told.select("node", "rid", "pivot", (leaves & (F.col("rid") != F.col("pivot"))).alias("leaves"), border.alias("border")), keep)
+    told = cut(told.select("tree", "node", "rid", "pivot", (leaves & (F.col("rid") != F.col("pivot"))).alias("leaves"), border.alias("border")), keep)
     gone = told.where("leaves").groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SMALL).alias("parts"))
     part = told.where("leaves").join(gone, "node").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
     meet = told.where("border").join(gone, "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     settled = part.unionByName(meet).select(F.xxhash64("node", "part", F.lit("part")).alias("node"), "rid")
     sure = told.where("leaves").select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b"))
-    return settled, told.where("not leaves").select("node", "rid"), sure
+    return settled, told.where("not leaves").select("tree", "node", "rid"), sure
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -184,3 +184,70 @@ def test_near_copies_of_a_spread_group(spark, monkeypatch):
     texts += [(500 + k, " ".join(f"s{(k // 3) * 5 + j}" for j in range(100)), "a") for k in range(30)]
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(table(spark, texts), 85).collect()}
     assert got == brute_components(texts, 85)[1]
+
+
+def spread_pairs(rng, pairs, words=400, apart=8, own=6):
+    """Pairs of documents near the threshold, all of them edited copies of one template."""
+    base, texts = [f"b{k}" for k in range(words)], []
+    for k in range(pairs):
+        one = list(base)
+        for at in rng.sample(range(0, words, 8), apart):
+            one[at] = f"c{k}_{at}"
+        other = list(one)
+        for at in rng.sample(range(4, words, 8), own):
+            other[at] = f"d{k}_{at}"
+        texts += [(2 * k, " ".join(one), "a"), (2 * k + 1, " ".join(other), "a")]
+    return texts
+
+
+def test_deep_trees_end_and_find_the_pairs_of_a_template(spark, monkeypatch):
+    """400 documents at 0.68 to each other hold 200 pairs at 0.86: every node of more than 16 branches, 12 levels deep."""
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
+    texts = spread_pairs(random.Random(7), 200)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(table(spark, texts), 85).collect()}
+    want = brute_components(texts, 85)[1]
+    linked = [k for k in range(200) if want[2 * k] == want[2 * k + 1]]
+    assert len(linked) > 190 and sum(got[2 * k] == got[2 * k + 1] for k in linked) >= 0.99 * len(linked)
+    assert all(want[d] == want[c] for d, c in got.items())
+
+
+def test_nodes_that_do_not_fall_apart_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 10)
+    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    monkeypatch.setattr(near_dedup, "TOGETHER_SHINGLES", 3000)
+    texts = spread_pairs(random.Random(8), 40, apart=5, own=5)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(table(spark, texts), 85).collect()}
+    assert got == brute_components(texts, 85)[1]
+
+
+def test_paths_never_choose_a_token_twice(spark):
+    rows = spark.range(50).select(F.col("id").alias("node"), (F.col("id") % 10).cast("int").alias("tree")).cache()
+    seen: dict[int, list[int]] = {}
+    for depth in range(1, near_dedup.LEVELS + 1):
+        for r in rows.select("tree", F.explode(near_dedup._choices(depth, 85)).alias("at")).distinct().collect():
+            assert near_dedup.TREES <= r["at"] < near_dedup.TOKENS
+            seen.setdefault(r["tree"], []).append((depth, r["at"]))
+    for own in seen.values():
+        assert len({at for _, at in own}) == len(own)
+    many = spark.range(20000).select(F.col("id").alias("node"), F.lit(3).alias("tree"))
+    assert abs(many.agg(F.avg(F.size(near_dedup._choices(2, 85)))).first()[0] - 100 / 85) < 0.02
+
+
+def test_crossing_links_join_what_full_sets_join():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(60) < 0.95], rng.integers(0, 1 << 60, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(30)]
+        label = rng.integers(0, 12, 30)
+        links = near_dedup.crossing_links(label, sets, 85)
+        assert (near_dedup.common_shingles(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+        pairs = [(i, j) for i in range(30) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+
+        def joined(extra, label=label):
+            own = label.copy()
+            for i, j in extra:
+                own[own == own[i]] = own[j]
+            return [[own[i] == own[j] for j in range(30)] for i in range(30)]
+
+        assert joined(links) == joined(pairs) and len(links) < 12
+        assert all((max(p), min(p)) in pairs for p in links)
