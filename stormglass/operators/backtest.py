@@ -7,6 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormglass.operators.quantiles import key_quantiles
+from stormglass.operators.scans import Dealt, deal
+from stormglass.operators.windows import chunks
+
 
 def overlay(df: DataFrame, keys: list[str], time: str, ret: str, high_risk: str, low_exposure: Column | float, cost: float = 0.0001) -> DataFrame:
     """position and overlay_return; the position is the last row's exposure (1 at first), a missing signal is no risk."""
@@ -18,32 +22,76 @@ def overlay(df: DataFrame, keys: list[str], time: str, ret: str, high_risk: str,
     return out.withColumn("turn", turn).withColumn("overlay_return", F.col("position") * F.col(ret) - F.col("turn") * cost)
 
 
-def strategy_metrics(df: DataFrame, keys: list[str], time: str, ret: str, position: str = "position", turn: str = "turn") -> DataFrame:
-    """n, returns, volatility, sharpe, drawdown, worst day, exposure and turnover per key."""
-    run = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.where(F.col(ret).isNotNull()).withColumn("equity", F.product(1 + F.col(ret)).over(run))
-    rows = rows.withColumn("drawdown", F.col("equity") / F.max("equity").over(run) - 1)
-    out = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), (F.max_by("equity", time) - 1).alias("cumulative_return"), (F.stddev_samp(ret) * math.sqrt(252)).alias("annual_vol"),
-        F.min("drawdown").alias("max_drawdown"), F.min(ret).alias("worst_day"), F.avg(position).alias("mean_exposure"), F.sum(turn).alias("turnover"),
+def _paths(d: Dealt, runs: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """(key_, run, metrics) of each run (return, position, turn) over dealt rows; rows without a return are left out.
+
+    What a part of a key comes to, its growth, its highest and lowest point and its worst
+    drawdown, is one row a part: two neighbours make one by (growth x growth, the higher peak,
+    the lower trough, the worst of both drawdowns and of the second's trough under the first's
+    peak). So all runs take one pass over the rows, and no key is multiplied out in one task.
+    Returns are above -1.
+    """
+    rows, along = d.rows, Window.partitionBy("part_", "key_").orderBy("at_").rowsBetween(Window.unboundedPreceding, 0)
+    names = list(runs)
+    rows = rows.select("key_", "part_", "at_", *[c.alias(f"{x}{k}") for k, name in enumerate(names) for x, c in zip(("r", "p", "t"), runs[name], strict=True)])
+    rows = rows.withColumns({f"e{k}": F.product(1 + F.col(f"r{k}")).over(along) for k in range(len(names))})
+    rows = rows.withColumns({f"d{k}": F.col(f"e{k}") / F.max(f"e{k}").over(along) - 1 for k in range(len(names))})
+    own = lambda x, k: F.when(F.col(f"r{k}").isNotNull(), F.col(f"{x}{k}"))
+    sums = [
+        f.alias(f"{x}{k}") for k in range(len(names)) for x, f in {
+            "g": F.product(1 + F.col(f"r{k}")), "peak": F.max(f"e{k}"), "trough": F.min(f"e{k}"), "worst": F.min(f"d{k}"), "low": F.min(f"r{k}"), "n": F.count(f"r{k}"),
+            "sum": F.sum(f"r{k}"), "var": F.var_pop(f"r{k}"), "pos": F.sum(own("p", k)), "turn": F.sum(own("t", k)),
+        }.items()
+    ]
+    parts = rows.groupBy("key_", "part_").agg(*sums)
+    fields = ("g", "peak", "trough", "worst", "low", "n", "sum", "var", "pos", "turn")
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("run"), *[F.col(f"{x}{k}").alias(x) for x in fields]) for k, name in enumerate(names)]))
+    # one row a part and run from here on
+    each = parts.select("key_", "part_", cells.alias("c")).select("key_", "part_", "c.*").where("n > 0")
+    ahead = Window.partitionBy("key_", "run").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("before", F.coalesce(F.product("g").over(ahead), F.lit(1.0))).withColumn("top", F.col("before") * F.col("peak"))
+    worst = F.least("worst", F.try_divide(F.col("before") * F.col("trough"), F.max("top").over(ahead)) - 1)
+    whole = Window.partitionBy("key_", "run")
+    each = each.withColumn("worst", worst).withColumn("mean", F.sum("sum").over(whole) / F.sum("n").over(whole))
+    spread = F.sum(F.col("n") * (F.col("var") + F.pow(F.col("sum") / F.col("n") - F.col("mean"), 2)))
+    out = each.groupBy("key_", "run").agg(
+        F.sum("n").alias("n"), (F.product("g") - 1).alias("cumulative_return"), (F.sqrt(F.try_divide(spread, F.sum("n") - 1)) * math.sqrt(252)).alias("annual_vol"),
+        F.min("worst").alias("max_drawdown"), F.min("low").alias("worst_day"), (F.sum("pos") / F.sum("n")).alias("mean_exposure"), F.sum("turn").alias("turnover"),
     )
     out = out.withColumn("annual_return", F.pow(1 + F.col("cumulative_return"), F.lit(252.0) / F.col("n")) - 1)
     return out.withColumn("sharpe", F.try_divide("annual_return", "annual_vol"))
 
 
-def sensitivity_grid(df: DataFrame, keys: list[str], time: str, ret: str, score: str, train: Column, quantiles: tuple[float, ...] = (0.75, 0.8, 0.85, 0.9), exposures: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75)) -> DataFrame:
+def strategy_metrics(df: DataFrame, keys: list[str], time: str, ret: str, position: str = "position", turn: str = "turn") -> DataFrame:
+    """n, returns, volatility, sharpe, drawdown, worst day, exposure and turnover per key."""
+    found = _paths(deal(df.select(*keys, time, ret, position, turn), keys, [time]), {"own": (F.col(ret), F.col(position), F.col(turn))})
+    return found.select("key_.*", *found.columns[2:])
+
+
+def sensitivity_grid(df: DataFrame, keys: list[str], time: str, ret: str, score: str, train: Column, quantiles: tuple[float, ...] = (0.75, 0.8, 0.85, 0.9), exposures: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75), cost: float = 0.0001) -> DataFrame:
     """Metrics of every quantile and exposure; thresholds come from the train rows.
 
-    The scenario is part of the window key, so 16 scenarios are 16 times the parallelism.
+    A scenario follows from the scores of this row and the two before it, so all scenarios are
+    columns of one pass over chunks of rows; keys without a train score have no rows.
     """
-    cuts = df.where(train).groupBy(*keys).agg(F.percentile(score, F.array(*[F.lit(q) for q in quantiles])).alias("cuts"))
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(q).alias("quantile"), F.lit(e).alias("low_exposure")) for k, q in enumerate(quantiles) for e in exposures])).alias("g")
-    rows = df.join(cuts, keys).select("*", grid).select(*df.columns, "cuts", "g.*")
-    rows = rows.withColumn("high_risk", F.col(score) >= F.element_at("cuts", F.col("k") + 1))
-    by = [*keys, "quantile", "low_exposure"]
-    run = overlay(rows, by, time, ret, "high_risk", F.col("low_exposure"))
-    risky = run.groupBy(*by).agg((100 * F.avg(F.coalesce(F.col("high_risk"), F.lit(False)).cast("double"))).alias("pct_high_risk"))
-    return strategy_metrics(run, by, time, "overlay_return").join(risky, by)
+    cuts = key_quantiles(df.where(train), keys, score, {f"cut_{k}": q for k, q in enumerate(quantiles)})
+    d = chunks(df.select(*keys, time, ret, score).join(cuts, keys), keys, time, 2, 0)
+    d = d.shifted("score_1", F.col(score), -1).shifted("score_2", F.col(score), -2).whole()
+    runs, risky = {}, []
+    for k, q in enumerate(quantiles):
+        high = {n: F.coalesce(F.col(c) >= F.col(f"cut_{k}"), F.lit(False)) for n, c in enumerate((score, "score_1", "score_2"))}
+        risky.append((100 * F.avg(high[0].cast("double"))).alias(f"{k}"))
+        for e in exposures:
+            position, before = (F.when(high[n], F.lit(e)).otherwise(F.lit(1.0)) for n in (1, 2))
+            turn = F.when(F.col("place_") > 0, F.abs(position - before)).otherwise(F.lit(0.0))
+            runs[f"{k}/{e}"] = (position * F.col(ret) - turn * cost, position, turn)
+    settled = d.settled()
+    found = _paths(settled, runs)
+    part = F.split("run", "/")
+    shares = settled.rows.groupBy("key_").agg(*risky).unpivot(["key_"], [f"{k}" for k in range(len(quantiles))], "k", "pct_high_risk")
+    found = found.withColumns({"k": part[0], "low_exposure": part[1].cast("double")}).drop("run").join(shares, ["key_", "k"])
+    named = F.element_at(F.array(*[F.lit(q) for q in quantiles]), F.col("k").cast("int") + 1)
+    return found.withColumn("quantile", named).select("key_.*", "quantile", "low_exposure", *[c for c in found.columns if c not in ("key_", "k", "low_exposure")])
 
 
 def rank_strategies(metrics: DataFrame, keys: list[str], n: int = 8) -> DataFrame:

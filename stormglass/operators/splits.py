@@ -14,10 +14,12 @@ def indexed(df: DataFrame, keys: list[str], time: str) -> DataFrame:
 
 
 def chronological(df: DataFrame, fraction: float) -> DataFrame:
-    """role: the first int(n x fraction) rows train, the rest test."""
+    """role: the first int(n x fraction) rows train, the rest test. A key that is left without train or test rows is an error when rows are read."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must lie between 0 and 1")
-    return df.withColumn("role", F.when(F.col("row_idx") < F.floor(F.col("n_rows") * fraction), "train").otherwise("test"))
+    begin = F.floor(F.col("n_rows") * fraction)
+    short = F.raise_error(F.lit("not enough rows for the chronological split")).cast("string")
+    return df.withColumn("role", F.when((begin < 1) | (begin >= F.col("n_rows")), short).when(F.col("row_idx") < begin, "train").otherwise("test"))
 
 
 def purge_mask(idx: Column, start: Column, horizon: int) -> Column:

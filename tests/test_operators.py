@@ -72,6 +72,8 @@ def test_splits_keep_their_predicates(spark):
     assert splits.chronological(df, 0.6).where("role = 'train'").count() == 54
     with pytest.raises(ValueError):
         splits.chronological(df, 1.0)
+    with pytest.raises(Exception, match="not enough rows"):
+        splits.chronological(df, 0.01).collect()
     rows = splits.purged_folds(df, ["key"], 3, 5, 2).collect()
     for fold in range(3):
         test = sorted(r["row_idx"] for r in rows if r["fold"] == fold and r["role"] == "test")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stormglass.operators import labels, pit, quantiles, scans
+from stormglass.operators import backtest, labels, pit, quantiles, scans
 from stormglass.operators import windows as win
 from stormglass.operators.scans import Scan
 
@@ -153,3 +153,30 @@ def test_horizon_must_be_positive(table):
     for add in (win.add_forward_drawdown, win.add_forward_max):
         with pytest.raises(ValueError):
             add(table, "x", ["k"], "t", 0, "value")
+
+
+def test_path_metrics_of_a_hot_key(spark, data, monkeypatch):
+    """Growth, worst drawdown and the rest over many parts equal those of the whole path; a grid is its runs one by one."""
+    monkeypatch.setattr(scans, "CHUNK", 32)
+    rng = random.Random(3)
+    rows = [("hot", t, None if rng.random() < 0.05 else rng.gauss(0.001, 0.02), rng.choice([None, rng.random()])) for t in range(500)] + [("b", 0, 0.01, 0.5), ("c", 0, -0.01, 0.2), ("c", 1, 0.03, 0.9)]
+    table = spark.createDataFrame(rows, "k string, t int, r double, score double")
+    grid = backtest.sensitivity_grid(table, ["k"], "t", "r", "score", F.col("t") < 300, (0.5, 0.8), (0.0, 0.5)).collect()
+    assert len(grid) == 3 * 4
+    for g in grid:
+        own = sorted((x for x in rows if x[0] == g["k"]), key=lambda x: x[1])
+        cut = np.quantile([s for _, t, _, s in own if s is not None and t < 300], g["quantile"])
+        exposure = [g["low_exposure"] if s is not None and s >= cut else 1.0 for *_, s in own]
+        position = [1.0, *exposure[:-1]]
+        turn = [0.0, *(abs(a - b) for a, b in zip(position[1:], position, strict=False))]
+        run = [(p * r - c * 0.0001, p, c) for (_, _, r, _), p, c in zip(own, position, turn, strict=True) if r is not None]
+        equity = np.cumprod([1 + r for r, _, _ in run])
+        assert g["n"] == len(run) and g["cumulative_return"] == pytest.approx(equity[-1] - 1)
+        assert g["max_drawdown"] == pytest.approx(min(equity / np.maximum.accumulate(equity) - 1))
+        assert g["worst_day"] == pytest.approx(min(r for r, _, _ in run)) and g["turnover"] == pytest.approx(sum(c for _, _, c in run))
+        assert g["mean_exposure"] == pytest.approx(np.mean([p for _, p, _ in run]))
+        assert g["annual_vol"] == (pytest.approx(np.std([r for r, _, _ in run], ddof=1) * 252**0.5) if len(run) > 1 else None)
+    one = backtest.overlay(table.withColumn("risk", F.col("score") >= 0.5), ["k"], "t", "r", "risk", 0.5)
+    single = {r["k"]: r for r in backtest.strategy_metrics(one, ["k"], "t", "overlay_return").collect()}
+    path = np.cumprod([1 + r["overlay_return"] for r in one.where("k = 'hot'").orderBy("t").collect() if r["overlay_return"] is not None])
+    assert single["hot"]["max_drawdown"] == pytest.approx(min(path / np.maximum.accumulate(path) - 1))
