@@ -423,3 +423,36 @@ def test_pipeline_stages(spark, docs, tmp_path):
     near = [r["doc_id"] for r in rows.select("doc_id").distinct().collect()]
     assert not {11, 12, 13} & set(near)
     assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() == rows.count()
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 26])
+def test_a_saved_model_scores_another_table(spark, docs, texts, tmp_path, monkeypatch, sent):
+    """The model is what train() wrote; with it alone, other documents get the scores that its counts say, whichever way it reaches them."""
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", sent)
+    lm.train_model(docs).save(str(tmp_path / "model"))
+    model = lm.load_model(spark.read.parquet(str(tmp_path / "model")))
+    tokens = {d: [*split(t), None] for d, t, _ in texts}
+    training = [ws for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    c = Counter(w for ws in training for w in ws)
+    pairs = Counter(p for ws in training for p in zip([None, *ws], ws, strict=False))
+    n, v = sum(c.values()), len(c)
+    assert (model.tokens, model.types) == (n, v)
+    other = [(1, "w1 w2 w3 w4", "a"), (2, "never seen words", "b"), (3, None, None), (4, "W5 w5 " * 400, "a")]
+    for r in lm.score_with(model, table(spark, other)).collect():
+        own, want = [*split(dict((d, t) for d, t, _ in other)[r["doc_id"]]), None], 0.0
+        for a, b in zip([None, *own], own, strict=False):
+            weight = lm.BIGRAM_WEIGHT * c[a] / (c[a] + lm.HALF_COUNT)
+            joint = lm.value_of(lm.level_of(np.array([pairs[a, b]])))[0]
+            want += math.log10(weight * joint / max(c[a], 1) + (1 - weight) * (c[b] + 1) / (n + v + 1))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(c[w] > 0 for w in own), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
+        assert want - 1e-9 < r["score"] < want + 0.02 * len(own) + 1e-9
+    assert lm.score_with(model, table(spark, other).limit(0)).count() == 0
+
+
+def test_the_model_comes_the_same_way_to_blocks(spark, docs, monkeypatch):
+    scores = []
+    for sent in (0, 1 << 26):
+        monkeypatch.setattr(lm, "BROADCAST_BYTES", sent)
+        scores.append(sorted(map(tuple, lm.score_documents(docs).collect())))
+    assert scores[0] == scores[1]
