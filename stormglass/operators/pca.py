@@ -176,6 +176,74 @@ def absorption(x: np.ndarray, least_rows: int, least_columns: int = 2, top: int
     return len(full), len(columns), float(values[: min(top, len(full) - 1)].sum() / values.sum())
 
 
+class GramBlocks:
+    """Rows of numbers cut at some places, each piece summed up by the pattern of what is missing.
+
+    A window from one cut to another is a difference of two prefix sums of row counts, sums and
+    Gram matrices, one for each pattern; what a choice of columns leaves complete is the sum
+    over the patterns that have them. Values are taken from their column's mean, so that
+    differences keep their digits; lowest and highest values tell constant columns apart.
+    """
+
+    #: Numbers that the sums may have; rows with too many patterns are worked on window by window instead.
+    CELLS = 1 << 23
+
+    def __init__(self, x: np.ndarray, marked: np.ndarray, cuts: np.ndarray):
+        have = np.isfinite(x)
+        self.bits, which = np.unique(np.column_stack([have, marked]), axis=0, return_inverse=True)
+        self.bits, self.marked = self.bits[:, :-1], self.bits[:, -1]
+        self.shape, p = (len(cuts), len(self.bits)), x.shape[1]
+        self.fits = len(cuts) * len(self.bits) * p * p <= self.CELLS
+        if not self.fits:
+            return
+        center = np.where(have, x, 0).sum(axis=0) / np.maximum(have.sum(axis=0), 1)
+        flat = np.where(have, x - center, 0)
+        self.n, self.sums, self.gram = np.zeros(self.shape), np.zeros((*self.shape, p)), np.zeros((*self.shape, p, p))
+        self.low, self.high = np.full((*self.shape, p), np.inf), np.full((*self.shape, p), -np.inf)
+        piece = np.searchsorted(cuts, np.arange(len(x)), side="right")
+        inside = np.flatnonzero((piece > 0) & (piece < len(cuts)))
+        cell = piece[inside] * len(self.bits) + which[inside]
+        order = inside[np.argsort(cell, kind="stable")]
+        cells, starts = np.unique(np.sort(cell), return_index=True)
+        for c, rows in zip(cells.tolist(), np.split(order, starts[1:]) if len(cells) else [], strict=True):
+            at, own = divmod(c, len(self.bits)), flat[rows]
+            self.n[at], self.sums[at], self.gram[at] = len(rows), own.sum(axis=0), own.T @ own
+            self.low[at], self.high[at] = own.min(axis=0), own.max(axis=0)
+        for total in (self.n, self.sums, self.gram):
+            np.cumsum(total, axis=0, out=total)
+
+    def absorption(self, begin: int, end: int, of: np.ndarray, least_rows: int, least_columns: int, top: int, share: float | None) -> tuple[int, int, float | None]:
+        """absorption() of the rows between two cuts, of the patterns marked in `of`."""
+        n = np.where(of, self.n[end] - self.n[begin], 0)
+        size, count = int(n.sum()), n @ self.bits
+        low, high = self.low[begin + 1 : end + 1].min(axis=0), self.high[begin + 1 : end + 1].max(axis=0)
+        complete = lambda columns: n * self.bits[:, columns].all(axis=1)
+        if share is not None:
+            columns = np.flatnonzero(count >= share * max(1, size)).tolist()
+            rows = complete(columns)
+        else:
+            seen = of[:, None] & self.bits
+            spread = np.where(seen, high, -np.inf).max(axis=0, initial=-np.inf) > np.where(seen, low, np.inf).min(axis=0, initial=np.inf)
+            columns = sorted((k for k in range(len(count)) if count[k] >= least_rows and count[k] > 1 and spread[k]), key=lambda k: (-count[k], -k))
+            rows = np.zeros(len(n))
+            while len(columns) >= 2 and (rows := complete(columns)).sum() < least_rows:
+                columns.pop()
+            if len(columns) < 2:
+                return 0, len(columns), None
+        full = int(rows.sum())
+        if full < max(least_rows, 2) or len(columns) < least_columns:
+            return full, len(columns), None
+        used = rows > 0
+        varied = [c for c in columns if high[used, c].max() > low[used, c].min()]
+        if len(varied) < 2:
+            return full, len(columns), 1.0 if varied else None
+        mean = (self.sums[end] - self.sums[begin])[used][:, varied].sum(axis=0) / full
+        cov = (self.gram[end] - self.gram[begin])[used][:, varied][:, :, varied].sum(axis=0) / full - np.outer(mean, mean)
+        std = np.sqrt(np.diag(cov))
+        values = np.sort(np.linalg.eigvalsh(cov / np.outer(std, std)))[::-1]
+        return full, len(columns), float(values[: min(top, full - 1)].sum() / values.sum())
+
+
 def rolling_absorption(
     wide: DataFrame, columns: list[str], time: str, width: int, step: int, least_rows: int, least_columns: int = 2, share: float | None = 0.8, top: int = 3, flag: str | None = None, chunk_ends: int = 64
 ) -> DataFrame:
@@ -187,6 +255,7 @@ def rolling_absorption(
 
     Rows are dealt to chunks of windows with the rows before them as halo, so each task
     computes its windows alone and a row is copied about width / (step x chunk_ends) times.
+    Within a task a row goes into one piece's sums, whatever the number of windows over it.
     """
     span = step * chunk_ends
     rows = row_index(wide.select(time, *[F.col(f"`{c}`") for c in columns], *([flag] if flag else [])), [time], "i")
@@ -196,18 +265,23 @@ def rolling_absorption(
         pdf = pdf.sort_values("i")
         i, x = pdf["i"].to_numpy(), pdf[columns].to_numpy(float)
         marked = pdf[flag].fillna(False).to_numpy(bool) if flag else np.zeros(len(pdf), bool)
-        chunk, last = int(pdf["chunk"].iloc[0]), int(pdf["last"].iloc[0])
-        out = []
+        chunk, last, first = int(pdf["chunk"].iloc[0]), int(pdf["last"].iloc[0]), int(i[0])
         # end is one past the window's last row; the reference's last end is the last row's index
-        for end in range(max(width, chunk * span + 1), min((chunk + 1) * span, last) + 1):
-            if (end - width) % step:
-                continue
-            inside = (i >= end - width) & (i < end)
-            row = [pdf[time].iloc[int(np.searchsorted(i, end - 1))], *absorption(x[inside], least_rows, least_columns, top, share)]
-            if flag:
-                chosen = x[inside & marked]
-                row += [len(chosen), absorption(chosen, max(8, least_rows // 4), least_columns, top, share)[2]]
-            out.append(row)
+        ends = [e for e in range(max(width, chunk * span + 1), min((chunk + 1) * span, last) + 1) if (e - width) % step == 0]
+        places = np.unique([p - first for e in ends for p in (e - width, e)]).astype(np.int64)
+        blocks, out = GramBlocks(x, marked, places), []
+        for end in ends:
+            a, b = end - width - first, end - first
+            own = np.flatnonzero(marked[a:b]) + a
+            least = max(8, least_rows // 4)
+            if blocks.fits:
+                at = np.searchsorted(places, [a, b]).tolist()
+                found = blocks.absorption(*at, np.ones(blocks.shape[1], bool), least_rows, least_columns, top, share)
+                chosen = blocks.absorption(*at, blocks.marked, least, least_columns, top, share)[2] if flag else None
+            else:
+                found = absorption(x[a:b], least_rows, least_columns, top, share)
+                chosen = absorption(x[own], least, least_columns, top, share)[2] if flag else None
+            out.append([pdf[time].iloc[b - 1], *found, *([len(own), chosen] if flag else [])])
         return pd.DataFrame(out, columns=[time, "n_rows", "n_columns", "absorption", *(["flagged_rows", "flagged_absorption"] if flag else [])])
 
     kind = wide.schema[time].dataType.simpleString()
