@@ -845,7 +845,8 @@ def purged_time_series_split(spark, sf_dir):
 max(date) FILTER (role = 'test') AS test_end_time, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test
 FROM a GROUP BY 1, 2""")
 def split_summary(spark, sf_dir):
-    return splits.fold_summary(splits.purged_folds(_indexed(spark, sf_dir), K, 3, 20, 5), K, T)
+    rows = _indexed(spark, sf_dir)
+    return splits.fold_summary(rows, splits.purged_intervals(splits.sizes_of(rows, K), K, 3, 20, 5), K, T)
 
 
 @query(f"""{_IDX}, f AS (SELECT entity, s, least(s + 250, n) - 1 AS e, (row_number() OVER (PARTITION BY entity ORDER BY s) - 1)::INT AS fold
@@ -854,8 +855,16 @@ FROM i GROUP BY entity))), a AS (SELECT i.entity, row_idx, fold, CASE WHEN row_i
 FROM i JOIN f USING (entity)) SELECT entity, fold, role, count(*) AS n, min(row_idx) AS first_idx, max(row_idx) AS last_idx
 FROM a WHERE role IS NOT NULL GROUP BY ALL""")
 def expanding_window_splits(spark, sf_dir):
-    rows = splits.expanding_folds(_indexed(spark, sf_dir), K, 1000, 250, 20, 5)
-    return rows.groupBy("entity", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_idx"), F.max("row_idx").alias("last_idx"))
+    return splits.fold_bounds(splits.expanding_intervals(splits.sizes_of(_indexed(spark, sf_dir), K), K, 1000, 250, 20, 5), K)
+
+
+@query(f"""{_FOLDS}, d AS (SELECT a.*, price, vix FROM a JOIN daily USING (entity, date)) SELECT entity, fold, role, count(*) AS n, {R('sum(price)')} AS price, {R('sum(vix)')} AS vix
+FROM d WHERE role IS NOT NULL GROUP BY ALL""")
+def fold_sums(spark, sf_dir):
+    """Sums of prices and volatility over both roles of the purged folds, without a row a fold."""
+    rows = splits.indexed(frames.daily(spark, sf_dir).select("entity", "date", "price", "vix"), K, T)
+    folds = splits.purged_intervals(splits.sizes_of(rows, K), K, 3, 20, 5)
+    return rounded(splits.fold_sums(rows, folds, K, ["price", "vix"]))
 
 
 @query(f"{_IDX} SELECT entity, date, row_idx, row_idx + 20 < 600 AS purged_ok, row_idx > 700 + 10 AS embargo_ok FROM i")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stormglass.operators import backtest, labels, pit, quantiles, scans
+from stormglass.operators import backtest, labels, pit, quantiles, scans, splits
 from stormglass.operators import windows as win
 from stormglass.operators.scans import Scan
 
@@ -180,3 +180,18 @@ def test_path_metrics_of_a_hot_key(spark, data, monkeypatch):
     single = {r["k"]: r for r in backtest.strategy_metrics(one, ["k"], "t", "overlay_return").collect()}
     path = np.cumprod([1 + r["overlay_return"] for r in one.where("k = 'hot'").orderBy("t").collect() if r["overlay_return"] is not None])
     assert single["hot"]["max_drawdown"] == pytest.approx(min(path / np.maximum.accumulate(path) - 1))
+
+
+@pytest.mark.parametrize("future", [True, False])
+def test_interval_folds_equal_their_rows(spark, future):
+    """What folds say of their rows, without making them, is what the rows say."""
+    rows = splits.indexed(spark.createDataFrame([(k, t, float(t % 7)) for k, n in (("a", 100), ("b", 31), ("c", 3)) for t in range(n)], "k string, t int, v double"), ["k"], "t").cache()
+    sizes = splits.sizes_of(rows, ["k"])
+    for folds in (splits.expanding_intervals(sizes, ["k"], 20, 7, 3, 2, future), splits.purged_intervals(sizes, ["k"], 4, 5, 2)):
+        made = splits.assigned(rows, folds, ["k"])
+        by = ["k", "fold", "role"]
+        want = made.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("a"), F.max("row_idx").alias("b"), F.sum("v").alias("v")).collect()
+        got = splits.fold_bounds(folds, ["k"]).join(splits.fold_sums(rows, folds, ["k"], ["v"]).drop("n"), by).select(*by, "n", "first_idx", "last_idx", "v").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+        times = {(r["k"], r["fold"]): (r["train_start"], r["test_end_time"]) for r in splits.fold_summary(rows, folds, ["k"], "t").collect()}
+        assert all(times[r["k"], r["fold"]][0 if r["role"] == "train" else 1] == (r["a"] if r["role"] == "train" else r["b"]) for r in want)
