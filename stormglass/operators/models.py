@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormglass.functions.scratch import cut
+from stormglass.functions.scratch import cut, drop
 from stormglass.operators.windows import exact_quantiles
 
 
+#: Sums of one aggregation.
+SUMS = 200
+
+
 def historical_frequency(train: DataFrame, rows: DataFrame, label: str) -> DataFrame:
     """rows with the constant probability of the train labels."""
     rate = train.agg(F.avg(F.col(label).cast("double")).alias("p"))
@@ -44,57 +49,145 @@ def scaled(feature: str, model: Logistic) -> Column:
     return (value - model.mean[feature]) / model.scale[feature]
 
 
-def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True, steps: int = 50) -> Logistic:
-    """Median imputation, population scaling, L2 logistic regression by Newton steps.
+@dataclass(frozen=True)
+class Spec:
+    """A model to fit: its features (none: the mean of the label), label, train rows, inverse penalty and class weights."""
+
+    features: list[str]
+    label: str
+    train: Column | None = None
+    c: float = 1.0
+    balanced: bool = True
+
+    def known(self) -> Column:
+        """Whether a row is one to learn from."""
+        labelled = F.col(f"`{self.label}`").isNotNull()
+        return labelled if self.train is None else labelled & F.coalesce(self.train, F.lit(False))
 
-    Minimises the (weighted) log losses plus w'w / (2c), the intercept unpenalised. Each step is
-    one aggregation of the gradient and the upper half of the curvature, for p features
-    (p + 1)(p + 4) / 2 sums, whatever the number of rows; only these reach the driver.
+
+@dataclass
+class _Newton:
+    """Where a model stands: accepted parameters with their loss, gradient and curvature, and the step that is tried."""
+
+    theta: np.ndarray
+    step: np.ndarray
+    loss: float = math.inf
+    gradient: np.ndarray | None = None
+    curvature: np.ndarray | None = None
+    taken: int = 0
+    done: bool = False
+
+    def told(self, loss: float, gradient: np.ndarray, curvature: np.ndarray, steps: int) -> None:
+        """The sums at theta - step; a step that does not help is halved."""
+        if loss > self.loss + 1e-12 * abs(self.loss) and np.abs(self.step).max() >= 1e-9:
+            self.step = self.step / 2
+            return
+        first = self.gradient is None
+        self.done = not first and (np.abs(self.step).max() < 1e-8 or self.taken >= steps)
+        self.theta, self.loss, self.gradient, self.curvature = self.theta - self.step, loss, gradient, curvature
+        self.taken += 1
+        self.step = np.linalg.lstsq(curvature, gradient, rcond=None)[0]
+
+
+def fit_many(rows: DataFrame, specs: dict[str, Spec], steps: int = 50) -> dict[str, Logistic]:
+    """Every model of the specs: median imputation, population scaling, L2 logistic regression by Newton steps.
+
+    Each minimises the (weighted) log losses plus w'w / (2c), the intercept unpenalised. All
+    models take their steps together: one aggregation over the rows, which are written once and
+    not copied for any model, gives the gradient and the upper half of the curvature of all
+    that have not ended. For p features these are (p + 1)(p + 4) / 2 sums a model, and only they
+    reach the driver; SUMS of them go into one aggregation. So the number of jobs is that of the
+    steps of the slowest model, not of all models.
     """
-    known = cut(train.where(F.col(label).isNotNull()).select(label, *features))
-    counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(label) == 1).cast("double")).alias("pos")).first()
-    n, pos = counts["n"], counts["pos"] or 0.0
-    if not n:
-        raise ValueError("no labels to learn from")
-    if pos in (0, n):
-        return Logistic({}, {}, {}, {}, 0.0, pos / n)
-    fill = {f: m if m is not None else 0.0 for f, m in exact_quantiles(known, {f: (f, 0.5) for f in features}).items()}
-    filled = known.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(fill[f])).alias(f"x{k}") for k, f in enumerate(features)])
-    moments = filled.agg(*[F.avg(f"x{k}").alias(f"m{k}") for k in range(len(features))], *[F.stddev_pop(f"x{k}").alias(f"s{k}") for k in range(len(features))]).first()
-    model = Logistic(fill, {f: moments[f"m{k}"] for k, f in enumerate(features)}, {f: moments[f"s{k}"] or 1.0 for k, f in enumerate(features)}, {}, 0.0)
-    weight = F.when(F.col(label) == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))) if balanced else F.lit(1.0)
-    z = [F.lit(1.0), *(F.col(f"z{k}") for k in range(len(features)))]
-    # every step reads this table, so what made the train rows runs once
-    data = cut(known.select(F.col(label).cast("double").alias("y"), weight.alias("w"), *[scaled(f, model).alias(f"z{k}") for k, f in enumerate(features)]))
-    half = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
-    penalty = np.diag([0.0, *[1 / c] * len(features)])
-
-    def sums(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        score = sum((float(t) * x for t, x in zip(theta[1:], z[1:], strict=True)), F.lit(float(theta[0])))
-        p = data.withColumn("score", score).withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
-        curve = F.col("w") * F.col("p") * (1 - F.col("p"))
-        # log(1 + exp(s)) without overflow
-        loss = F.col("w") * (F.greatest("score", F.lit(0.0)) + F.log1p(F.exp(-F.abs("score"))) - F.col("y") * F.col("score"))
-        got = p.agg(F.sum(loss), *[F.sum(F.col("w") * (F.col("p") - F.col("y")) * x) for x in z], *[F.sum(curve * z[i] * z[j]) for i, j in half]).first()
-        h = np.zeros((len(z), len(z)))
-        for (i, j), v in zip(half, got[1 + len(z) :], strict=True):
-            h[i, j] = h[j, i] = v
-        return got[0] + theta @ penalty @ theta / 2, np.array(got[1 : 1 + len(z)]) + penalty @ theta, h + penalty
-
-    theta = np.zeros(len(z))
-    loss, gradient, curvature = sums(theta)
-    for _ in range(steps):
-        step = np.linalg.lstsq(curvature, gradient, rcond=None)[0]
-        while True:
-            after = sums(theta - step)
-            if after[0] <= loss + 1e-12 * abs(loss) or np.abs(step).max() < 1e-9:
-                break
-            step = step / 2
-        theta, (loss, gradient, curvature) = theta - step, after
-        if np.abs(step).max() < 1e-8:
-            break
-    model.intercept, model.weights = float(theta[0]), dict(zip(features, theta[1:].tolist(), strict=True))
-    return model
+    old: list[str] = []
+    names = list(specs)
+    columns = sorted({f for s in specs.values() for f in s.features})
+    place = {f: f"x{k}" for k, f in enumerate(columns)}
+    labels = {label: f"y{k}" for k, label in enumerate(dict.fromkeys(s.label for s in specs.values()))}
+    data = cut(rows.select(
+        *[F.col(f"`{f}`").cast("double").alias(c) for f, c in place.items()], *[F.col(f"`{f}`").cast("double").alias(c) for f, c in labels.items()],
+        *[s.known().alias(f"in{k}") for k, s in enumerate(specs.values())],
+    ), old)
+    inside = lambda k, c: F.when(F.col(f"in{k}"), c)
+    y = {k: F.col(labels[s.label]) for k, s in enumerate(specs.values())}
+    counts = data.agg(*[f.alias(f"{n}{k}") for k in y for n, f in (("n", F.count(inside(k, y[k]))), ("pos", F.count(inside(k, F.when(y[k] == 1, 1)))), ("mean", F.avg(inside(k, y[k]))))]).first()
+    out: dict[str, Logistic] = {}
+    fitted: dict[int, Spec] = {}
+    for k, (name, s) in enumerate(specs.items()):
+        if not counts[f"n{k}"]:
+            raise ValueError("no labels to learn from")
+        if not s.features or counts[f"pos{k}"] in (0, counts[f"n{k}"]):
+            out[name] = Logistic({}, {}, {}, {}, 0.0, counts[f"mean{k}"])
+        else:
+            fitted[k] = s
+    cells = {f"c{k}_{f}": inside(k, F.col(place[f])) for k, s in fitted.items() for f in s.features}
+    short = {c: f"m{i}" for i, c in enumerate(cells)}
+    middle = exact_quantiles(data.select(*[x.alias(short[c]) for c, x in cells.items()]), {c: (short[c], 0.5) for c in cells}) if cells else {}
+    fill = {c: 0.0 if m is None else m for c, m in middle.items()}
+    filled = {c: inside(int(c[1:].split("_")[0]), F.coalesce(F.col(place[c.split("_", 1)[1]]), F.lit(fill[c]))) for c in cells}
+    moments = data.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(filled.values()) for n, f in (("avg", F.avg), ("std", F.stddev_pop))]).first() if cells else None
+    where = {c: i for i, c in enumerate(filled)}
+    for k, s in fitted.items():
+        of = {f: where[f"c{k}_{f}"] for f in s.features}
+        out[names[k]] = Logistic({f: fill[f"c{k}_{f}"] for f in s.features}, {f: moments[f"avg{i}"] for f, i in of.items()}, {f: moments[f"std{i}"] or 1.0 for f, i in of.items()}, {}, 0.0)
+
+    # what every step reads: scaled features, labels and weights of each model, null outside its train rows
+    ready = []
+    for k, s in fitted.items():
+        model, n, pos, hit = out[names[k]], counts[f"n{k}"], counts[f"pos{k}"], y[k] == 1
+        ready += [inside(k, (F.coalesce(F.col(place[f]), F.lit(model.fill[f])) - model.mean[f]) / model.scale[f]).alias(f"z{k}_{i}") for i, f in enumerate(s.features, 1)]
+        ready += [inside(k, hit.cast("double")).alias(f"hit{k}"), inside(k, F.when(hit, n / (2 * pos)).otherwise(n / (2 * (n - pos))) if s.balanced else F.lit(1.0)).alias(f"w{k}")]
+    scaled_rows = cut(data.select(*ready), old) if ready else data
+
+    def stepped(thetas: dict[int, np.ndarray]) -> list[float]:
+        """Loss, gradient and half of the curvature of some models at some parameters, by one aggregation."""
+        score = {f"s{k}": sum((float(t) * F.col(f"z{k}_{i}") for i, t in enumerate(theta[1:], 1)), F.lit(float(theta[0]))) for k, theta in thetas.items()}
+        rows_ = scaled_rows.withColumns(score).withColumns({f"p{k}": 1 / (1 + F.exp(-F.col(f"s{k}"))) for k in thetas})
+        rows_ = rows_.withColumns({f"g{k}": F.col(f"w{k}") * (F.col(f"p{k}") - F.col(f"hit{k}")) for k in thetas} | {f"h{k}": F.col(f"w{k}") * F.col(f"p{k}") * (1 - F.col(f"p{k}")) for k in thetas})
+        wanted = []
+        for k, theta in thetas.items():
+            s, z = F.col(f"s{k}"), [F.lit(1.0), *(F.col(f"z{k}_{i}") for i in range(1, len(theta)))]
+            # log(1 + exp(s)) without overflow
+            wanted.append(F.col(f"w{k}") * (F.greatest(s, F.lit(0.0)) + F.log1p(F.exp(-F.abs(s))) - F.col(f"hit{k}") * s))
+            wanted += [F.col(f"g{k}") * x for x in z]
+            wanted += [F.col(f"h{k}") * z[i] * z[j] for i in range(len(z)) for j in range(i, len(z))]
+        return list(rows_.agg(*[F.sum(v).alias(f"v{i}") for i, v in enumerate(wanted)]).first())
+
+    states = {k: _Newton(np.zeros(len(s.features) + 1), np.zeros(len(s.features) + 1)) for k, s in fitted.items()}
+    while active := [k for k, n in states.items() if not n.done]:
+        for some in _batches({k: len(states[k].theta) for k in active}):
+            got = iter(stepped({k: states[k].theta - states[k].step for k in some}))
+            for k in some:
+                size, penalty = len(states[k].theta), np.diag([0.0, *[1 / fitted[k].c] * (len(states[k].theta) - 1)])
+                at = states[k].theta - states[k].step
+                loss, gradient = next(got), np.array([next(got) for _ in range(size)])
+                half = np.zeros((size, size))
+                for i in range(size):
+                    for j in range(i, size):
+                        half[i, j] = half[j, i] = next(got)
+                states[k].told(loss + at @ penalty @ at / 2, gradient + penalty @ at, half + penalty, steps)
+    for k, n in states.items():
+        out[names[k]].intercept, out[names[k]].weights = float(n.theta[0]), dict(zip(fitted[k].features, n.theta[1:].tolist(), strict=True))
+    drop(rows.sparkSession, old)
+    return {n: out[n] for n in names}
+
+
+def _batches(sizes: dict[int, int]) -> list[list[int]]:
+    """The models in groups of at most SUMS sums, a larger one alone."""
+    out, room = [], 0
+    for k, size in sizes.items():
+        own = 1 + size + size * (size + 1) // 2
+        if own > room:
+            out.append([])
+            room = SUMS
+        out[-1].append(k)
+        room -= own
+    return out
+
+
+def fit_logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True, steps: int = 50) -> Logistic:
+    """One model of fit_many()."""
+    return fit_many(train, {"own": Spec(features, label, None, c, balanced)}, steps)["own"]
 
 
 def fit_predict_logistic(train: DataFrame, rows: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True) -> DataFrame:
@@ -103,17 +196,18 @@ def fit_predict_logistic(train: DataFrame, rows: DataFrame, features: list[str],
     return rows.withColumns({"p": model.probability(), "fallback": F.lit(model.rate is not None)})
 
 
+def _scored(rows: DataFrame, models: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(model, y, p) of the rows for every model (label, probability) whose label they have, in one pass."""
+    cells = [F.struct(F.lit(name).alias("model"), F.col(f"`{label}`").cast("double").alias("y"), p.alias("p")) for name, (label, p) in models.items()]
+    return rows.select(F.explode(F.array(*cells)).alias("m")).select("m.*").where("y is not null")
+
+
 def feature_group_holdout(panel: DataFrame, groups: dict[str, list[str]], targets: list[str], c: float = 1.0) -> DataFrame:
     """Long scores (model, y, p) of every target and group: fitted on rows with role train, scored on test."""
-    out = None
-    for target in targets:
-        known = panel.where(F.col(target).isNotNull())
-        train, test = known.where("role = 'train'"), known.where("role = 'test'")
-        for name, features in groups.items():
-            scored = fit_predict_logistic(train, test, features, target, c) if features else historical_frequency(train, test, target)
-            part = scored.select(F.lit(f"{target}/{name}").alias("model"), F.col(target).cast("double").alias("y"), "p")
-            out = part if out is None else out.unionByName(part)
-    return out
+    train = F.col("role") == "train"
+    specs = {f"{t}/{name}": Spec(features, t, train, c) for t in targets for name, features in groups.items()}
+    fitted = fit_many(panel, specs)
+    return _scored(panel.where("role = 'test'"), {n: (specs[n].label, m.probability()) for n, m in fitted.items()})
 
 
 def predictive_screen(panel: DataFrame, groups: dict[str, list[str]], targets: list[str], least_train: int = 100, least_test: int = 30, c: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -123,22 +217,18 @@ def predictive_screen(panel: DataFrame, groups: dict[str, list[str]], targets: l
     classes do not suffice; coefficients (model, feature, coefficient, rank) come with the
     largest first.
     """
-    spark, out, told = panel.sparkSession, None, []
-    for target in targets:
-        known = panel.where(F.col(target).isNotNull())
-        seen = known.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(target).alias("classes")).collect()
-        size = {r["role"]: (r["n"], r["classes"]) for r in seen}
-        (n_train, c_train), (n_test, _) = size.get("train", (0, 0)), size.get("test", (0, 0))
-        if n_train < least_train or n_test < least_test or c_train < 2 or any(len(f) < 2 for f in groups.values()):
-            parts = [spark.createDataFrame([(f"{target}/insufficient_class_balance", None, None)], "model string, y double, p double")]
-        else:
-            train, test = known.where("role = 'train'"), known.where("role = 'test'")
-            parts = [historical_frequency(train, test, target).select(F.lit(f"{target}/base_rate").alias("model"), F.col(target).cast("double").alias("y"), "p")]
-            for name, features in groups.items():
-                model = fit_logistic(train, features, target, c)
-                parts.append(test.select(F.lit(f"{target}/{name}").alias("model"), F.col(target).cast("double").alias("y"), model.probability().alias("p")))
-                order = sorted(model.weights.items(), key=lambda t: (-abs(t[1]), t[0]))
-                told += [(f"{target}/{name}", f, w, k) for k, (f, w) in enumerate(order, 1)]
-        for part in parts:
-            out = part if out is None else out.unionByName(part)
+    spark = panel.sparkSession
+    role = lambda r, t: F.when(F.col("role") == r, F.col(f"`{t}`"))
+    seen = panel.agg(*[f.alias(f"{n}{k}") for k, t in enumerate(targets) for n, f in (("train", F.count(role("train", t))), ("test", F.count(role("test", t))), ("low", F.min(role("train", t))), ("high", F.max(role("train", t))))]).first()
+    few = any(len(f) < 2 for f in groups.values())
+    guarded = [t for k, t in enumerate(targets) if few or seen[f"train{k}"] < least_train or seen[f"test{k}"] < least_test or seen[f"low{k}"] == seen[f"high{k}"]]
+    train = F.col("role") == "train"
+    specs = {f"{t}/{name}": Spec(features, t, train, c) for t in targets if t not in guarded for name, features in {"base_rate": [], **groups}.items()}
+    out, told = spark.createDataFrame([(f"{t}/insufficient_class_balance", None, None) for t in guarded], "model string, y double, p double"), []
+    if specs:
+        fitted = fit_many(panel, specs)
+        out = out.unionByName(_scored(panel.where("role = 'test'"), {n: (specs[n].label, m.probability()) for n, m in fitted.items()}))
+        for name, model in fitted.items():
+            order = sorted(model.weights.items(), key=lambda t: (-abs(t[1]), t[0]))
+            told += [(name, f, w, k) for k, (f, w) in enumerate(order, 1)]
     return out, spark.createDataFrame(told, "model string, feature string, coefficient double, rank int")
