@@ -30,7 +30,7 @@ BLOCK_TOKENS, BLOCK_DOCS = 1 << 20, 1 << 15
 #: Tokens of the corpus for each bucket of n-grams.
 BUCKET_TOKENS = 1 << 20
 #: Bytes up to which a model is sent to every worker; n-grams meet the segments of a larger one in a shuffle.
-BROADCAST_BYTES = 1 << 26
+BROADCAST_BYTES = 1 << 25
 _END = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
