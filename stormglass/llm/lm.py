@@ -23,8 +23,8 @@ STEPS_PER_DOUBLING = 2
 FLOOR = 1
 #: Weight of the bigram estimate for contexts that are common, and the count at which it is half of that.
 BIGRAM_WEIGHT, HALF_COUNT = 0.2, 50.0
-#: Hash bits that tell bigrams of one bucket apart.
-KEY_BITS = 40
+#: Hash bits that tell bigrams of one bucket apart: a million of them share one with probability 0.0002, far below the filter's own errors.
+KEY_BITS = 32
 #: Tokens after which a task closes a block, and documents.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 20, 1 << 15
 #: Tokens of the corpus for each bucket of n-grams.
@@ -263,7 +263,7 @@ class LogFrequencyFilter:
 
     @staticmethod
     def place(keys: np.ndarray, level: int, probe: int, segment_bits: int) -> np.ndarray:
-        """A bit place in the segment, from the low 40 bits of the keys."""
+        """A bit place in the segment, from the low KEY_BITS bits of the keys."""
         h = mixed((keys & np.uint64((1 << KEY_BITS) - 1)) * _ODD + np.uint64(level * PROBES + probe))
         return h & np.uint64(segment_bits - 1)
 
