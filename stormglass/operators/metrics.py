@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormglass.functions.scratch import cut
+from stormglass.functions.scratch import cut, drop
 from stormglass.operators.windows import running_sum
 
 # The edges of ten equal bins as floating point makes them.
@@ -52,14 +52,16 @@ def calibration_line(scores: DataFrame, key: str = "model", y: str = "y", p: str
     """Slope and intercept of y on the logit of p, by reweighted least squares; null where one class is missing.
 
     Two parameters a model: each step is one aggregation over the distinct (model, p, y). The
-    state is a table of one row a model, written at each step; one number reaches the driver.
+    state is a table of one row a model, written at each step in place of the one before; one
+    number reaches the driver.
     """
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     x = F.ln(clipped / (1 - clipped))
     known = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     points = cut(known.groupBy(F.col(key).alias("key_"), x.alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n")))
     both = points.groupBy("key_").agg(F.count_distinct("y").alias("c")).where("c > 1")
-    state = cut(both.select("key_", F.lit(0.0).alias("a"), F.lit(1.0).alias("b")))
+    last: list[str] = []
+    state = cut(both.select("key_", F.lit(0.0).alias("a"), F.lit(1.0).alias("b")), last)
     for _ in range(steps):
         m = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
         w = F.col("n") * F.col("m") * (1 - F.col("m"))
@@ -69,7 +71,9 @@ def calibration_line(scores: DataFrame, key: str = "model", y: str = "y", p: str
         det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
         solved = lambda top: F.when(F.abs(det) >= 1e-12, top / det).otherwise(0.0)  # noqa: B023, E731
         da, db = solved(F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")), solved(F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0"))
-        after = cut(got.select("key_", (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), F.greatest(F.abs(da), F.abs(db)).alias("moved")))
+        after = cut(got.select("key_", (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), F.greatest(F.abs(da), F.abs(db)).alias("moved")), fresh := [])
+        drop(scores.sparkSession, last)
+        last = fresh
         state, moved = after.drop("moved"), after.agg(F.max("moved")).first()[0]
         if moved is None or moved < 1e-10:
             break
