@@ -265,7 +265,7 @@ class LogFrequencyFilter:
     def place(keys: np.ndarray, level: int, probe: int, segment_bits: int) -> np.ndarray:
         """A bit place in the segment, from the low KEY_BITS bits of the keys."""
         h = mixed((keys & np.uint64((1 << KEY_BITS) - 1)) * _ODD + np.uint64(level * PROBES + probe))
-        return h & np.uint64(segment_bits - 1)
+        return h % np.uint64(segment_bits)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Stored levels, by probing level after level until one is missing."""
@@ -286,8 +286,8 @@ class LogFrequencyFilter:
 
 
 def fill(keys: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
-    """The segment of one bucket, with BITS_PER_ITEM bits or more for each of its items."""
-    segment = 1 << max(6, math.ceil(math.log2(max(1, int(levels.sum()) * BITS_PER_ITEM))))
+    """The segment of one bucket, with BITS_PER_ITEM bits for each of its items (64 at least), in whole bytes."""
+    segment = max(64, -(-int(levels.sum()) * BITS_PER_ITEM // 8) * 8)
     flags = np.zeros(segment, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         keys, levels = keys[levels >= level], levels[levels >= level]
