@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from stormglass.operators import scans
 from stormglass.operators.quantiles import key_quantiles
 from stormglass.operators.scans import Dealt, deal
 from stormglass.operators.windows import chunks
@@ -100,24 +104,52 @@ def rank_strategies(metrics: DataFrame, keys: list[str], n: int = 8) -> DataFram
     return metrics.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
+#: Draws that a range of block_bootstrap may be expected to get, four bytes each.
+DRAWS = 1 << 23
+
+
 def block_bootstrap(df: DataFrame, keys: list[str], time: str, excess: str, block: int = 20, replicates: int = 2000, seed: int = 7) -> DataFrame:
     """Annualised mean excess and its 5, 50 and 95 percent points over moving-block resamples.
 
-    Blocks are differences of a prefix-sum table, so a replicate costs n / block joined rows and
-    not n; block starts are hashes of (replicate, block), so reruns agree.
+    Block starts are hashes of (replicate, block), so reruns agree. A draw travels as the four
+    bytes of its place within a range of rows, packed by replicate; the range, with the rows
+    that its last blocks reach into, sums its blocks as differences of running sums and sends
+    one number a replicate. Replicates are made in tasks of their own, so neither a key's rows
+    nor its draws meet in one task. Rows without an excess are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(time)
-    sums = df.where(F.col(excess).isNotNull()).select(*keys, F.row_number().over(w).alias("i"), F.sum(excess).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    sizes = sums.groupBy(*keys).agg(F.max("i").alias("n"), F.max_by("s", "i").alias("total"))
-    start_row = sizes.select(*keys, F.lit(0).alias("i"), F.lit(0.0).alias("s"))
-    prefix = sums.unionByName(start_row)
-    plan = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("b", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))))
-    length = F.least(F.lit(block), F.col("n") - F.col("b") * block)
+    size = max(1, min(scans.CHUNK, DRAWS * block // replicates))
+    numbered = deal(df.where(F.col(excess).isNotNull()).select(*keys, time, F.col(excess).cast("double").alias("x_")), keys, [time]).numbered()
+    sizes = numbered.rows.groupBy("key_").agg(F.count(F.lit(1)).alias("n"), F.avg("x_").alias("mean_"))
+    ranges = numbered.chunked(0, block, size).rows.select("key_", "part_", "place_", "last_", "x_")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = sizes.select(F.col("key_").alias("of_"), "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).repartition(tasks, "of_", "rep")
+    plan = plan.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
     digest = F.md5(F.concat_ws("-", "rep", "b", F.lit(seed)))
     begin = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.greatest(F.col("n") - block + 1, F.lit(1)))
-    plan = plan.withColumn("begin", begin.cast("int")).withColumn("end", F.col("begin") + length.cast("int"))
-    low = prefix.select(*keys, F.col("i").alias("begin"), F.col("s").alias("s0"))
-    high = prefix.select(*keys, F.col("i").alias("end"), F.col("s").alias("s1"))
-    reps = plan.join(low, [*keys, "begin"]).join(high, [*keys, "end"]).groupBy(*keys, "rep").agg((F.sum(F.col("s1") - F.col("s0")) / F.max("n") * 252).alias("mean"))
-    q = reps.groupBy(*keys).agg(F.percentile("mean", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.count(F.lit(1)).alias("replicates"))
-    return sizes.join(q, keys).select(*keys, (F.col("total") / F.col("n") * 252).alias("mean_excess"), F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"), "replicates")
+    length = max(size, block)
+    plan = plan.withColumn("begin", begin).withColumn("range_", F.floor(F.col("begin") / length))
+    at = (F.col("begin") - F.col("range_") * length).cast("int")
+    # the last block of a replicate may be a shorter one: its places are told by their sign
+    code = F.when(F.col("b") == F.ceil(F.col("n") / block) - 1, -1 - at).otherwise(at)
+    packed = plan.groupBy("of_", "rep", "range_").agg(F.collect_list(code).alias("draws"))
+
+    def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
+        if not len(draws):
+            return draws.select(["of_", "rep"]).append_column("sum_", pa.array([], pa.float64()))
+        rows = rows.sort_by("place_")
+        upto = np.concatenate([[0.0], np.cumsum(rows.column("x_").to_numpy())])
+        n = rows.column("last_")[0].as_py() + 1
+        lists = draws.column("draws").combine_chunks()
+        places = lists.flatten().to_numpy()
+        short = places < 0
+        first = np.where(short, -1 - places, places)
+        sums = upto[first + np.where(short, n - (n - 1) // block * block, block)] - upto[first]
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        each = np.add.reduceat(sums, np.concatenate([[0], ends[:-1]]))
+        return draws.select(["of_", "rep"]).append_column("sum_", pa.array(each, pa.float64()))
+
+    schema = StructType([packed.schema["of_"], packed.schema["rep"], StructField("sum_", DoubleType())])
+    drawn = ranges.groupBy("key_", "part_").cogroup(packed.groupBy("of_", "range_")).applyInArrow(run, schema)
+    reps = drawn.groupBy(F.col("of_").alias("key_"), "rep").agg(F.sum("sum_").alias("sum_")).join(sizes, "key_").withColumn("mean", F.col("sum_") / F.col("n") * 252)
+    out = reps.groupBy("key_").agg(F.percentile("mean", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.count(F.lit(1)).alias("replicates"), F.first("mean_").alias("mean_"))
+    return out.select("key_.*", (F.col("mean_") * 252).alias("mean_excess"), F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"), "replicates")

@@ -92,13 +92,13 @@ class Dealt:
         out = self.rows.join(offsets, ["part_", "key_"]).withColumn("place_", F.col("at_") + F.col("shift_"))
         return replace(self, rows=out.drop("shift_"))
 
-    def chunked(self, before: int, after: int) -> Dealt:
-        """numbered() rows in chunks of CHUNK places, each with copies (halo_) of so many rows on both sides.
+    def chunked(self, before: int, after: int, length: int | None = None) -> Dealt:
+        """numbered() rows in chunks of `length` (CHUNK) places, each with copies (halo_) of so many rows on both sides.
 
         Windows over chunks then see what they need; whole() drops the copies again. A chunk is
         never shorter than its halo, so a row is copied once or twice at most.
         """
-        size = max(CHUNK, before, after)
+        size = max(length or CHUNK, before, after)
         own = F.floor(F.col("place_") / size)
         low, high = F.floor((F.col("place_") - after) / size), F.floor((F.col("place_") + before) / size)
         first, last = F.greatest(low, F.lit(0).cast("long")), F.least(high, F.floor(F.col("last_") / size))

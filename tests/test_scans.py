@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -195,3 +196,25 @@ def test_interval_folds_equal_their_rows(spark, future):
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
         times = {(r["k"], r["fold"]): (r["train_start"], r["test_end_time"]) for r in splits.fold_summary(rows, folds, ["k"], "t").collect()}
         assert all(times[r["k"], r["fold"]][0 if r["role"] == "train" else 1] == (r["a"] if r["role"] == "train" else r["b"]) for r in want)
+
+
+def test_bootstrap_of_hot_and_short_keys(spark, monkeypatch):
+    """Each replicate is the sum of its blocks, whichever ranges they begin and end in."""
+    sizes = {"a": 203, "b": 7, "c": 20}
+    data = {k: np.random.default_rng(n).normal(size=n) for k, n in sizes.items()}
+    rows = [(k, t, float(x)) for k, v in data.items() for t, x in enumerate(v)] + [("a", 1000 + t, None) for t in range(5)]
+    df = spark.createDataFrame(rows, "k string, t int, e double").repartition(4)
+    for chunk in (1 << 16, 20):
+        monkeypatch.setattr(scans, "CHUNK", chunk)
+        got = {r["k"]: r for r in backtest.block_bootstrap(df, ["k"], "t", "e", block=20, replicates=40, seed=3).collect()}
+        assert set(got) == set(data)
+        for k, x in data.items():
+            means, n = [], len(x)
+            for rep in range(1, 41):
+                taken = []
+                for b in range(-(-n // 20)):
+                    begin = int(hashlib.md5(f"{rep}-{b}-3".encode()).hexdigest()[:12], 16) % max(n - 19, 1)
+                    taken += x[begin : begin + min(20, n - b * 20)].tolist()
+                means.append(sum(taken) / n * 252)
+            assert got[k]["replicates"] == 40 and got[k]["mean_excess"] == pytest.approx(x.mean() * 252)
+            assert [got[k][p] for p in ("p05", "p50", "p95")] == pytest.approx(np.quantile(means, [0.05, 0.5, 0.95]).tolist())
