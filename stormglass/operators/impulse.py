@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormglass.functions.columns import guarded_corr
-from stormglass.operators.quantiles import rolling_quantile
+from stormglass.operators.quantiles import key_quantiles, rolling_quantile
 
 SAMPLES = ["all", "threshold_ready", "large_abs", "large_down", "large_up"]
 
@@ -42,11 +42,10 @@ def impulse_summary(events: DataFrame, ret: str = "ret") -> DataFrame:
     """Per kind of event: bars that were eligible, events, rate, and return statistics in basis points."""
     kind = F.explode(F.array(*[F.struct(F.lit(n).alias("event"), F.col(n).alias("hit")) for n in ("large_abs", "large_down", "large_up")])).alias("k")
     rows = events.where("threshold_ready").select(F.col(ret).alias("r"), kind).select("r", "k.*")
-    hit = F.when(F.col("hit"), F.col("r") * 10000)
-    return rows.groupBy("event").agg(
-        F.count(F.lit(1)).alias("eligible"), F.count_if("hit").alias("n_events"), F.avg(F.col("hit").cast("double")).alias("rate"),
-        F.percentile(hit, F.lit(0.5)).alias("median_bp"), F.percentile(hit, F.lit(0.1)).alias("p10_bp"), F.percentile(hit, F.lit(0.9)).alias("p90_bp"), F.avg(F.abs(hit)).alias("mean_abs_bp"),
-    )
+    rows = rows.withColumn("bp", F.when(F.col("hit"), F.col("r") * 10000))
+    sums = rows.groupBy("event").agg(F.count(F.lit(1)).alias("eligible"), F.count_if("hit").alias("n_events"), F.avg(F.col("hit").cast("double")).alias("rate"), F.avg(F.abs("bp")).alias("mean_abs_bp"))
+    points = key_quantiles(rows, ["event"], "bp", {"median_bp": 0.5, "p10_bp": 0.1, "p90_bp": 0.9})
+    return sums.join(points, "event", "left").select("event", "eligible", "n_events", "rate", "median_bp", "p10_bp", "p90_bp", "mean_abs_bp")
 
 
 def sample_flags() -> Column:

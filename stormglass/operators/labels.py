@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormglass.operators.quantiles import key_quantiles
+from stormglass.operators.quantiles import key_quantiles, with_quantiles
 from stormglass.operators.scans import Dealt, Scan, deal
 from stormglass.operators.windows import Keys, chunks, forward_drawdown, ordered
 
@@ -91,11 +91,10 @@ def build_event_labels(
 
     A volatility or level label is missing where its own column is, `horizon` rows ahead; the
     joint label counts a missing one as no and is missing with the drawdown label. Overlap
-    means that an event goes on. Full-sample quantiles are one small aggregation per key,
-    joined back; credit and liquidity are optional.
+    means that an event goes on. Full-sample quantiles come from counts of values and are
+    joined back, one row a key; credit and liquidity are optional.
     """
     wanted = {"vol_cut": (vol, vol_q)} | {f"{k}_cut": (c, stress_q) for k, c in (("credit", credit), ("liquidity", liquidity)) if c}
-    cuts = df.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(k) for k, (c, q) in wanted.items()])
     dd, vol_name, vix_name, joint = (
         f"drawdown_{round(threshold * 100)}pct_h{horizon}",
         f"realized_vol_top_{round((1 - vol_q) * 100)}pct_h{horizon}",
@@ -105,7 +104,7 @@ def build_event_labels(
     yes = lambda c: F.coalesce(c, F.lit(False))
     known = {c: f"then_{k}_" for k, c in enumerate(dict.fromkeys((price, vol, vix)))}
     tops = {c: f"top_{k}_" for k, c in enumerate(dict.fromkeys(c for c in (vol, vix, credit, liquidity) if c))}
-    d = chunks(df, keys, time, 0, horizon)
+    d = chunks(with_quantiles(df, keys, wanted), keys, time, 0, horizon)
     d = d.extremes({"low_": ("min", F.col(price), 1, horizon)} | {t: ("max", F.col(c), 1, horizon) for c, t in tops.items()})
     for c, then in known.items():
         d = d.shifted(then, F.col(c), horizon)
@@ -119,7 +118,7 @@ def build_event_labels(
             stress = stress | yes(F.col(tops[c]) >= F.col(f"{k}_cut"))
     fall = F.try_divide("low_", F.col(price)) - 1
     out = (
-        d.whole().plain().join(cuts, keys)
+        d.whole().plain()
         .withColumn("forecast_horizon_days", F.lit(horizon))
         .withColumn("forward_drawdown", fall)
         .withColumn(dd, masked(fall <= -abs(threshold), price))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormglass.operators.quantiles import with_quantiles
 from stormglass.operators.windows import exact_quantiles
 
 
@@ -17,7 +18,7 @@ def conditional_lift(panel: DataFrame, specs: dict[str, tuple[str, str]], target
     keys = keys or []
     shares = {f"cut_{k}": (c, 0.9 if side == "high" else 0.1) for k, (c, side) in enumerate(specs.values())}
     if keys:
-        joined = panel.join(panel.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(k) for k, (c, q) in shares.items()]), keys)
+        joined = with_quantiles(panel, keys, shares)
     else:
         joined = panel.withColumns({k: F.lit(v).cast("double") for k, v in exact_quantiles(panel, shares).items()})
     flags = []
@@ -37,14 +38,13 @@ def indicator_table(panel: DataFrame, specs: dict[str, tuple[str, str, float]],
     """Per key, target and indicator: coverage, base rate, rate where the indicator holds, lift, and rank by lift.
 
     specs: label -> (column, test, level), where test is "above", "below", "at_most" or "top"
-    (at or above the quantile `level` of the key). All quantiles are one aggregation.
+    (at or above the quantile `level` of the key). All quantiles come from one table of counts.
     """
-    tops = {k: (c, q) for k, (c, test, q) in enumerate(specs.values()) if test == "top"}
-    cuts = panel.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(f"cut_{k}") for k, (c, q) in tops.items()], F.count(F.lit(1)).alias("rows_"))
+    tops = {f"cut_{k}": (c, q) for k, (c, test, q) in enumerate(specs.values()) if test == "top"}
     tests = {"above": lambda c, k, x: c > x, "below": lambda c, k, x: c < x, "at_most": lambda c, k, x: c <= x, "top": lambda c, k, x: c >= F.col(f"cut_{k}")}
     flags = [F.struct(F.lit(label).alias("indicator"), F.coalesce(tests[test](F.col(c), k, x), F.lit(False)).alias("inside")) for k, (label, (c, test, x)) in enumerate(specs.items())]
     ys = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])
-    rows = panel.join(cuts, keys).select(*keys, F.array(*flags).alias("is"), F.explode(ys).alias("t")).select(*keys, "t.*", F.explode("is").alias("i")).select(*keys, "target", "y", "i.*")
+    rows = with_quantiles(panel, keys, tops).select(*keys, F.array(*flags).alias("is"), F.explode(ys).alias("t")).select(*keys, "t.*", F.explode("is").alias("i")).select(*keys, "target", "y", "i.*")
     valid = F.col("inside") & F.col("y").isNotNull()
     out = rows.groupBy(*keys, "target", "indicator").agg(
         (F.count_if(valid) / F.count(F.lit(1))).alias("coverage"), F.avg("y").alias("base_rate"), F.avg(F.when(F.col("inside"), F.col("y"))).alias("conditional_rate"),

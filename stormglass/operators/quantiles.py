@@ -13,20 +13,43 @@ from stormglass.operators import scans
 from stormglass.operators.scans import Scan, deal
 
 
-def key_quantiles(df: DataFrame, keys: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
-    """keys and, by name, the quantiles of x (linear between neighbours); keys without values have no row.
+def column_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], keep: list[str] | None = None) -> DataFrame:
+    """keys and, by name, quantiles (name -> (column, share)) linear between neighbours; null for a column without values.
 
-    Values are counted first; ranks are sums of counts over ranges of (key, value), so neither a
-    key with most of the rows nor a value with most of a key's meets in one task.
+    Values of all columns are counted first; ranks are sums of counts over ranges of (key,
+    column, value), so neither a key with most of the rows nor a value with most of a key's
+    meets in one task. Keys without any value have no row; without keys there is one row.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x_")).agg(F.count(F.lit(1)).alias("n_"))
-    scanned = deal(counts, keys, ["x_"]).scan({"upto_": Scan("sum", F.col("n_")), "over_": Scan("sum", F.col("n_"), back=True, own=False)}).rows
+    columns = {c: k for k, c in enumerate(dict.fromkeys(c for c, _ in wanted.values()))}
+    cells = F.array(*[F.struct(F.lit(k).alias("c_"), F.col(f"`{c}`").cast("double").alias("x_")) for c, k in columns.items()])
+    values = df.select(*keys, F.explode(cells).alias("e_")).select(*keys, "e_.*").where("x_ is not null")
+    counts = values.groupBy(*keys, "c_", "x_").agg(F.count(F.lit(1)).alias("n_"))
+    scanned = deal(counts, [*keys, "c_"], ["x_"], keep).scan({"upto_": Scan("sum", F.col("n_")), "over_": Scan("sum", F.col("n_"), back=True, own=False)}).rows
     last = F.col("upto_") + F.coalesce("over_", F.lit(0)) - 1
-    at = lambda place: F.min(F.when(F.col("upto_") > place, F.col("x_")))
-    ends = [c for k, q in enumerate(wanted.values()) for c in (at(F.floor(last * q)).alias(f"a{k}"), at(F.ceil(last * q)).alias(f"b{k}"), F.max(last * q - F.floor(last * q)).alias(f"s{k}"))]
-    found = scanned.groupBy("key_").agg(*ends)
+
+    def ends(k: int, column: str, q: float) -> list[Column]:
+        own = F.col("c_") == columns[column]
+        at = lambda place: F.min(F.when(own & (F.col("upto_") > place), F.col("x_")))
+        return [at(F.floor(last * q)).alias(f"a{k}"), at(F.ceil(last * q)).alias(f"b{k}"), F.max(F.when(own, last * q - F.floor(last * q))).alias(f"s{k}")]
+
+    found = scanned.groupBy(*keys).agg(*[c for k, (column, q) in enumerate(wanted.values()) for c in ends(k, column, q)])
     value = lambda k: F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * F.col(f"s{k}")
-    return found.select("key_.*", *[value(k).alias(n) for k, n in enumerate(wanted)])
+    return found.select(*keys, *[value(k).alias(n) for k, n in enumerate(wanted)])
+
+
+def key_quantiles(df: DataFrame, keys: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
+    """column_quantiles() of one column; keys without values have no row."""
+    return column_quantiles(df, keys, {n: (x, q) for n, q in wanted.items()})
+
+
+def with_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """df with column_quantiles() of each row's key; null keys are a key like any other."""
+    if not wanted:
+        return df
+    cuts = column_quantiles(df, keys, wanted).withColumnsRenamed({k: f"of_{i}_" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"of_{i}_")) for i, k in enumerate(keys)]
+    joined = df.join(cuts, same, "left") if keys else df.join(F.broadcast(cuts))
+    return joined.drop(*[f"of_{i}_" for i in range(len(keys))])
 
 
 def smallest(values: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from stormglass.functions.scratch import cut
+from stormglass.functions.scratch import cut, drop
+from stormglass.operators.quantiles import column_quantiles
 from stormglass.operators.scans import Dealt, Scan, deal
 
 Keys = list[str]
@@ -193,22 +194,14 @@ def running_sum(df: DataFrame, order: list[str | Column], values: dict[str, str
 def exact_quantiles(rows: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, float | None]:
     """Quantiles (name -> (column, share)) of whole columns, linear between neighbours; None without values.
 
-    Values are counted first, then ranks come from running sums over ranges of values, so no
-    task holds a column; one row a quantile reaches the driver.
+    No task holds a column, and one row reaches the driver.
     """
-    columns = sorted({c for c, _ in wanted.values()})
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
-    counts = rows.select(F.explode(cells).alias("e")).select("e.*").where("x is not null").groupBy("name", "x").agg(F.count(F.lit(1)).alias("n"))
-    upto = running_sum(counts, ["name", "x"], {"upto": "n"}, ["name"])
-    total = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.sum("n").alias("n")).collect()}
-    places = {k: (c, (total[c] - 1) * q) for k, (c, q) in wanted.items() if c in total}
-    if not places:
-        return dict.fromkeys(wanted)
-    at = lambda c, rank: F.min(F.when((F.col("name") == c) & (F.col("upto") > rank), F.col("x")))
-    names = list(places)
-    got = upto.agg(*[at(places[k][0], math.floor(places[k][1])).alias(f"a{i}") for i, k in enumerate(names)], *[at(places[k][0], math.ceil(places[k][1])).alias(f"b{i}") for i, k in enumerate(names)]).first()
-    found = {k: got[f"a{i}"] + (got[f"b{i}"] - got[f"a{i}"]) * (places[k][1] - math.floor(places[k][1])) for i, k in enumerate(names)}
-    return {k: found.get(k) for k in wanted}
+    if not wanted:
+        return {}
+    written: list[str] = []
+    found = column_quantiles(rows, [], wanted, written).first()
+    drop(rows.sparkSession, written)
+    return {k: found[k] for k in wanted}
 
 
 def with_halo(df: DataFrame, index: str, chunk: int, halo: int, keys: Keys) -> DataFrame:

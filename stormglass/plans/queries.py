@@ -365,7 +365,9 @@ min(dte) AS min_dte, median(dte) AS median_dte, max(dte) AS max_dte
 FROM chain GROUP BY ticker""")
 def chain_coverage(spark, sf_dir):
     c = frames.chain(spark, sf_dir)
-    return c.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count_distinct("date").alias("n_dates"), F.min("dte").alias("min_dte"), F.percentile("dte", F.lit(0.5)).alias("median_dte"), F.max("dte").alias("max_dte"))
+    out = c.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count_distinct("date").alias("n_dates"), F.min("dte").alias("min_dte"), F.max("dte").alias("max_dte"))
+    middle = quantiles.key_quantiles(c, ["ticker"], "dte", {"median_dte": 0.5})
+    return out.join(middle, "ticker", "left").select("ticker", "n_rows", "start_date", "end_date", "n_dates", "min_dte", "median_dte", "max_dte")
 
 
 @query(f"WITH {frames.RETURNS}, per AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM returns WHERE ticker = 'click' GROUP BY 1) SELECT median(n) AS bars_per_date FROM per")
@@ -526,9 +528,9 @@ SELECT component, count(value) AS n, {R('avg(value)')} AS mean, {R('stddev_samp(
 FROM l GROUP BY component""")
 def describe_series(spark, sf_dir):
     long = frames.daily(spark, sf_dir).unpivot([], ["vix", "vix3m", "credit"], "component", "value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("component").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), q.alias("q"), F.max("value").alias("high"))
-    return rounded(out.select("component", "n", "mean", "std", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "high"))
+    out = long.groupBy("component").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    q = quantiles.key_quantiles(long, ["component"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return rounded(out.join(q, "component", "left").select("component", "n", "mean", "std", "low", "q25", "q50", "q75", "high"))
 
 
 @query("SELECT r_name AS grp, sum((s.n > 0)::INT)::BIGINT AS available, count(*) AS total FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey GROUP BY r_name")
@@ -973,8 +975,8 @@ def _event_types(spark, sf_dir):
 
 def _screened(spark, sf_dir):
     names = _event_types(spark, sf_dir)
-    rows = win.row_index(_predictive(spark, sf_dir, names), ["ts"]).withColumn("k", F.lit(1))
-    rows = rows.join(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")), "k")
+    rows = win.row_index(_predictive(spark, sf_dir, names), ["ts"])
+    rows = rows.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_rows"))))
     groups = {"logit_returns": names, "logit_all": [*names, "view_spread", *_STATE]}
     return models.predictive_screen(splits.chronological(rows, 0.7), groups, ["next_abs", "next_down"])
 
@@ -1132,7 +1134,8 @@ def sample_split_selection(spark, sf_dir):
     early = F.col("date") < F.lit("1996-01-01").cast("date")
     best = backtest.rank_strategies(backtest.sensitivity_grid(rows.where(early), K, T, "base", "score", F.lit(True)), K, 1).select("entity", "quantile", "low_exposure", F.lit("selected").alias("rule"))
     fixed = rows.select("entity").distinct().select("entity", F.lit(0.85).alias("quantile"), F.lit(0.5).alias("low_exposure"), F.lit("fixed").alias("rule"))
-    cuts = rows.where(early).groupBy("entity").agg(F.percentile("score", F.array(*[F.lit(q) for q in (0.75, 0.8, 0.85, 0.9)])).alias("cuts"))
+    cuts = quantiles.key_quantiles(rows.where(early), K, "score", {f"cut_{k}": q for k, q in enumerate((0.75, 0.8, 0.85, 0.9))})
+    cuts = cuts.select("entity", F.array(*[F.col(f"cut_{k}") for k in range(4)]).alias("cuts"))
     rules = best.unionByName(fixed).join(cuts, "entity")
     late = rows.where(~early).join(rules, "entity")
     place = F.round((F.col("quantile") - 0.75) / 0.05).cast("int") + 1

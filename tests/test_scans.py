@@ -121,6 +121,21 @@ def test_quantiles_of_keys(spark, table, data):
         assert got[k] == pytest.approx((np.quantile(x, 0.5), np.quantile(x, 0.9)))
 
 
+def test_quantiles_of_columns_by_null_and_empty_keys(spark):
+    rows = [("a", float(t % 7), float(-t)) for t in range(90)] + [(None, 2.0, None), (None, 4.0, None), ("e", None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(4)
+    wanted = {"x_mid": ("x", 0.5), "x_high": ("x", 0.9), "y_low": ("y", 0.1)}
+    own = [np.quantile([x for _, x, _ in rows[:90]], q) for q in (0.5, 0.9)] + [np.quantile([y for _, _, y in rows[:90]], 0.1)]
+    got = {r["k"]: [r[c] for c in wanted] for r in quantiles.column_quantiles(df, ["k"], wanted).collect()}
+    assert set(got) == {"a", None} and got["a"] == pytest.approx(own) and got[None] == [3.0, pytest.approx(3.8), None]
+    beside = quantiles.with_quantiles(df, ["k"], wanted)
+    assert beside.columns == [*df.columns, *wanted] and beside.count() == len(rows)
+    assert {(r["k"], r["x_mid"]) for r in beside.collect()} == {("a", own[0]), (None, 3.0), ("e", None)}
+    empty = df.limit(0)
+    assert quantiles.with_quantiles(empty, ["k"], wanted).count() == 0
+    assert [tuple(r) for r in quantiles.column_quantiles(empty, [], wanted).collect()] == [(None, None, None)]
+
+
 def test_phases_runs_and_onsets_of_a_hot_key(spark, table, data):
     rows = labels.phased(table, "label", ["k"], "t").cache()
     was = lambda r, i: (r[i - 1][2] or 0.0) if i else 0.0
