@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormglass.functions.scratch import cut
+from stormglass.functions.scratch import cut, drop
 from stormglass.operators.impulse import SAMPLES, sample_flags
 from stormglass.operators.windows import row_index
 
@@ -47,31 +47,35 @@ def corr_matrix(long: DataFrame, date: str, name: str, value: str) -> DataFrame:
     return sums.select("a", "b", F.col("n").cast("long").alias("n"), F.when((F.col("n") > 1) & real("sa", "saa") & real("sb", "sbb"), corr).alias("corr"))
 
 
-def gram(wide: DataFrame, columns: list[str], by: str) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
-    """Per group of complete rows: (n, sums, cross products); one p x p matrix a partition and group travels."""
-    p = len(columns)
+def gram(wide: DataFrame, columns: dict[str, list[str]], by: str) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """Per group its rows that are complete in its own columns: (n, sums, cross products); groups that are not named are left out.
+
+    One pass for all groups; one matrix a partition and group travels.
+    """
+    every = sorted({c for own in columns.values() for c in own})
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, list] = {}
+        kept = {g: [0, np.zeros(len(own)), np.zeros((len(own), len(own)))] for g, own in columns.items()}
         for batch in batches:
             for g, rows in batch.groupby(by):
-                x = rows[columns].to_numpy(float)
+                x = rows[columns[g]].to_numpy(float)
                 x = x[np.isfinite(x).all(axis=1)]
-                have = kept.setdefault(g, [0, np.zeros(p), np.zeros((p, p))])
+                have = kept[g]
                 have[0] += len(x)
                 have[1] += x.sum(axis=0)
                 have[2] += x.T @ x
         for g, (n, s, m) in kept.items():
-            yield pd.DataFrame({"g": [g], "n": [n], "v": [np.concatenate([s, m.reshape(-1)])]})
+            if n:
+                yield pd.DataFrame({"g": [g], "n": [n], "v": [np.concatenate([s, m.reshape(-1)])]})
 
-    parts = wide.select(by, *columns).mapInPandas(part, "g string, n long, v array<double>")
+    named = wide.where(F.col(by).isin(list(columns))).select(by, *[F.col(f"`{c}`") for c in every])
+    parts = named.mapInPandas(part, "g string, n long, v array<double>")
     sums = parts.select("g", "n", F.posexplode("v").alias("k", "x")).groupBy("g", "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    out: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
-    for g in {r["g"] for r in sums}:
-        rows = sorted((r for r in sums if r["g"] == g), key=lambda r: r["k"])
-        flat = np.array([r["x"] for r in rows])
-        out[g] = rows[0]["n"], flat[:p], flat[p:].reshape(p, p)
-    return out
+    flat = {g: np.zeros(len(own) + len(own) ** 2) for g, own in columns.items()}
+    n = dict.fromkeys(columns, 0)
+    for r in sums:
+        flat[r["g"]][r["k"]], n[r["g"]] = r["x"], r["n"]
+    return {g: (n[g], flat[g][: len(own)], flat[g][len(own) :].reshape(len(own), len(own))) for g, own in columns.items()}
 
 
 def correlation_of(n: int, sums: np.ndarray, cross: np.ndarray) -> np.ndarray:
@@ -92,30 +96,30 @@ def conditional_pca(aligned: DataFrame, time: str = "ts", key: str = "ticker", r
 
     Drivers that are too sparse or constant go, then the sparsest, until enough complete rows
     are left. That order depends on the counts alone, so one histogram of how many of the
-    ordered drivers a row has before its first gap answers every step. One pass then gathers
-    the Gram matrix, reference included, and scores are never made: corr(score, ref) =
-    v . c / sqrt(lambda).
+    ordered drivers a row has before its first gap answers every step, for all samples at once.
+    One pass then gathers the Gram matrices of all samples, reference included, and scores are
+    never made: corr(score, ref) = v . c / sqrt(lambda).
     """
-    spark = aligned.sparkSession
+    spark, written = aligned.sparkSession, []
     flagged = aligned.withColumn("sample", F.explode(sample_flags()))
     names = sorted(r[0] for r in aligned.where(F.col(key) != reference).select(key).distinct().collect())
     ref = flagged.groupBy("sample", time).agg(F.max("ref_ret").alias("ref_"))
-    wide = cut(flagged.groupBy("sample", time).pivot(key, names).agg(F.max("ret")).join(ref, ["sample", time]))
+    wide = cut(flagged.groupBy("sample", time).pivot(key, names).agg(F.max("ret")).join(ref, ["sample", time]), written)
     cells = [F.count(f"`{n}`").alias(f"n_{k}") for k, n in enumerate(names)] + [F.stddev_samp(f"`{n}`").alias(f"s_{k}") for k, n in enumerate(names)]
-    stats = {r["sample"]: r for r in wide.groupBy("sample").agg(*cells).collect()}
+    orders = {}
+    for seen in wide.where(F.col("sample").isin(SAMPLES[1:])).groupBy("sample").agg(*cells).collect():
+        fit = [k for k in range(len(names)) if seen[f"n_{k}"] >= least and (seen[f"s_{k}"] or 0) > 0]
+        # the earliest of equally sparse drivers goes first, so it stands last
+        orders[seen["sample"]] = [names[k] for k in sorted(fit, key=lambda k: (-seen[f"n_{k}"], -k))]  # noqa: B023
+    used = {s: [n for n in names if n in use] for s, use in _complete_drivers(wide, orders, least).items()}
+    moments = gram(wide, {s: [*use, "ref_"] for s, use in used.items()}, "sample") if used else {}
+    drop(spark, written)
     summary, loadings = [], []
     for sample in SAMPLES[1:]:
-        seen = stats.get(sample)
-        fit = [k for k in range(len(names)) if seen and seen[f"n_{k}"] >= least and (seen[f"s_{k}"] or 0) > 0]
-        # the earliest of equally sparse drivers goes first, so it stands last
-        order = [names[k] for k in sorted(fit, key=lambda k: (-seen[f"n_{k}"], -k))]  # noqa: B023
-        rows = wide.where(F.col("sample") == sample)
-        use, n_rows = _complete_drivers(rows, order, least)
-        if len(use) < 2:
+        if sample not in moments:
             summary.append((sample, None, "insufficient_complete_rows", 0, 0, None, None, None, None, None))
             continue
-        use = [n for n in names if n in use]
-        n, sums, cross = gram(rows, [*use, "ref_"], "sample")[sample]
+        use, (n, sums, cross) = used[sample], moments[sample]
         corr = correlation_of(n, sums, cross)
         values, vectors = np.linalg.eigh(corr[:-1, :-1])
         total = 0.0
@@ -135,17 +139,23 @@ def conditional_pca(aligned: DataFrame, time: str = "ts", key: str = "ticker", r
     return first, spark.createDataFrame(loadings, "sample string, component int, driver string, loading double, abs_loading double, explained double, abs_corr_reference double")
 
 
-def _complete_drivers(rows: DataFrame, order: list[str], least: int) -> tuple[list[str], int]:
-    """The longest head of the ordered drivers, two at least, that enough rows have complete; and how many rows have."""
-    if len(order) < 2:
-        return [], 0
-    gap = F.coalesce(*[F.when(F.col(f"`{n}`").isNull(), F.lit(k)) for k, n in enumerate(order)], F.lit(len(order)))
-    found = {r["k"]: r["n"] for r in rows.where(F.col("ref_").isNotNull()).groupBy(gap.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    for size in range(len(order), 1, -1):
-        n = sum(c for k, c in found.items() if k >= size)
-        if n >= least:
-            return order[:size], n
-    return [], 0
+def _complete_drivers(wide: DataFrame, orders: dict[str, list[str]], least: int) -> dict[str, list[str]]:
+    """Per sample the longest head of its ordered drivers, two at least, that enough rows have complete; samples without one are left out.
+
+    One histogram for all samples: how many of its sample's drivers a row has before its first gap.
+    """
+    orders = {s: order for s, order in orders.items() if len(order) > 1}
+    if not orders:
+        return {}
+    gap = F.coalesce(*[F.when(F.col("sample") == s, F.coalesce(*[F.when(F.col(f"`{n}`").isNull(), F.lit(k)) for k, n in enumerate(order)], F.lit(len(order)))) for s, order in orders.items()])
+    found = wide.where(F.col("ref_").isNotNull()).groupBy("sample", gap.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("k is not null").collect()
+    heads = {}
+    for s, order in orders.items():
+        full = lambda size: sum(r["n"] for r in found if r["sample"] == s and r["k"] >= size)  # noqa: B023, E731
+        size = next((size for size in range(len(order), 1, -1) if full(size) >= least), 0)
+        if size:
+            heads[s] = order[:size]
+    return heads
 
 
 def absorption(x: np.ndarray, least_rows: int, least_columns: int = 2, top: int = 3, share: float | None = None) -> tuple[int, int, float | None]:

@@ -222,10 +222,12 @@ def test_impulses_and_pca(spark):
 
 def test_sparse_drivers_leave_first(spark):
     rows = [(k, None if k % 2 else 1.0 * k, None if k % 3 else 2.0 * (k % 7), 1.0 * (k % 5), float(k)) for k in range(60)]
-    wide = spark.createDataFrame(rows, "ts int, a double, b double, c double, ref_ double")
-    assert pca._complete_drivers(wide, ["c", "a", "b"], 11) == (["c", "a"], 30)
-    assert pca._complete_drivers(wide, ["c", "a", "b"], 10) == (["c", "a", "b"], 10)
-    assert pca._complete_drivers(wide, ["c", "a", "b"], 31) == ([], 0)
+    wide = spark.createDataFrame(rows, "ts int, a double, b double, c double, ref_ double").withColumn("sample", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    orders = {"one": ["c", "a", "b"], "two": ["c", "b"], "three": ["c"]}
+    assert pca._complete_drivers(wide, orders, 11) == {"one": ["c", "a"], "two": ["c", "b"]}
+    assert pca._complete_drivers(wide, orders, 10)["one"] == ["c", "a", "b"]
+    assert pca._complete_drivers(wide, orders, 30) == {"one": ["c", "a"]}
+    assert pca._complete_drivers(wide, orders, 31) == {}
 
 
 def test_rolling_absorption_equals_windows(spark):
