@@ -484,10 +484,25 @@ def target_correlation_audit(spark, sf_dir):
     return rounded(pit.target_correlation(long, "feature_name", "value", "label"))
 
 
-@query("SELECT * FROM (VALUES ('high', 'feature_name', 'leaked_twin', 'name contains leaked'), ('critical', 'target_correlation', 'leaked_twin', 'moves with the target')) v(severity, \"check\", \"column\", message)")
+_LEAKY = ["ret_micro", "price", "vix", "vix3m", "credit", "leaked_twin"]
+_HINT = "'(future|forward|leaked|target|label|outcome|post_event)'"
+
+
+@query(f"""{_LABELLED}, m AS (SELECT date, label, ret_micro::DOUBLE AS ret_micro, price::DOUBLE AS price, vix::DOUBLE AS vix, vix3m::DOUBLE AS vix3m, credit::DOUBLE AS credit, label * 2 + vix * 0.01 AS leaked_twin,
+CASE WHEN price < 90 THEN date + 2 ELSE date END AS known FROM labelled),
+long AS (SELECT label, feature_name, value FROM m UNPIVOT INCLUDE NULLS (value FOR feature_name IN ({', '.join(_LEAKY)}))),
+v AS (SELECT * FROM long WHERE label IS NOT NULL AND value IS NOT NULL),
+s AS (SELECT feature_name, count(*) AS n_valid, count(DISTINCT label) AS n_targets, {_CORR.format(a='value', b='label')} AS corr FROM v GROUP BY 1),
+late AS (SELECT count(*) AS n FROM m WHERE known > date)
+SELECT 'high' AS severity, 'feature_name' AS "check", feature_name AS "column", 'name contains ' || regexp_extract(feature_name, {_HINT}, 1) AS message
+FROM (SELECT DISTINCT feature_name FROM long) WHERE regexp_matches(feature_name, {_HINT})
+UNION ALL SELECT 'critical', 'target_correlation', feature_name, 'moves with the target' FROM s WHERE n_valid >= 10 AND n_targets >= 2 AND abs(corr) >= 0.9
+UNION ALL SELECT 'critical', 'future_availability', 'vix__available_at', n || ' rows from the future' FROM late WHERE n > 0""")
 def leakage_audit(spark, sf_dir):
+    """A twin of the label, and levels that are known two days late where the price is low."""
     rows = _labelled(spark, sf_dir).withColumn("leaked_twin", F.col("label") * 2 + F.col("vix") * 0.01).drop("entity")
-    return pit.leakage_audit(rows, "label", "date")
+    known = F.when(P() < 90, F.date_add("date", 2)).otherwise(F.col("date"))
+    return pit.leakage_audit(rows.withColumn("vix__available_at", known), "label", "date")
 
 
 _PHASED = f"""{_LABELLED}, prev AS (SELECT *, coalesce(lag(label) OVER (PARTITION BY entity ORDER BY date), 0) AS p
