@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormglass.llm.bpe import restore_id, select_text
@@ -218,17 +218,27 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int, label: str, id_col
     return spark.sparkContext.broadcast(net)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> DataFrame:
-    """Per row of docs: id, held_out, score, predicted.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> Network:
+    """The network that score_quality() fits, to be saved or to score other tables with score_with()."""
+    return fitted(docs, labels, fit_rows, label, id_col, text_col, mod).value
 
-    The vectors and the network are fitted on at most fit_rows labelled rows (the documented
-    bound), none with crc32(id) mod 5 = 0; the network is broadcast (3 MB). Every whole text is
-    then scored in one pass without a shuffle, from its words alone. Empty and null texts get a
-    score too; null ids are not held out; rows that repeat id and text get equal results.
-    Without labels of both kinds the score is constant. An empty table gives no rows.
-    """
+
+def save_model(spark: SparkSession, model: Network, path: str) -> None:
+    """Write a network as a Parquet table, one row a parameter (3 MB whatever the corpus)."""
+    rows = [(f.name, list(np.shape(v)), str(np.asarray(v).dtype), np.asarray(v).tobytes()) for f in fields(model) for v in [getattr(model, f.name)]]
+    spark.createDataFrame(rows, "name string, shape array<int>, kind string, data binary").coalesce(1).write.parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Network:
+    """The network that save_model() has written; its scores are the same to the bit."""
+    values = {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+    return Network(**{n: v if v.ndim else float(v) for n, v in values.items()})
+
+
+def score_with(docs: DataFrame, model: Network | Broadcast, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> DataFrame:
+    """score_quality() by a network that is there already: no labels are read and nothing is fitted."""
     kind = docs.schema[id_col].dataType.simpleString()
-    net = fitted(docs, labels, fit_rows, label, id_col, text_col, mod)
+    net = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("id", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +253,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     return restore_id(scored.select("id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")), id_col, kind)
 
 
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> DataFrame:
+    """Per row of docs: id, held_out, score, predicted.
+
+    The vectors and the network are fitted on at most fit_rows labelled rows (the documented
+    bound), none with crc32(id) mod 5 = 0; the network is broadcast (3 MB). Every whole text is
+    then scored in one pass without a shuffle, from its words alone. Empty and null texts get a
+    score too; null ids are not held out; rows that repeat id and text get equal results.
+    Without labels of both kinds the score is constant. An empty table gives no rows.
+    """
+    return score_with(docs, fitted(docs, labels, fit_rows, label, id_col, text_col, mod), threshold, id_col, text_col, mod)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", mod: int = 5) -> DataFrame:
     """The rows of docs that the classifier does not reject; columns as they were, texts never shuffled.
 

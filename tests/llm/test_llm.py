@@ -411,6 +411,21 @@ def test_quality_learns_and_is_total(spark):
     assert classifier.score_quality(docs_, marks.limit(0)).count() == 242
 
 
+def test_a_saved_classifier_scores_another_table(spark, docs, tmp_path):
+    """A network that was written and read again scores as the one that was fitted, on tables without labels too."""
+    labels = spark.createDataFrame([(r["doc_id"], r["doc_id"] % 2) for r in docs.select("doc_id").distinct().collect() if r["doc_id"] is not None], "doc_id long, quality int")
+    model = classifier.train(docs, labels)
+    classifier.save_model(spark, model, str(tmp_path / "net"))
+    again = classifier.load_model(spark, str(tmp_path / "net"))
+    want = sorted(map(str, classifier.score_quality(docs, labels).collect()))
+    assert sorted(map(str, classifier.score_with(docs, again).collect())) == want
+    other = spark.createDataFrame([("x", "an unseen text of plain words"), ("y", None), (None, "")], "name string, body string")
+    got = classifier.score_with(other, again, id_col="name", text_col="body")
+    assert got.columns == ["name", "held_out", "score", "predicted"] and got.count() == 3
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.collect())
+    assert classifier.score_with(other.limit(0), again, id_col="name", text_col="body").count() == 0
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
